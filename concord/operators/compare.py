@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.functions.json import ancestors
 from concord.functions.numbers import is_finite, num_equal
-from concord.operators.nodes import AFTER_ALL
+from concord.operators.nodes import AFTER_ALL, align_sides
 from concord.operators.skew import blocked_running
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -86,15 +85,19 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def _value_columns(side: str) -> list[Column]:
-    return [F.struct("jtype", "size", "num", "str", "bool", "parent_jtype", "parent_ptr", "ord").alias(side)]
-
+def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Differences of two node tables, the topmost of each branch only.
 
-def node_differences(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Every place where two node tables differ, what lies beneath a difference included."""
-    on = [*ids, "ptr"]
-    both = left.select(*on, *_value_columns("l")).join(right.select(*on, *_value_columns("r")), on, "full_outer")
+    A missing subtree or a clash of types is one row with nothing beneath it. Arrays of unlike
+    length give one ``length`` row, their shared prefix is still compared, their tails are not
+    listed. Absent and null differ; null equals null.
+    """
+    nodes = left.withColumn("side", F.lit("l")).unionByName(right.withColumn("side", F.lit("r")))
+    aligned = align_sides(nodes, ids, ["l", "r"])
     l, r = F.col("l"), F.col("r")
+    # Beneath a clash of types the two trails differ; beneath an absence the parent is absent too.
+    apart = F.coalesce(l["trail"] != r["trail"], F.lit(False))
+    stops = aligned.where(l.isNull() | r.isNull() | (l["jtype"] != r["jtype"]) | apart)
     kind = (
         F.when(l.isNull(), "missing")
         .when(r.isNull(), "extra")
@@ -104,27 +107,9 @@ def node_differences(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> D
         .when((l["jtype"] == "boolean") & (l["bool"] != r["bool"]), "value")
         .when((l["jtype"] == "array") & (l["size"] != r["size"]), "length")
     )
-    return both.withColumn("kind", kind).where(F.col("kind").isNotNull())
-
-
-def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Differences of two node tables, the topmost of each branch only.
-
-    A missing subtree or a clash of types is one row with nothing beneath it. Arrays of unlike
-    length give one ``length`` row, their shared prefix is still compared, their tails are not
-    listed. Absent and null differ; null equals null.
-    """
-    found = node_differences(left, right, ids)
-    stops = found.where(F.col("kind").isin("missing", "extra", "type")).select(*ids, F.col("ptr").alias("_above"))
-    in_array = F.coalesce(F.col("l")["parent_jtype"], F.col("r")["parent_jtype"]) == "array"
-    tail = F.col("kind").isin("missing", "extra") & F.coalesce(in_array, F.lit(False))
-    covered = (
-        found.select(*ids, "ptr", F.explode(ancestors(F.col("ptr"))).alias("_above"))
-        .join(stops, [*ids, "_above"], "left_semi")
-        .select(*ids, "ptr")
-        .distinct()
-    )
-    kept = found.where(~tail).join(covered, [*ids, "ptr"], "left_anti")
+    tail = F.col("kind").isin("missing", "extra") & F.coalesce(l["trail"], r["trail"]).endswith("a")
+    found = aligned.where(~apart).withColumn("kind", kind).where(F.col("kind").isNotNull() & ~tail)
+    kept = found.join(stops.select(*ids, F.col("ptr").alias("parent_ptr")), [*ids, "parent_ptr"], "left_anti")
 
     def text(side: Column) -> Column:
         return (
@@ -135,7 +120,6 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
             .when(side["jtype"] == "object", F.concat(F.lit("object of "), side["size"].cast("string")))
         )
 
-    l, r = F.col("l"), F.col("r")
     return kept.select(
         *ids,
         "ptr",
@@ -145,7 +129,7 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
         text(l).alias("left_value"),
         text(r).alias("right_value"),
         l["ord"].alias("left_ord"),
-        r["parent_ptr"].alias("right_parent"),
+        F.when(l.isNull(), F.col("parent_ptr")).alias("right_parent"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.functions.json import json_type, pointer_token
+from concord.functions.json import pointer_token
 
 # Fixed value: sorts keys the left side lacks after every key it has.
 AFTER_ALL = 2**31 - 1
@@ -21,81 +21,82 @@ def json_rejects(df: DataFrame, json: str) -> DataFrame:
 def json_nodes(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = 8) -> DataFrame:
     """One row per value of a JSON text: pointer, parent, type, size and scalar value.
 
-    ``ord`` lists the position of every step from the root, so sorting by it is document order.
-    A value nested below ``max_depth`` fails the run instead of going unseen. All steps are
-    narrow: no shuffle, one scan.
+    ``ord`` lists the position of every step from the root, so sorting by it is document order;
+    ``trail`` has one letter per ancestor, ``o`` for an object and ``a`` for an array. A value
+    nested below ``max_depth`` fails the run instead of going unseen. All steps are narrow: no
+    shuffle, one scan. (Members are read twice: as variants for their types, as text because a
+    variant does not keep the order of an object's keys.)
     """
-    value = F.try_parse_json(json)
-    rows = df.select(*ids, F.col(json).alias("_raw"), value.alias("_v")).where(F.col("_v").isNotNull())
-    rows = rows.select(
-        *ids,
-        F.lit("").alias("ptr"),
-        F.lit(None).cast("string").alias("parent_ptr"),
-        F.lit(None).cast("string").alias("parent_jtype"),
-        F.lit(0).alias("depth"),
-        F.array().cast("array<int>").alias("ord"),
-        json_type(F.col("_v")).alias("jtype"),
-        "_v",
-        "_raw",
-    )
+    keep = [f"`{c}`" for c in ids]
+    rows = df.select(*ids, F.col(json).alias("_raw"), F.try_parse_json(json).alias("_v")).where("_v IS NOT NULL").selectExpr(
+        *keep, "'' AS ptr", "CAST(NULL AS STRING) AS parent_ptr", "'' AS trail", "CAST(array() AS ARRAY<INT>) AS ord",
+        f"{JTYPE.format(v='_v')} AS jtype", "CAST(NULL AS INT) AS size", "_v", "_raw",
+    )
     for depth in range(max_depth):
-        rows = _open(rows, ids, depth)
-    too_deep = (F.col("depth") == max_depth) & F.col("jtype").isin("object", "array") & (_size() > 0)
-    return rows.select(
-        *ids,
-        "ptr",
-        "parent_ptr",
-        "parent_jtype",
-        F.when(too_deep, F.raise_error(F.concat(F.lit("value nested too deep at "), F.col("ptr"))))
-        .otherwise(F.col("depth"))
-        .cast("int")
-        .alias("depth"),
-        "ord",
-        "jtype",
-        _size().alias("size"),
-        F.when(F.col("jtype") == "number", F.try_variant_get("_v", "$", "double")).alias("num"),
-        F.when(F.col("jtype") == "string", F.try_variant_get("_v", "$", "string")).alias("str"),
-        F.when(F.col("jtype") == "boolean", F.try_variant_get("_v", "$", "boolean")).alias("bool"),
-    )
+        rows = _open(rows, keep, depth)
+    left = "if(jtype = 'array', size(from_json(_raw, 'array<string>')), size(from_json(_raw, 'map<string,string>')))"
+    return rows.selectExpr(
+        *keep, "ptr", "parent_ptr", "trail", "length(trail) AS depth", "ord", "jtype",
+        f"""CASE WHEN jtype IN ('array', 'object') AND size IS NULL
+            THEN if({left} = 0, 0, raise_error('value nested too deep at ' || ptr)) ELSE size END AS size""",
+        "CASE WHEN jtype = 'number' THEN try_variant_get(_v, '$', 'double') END AS num",
+        "CASE WHEN jtype = 'string' THEN try_variant_get(_v, '$', 'string') END AS str",
+        "CASE WHEN jtype = 'boolean' THEN try_variant_get(_v, '$', 'boolean') END AS bool",
+    )
 
 
-def _size() -> Column:
-    return F.when(F.col("jtype") == "array", F.size(F.from_json("_raw", "array<string>"))).when(
-        F.col("jtype") == "object", F.size(F.from_json("_raw", "map<string,string>"))
-    )
+# The rule of `json_type`, as text for the generated steps.
+JTYPE = """coalesce(element_at(map('VOID', 'null', 'BOOLEAN', 'boolean', 'STRING', 'string', 'ARRAY', 'array', 'OBJECT', 'object'),
+ regexp_extract(nvl(schema_of_variant({v}), 'VOID'), '^[A-Z]+', 0)), 'number')"""
 
 
-def _open(rows: DataFrame, ids: Sequence[str], depth: int) -> DataFrame:
+def _open(rows: DataFrame, keep: Sequence[str], depth: int) -> DataFrame:
     """Replace each container at ``depth`` by itself and its members, in document order."""
-    raw = F.col("_raw")
-    keyed = F.arrays_zip(
-        F.map_keys(F.from_json(raw, "map<string,string>")).alias("key"),
-        F.map_values(F.from_json(raw, "map<string,variant>")).alias("v"),
-        F.map_values(F.from_json(raw, "map<string,string>")).alias("raw"),
-    )
-    listed = F.arrays_zip(
-        F.transform(F.from_json(raw, "array<string>"), lambda _, at: at.cast("string")).alias("key"),
-        F.from_json(raw, "array<variant>").alias("v"),
-        F.from_json(raw, "array<string>").alias("raw"),
+    here = f"length(trail) = {depth} AND jtype"
+    found = rows.selectExpr(
+        "*",
+        f"""CASE WHEN {here} = 'object' THEN zip_with(map_entries(from_json(_raw, 'map<string,string>')),
+                 map_values(from_json(_raw, 'map<string,variant>')), (e, x) -> named_struct('key', e.key, 'v', x, 'raw', e.value))
+                WHEN {here} = 'array' THEN zip_with(from_json(_raw, 'array<string>'), from_json(_raw, 'array<variant>'),
+                 (r, x) -> named_struct('key', CAST(NULL AS STRING), 'v', x, 'raw', r)) END AS _members""",
     )
-    at_depth = F.col("depth") == depth
-    members = F.when(at_depth & (F.col("jtype") == "object"), keyed).when(
-        at_depth & (F.col("jtype") == "array"), listed
+    opened = found.selectExpr(
+        *keep, "ptr", "parent_ptr", "trail", "ord", "jtype", "CASE WHEN _members IS NULL THEN size ELSE size(_members) END AS size",
+        """posexplode(concat(array(named_struct('key', CAST(NULL AS STRING), 'v', _v, 'raw', _raw)), coalesce(_members, array())))
+           AS (_at, _m)""",
+    )
+    return opened.selectExpr(
+        *keep,
+        "if(_at = 0, ptr, ptr || '/' || coalesce(replace(replace(_m.key, '~', '~0'), '/', '~1'), CAST(_at - 1 AS STRING))) AS ptr",
+        "if(_at = 0, parent_ptr, ptr) AS parent_ptr",
+        "if(_at = 0, trail, trail || left(jtype, 1)) AS trail",
+        "if(_at = 0, ord, concat(ord, array(_at - 1))) AS ord",
+        f"if(_at = 0, jtype, {JTYPE.format(v='_m.v')}) AS jtype",
+        "if(_at = 0, size, NULL) AS size",
+        "_m.v AS _v",
+        "_m.raw AS _raw",
     )
-    itself = F.struct(F.lit(None).cast("string").alias("key"), F.col("_v").alias("v"), raw.alias("raw"))
-    opened = rows.select("*", F.posexplode(F.concat(F.array(itself), F.coalesce(members, F.array()))).alias("_at", "_m"))
-    is_member = F.col("_at") > 0
-    return opened.select(
-        *ids,
-        F.when(is_member, F.concat("ptr", F.lit("/"), pointer_token(F.col("_m.key")))).otherwise(F.col("ptr")).alias("ptr"),
-        F.when(is_member, F.col("ptr")).otherwise(F.col("parent_ptr")).alias("parent_ptr"),
-        F.when(is_member, F.col("jtype")).otherwise(F.col("parent_jtype")).alias("parent_jtype"),
-        (F.col("depth") + is_member.cast("int")).alias("depth"),
-        F.when(is_member, F.concat("ord", F.array((F.col("_at") - 1).cast("int")))).otherwise(F.col("ord")).alias("ord"),
-        F.when(is_member, json_type(F.col("_m.v"))).otherwise(F.col("jtype")).alias("jtype"),
-        F.col("_m.v").alias("_v"),
-        F.col("_m.raw").alias("_raw"),
+
+
+# What a side says of one place.
+VALUE = ("jtype", "size", "num", "str", "bool", "trail", "ord")
+
+
+def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], available: DataFrame | None = None) -> DataFrame:
+    """One row per place with every side's value (null: absent) and which sides took part.
+
+    ``available`` gives (ids, side) of the sides that produced the document at all; only
+    documents with two or more of them are kept. Without it every side took part everywhere.
+    """
+    value = F.struct(*VALUE)
+    aligned = nodes.groupBy(*ids, "ptr").agg(
+        F.max("parent_ptr").alias("parent_ptr"), *[F.max(F.when(F.col("side") == s, value)).alias(s) for s in sides]
     )
+    if available is None:
+        return aligned.select("*", *[F.lit(True).alias(f"has_{s}") for s in sides])
+    has = available.groupBy(*ids).agg(*[F.max(F.col("side") == s).alias(f"has_{s}") for s in sides])
+    enough = sum((F.col(f"has_{s}").cast("int") for s in sides), F.lit(0)) >= 2
+    return aligned.join(has.where(enough), list(ids))
 
 
 def record_nodes(df: DataFrame, ids: Sequence[str], path: Column, fields: Mapping[str, Column]) -> DataFrame:
@@ -126,7 +127,7 @@ def record_nodes(df: DataFrame, ids: Sequence[str], path: Column, fields: Mappin
         *ids,
         F.concat("_path", F.lit("/"), pointer_token(F.col("_c.field"))).alias("ptr"),
         F.col("_path").alias("parent_ptr"),
-        F.lit("object").alias("parent_jtype"),
+        F.lit("o").alias("trail"),
         F.array(F.col("_c.at")).alias("ord"),
         F.col("_c.jtype").alias("jtype"),
         F.lit(None).cast("int").alias("size"),

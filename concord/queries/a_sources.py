@@ -65,7 +65,7 @@ def a03(spark, sf):
        SELECT event_id, '/k', 1, 'number', json_extract(props, '$.k')::DOUBLE FROM events""",
 )
 def a04(spark, sf):
-    return json_nodes(table(spark, sf, "events"), ["event_id"], "props").select("event_id", "ptr", "depth", "jtype", "num")
+    return json_nodes(table(spark, sf, "events"), ["event_id"], "props", 2).select("event_id", "ptr", "depth", "jtype", "num")
 
 
 @query(

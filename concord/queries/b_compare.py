@@ -135,8 +135,8 @@ def event_docs(spark, sf):
     )
     docs = e.select("event_id", left.alias("_left"), right.alias("_right"))
     return (
-        json_nodes(docs.select("event_id", F.col("_left").alias("j")), ["event_id"], "j"),
-        json_nodes(docs.select("event_id", F.col("_right").alias("j")), ["event_id"], "j"),
+        json_nodes(docs.select("event_id", F.col("_left").alias("j")), ["event_id"], "j", 4),
+        json_nodes(docs.select("event_id", F.col("_right").alias("j")), ["event_id"], "j", 4),
     )
 
 
