@@ -116,3 +116,17 @@ def first_members(df: DataFrame, group: Sequence[str], member: str, n: int, out:
         .groupBy(*group)
         .agg(F.array_sort(F.collect_list(member)).alias(out))
     )
+
+
+# Fixed bound: a side of at most this many rows may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join to a table that is usually small: broadcast when it is, ``spread_join`` when it is not.
+
+    The size is checked by counting at most ``BROADCAST_ROWS + 1`` rows of ``dim``.
+    """
+    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return fact.join(F.broadcast(dim), list(on), how)
+    return spread_join(fact, dim, on, how)
