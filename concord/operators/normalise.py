@@ -76,22 +76,24 @@ def canon_spelling(df: DataFrame, spellings: DataFrame, keys: Sequence[str], val
 
     ``spellings`` has ``keys`` and ``spelling``. Used for choices, sentinels and type names.
     """
+    spelled = _dictionary_spelling(df, spellings, keys, value)
+    return spelled.withColumn(out, F.coalesce("_spelling", value)).drop("_spelling")
+
+
+def _dictionary_spelling(df: DataFrame, spellings: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     names = spellings.groupBy(*keys, F.lower("spelling").alias("_folded")).agg(F.min("spelling").alias("_spelling"))
-    joined = lookup_join(df.withColumn("_folded", F.lower(value)), names, [*keys, "_folded"])
-    return joined.withColumn(out, F.coalesce("_spelling", value)).drop("_folded", "_spelling")
+    return lookup_join(df.withColumn("_folded", F.lower(value)), names, [*keys, "_folded"]).drop("_folded")
 
 
 def canon_sentinel(df: DataFrame, spellings: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """``canon_spelling``, and a numeric keyword becomes the keyword the field's dictionary names."""
-    spelled = canon_spelling(df, spellings, keys, value, out)
-    named = (
+    """``canon_spelling``, and a numeric keyword the field's dictionary does not know becomes the
+    keyword it does name."""
+    keywords = (
         spellings.where(F.lower("spelling").isin(*SENTINELS)).groupBy(*keys).agg(F.min("spelling").alias("_keyword"))
     )
-    joined = lookup_join(spelled, named, keys)
-    # A keyword the dictionary spells itself was already taken; any other keyword is remapped.
-    return joined.withColumn(
-        out, F.when(F.lower(value).isin(*SENTINELS), F.coalesce("_keyword", out)).otherwise(F.col(out))
-    ).drop("_keyword")
+    joined = lookup_join(_dictionary_spelling(df, spellings, keys, value), keywords, keys)
+    keyword = F.when(F.lower(value).isin(*SENTINELS), F.col("_keyword"))
+    return joined.withColumn(out, F.coalesce("_spelling", keyword, value)).drop("_spelling", "_keyword")
 
 
 def resolve_version(df: DataFrame, version: str, dictionaries: DataFrame, out: str = "dictionary") -> DataFrame:
