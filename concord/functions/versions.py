@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed pattern: how a version may be written.
+VERSION = r"v?\d+(?:\.\d+)*(?:[.\-]?(?:a|b|rc|alpha|beta|dev|post)[.\-]?\d*)*(?:\+[0-9A-Za-z.]+)?"
+
+
 def normalize_version(text: Column) -> Column:
-    """One spelling per version: trimmed, lower case, no leading v, short pre-release tags."""
-    low = F.regexp_replace(F.lower(F.trim(text)), "^v(?=\\d)", "")
-    short = F.regexp_replace(F.regexp_replace(low, "alpha", "a"), "beta", "b")
-    return F.regexp_replace(short, "[-_.]?(rc|a|b)[-_.]?(\\d+)$", "$1$2")
+    """One spelling per version: trimmed, lower case, no leading v, short tags without separators."""
+    low = F.regexp_replace(F.lower(F.trim(text)), "^v", "")
+    joined = F.regexp_replace(low, r"[.\-]?(alpha|beta|a|b|rc|dev|post)[.\-]?(\d*)", "$1$2")
+    return F.regexp_replace(F.regexp_replace(joined, "alpha", "a"), "beta", "b")
 
 
 def version_numbers(version: Column) -> Column:
@@ -20,11 +24,16 @@ def version_numbers(version: Column) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Sorts versions: numeric parts first, a final release after all its candidates."""
-    tag = F.regexp_extract(version, "(a|b|rc)\\d+$", 1)
-    rank = F.when(tag == "a", 0).when(tag == "b", 1).when(tag == "rc", 2).otherwise(3)
-    number = F.coalesce(F.regexp_extract(version, "(?:a|b|rc)(\\d+)$", 1).try_cast("int"), F.lit(0))
-    return F.struct(version_numbers(version).alias("numbers"), rank.alias("stage"), number.alias("candidate"))
+    """Sorts versions by number, a final release after all its candidates.
+
+    An array: the numbers written, then 1 for a final release or 0 and the candidate's number.
+    """
+    text = normalize_version(version)
+    release = F.regexp_extract(F.substring_index(text, "rc", 1), "^[^a-z]*", 0)
+    numbers = F.transform(F.regexp_extract_all(release, F.lit("(\\d+)"), 1), lambda n: n.try_cast("long"))
+    candidate = F.regexp_extract(text, "rc(\\d+)$", 1).try_cast("long")
+    final = F.when(text.rlike("rc."), F.lit(0)).otherwise(F.lit(1)).cast("long")
+    return F.concat(numbers, F.array(final, F.coalesce(candidate, F.lit(0).cast("long"))))
 
 
 def level_of(raw: Column, package: Column) -> Column:
@@ -32,9 +41,8 @@ def level_of(raw: Column, package: Column) -> Column:
 
     A range or a bare name pins nothing.
     """
-    version = "v?\\d+(?:\\.\\d+)*(?:[-_.]?(?:rc|a|b|alpha|beta)[-_.]?\\d+)?"
     text = F.trim(raw)
-    named = F.regexp_extract(text, f"^([A-Za-z@/][A-Za-z0-9@/_.-]*?)(?:\\[[^\\]]*\\])?\\s*(?:==|@)\\s*({version})$", 2)
-    owner = F.regexp_extract(text, f"^([A-Za-z@/][A-Za-z0-9@/_.-]*?)(?:\\[[^\\]]*\\])?\\s*(?:==|@)\\s*({version})$", 1)
-    level = F.when(text.rlike(f"^{version}$"), text).when((named != "") & (F.lower(owner) == F.lower(package)), named)
-    return normalize_version(level)
+    named = F.coalesce(F.startswith(F.lower(text), F.lower(package)) & (package != ""), F.lit(False))
+    rest = F.trim(F.regexp_replace(F.substring(text, F.length(package) + 1, F.length(text)), r"^\[[^\]]*\]", ""))
+    pinned = F.trim(F.regexp_extract(rest, r"^(?:==|@)(.*)$", 1))
+    return F.when(named, F.when(pinned.rlike(f"^(?:{VERSION})$"), pinned)).when(text.rlike(f"^(?:{VERSION})$"), text)
