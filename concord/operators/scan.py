@@ -30,7 +30,8 @@ def _lines(files: DataFrame, keys: Sequence[str], text: str, hint: str) -> DataF
 
 def find_names(files: DataFrame, keys: Sequence[str], text: str, names: Sequence[str]) -> DataFrame:
     """Every whole-word occurrence of a name: keys, line number, name, line. Nothing is judged."""
-    pattern = r"\b(" + "|".join(re.escape(n) for n in names) + r")\b"
+    # (?U): a letter with an accent is part of a word.
+    pattern = r"(?U)\b(" + "|".join(re.escape(n) for n in names) + r")\b"
     return _lines(files, keys, text, pattern).select(
         *keys, (F.col("_at") + 1).alias("line"), F.explode(F.regexp_extract_all("_line", F.lit(pattern), 1)).alias("name"), F.trim("_line").alias("shown")
     )

@@ -50,7 +50,7 @@ def j02(spark, sf):
     return part_versions(spark, sf).select("p_partkey", level_of(raw, F.lit("tool")).alias("level"))
 
 
-ORDER = "p_size * 1000000000 + (p_partkey % 7) * 1000000 + (p_partkey % 12) * 1000 + CASE WHEN p_type IN ('SMALL', 'PROMO') THEN p_partkey % 5 ELSE 100 END"
+ORDER = "p_size::BIGINT * 1000000000 + (p_partkey % 7) * 1000000 + (p_partkey % 12) * 1000 + CASE WHEN p_type IN ('SMALL', 'PROMO') THEN p_partkey % 5 ELSE 100 END"
 
 
 @query("j03_version_order", f"SELECT p_partkey, ({ORDER}) > (30 * 1000000000::BIGINT + 3 * 1000000 + 5 * 1000 + 100) AS newer FROM part")
@@ -256,7 +256,7 @@ ROLES = {"linux": "*-Linux-*.tar.gz", "mac": "*-mac.zip"}
     "j17_oldest_asset",
     ASSETS
     + """SELECT p_brand, role, CASE WHEN count(*) = 1 OR (role = 'linux' AND count(DISTINCT build) = count(*)) THEN arg_min(name, build) END AS asset,
-              CASE WHEN NOT (count(*) = 1 OR (role = 'linux' AND count(DISTINCT build) = count(*))) THEN count(*) || ' assets fit' END AS problem FROM a GROUP BY ALL""",
+              CASE WHEN NOT (count(*) = 1 OR (role = 'linux' AND count(DISTINCT build) = count(*))) THEN count(*) || ' assets fit' END AS problem FROM a GROUP BY p_brand, role""",
 )
 def j17(spark, sf):
     return f.pick_asset(part_assets(spark, sf), ["p_brand"], "name", ROLES)
@@ -266,7 +266,7 @@ def j17(spark, sf):
     "j17_stated_asset",
     ASSETS
     + """SELECT p_brand, role, CASE WHEN count(*) FILTER (role = 'linux' AND build = 14) = 1 THEN 'tool-Linux-Ubuntu14.04.tar.gz' END AS asset,
-              CASE WHEN count(*) FILTER (role = 'linux' AND build = 14) <> 1 THEN count(*) FILTER (role = 'linux' AND build = 14) || ' assets fit' END AS problem FROM a GROUP BY ALL""",
+              CASE WHEN count(*) FILTER (role = 'linux' AND build = 14) <> 1 THEN count(*) FILTER (role = 'linux' AND build = 14) || ' assets fit' END AS problem FROM a GROUP BY p_brand, role""",
 )
 def j17_stated(spark, sf):
     return f.pick_asset(part_assets(spark, sf), ["p_brand"], "name", ROLES, stated="14.04")
@@ -285,9 +285,9 @@ def j18(spark, sf):
 @query(
     "j19_standing_approval",
     """WITH v AS (SELECT user_id, json_extract(props, '$.k')::INTEGER % 5 AS who, event_id, event_type, value, ts FROM events WHERE event_type IN ('click', 'view', 'error')),
-            l AS (SELECT user_id, who, arg_max(event_type, event_id) AS st, arg_max(value > 10, event_id) AS head, max(event_id) AS at FROM v WHERE who <> 4 GROUP BY ALL),
-            a AS (SELECT user_id, arg_max(who, at) AS w, max(at) AS at FROM l WHERE st = 'click' AND head GROUP BY 1)
-       SELECT user_id, 'p' || w AS "by", at AS event_id FROM a""",
+            l AS (SELECT user_id, who, arg_max(event_type, event_id) AS st, arg_max(value > 10, event_id) AS head, max(event_id) AS seen FROM v WHERE who <> 4 GROUP BY ALL),
+            a AS (SELECT user_id, arg_max(who, seen) AS w, max(seen) AS seen FROM l WHERE st = 'click' AND head GROUP BY 1)
+       SELECT user_id, 'p' || w AS "by", seen AS event_id FROM a""",
 )
 def j19(spark, sf):
     who = (F.get_json_object("props", "$.k").cast("int") % 5)
