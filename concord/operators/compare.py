@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.numbers import is_finite, num_equal
-from concord.operators.nodes import AFTER_ALL, align_sides
+from concord.operators.nodes import AFTER_ALL, align_sides, topmost
 from concord.operators.skew import blocked_running
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -97,7 +97,6 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
     l, r = F.col("l"), F.col("r")
     # Beneath a clash of types the two trails differ; beneath an absence the parent is absent too.
     apart = F.coalesce(l["trail"] != r["trail"], F.lit(False))
-    stops = aligned.where(l.isNull() | r.isNull() | (l["jtype"] != r["jtype"]) | apart)
     kind = (
         F.when(l.isNull(), "missing")
         .when(r.isNull(), "extra")
@@ -108,8 +107,9 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
         .when((l["jtype"] == "array") & (l["size"] != r["size"]), "length")
     )
     tail = F.col("kind").isin("missing", "extra") & F.coalesce(l["trail"], r["trail"]).endswith("a")
-    found = aligned.where(~apart).withColumn("kind", kind).where(F.col("kind").isNotNull() & ~tail)
-    kept = found.join(stops.select(*ids, F.col("ptr").alias("parent_ptr")), [*ids, "parent_ptr"], "left_anti")
+    found = aligned.withColumns({"kind": kind, "_apart": apart}).where(F.col("kind").isNotNull() | apart)
+    stop = F.col("_apart") | F.coalesce(F.col("kind").isin("missing", "extra", "type"), F.lit(False))
+    kept = topmost(found, ids, stop).where(F.col("kind").isNotNull() & ~F.col("_apart") & ~tail)
 
     def text(side: Column) -> Column:
         return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.json import pointer_token
@@ -28,7 +28,7 @@ def json_nodes(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = 8)
     variant does not keep the order of an object's keys.)
     """
     keep = [f"`{c}`" for c in ids]
-    rows = df.select(*ids, F.col(json).alias("_raw"), F.try_parse_json(json).alias("_v")).where("_v IS NOT NULL").selectExpr(
+    rows = df.select(*ids, F.col(json).alias("_raw"), F.try_parse_json(json).alias("_v")).selectExpr(
         *keep, "'' AS ptr", "CAST(NULL AS STRING) AS parent_ptr", "'' AS trail", "CAST(array() AS ARRAY<INT>) AS ord",
         f"{JTYPE.format(v='_v')} AS jtype", "CAST(NULL AS INT) AS size", "_v", "_raw",
     )
@@ -51,20 +51,30 @@ JTYPE = """coalesce(element_at(map('VOID', 'null', 'BOOLEAN', 'boolean', 'STRING
 
 
 def _open(rows: DataFrame, keep: Sequence[str], depth: int) -> DataFrame:
-    """Replace each container at ``depth`` by itself and its members, in document order."""
+    """Replace each container at ``depth`` by itself and its members, in document order.
+
+    A container that was opened leaves its text and variant behind, so that no step copies them.
+    A text that is no JSON is dropped at the root (a filter would parse it once more).
+    """
     here = f"length(trail) = {depth} AND jtype"
+    text = "if(left({r}, 1) IN ('{{', '['), {r}, NULL)"
     found = rows.selectExpr(
         "*",
         f"""CASE WHEN {here} = 'object' THEN zip_with(map_entries(from_json(_raw, 'map<string,string>')),
-                 map_values(from_json(_raw, 'map<string,variant>')), (e, x) -> named_struct('key', e.key, 'v', x, 'raw', e.value))
+                 map_values(from_json(_raw, 'map<string,variant>')),
+                 (e, x) -> named_struct('key', e.key, 'v', x, 'raw', {text.format(r="e.value")}, 'size', CAST(NULL AS INT)))
                 WHEN {here} = 'array' THEN zip_with(from_json(_raw, 'array<string>'), from_json(_raw, 'array<variant>'),
-                 (r, x) -> named_struct('key', CAST(NULL AS STRING), 'v', x, 'raw', r)) END AS _members""",
+                 (r, x) -> named_struct('key', CAST(NULL AS STRING), 'v', x, 'raw', {text.format(r="r")}, 'size', CAST(NULL AS INT))) END AS _members""",
     )
+    itself = """named_struct('key', CAST(NULL AS STRING), 'v', if(_members IS NULL, _v, NULL), 'raw', if(_members IS NULL, _raw, NULL),
+                'size', if(_members IS NULL, size, size(_members)))"""
+    if depth == 0:
+        itself = f"if(_v IS NULL, array(), array({itself}))"
+    else:
+        itself = f"array({itself})"
     opened = found.selectExpr(
-        *keep, "ptr", "parent_ptr", "trail", "ord", "jtype", "CASE WHEN _members IS NULL THEN size ELSE size(_members) END AS size",
-        """posexplode(concat(array(named_struct('key', CAST(NULL AS STRING), 'v', _v, 'raw', _raw)), coalesce(_members, array())))
-           AS (_at, _m)""",
-    )
+        *keep, "ptr", "parent_ptr", "trail", "ord", "jtype", f"posexplode(concat({itself}, coalesce(_members, array()))) AS (_at, _m)"
+    )
     return opened.selectExpr(
         *keep,
         "if(_at = 0, ptr, ptr || '/' || coalesce(replace(replace(_m.key, '~', '~0'), '/', '~1'), CAST(_at - 1 AS STRING))) AS ptr",
@@ -72,14 +82,14 @@ def _open(rows: DataFrame, keep: Sequence[str], depth: int) -> DataFrame:
         "if(_at = 0, trail, trail || left(jtype, 1)) AS trail",
         "if(_at = 0, ord, concat(ord, array(_at - 1))) AS ord",
         f"if(_at = 0, jtype, {JTYPE.format(v='_m.v')}) AS jtype",
-        "if(_at = 0, size, NULL) AS size",
+        "_m.size AS size",
         "_m.v AS _v",
         "_m.raw AS _raw",
     )
 
 
 # What a side says of one place.
-VALUE = ("jtype", "size", "num", "str", "bool", "trail", "ord")
+VALUE = ("jtype", "size", "num", "str", "bool", "trail", "ord", "parent_ptr")
 
 
 def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], available: DataFrame | None = None) -> DataFrame:
@@ -89,9 +99,9 @@ def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], avai
     documents with two or more of them are kept. Without it every side took part everywhere.
     """
     value = F.struct(*VALUE)
-    aligned = nodes.groupBy(*ids, "ptr").agg(
-        F.max("parent_ptr").alias("parent_ptr"), *[F.max(F.when(F.col("side") == s, value)).alias(s) for s in sides]
-    )
+    # Every later step needs all of the value, so its branches share this one shuffle.
+    aligned = nodes.groupBy(*ids, "ptr").agg(*[F.max(F.when(F.col("side") == s, value)).alias(s) for s in sides])
+    aligned = aligned.withColumn("parent_ptr", F.coalesce(*[F.col(s)["parent_ptr"] for s in sides]))
     if available is None:
         return aligned.select("*", *[F.lit(True).alias(f"has_{s}") for s in sides])
     has = available.groupBy(*ids).agg(*[F.max(F.col("side") == s).alias(f"has_{s}") for s in sides])
@@ -99,6 +109,21 @@ def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], avai
     return aligned.join(has.where(enough), list(ids))
 
 
+def topmost(rows: DataFrame, ids: Sequence[str], stop: Column) -> DataFrame:
+    """Rows whose parent is no stop. (A stop deeper up has stops all the way down.)
+
+    A stop also stands at the head of its own children; one window per parent then tells them.
+    Only rows given here move, and they are read once.
+    """
+    group = F.array(
+        F.struct(F.col("parent_ptr").alias("of"), F.lit(False).alias("head")),
+        F.when(stop, F.struct(F.col("ptr").alias("of"), F.lit(True).alias("head"))),
+    )
+    placed = rows.withColumn("_g", F.explode(group)).where(F.col("_g").isNotNull())
+    under = F.max("_g.head").over(Window.partitionBy(*ids, "_g.of"))
+    return placed.withColumn("_under", under).where(~F.col("_g.head") & ~F.col("_under")).drop("_g", "_under")
+
+
 def record_nodes(df: DataFrame, ids: Sequence[str], path: Column, fields: Mapping[str, Column]) -> DataFrame:
     """Flat records as leaf nodes: one row per field, pointer ``<path>/<field>``.
 

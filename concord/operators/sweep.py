@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.json import ancestors, pointer_pattern, preview
 from concord.functions.numbers import num_equal
-from concord.operators.nodes import align_sides
+from concord.operators.nodes import align_sides, topmost
 from concord.operators.skew import first_members
 
 def _equal_here(a: str, b: str) -> Column:
@@ -90,23 +90,23 @@ def sweep_diff(aligned: DataFrame, ids: Sequence[str], sides: Sequence[str], nes
         ],
     )
     any_ne = F.greatest(*[F.col(f"_ne_{i}_{j}") for i, j in pairs])
-    unlike = here.where(any_ne)
+    # Equal places on unlike trails are kept for now: what hangs beneath them is no finding either.
+    unlike = here.where(any_ne | (F.size("_trails") > 1))
     if nested:
-        # Two containers differ when anything beneath them does.
-        deep = (
-            unlike.select(*ids, F.explode(ancestors(F.col("ptr"))).alias("ptr"), *[F.col(f"_ne_{i}_{j}") for i, j in pairs])
-            .groupBy(*ids, "ptr")
-            .agg(*[F.max(f"_ne_{i}_{j}").alias(f"_deep_{i}_{j}") for i, j in pairs])
+        # Two containers differ when anything beneath them does: every unlike place tells its
+        # ancestors. The places themselves pass through the same aggregation, so nothing is read twice.
+        kept = [c for c in unlike.columns if c not in (*ids, "ptr")]
+        itself = F.struct(F.col("ptr").alias("at"), F.struct(*kept).alias("row"))
+        above = F.transform(ancestors(F.col("ptr")), lambda p: F.struct(p.alias("at"), F.lit(None).cast(unlike.select(F.struct(*kept)).schema[0].dataType).alias("row")))
+        told = unlike.select(*ids, *[F.col(f"_ne_{i}_{j}") for i, j in pairs], F.explode(F.concat(F.array(itself), above)).alias("_t"))
+        below = F.col("_t.row").isNull()
+        met = told.groupBy(*ids, F.col("_t.at").alias("ptr")).agg(
+            F.max("_t.row").alias("_row"), *[F.max(F.when(below, F.col(f"_ne_{i}_{j}"))).alias(f"_deep_{i}_{j}") for i, j in pairs]
         )
+        unlike = met.where("_row IS NOT NULL").select(*ids, "ptr", "_row.*", *[f"_deep_{i}_{j}" for i, j in pairs])
         # Beneath a clash of types the trails differ; beneath an absence the parent is a stop.
-        apart = F.size("_trails") > 1
-        stops = unlike.where((F.size("_kinds") > 1) | apart).select(*ids, F.col("ptr").alias("parent_ptr"))
         tail = F.array_contains("_kinds", "absent") & F.get("_trails", F.lit(0)).endswith("a")
-        unlike = (
-            unlike.where(~apart & ~tail)
-            .join(stops, [*ids, "parent_ptr"], "left_anti")
-            .join(deep, [*ids, "ptr"], "left")
-        )
+        unlike = topmost(unlike, ids, (F.size("_kinds") > 1) | (F.size("_trails") > 1)).where((F.size("_trails") < 2) & ~tail)
     else:
         unlike = unlike.select("*", *[F.lit(False).alias(f"_deep_{i}_{j}") for i, j in pairs])
     length = (F.size("_kinds") == 1) & (F.get("_kinds", F.lit(0)) == "array")

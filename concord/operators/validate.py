@@ -112,20 +112,20 @@ def check_references(values: DataFrame, dictionary: DataFrame, names: DataFrame
     """``E009``: pointers at names that no object declares in any of the field's lists.
 
     Values of repeated groups are rows like any other. A field that points into a list nothing can
-    contribute to (it names types, not objects) is exempt. Distinct pointers are resolved first, so
-    a name referred to from any share of the rows is looked up once.
+    contribute to (it names types, not objects) is exempt. Names meet pointers in one join, in which
+    a name that any share of the rows refers to is spread.
     """
     names = reference_names(values, dictionary) if names is None else names
     lists = dictionary.where("size(object_list) > 0").select(F.col("obj_type").alias("object_type"), "field", F.explode("object_list").alias("list"))
     fed = dictionary.select(F.explode("reference").alias("list")).distinct()
     open_fields = lists.join(fed, "list", "left_anti").select("object_type", "field").distinct()
     closed = lists.join(open_fields, ["object_type", "field"], "left_anti")
+    # Both sets are at most the lists of the dictionary.
     pointing = closed.groupBy("object_type", "field").agg(F.collect_set("list").alias("lists"))
+    declared = names.groupBy("name").agg(F.collect_set("list").alias("_declared"))
     rows = lookup_join(_written(values), pointing, ["object_type", "field"], "inner").withColumn("name", F.lower("str"))
-    distinct = rows.select("object_type", "field", "name", "lists").distinct().withColumn("list", F.explode("lists")).drop("lists")
-    met = distinct.join(names, ["list", "name"], "left_semi").select("object_type", "field", "name").distinct()
-    dangling = distinct.select("object_type", "field", "name").distinct().join(met, ["object_type", "field", "name"], "left_anti")
-    found = spread_join(rows, dangling, ["object_type", "field", "name"], "left_semi")
+    met = F.coalesce(F.arrays_overlap("lists", "_declared"), F.lit(False))
+    found = spread_join(rows, declared, ["name"], "left").where(~met)
     return _finding(found, F.lit("E009"), F.col("field"))
 
 

@@ -18,7 +18,7 @@ WITH flat AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, generate_sub
 
 def embedding_rings(spark, sf):
     """Each vector as a closed ring: consecutive pairs are x and y, the label is z."""
-    e = table(spark, sf, "embeddings")
+    e = table(spark, sf, "embeddings", spread=True)
     v = F.transform("embedding", lambda x: x.cast("double"))
     ring = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1),
@@ -65,7 +65,7 @@ def a03(spark, sf):
        SELECT event_id, '/k', 1, 'number', json_extract(props, '$.k')::DOUBLE FROM events""",
 )
 def a04(spark, sf):
-    return json_nodes(table(spark, sf, "events"), ["event_id"], "props", 2).select("event_id", "ptr", "depth", "jtype", "num")
+    return json_nodes(table(spark, sf, "events", spread=True), ["event_id"], "props", 2).select("event_id", "ptr", "depth", "jtype", "num")
 
 
 @query(
@@ -77,7 +77,7 @@ def a04(spark, sf):
        UNION ALL SELECT p_partkey, 2, 4, 'Brand', 2, 'two lines' FROM part""",
 )
 def a05(spark, sf):
-    part = table(spark, sf, "part")
+    part = table(spark, sf, "part", spread=True)
     text = F.concat(
         F.col("p_type"), F.lit(",\n  "), F.col("p_name"), F.lit(", "), F.col("p_size").cast("string"),
         F.lit("; ! a stray, comment;\n! a whole line;\nBrand, "), F.col("p_brand"), F.lit(", , two\n  lines;\n"),

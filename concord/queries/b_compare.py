@@ -116,7 +116,7 @@ DOC_L = """'{"kind":"' || event_type || '","tags":["' || event_type || '",' || u
 
 def event_docs(spark, sf):
     """Nested documents of events under test and expected."""
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events", spread=True)
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
 
     def doc(tags, body):
@@ -168,7 +168,7 @@ def b04(spark, sf):
        WHERE l[i]::DOUBLE <> r[i]::DOUBLE""",
 )
 def b06(spark, sf):
-    e = table(spark, sf, "embeddings")
+    e = table(spark, sf, "embeddings", spread=True)
     other = (
         F.when(F.col("label") % 3 == 0, F.slice("embedding", 1, 40))
         .when(F.col("label") % 3 == 1, F.transform("embedding", lambda x: -x))
@@ -297,7 +297,7 @@ def b13(spark, sf):
 
 def drift_pairs(spark, sf):
     """Documents and edited copies of equal length; German texts lose their last character."""
-    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = table(spark, sf, "documents", spread=True).select("doc_id", "lang", "text")
     edited = F.when(F.col("lang") == "de", F.expr("left(text, length(text) - 1)")).otherwise(
         F.translate("text", "TÉ", "#$")
     )
@@ -384,6 +384,6 @@ def b17(spark, sf):
 )
 def b18(spark, sf):
     # Against an empty text the whole document is one region.
-    pairs = table(spark, sf, "documents").select("doc_id", "text", F.lit("").alias("nothing"))
+    pairs = table(spark, sf, "documents", spread=True).select("doc_id", "text", F.lit("").alias("nothing"))
     found = text_drift(pairs, ["doc_id"], "text", "nothing")
     return found.select("doc_id", drift_window(F.col("left_text")).alias("shown"))

@@ -95,7 +95,7 @@ def c04(spark, sf):
        UNION ALL SELECT event_id, '/body/k', 'value', 'alpha | beta | truth' FROM events WHERE event_type = 'purchase'""",
 )
 def c04_nested(spark, sf):
-    e = table(spark, sf, "events")
+    e = table(spark, sf, "events", spread=True)
     kind, k, user = F.col("event_type"), F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
 
     def doc(tags, body):

@@ -188,7 +188,7 @@ def d13(spark, sf):
 
 @query("d14_model_version", "SELECT doc_id, lang || '-' || source AS version FROM documents")
 def d14(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = table(spark, sf, "documents", spread=True)
     body = F.translate("text", ",;!", "   ")
     text = F.concat(F.lit("Note, "), body, F.lit(";\nVERSION,\n  "), "lang", F.lit("-"), "source", F.lit(";\nVersion, later;"))
     return n.model_version(statements(docs.select("doc_id", text.alias("content")), ["doc_id"]), ["doc_id"])

@@ -135,7 +135,7 @@ def reference_values(spark, sf):
 
     o = table(spark, sf, "orders").where("o_orderstatus <> 'O'")
     p = table(spark, sf, "part").where("p_type <> 'PROMO'")
-    line = table(spark, sf, "lineitem")
+    line = table(spark, sf, "lineitem", spread=True)
     order = F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))
     part = F.concat(F.lit("P"), F.col("p_partkey").cast("string"))
     name = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])

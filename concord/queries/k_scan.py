@@ -11,7 +11,7 @@ NAMES = ["the", "un", "der", "que", "ation"]
 
 def repositories(spark, sf):
     """Documents as files: the source is the project, the language a folder."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", spread=True)
     return d.select(
         F.col("source").alias("project"), F.concat_ws("/", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
         F.col("text").alias("content"), "doc_id", "lang",

@@ -26,5 +26,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A driver table. ``spread`` is for work that costs far more than moving its rows: a table
+    that reads as fewer partitions than there are cores (one small file) is dealt out over them.
+    A large table reads as many partitions and is left as it is."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
