@@ -133,17 +133,22 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
     )
 
 
-def order_diffs(diffs: DataFrame, left: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Left document order; keys the left lacks follow their parent's own keys, by code point."""
+def place_diffs(diffs: DataFrame, left: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Adds ``place``, which with the pointer gives the order of differences within a document:
+    left document order; keys the left lacks follow their parent's own keys, by code point."""
     missing = diffs.where(F.col("left_ord").isNull())
     parents = left.join(
         missing.select(*ids, F.col("right_parent").alias("ptr")).distinct(), [*ids, "ptr"], "left_semi"
     ).select(*ids, F.col("ptr").alias("right_parent"), F.col("ord").alias("_parent_ord"))
-    placed = diffs.join(parents, [*ids, "right_parent"], "left").withColumn(
-        "_place",
+    return diffs.join(parents, [*ids, "right_parent"], "left").withColumn(
+        "place",
         F.coalesce(F.col("left_ord"), F.concat(F.coalesce("_parent_ord", F.array().cast("array<int>")), F.array(F.lit(AFTER_ALL)))),
-    )
-    return placed.orderBy(*ids, "_place", "ptr").drop("_place", "_parent_ord")
+    ).drop("_parent_ord")
+
+
+def order_diffs(diffs: DataFrame, left: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Differences by document, and in each in the order of ``place_diffs``."""
+    return place_diffs(diffs, left, ids).orderBy(*ids, "place", "ptr").drop("place")
 
 
 def diff_arrays(left: DataFrame, right: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

@@ -78,7 +78,7 @@ def disagreements(declarations: DataFrame, governed: Mapping[str, Sequence[str]]
         key = F.when((F.col("library") == library) & F.col("package").isin(*packages), F.lit(f"{library}-release")).otherwise(key)
     stated = declarations.where("level IS NOT NULL").select("consumer", "library", key.alias("key"), normalize_version(F.col("level")).alias("level")).distinct()
     many = stated.groupBy("consumer", "library", "key").agg(F.count(F.lit(1)).alias("levels")).where("levels > 1")
-    return stated.join(many, ["consumer", "library", "key"])
+    return spread_join(stated, many, ["consumer", "library", "key"], "inner")
 
 
 def strangers(found: DataFrame, roster: DataFrame, unread: DataFrame, out_of_scope: Sequence[str]) -> DataFrame:
@@ -92,7 +92,8 @@ def strangers(found: DataFrame, roster: DataFrame, unread: DataFrame, out_of_sco
         return spread_join(df.withColumn("_folded", F.lower("repository")), known, ["_folded"], "left_anti").drop("_folded")
 
     failed = unlisted(unread).select("repository", F.lit("unread").alias("finding"), F.lit(None).cast("string").alias("declaration")).distinct()
-    readable = found.where(~F.col("package").isin(*out_of_scope)).join(unread.select("repository").distinct(), "repository", "left_anti")
+    held = found.where(~F.col("package").isin(*out_of_scope)).select("repository", "path", "package").distinct()
+    readable = spread_join(held, unread.select("repository").distinct(), ["repository"], "left_anti")
     holders = unlisted(readable).select(
         "repository", F.lit("stranger").alias("finding"), F.concat_ws(": ", "path", "package").alias("declaration")
     ).distinct()
@@ -118,7 +119,7 @@ def disabled_schedules(schedules: DataFrame, unreadable: DataFrame) -> DataFrame
     """Schedules switched off for inactivity; what a person switched off is not a finding.
     Repositories that could not be listed are findings of their own."""
     bad = unreadable.select("repository").distinct()
-    off = schedules.where("state = 'disabled_inactivity'").join(bad, "repository", "left_anti")
+    off = spread_join(schedules.where("state = 'disabled_inactivity'"), bad, ["repository"], "left_anti")
     return off.select("repository", "name", F.lit("disabled").alias("finding")).unionByName(
         bad.select("repository", F.lit(None).cast("string").alias("name"), F.lit("unreadable").alias("finding"))
     )
@@ -224,7 +225,8 @@ def standing_approval(reviews: DataFrame, heads: DataFrame, request: str) -> Dat
     deciding = reviews.where(F.col("login").isNotNull() & ~F.col("login").rlike(BOT) & F.col("state").isin(*VERDICTS))
     # A plain aggregation: one person may hold any share of the reviews.
     last = deciding.groupBy(request, "login").agg(F.max(F.struct("ord", "state", "commit", "at")).alias("_v"))
-    standing = last.where("_v.state = 'APPROVED'").join(heads.select(request, "head"), request).where("_v.commit = head")
+    approved = last.where("_v.state = 'APPROVED'")
+    standing = spread_join(approved, heads.select(request, "head"), [request], "inner").where("_v.commit = head")
     return standing.groupBy(request).agg(F.max(F.struct("_v.at", "login")).alias("_a")).select(
         request, F.col("_a.login").alias("by"), F.col("_a.at").alias("at")
     )

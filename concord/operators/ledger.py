@@ -68,8 +68,9 @@ def run_summary(outcomes: DataFrame, reconciled: DataFrame) -> DataFrame:
         F.count_if(F.col("bucket") == "stale").alias("stale"), F.count_if(F.col("bucket") == "unexercisable").alias("unexercisable")
     )
     blocked = blocking(outcomes, reconciled).agg(F.count(F.lit(1)).alias("blocking"))
-    # Three frames of one row each.
-    row = counts.crossJoin(buckets).crossJoin(blocked)
+    # Three frames of one row, folded into one.
+    parts = counts.unionByName(buckets, allowMissingColumns=True).unionByName(blocked, allowMissingColumns=True)
+    row = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
     return row.withColumn("green", (F.col("blocking") == 0) & (F.col("stale") == 0) & (F.col("unexercisable") == 0))
 
 

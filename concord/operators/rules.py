@@ -75,7 +75,7 @@ def agree(df: DataFrame, group: str, column: str) -> DataFrame:
     """Groups that state more than one value: one finding per group and value."""
     stated = df.where(F.col(column).isNotNull()).select(group, column).distinct()
     many = stated.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(group)
-    conflicting = stated.join(many, group, "left_semi")
+    conflicting = spread_join(stated, many, [group], "left_semi")
     return _found(conflicting, "agree", group, F.concat(F.lit(f"states {column} "), F.col(column).cast("string")))
 
 

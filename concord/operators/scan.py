@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from concord.functions.globs import glob_regex
 from concord.functions.versions import version_key
-from concord.operators.skew import lookup_join
+from concord.operators.skew import lookup_join, spread_join
+from concord.sources.corpus import drop_oversize
 
 # How much of a line is shown; folders that are skipped; line ends.
 SHOWN = 200
@@ -47,7 +48,7 @@ def at_risk(register: DataFrame, side: str, old_spelling: str) -> DataFrame:
     spelled = renamed.select("concept", F.col(side).alias("new"), F.explode(F.regexp_extract_all("notes", F.lit(old_spelling), 1)).alias("spelling"))
     old = spelled.withColumn("name", F.regexp_extract("spelling", r"^[^(\s]*", 0))
     held = register.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("name")).agg(F.max("concept").alias("held_by"))
-    return old.join(held, "name").where("held_by <> concept")
+    return spread_join(old, held, ["name"], "inner").where("held_by <> concept")
 
 
 # Fixed pattern of a marker: id, then an optional side, then an optional reason.
@@ -174,8 +175,10 @@ def stranger_occurrences(
     files: DataFrame, keys: Sequence[str], path: str, text: str, pattern: str, declared: DataFrame,
     accounted: Sequence[str] = (), ignored_lines: Sequence[str] = (),
 ) -> DataFrame:
-    """Occurrences that lie in no declared span, in no accounted file and on no ignored line."""
-    open_files = files
+    """Occurrences that lie in no declared span, in no accounted file and on no ignored line.
+
+    Files too large to be searched are data and are left out."""
+    open_files = drop_oversize(files, text)
     for glob in accounted:
         open_files = open_files.where(~F.col(path).rlike(glob_regex(glob)))
     found = occurrences(open_files, keys, text, pattern)

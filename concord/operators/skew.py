@@ -118,15 +118,19 @@ def first_members(df: DataFrame, group: Sequence[str], member: str, n: int, out:
     )
 
 
-# Fixed bound: a side of at most this many rows may be broadcast.
+# Fixed bounds: a side of at most this many rows and bytes (as JSON text) may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 2**20
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join to a table that is usually small: broadcast when it is, ``spread_join`` when it is not.
 
-    The size is checked by counting at most ``BROADCAST_ROWS + 1`` rows of ``dim``.
+    The size is checked on at most ``BROADCAST_ROWS + 1`` rows of ``dim``, before the join.
     """
-    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    rows, size = dim.limit(BROADCAST_ROWS + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in dim.columns])))), F.lit(0))
+    ).first()
+    if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES:
         return fact.join(F.broadcast(dim), list(on), how)
     return spread_join(fact, dim, on, how)

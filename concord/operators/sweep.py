@@ -170,7 +170,8 @@ def shape_key() -> Column:
 def cap_per_file(diffs: DataFrame, ids: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` differences of each file; ``truncated`` only where the file has more.
 
-    At most ``n + 1`` rows per file and task are ranked, so a file may hold any share of the rows.
+    For ``n`` below a thousand at most ``n + 1`` rows per file leave each task before the shuffle
+    (window group limit), so a file may hold any share of the rows.
     """
     files = Window.partitionBy(*ids)
     ranked = diffs.withColumn("_rn", F.row_number().over(files.orderBy(*order))).where(F.col("_rn") <= n + 1)
@@ -268,5 +269,6 @@ def sweep_totals(outcomes: DataFrame, diffs: DataFrame, ids: Sequence[str], side
         F.count(F.lit(1)).alias("distinct_shapes"),
         F.countDistinct("kind", "partition", "value_types").alias("distinct_families"),
     )
-    # Both sides are one row.
-    return files.crossJoin(distinct)
+    # Two rows, one per part, folded into one.
+    both = files.unionByName(distinct, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -4,6 +4,7 @@ Both sides of a comparison are the same table with changes chosen by its own att
 query and its SQL build the same pair and every row takes part.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concord.functions.json import json_type
@@ -247,13 +248,10 @@ def b09(spark, sf):
 def b10(spark, sf):
     left, right = event_docs(spark, sf)
     ids = ["event_id"]
-    ordered = compare.order_diffs(compare.diff_nodes(left, right, ids), left, ids)
-    # The order of the rows is the result; it is numbered here so that a bag comparison sees it.
-    numbered = ordered.withColumn("_id", F.monotonically_increasing_id())
-    first = numbered.groupBy("event_id").agg(F.min("_id").alias("_first"))
-    return numbered.join(first, "event_id").select(
-        "event_id", "ptr", "kind", (F.col("_id") - F.col("_first") + 1).alias("at")
-    )
+    placed = compare.place_diffs(compare.diff_nodes(left, right, ids), left, ids)
+    # The order is the result; it is numbered within each document so that a bag comparison sees it.
+    number = F.row_number().over(Window.partitionBy("event_id").orderBy("place", "ptr"))
+    return placed.select("event_id", "ptr", "kind", number.cast("long").alias("at"))
 
 
 @query(

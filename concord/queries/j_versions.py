@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.versions import level_of, normalize_version, version_key
 from concord.operators import fleet as f
+from concord.operators.skew import spread_join
 from concord.queries.registry import query, table
 
 
@@ -79,7 +80,7 @@ def standings(spark, sf):
     """Customers are consumers, segments libraries, orders declarations: status O is own, a low
     priority names no level, an urgent order of a household could not be read."""
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"])
+    rows = spread_join(o.withColumn("c_custkey", F.col("o_custkey")), c, ["c_custkey"], "inner")
     level = F.when(F.col("o_orderpriority") != "5-LOW", F.concat((F.col("o_orderkey") % 3).cast("string"), F.lit(".0")))
     observed = rows.select(
         F.col("c_custkey").alias("consumer"), F.col("c_mktsegment").alias("library"), F.col("o_orderkey").alias("ord"), (F.col("o_orderstatus") == "O").alias("own"),

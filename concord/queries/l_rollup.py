@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from concord.operators import rollup as r
+from concord.operators.skew import spread_join
 from concord.queries.registry import query, table
 
 
@@ -24,7 +25,7 @@ def steps(spark, sf):
         (status == "O").alias("head_holds"), (price > 200000).alias("content_holds"),
         F.when(price < 100000, "failure").when(price < 150000, "pending").otherwise("success").alias("checks"),
     )
-    return r.verdicts(o.join(projects(spark, sf), "project"))
+    return r.verdicts(spread_join(o, projects(spark, sf), ["project"], "inner"))
 
 
 STEPS = """
