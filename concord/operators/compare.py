@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.numbers import is_finite, num_equal
-from concord.operators.nodes import AFTER_ALL, align_sides, topmost
+from concord.operators.nodes import AFTER_ALL, VALUE, parent_of, topmost
 from concord.operators.skew import blocked_running
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -92,8 +92,8 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
     length give one ``length`` row, their shared prefix is still compared, their tails are not
     listed. Absent and null differ; null equals null.
     """
-    nodes = left.withColumn("side", F.lit("l")).unionByName(right.withColumn("side", F.lit("r")))
-    aligned = align_sides(nodes, ids, ["l", "r"])
+    on = [*ids, "ptr"]
+    aligned = left.select(*on, F.struct(*VALUE).alias("l")).join(right.select(*on, F.struct(*VALUE).alias("r")), on, "full_outer")
     l, r = F.col("l"), F.col("r")
     # Beneath a clash of types the two trails differ; beneath an absence the parent is absent too.
     apart = F.coalesce(l["trail"] != r["trail"], F.lit(False))
@@ -129,7 +129,7 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
         text(l).alias("left_value"),
         text(r).alias("right_value"),
         l["ord"].alias("left_ord"),
-        F.when(l.isNull(), F.col("parent_ptr")).alias("right_parent"),
+        F.when(l.isNull(), parent_of(F.col("ptr"))).alias("right_parent"),
     )
 
 

@@ -19,7 +19,7 @@ def json_rejects(df: DataFrame, json: str) -> DataFrame:
 
 
 def json_nodes(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = 8) -> DataFrame:
-    """One row per value of a JSON text: pointer, parent, type, size and scalar value.
+    """One row per value of a JSON text: pointer, type, size and scalar value.
 
     ``ord`` lists the position of every step from the root, so sorting by it is document order;
     ``trail`` has one letter per ancestor, ``o`` for an object and ``a`` for an array. A value
@@ -29,14 +29,14 @@ def json_nodes(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = 8)
     """
     keep = [f"`{c}`" for c in ids]
     rows = df.select(*ids, F.col(json).alias("_raw"), F.try_parse_json(json).alias("_v")).selectExpr(
-        *keep, "'' AS ptr", "CAST(NULL AS STRING) AS parent_ptr", "'' AS trail", "CAST(array() AS ARRAY<INT>) AS ord",
+        *keep, "'' AS ptr", "'' AS trail", "CAST(array() AS ARRAY<INT>) AS ord",
         f"{JTYPE.format(v='_v')} AS jtype", "CAST(NULL AS INT) AS size", "_v", "_raw",
     )
     for depth in range(max_depth):
         rows = _open(rows, keep, depth)
     left = "if(jtype = 'array', size(from_json(_raw, 'array<string>')), size(from_json(_raw, 'map<string,string>')))"
     return rows.selectExpr(
-        *keep, "ptr", "parent_ptr", "trail", "length(trail) AS depth", "ord", "jtype",
+        *keep, "ptr", "trail", "length(trail) AS depth", "ord", "jtype",
         f"""CASE WHEN jtype IN ('array', 'object') AND size IS NULL
             THEN if({left} = 0, 0, raise_error('value nested too deep at ' || ptr)) ELSE size END AS size""",
         "CASE WHEN jtype = 'number' THEN try_variant_get(_v, '$', 'double') END AS num",
@@ -73,12 +73,11 @@ def _open(rows: DataFrame, keep: Sequence[str], depth: int) -> DataFrame:
     else:
         itself = f"array({itself})"
     opened = found.selectExpr(
-        *keep, "ptr", "parent_ptr", "trail", "ord", "jtype", f"posexplode(concat({itself}, coalesce(_members, array()))) AS (_at, _m)"
+        *keep, "ptr", "trail", "ord", "jtype", f"posexplode(concat({itself}, coalesce(_members, array()))) AS (_at, _m)"
     )
     return opened.selectExpr(
         *keep,
         "if(_at = 0, ptr, ptr || '/' || coalesce(replace(replace(_m.key, '~', '~0'), '/', '~1'), CAST(_at - 1 AS STRING))) AS ptr",
-        "if(_at = 0, parent_ptr, ptr) AS parent_ptr",
         "if(_at = 0, trail, trail || left(jtype, 1)) AS trail",
         "if(_at = 0, ord, concat(ord, array(_at - 1))) AS ord",
         f"if(_at = 0, jtype, {JTYPE.format(v='_m.v')}) AS jtype",
@@ -89,7 +88,12 @@ def _open(rows: DataFrame, keep: Sequence[str], depth: int) -> DataFrame:
 
 
 # What a side says of one place.
-VALUE = ("jtype", "size", "num", "str", "bool", "trail", "ord", "parent_ptr")
+VALUE = ("jtype", "size", "num", "str", "bool", "trail", "ord")
+
+
+def parent_of(ptr: Column) -> Column:
+    """The pointer one step up; null at the root. (A slash inside a key is escaped.)"""
+    return F.when(ptr != "", F.left(ptr, F.length(ptr) - F.length(F.substring_index(ptr, "/", -1)) - 1))
 
 
 def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], available: DataFrame | None = None) -> DataFrame:
@@ -99,9 +103,7 @@ def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], avai
     documents with two or more of them are kept. Without it every side took part everywhere.
     """
     value = F.struct(*VALUE)
-    # Every later step needs all of the value, so its branches share this one shuffle.
     aligned = nodes.groupBy(*ids, "ptr").agg(*[F.max(F.when(F.col("side") == s, value)).alias(s) for s in sides])
-    aligned = aligned.withColumn("parent_ptr", F.coalesce(*[F.col(s)["parent_ptr"] for s in sides]))
     if available is None:
         return aligned.select("*", *[F.lit(True).alias(f"has_{s}") for s in sides])
     has = available.groupBy(*ids).agg(*[F.max(F.col("side") == s).alias(f"has_{s}") for s in sides])
@@ -116,7 +118,7 @@ def topmost(rows: DataFrame, ids: Sequence[str], stop: Column) -> DataFrame:
     Only rows given here move, and they are read once.
     """
     group = F.array(
-        F.struct(F.col("parent_ptr").alias("of"), F.lit(False).alias("head")),
+        F.struct(parent_of(F.col("ptr")).alias("of"), F.lit(False).alias("head")),
         F.when(stop, F.struct(F.col("ptr").alias("of"), F.lit(True).alias("head"))),
     )
     placed = rows.withColumn("_g", F.explode(group)).where(F.col("_g").isNotNull())
@@ -151,7 +153,6 @@ def record_nodes(df: DataFrame, ids: Sequence[str], path: Column, fields: Mappin
     return exploded.select(
         *ids,
         F.concat("_path", F.lit("/"), pointer_token(F.col("_c.field"))).alias("ptr"),
-        F.col("_path").alias("parent_ptr"),
         F.lit("o").alias("trail"),
         F.array(F.col("_c.at")).alias("ord"),
         F.col("_c.jtype").alias("jtype"),
