@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from concord.functions.binding import let
+
 VERTEX = "struct<x:double,y:double,z:double>"
 
 
@@ -39,13 +41,13 @@ def comparable(a: Column, b: Column) -> Column:
 def ring_error(a: Column, b: Column) -> Column:
     """The least, over the cyclic rotations, of the largest vertex error. The reversal is never
     tried. Null for rings of unlike length and for empty rings."""
-    n = F.size(a)
-    at_rotation = lambda by: F.array_max(
-        F.zip_with(
-            F.concat(F.slice(a, by + 1, n - by), F.slice(a, F.lit(1), by)), b, lambda p, q: vertex_error(p, q)
-        )
-    )
-    return F.when(comparable(a, b), F.array_min(F.transform(F.sequence(F.lit(0), n - 1), at_rotation)))
+    def least(a: Column, b: Column) -> Column:
+        n = F.size(a)
+        turned = lambda by: F.concat(F.slice(a, by + 1, n - by), F.slice(a, F.lit(1), by))
+        worst = lambda by: F.array_max(F.zip_with(turned(by), b, lambda p, q: vertex_error(p, q)))
+        return F.when(comparable(a, b), F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), worst)))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda both: least(both["a"], both["b"]))
 
 
 def index_error(a: Column, b: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions.binding import let
+
 # Width of a shown window; agreeing characters that close a region.
 WINDOW = 80
 RESYNC = 8
@@ -70,8 +72,8 @@ def text_drift(pairs: DataFrame, keys: list[str], left: str, right: str, left_sp
     spots = F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
     df = df.withColumn("_d", F.when(F.col("_ml") == F.col("_mr"), spots)).drop("_lc", "_rc")
     d = F.col("_d")
-    starts = F.filter(d, lambda p, i: (i == 0) | (p - F.get(d, i - 1) > RESYNC))
-    ends = F.filter(d, lambda p, i: (i == F.size(d) - 1) | (F.get(d, i + 1) - p > RESYNC))
+    starts = let(d, lambda d: F.filter(d, lambda p, i: (i == 0) | (p - F.get(d, i - 1) > RESYNC)))
+    ends = let(d, lambda d: F.filter(d, lambda p, i: (i == F.size(d) - 1) | (F.get(d, i + 1) - p > RESYNC)))
     df = df.withColumns({"_starts": starts, "_ends": ends})
     regions = F.when(
         d.isNotNull(),

@@ -19,11 +19,10 @@ WITH flat AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS e, generate_sub
 def embedding_rings(spark, sf):
     """Each vector as a closed ring: consecutive pairs are x and y, the label is z."""
     e = table(spark, sf, "embeddings", spread=True)
-    v = F.transform("embedding", lambda x: x.cast("double"))
     ring = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("embedding") / 2).cast("int") - 1),
         lambda i: F.struct(
-            F.get(v, i * 2).alias("x"), F.get(v, i * 2 + 1).alias("y"), F.col("label").cast("double").alias("z")
+            F.get("embedding", i * 2).cast("double").alias("x"), F.get("embedding", i * 2 + 1).cast("double").alias("y"), F.col("label").cast("double").alias("z")
         ),
     )
     return e.select("vec_id", "label", ring.alias("vertices"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.functions.binding import let
+
 # Fixed values of the report: the two row kinds that carry rings, and the field that holds the
 # number of vertices (the kind is field 0).
 ROW_KINDS = ("HeatTransfer Surface", "Shading Surface")
@@ -16,13 +18,12 @@ COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 def vertices_of(numbers: Column) -> Column:
     """Numbers three by three as vertices."""
-    return F.when(F.size(numbers) == 0, F.array().cast("array<struct<x:double,y:double,z:double>>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(numbers) / 3).cast("int") - 1),
-            lambda i: F.struct(
-                F.get(numbers, i * 3).alias("x"), F.get(numbers, i * 3 + 1).alias("y"), F.get(numbers, i * 3 + 2).alias("z")
-            ),
-        )
+    vertex = lambda ns, i: F.struct(F.get(ns, i * 3).alias("x"), F.get(ns, i * 3 + 1).alias("y"), F.get(ns, i * 3 + 2).alias("z"))
+    return let(
+        numbers,
+        lambda ns: F.when(F.size(ns) < 3, F.array().cast("array<struct<x:double,y:double,z:double>>")).otherwise(
+            F.transform(F.sequence(F.lit(0), F.floor(F.size(ns) / 3).cast("int") - 1), lambda i: vertex(ns, i))
+        ),
     )
 
 
