@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import tokens
+from concord.llm import mixing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op6_mixing"] = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS place
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT source, source_size, 3 * source_size AS most,
+    CASE (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+levels(step, level) AS (
+  SELECT 0, (SELECT sum(source_size)::DOUBLE / sum(weight)::DOUBLE FROM s)
+  UNION ALL
+  SELECT step + 1, coalesce((SELECT (sum(source_size) - coalesce(sum(most) FILTER (WHERE most <= level * weight), 0))::DOUBLE
+      / nullif(sum(weight) FILTER (WHERE most > level * weight), 0)::DOUBLE FROM s), level)
+  FROM levels WHERE step < 40),
+t AS (
+  SELECT source, source_size, least(most::DOUBLE, level * weight) AS target
+  FROM s, (SELECT level FROM levels WHERE step = 40)),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+r AS (SELECT *, (floor(target + 0.5) - whole * source_size)::BIGINT AS rest FROM b),
+p AS (SELECT source, place, sum(size)::BIGINT AS total FROM d GROUP BY source, place),
+c AS (SELECT *, (sum(total) OVER (PARTITION BY source ORDER BY place))::BIGINT AS until FROM p)
+SELECT d.doc_id, d.size::BIGINT AS size, r.source_size, r.target,
+  (whole * d.size + CASE WHEN c.until <= rest THEN d.size WHEN c.until - c.total < rest THEN d.size * (rest - (c.until - c.total)) // c.total ELSE 0 END)::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place
+"""
