@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import mixing, quality, tokens
+from concord.llm import licences, mixing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,11 @@ SELECT d.doc_id, d.size::BIGINT AS size, r.source_size, r.target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place
 """
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op3_license_scan"] = licences.scan_sql()
