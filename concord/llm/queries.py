@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import licences, mixing, quality, tokens
+from concord.llm import licences, mixing, pii, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_license_scan"] = licences.scan_sql()
+
+
+@query
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a fixed one so that runs can be compared; a user passes their own."""
+    return pii.surrogates(table(spark, sf_dir, "documents"), b"example key").select("doc_id", "text", "n_entities", "kinds")
