@@ -58,10 +58,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> tupl
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", seed: str = "",
+    source_col: str = "source", seed: str = "", keep: bool = False,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): the words of each document that the mix takes.
 
+    With ``keep``, all columns of ``docs`` and the last four; columns of their names are replaced.
+
     A document's size is its number of words. A source is taken whole as often as its target holds it; of the rest, the
     documents whose place (a hash of the id) is under the source's threshold are taken once more. The threshold comes
     from histograms: words summed by source and the first 12 bits of the place, then only the bucket in which the budget
@@ -98,11 +100,19 @@ def mix(
 
     ends = ends.select(F.col("source").alias("end_source"), F.col("prefix"), F.col("rest"), F.col("total"), F.col("whole"))
     limits = sources.join(small(ends), F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    found = sizes.alias("d").join(small(limits).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")))
+    extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")] if keep else []
+    if keep:
+        whole_rows = docs.select(*extra, F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), place(F.col(id_col), seed).alias("__place"))
+    else:
+        whole_rows = sizes.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("place").alias("__place"))
+    limits = limits.select(F.col("source").alias("__from"), "source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("prefix", "rest", "total", "whole")])
+    found = whole_rows.join(small(limits), F.col("__source").eqNullSafe(F.col("__from")))
+    size = F.col("__size")
     once = (
-        F.when(F.col("place") < F.col("prefix"), F.col("size"))
-        .when(F.col("place") == F.col("prefix"), F.floor(F.col("size").cast("decimal(20,0)") * F.col("rest") / F.col("total")).cast("long"))
+        F.when(F.col("__place") < F.col("__prefix"), size)
+        .when(F.col("__place") == F.col("__prefix"), F.floor(size.cast("decimal(20,0)") * F.col("__rest") / F.col("__total")).cast("long"))
         .otherwise(0)
     )
-    taken = F.coalesce(F.col("whole") * F.col("size") + once, F.lit(0)).cast("long")
-    return found.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", taken.alias("taken"))
+    taken = F.coalesce(F.col("__whole") * size + once, F.lit(0)).cast("long")
+    first = [F.col(c) for c in extra] if keep else [F.col("doc_id"), F.col("__source").alias("source")]
+    return found.select(*first, size.alias("size"), "source_size", "target", taken.alias("taken"))
