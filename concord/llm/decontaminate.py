@@ -341,6 +341,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int =
     are kept byte for byte.
     """
     found = searched(docs, benchmark, width, block, text_col, item_col)
+    names = docs.columns
 
     def cut(text: bytes, spans: list[int]) -> bytes:
         places = [m.span() for m in WORD_BYTES.finditer(text)]
@@ -354,6 +355,6 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int =
         for batch in batches:
             texts, spans = batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist()
             new = [cut(t.encode("utf-8"), merged(x)).decode("utf-8") if x else t for t, x in zip(texts, spans)]
-            yield batch_of(**{f: pa.array(new, pa.string()) if f == text_col else batch.column(f) for f in docs.columns})
+            yield batch_of(**{f: pa.array(new, pa.string()) if f == text_col else batch.column(f) for f in names})
 
     return found.drop("__n_words", "__items").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
