@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from concord.llm.common import WordHash, batch_of, mix, text_bytes, windows, written
 
 #: Edges sorted at once by a task that reads texts, and edges that one group of equal hash ranges is meant to hold.
-BLOCK_EDGES, BUCKET_EDGES = 3_000_000, 2_000_000
+BLOCK_EDGES, BUCKET_EDGES = 1_000_000, 1_000_000
 #: Texts are picked by a broadcast of their ids up to so many (8 bytes each), by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -44,11 +44,14 @@ def spread(key: np.ndarray, n: int) -> np.ndarray:
 
 
 def cells(number: np.ndarray, kind: int, arrays: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """(number, kind, body) of each stretch of equal ``number``, which is in order."""
+    """(number, kind, body) of each stretch of equal ``number``, which is in order. The first array of kind 0, in order, is packed as steps."""
     if len(number):
         cut = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(number)]])
         for a, b in zip(cut, cut[1:]):
-            yield int(number[a]), kind, packed(*[x[a:b] for x in arrays])
+            part = [x[a:b] for x in arrays]
+            if kind == 0:
+                part[0] = np.diff(part[0], prepend=part[0].dtype.type(0))
+            yield int(number[a]), kind, packed(*part)
 
 
 def block_cells(h: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int, homes: int) -> Iterator[tuple[int, int, bytes]]:
@@ -67,7 +70,7 @@ def block_cells(h: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int, ho
     later = doc > doc[owner]
     bucket = ((h >> np.uint64(24)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(new)
-    yield from cells(bucket[first], 0, [np.diff(h[first].astype(np.int64), prepend=np.int64(0)), doc[first], at[first]])
+    yield from cells(bucket[first], 0, [h[first].astype(np.int64), doc[first], at[first]])
     # A later document's own first place of the edge is enough: the others are found in its text.
     again = np.concatenate([[False], (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])])
     yield from found_cells(doc, at, doc[owner], at[owner], later & ~again, homes)

@@ -32,7 +32,7 @@ class Queries:
     """A block of query vectors of one length, cut into the components of each node."""
 
     def __init__(self, ids: list[int], vectors: list[list[int]], nodes: int) -> None:
-        self.ids, self.whole = np.array(ids, np.int64), np.array(vectors, np.int64).reshape(len(ids), -1)
+        self.ids, self.whole = np.array(ids, np.int64), np.array(vectors, np.int64).reshape(len(ids), len(vectors[0]))
         width = self.whole.shape[1]
         self.cuts = [(width * i // nodes, width * (i + 1) // nodes) for i in range(nodes)]
 
@@ -54,10 +54,10 @@ def blocks_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[n
             ids, lists = part.column(0).to_numpy(), part.column(1)
             right = np.diff(lists.offsets.to_numpy()) == width
             if right.all():
-                rows = lists.flatten().to_numpy().reshape(-1, width)
+                rows = lists.flatten().to_numpy().reshape(len(ids), width)
             else:
                 ids = ids[right]
-                rows = np.array([x for x, ok in zip(lists.to_pylist(), right) if ok], np.int64).reshape(-1, width)
+                rows = np.array([x for x, ok in zip(lists.to_pylist(), right) if ok], np.int64).reshape(len(ids), width)
             if len(ids):
                 yield ids, rows
 
