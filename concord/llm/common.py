@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: What the contracts call a word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,10 +40,17 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: bounds what a task makes of a batch at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHash(dict):
     """64-bit hashes of words, remembered for the words met lately (bounded memory)."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0) -> None:
+    def __init__(self, most: int = 200_000, seed: int = 0) -> None:
         import xxhash
 
         super().__init__()
@@ -81,16 +87,6 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from fn(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def batch_of(**columns: Any) -> pa.RecordBatch:
     """A batch of Arrow arrays, numpy arrays or lists."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns.values()], list(columns))

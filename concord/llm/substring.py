@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import WordHash, batch_of, mix, text_bytes, windows, written
+from concord.llm.common import WordHash, batch_of, mix, sliced, text_bytes, windows, written
 
 #: Edges sorted at once by a task that reads texts, and edges that one group of equal hash ranges is meant to hold.
 BLOCK_EDGES, BUCKET_EDGES = 1_000_000, 1_000_000
@@ -100,7 +100,7 @@ def repeated_edges(docs: DataFrame, k: int, buckets: int) -> DataFrame:
             out = [(n if kind == 0 else n % buckets, kind, body if kind == 0 else n.to_bytes(8, "big") + body) for n, kind, body in block_cells(h, doc, at, buckets, buckets)]
             yield from emit(out, "bucket")
 
-        for batch in batches:
+        for batch in sliced(batches):
             for i, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 h = edges(text, hashes, k)
                 if len(h):
@@ -171,7 +171,7 @@ def source_digests(docs: DataFrame, paths: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, list[bytes]] = (None, [])
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for a, n, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), text_bytes(batch.column(3))):
                 if last[0] != text:
@@ -240,7 +240,7 @@ def deduplicated(docs: DataFrame, k: int = 13, bucket_edges: int = BUCKET_EDGES,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in sliced(batches):
             n, lost, kept, spans = [], [], [], []
             for text, mine in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 words, gone = removed_words(text, mine, hashes, k)
