@@ -41,4 +41,6 @@ def components(links: DataFrame) -> DataFrame:
         one = left.join(to, left.a == to["from"], "left").select(F.coalesce("to", "a").alias("a"), "b")
         two = one.join(to, one.b == to["from"], "left").select("a", F.coalesce("to", "b").alias("b")).where("a <> b")
         left = durable(two.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    return labels if labels is not None else ends.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if labels is None:
+        return ends.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return durable(labels.unionByName(labels.select(F.col("root").alias("node"), "root").distinct()))
