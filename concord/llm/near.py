@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm.common import WordHash, batch_of, durable, mix, text_bytes, windows, written
+from concord.llm.common import WordHash, batch_of, durable, mix, sliced, text_bytes, windows, written
 from concord.llm.components import components
 
 WIDTH, SKETCH, FINE = 5, 128, 1_024
@@ -45,7 +45,7 @@ def sketched(docs: DataFrame, width: int, k: int, percent: int, deviations: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t, hashes, width) for t in text_bytes(batch.column(1))]
             signed = lambda f: pa.array([int(f(s).sum(dtype=np.uint64).astype(np.int64)) for s in sets], pa.int64())
             n = [len(s) for s in sets]
@@ -198,7 +198,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
-        for batch in batches:
+        for batch in sliced(batches):
             linked = []
             for x, y in zip(text_bytes(batch.column(2)), text_bytes(batch.column(3))):
                 if last[0] != y:  # rows come in order of b
@@ -220,7 +220,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, k: int, percent: int, deviatio
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sizes = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             sketches = zip(batch.column(2), batch.column(3))
             value = lambda x: x.values.to_numpy().view(np.uint64)
