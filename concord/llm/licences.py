@@ -90,9 +90,9 @@ RULES = (
 #: Every sentence above holds one of these stems, so a text without any has none of the sentences.
 STEMS = ("licens", "copyright", "permission", "redistribut", "warrant", "rights reserved", "http", "prohibited", "public domain")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A sentence ends at a mark before white space, or with its line.
+#: A sentence ends at a mark before white space; and with its line, or with its paragraph.
 END_OF_SENTENCE = r"([.!?;:])[\x20\t]+|[\r\n]+"
-END_IN_FLOW = r"([.!?;:])[\x20\t\r\n]+"
+END_IN_FLOW = r"([.!?;:])[\x20\t\r\n]+|(?:\r?\n[\x20\t]*){2,}"
 COPYRIGHT = r"^copyright ((c|[0-9]+) )*[^ ].*$"
 CUT = "\x1e"
 
@@ -119,7 +119,7 @@ def scan(
 
     Each sentence of a text is normalised and looked up among the known ones. What is left is the sequence of known
     identifiers; rules, the longest first, take their identifiers out of it wherever they follow one another. A text is
-    read twice, with line ends as ends of sentences and with lines flowing into one another, so that wrapped sentences
+    read twice, with line ends as ends of sentences and with the lines of a paragraph flowing into one another, so that wrapped sentences
     and lone lines are both met; the reading that knows more is kept (the first on a tie). All of it happens inside the
     row, in one pass without a shuffle; texts without any stem are not split.
 
