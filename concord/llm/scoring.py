@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import batch_of, durable, text_bytes
 
-SIDE = 64  # a token is one of SIDE members of one of SIDE classes
+SIDE = 48  # a token is one of SIDE members of one of SIDE classes
 TOKENS = SIDE * SIDE
-COMMON = 3_072  # tokens for the commonest words, in order; the others share the rest by hash
+COMMON = 1_728  # tokens for the commonest words, in order; the others share the rest by hash
 REACH = (-2, -1, 1, 2)
-BATCH, SCORED = 8_192, 65_536
+BATCH, SCORED = 8_192, 8_192
 BLOCK, FAN = 4_096, 64  # parameters of a row, rows averaged at once
 
 
@@ -67,24 +67,27 @@ class Network:
         return np.tanh(total, out=total)
 
     @staticmethod
-    def shares(logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Softmax of rows, and the logarithm of the picked one."""
-        logits -= logits.max(1, keepdims=True)
+    def shares(logits: np.ndarray, picked: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The logarithm of the picked one of each row's softmax, and with ``whole`` the softmax."""
+        np.minimum(logits, 60, out=logits)  # keeps float32 finite; nothing near it is ever learnt
         chosen = logits[np.arange(len(picked)), picked]
         np.exp(logits, out=logits)
-        total = logits.sum(1, keepdims=True)
-        logits /= total
-        return logits, chosen - np.log(total[:, 0])
+        total = logits @ np.ones(SIDE, logits.dtype)
+        if whole:
+            logits *= (1 / total)[:, None]
+        return logits, chosen - np.log(total)
 
     def predict(self, tokens: np.ndarray, at: np.ndarray, step: object = None) -> np.ndarray:
         """The log-probability of each token ``tokens[at]`` given those around it; with ``step``, also the gradients to it."""
         _, _, top, top_bias, members, member_bias = self.parts()
         target = tokens[at]
-        at = at[order := np.argsort(target // SIDE, kind="stable")]
+        at = at[order := np.argsort((target // SIDE).astype(np.uint8), kind="stable")]
         target = target[order]
         group, member = target // SIDE, target % SIDE
         h = self.hidden(tokens, at)
-        share, log_top = self.shares(h @ top.T + top_bias, group)
+        logits = h @ top.T
+        logits += top_bias
+        share, log_top = self.shares(logits, group, step is not None)
         cut = np.searchsorted(group, np.arange(SIDE + 1))
         full = [g for g in range(SIDE) if cut[g] < cut[g + 1]]
         logits = np.empty((len(at), SIDE), np.float32)
@@ -92,7 +95,7 @@ class Network:
             a, b = cut[g], cut[g + 1]
             np.matmul(h[a:b], members[g].T, out=logits[a:b])
             logits[a:b] += member_bias[g]
-        inner, log_member = self.shares(logits, member)
+        inner, log_member = self.shares(logits, member, step is not None)
         logs = np.empty(len(at), np.float64)
         logs[order] = log_top.astype(np.float64) + log_member
         if step is not None:
@@ -132,25 +135,25 @@ class Network:
         return step
 
 
-class Numbering:
-    """Token numbers of words: the commonest have their own, the others share TOKENS - COMMON by hash."""
+class Numbering(dict):
+    """Token numbers of words: the commonest have their own, the others share TOKENS - COMMON by hash and are remembered a while."""
 
-    def __init__(self, common: dict[bytes, int]) -> None:
+    def __init__(self, common: dict[bytes, int], most: int = 300_000) -> None:
         import xxhash
 
-        self.common, self.digest, self.memory = common, xxhash.xxh3_64_intdigest, {}
+        super().__init__(common)
+        self.common, self.digest, self.most = common, xxhash.xxh3_64_intdigest, most + len(common)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(self.common)
+        token = self[word] = COMMON + self.digest(word, 3) % (TOKENS - COMMON)
+        return token
 
     def of(self, text: bytes | None) -> np.ndarray:
         words = text.lower().split() if text else []
-        get = self.common.get
-        return np.fromiter((t if (t := get(w)) is not None else self.other(w) for w in words), np.int64, len(words))
-
-    def other(self, word: bytes) -> int:
-        if (token := self.memory.get(word)) is None:
-            if len(self.memory) > 300_000:
-                self.memory.clear()
-            token = self.memory[word] = COMMON + self.digest(word, 3) % (TOKENS - COMMON)
-        return token
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +201,7 @@ def common_words(docs: DataFrame, most: int = COMMON) -> tuple[dict[bytes, int],
         total, numbering = np.zeros(TOKENS, np.int64), Numbering(shared.value)
         for batch in batches:
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                token = shared.value.get(word)
-                total[numbering.other(word) if token is None else token] += n
+                total[numbering[word]] += n
         used = np.flatnonzero(total)
         yield batch_of(token=used, n=total[used])
 
