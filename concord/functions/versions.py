@@ -6,34 +6,47 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The short tags of the public version scheme in their order, a final release between candidates and posts.
+TAGS = ("dev", "a", "b", "rc", "", "post")
+LONG_TAGS = {"alpha": "a", "beta": "b"}
+TAG = "|".join([*LONG_TAGS, *filter(None, TAGS)])
 # Fixed pattern: how a version may be written.
-VERSION = r"v?\d+(?:\.\d+)*(?:[.\-]?(?:a|b|rc|alpha|beta|dev|post)[.\-]?\d*)*(?:\+[0-9A-Za-z.]+)?"
+VERSION = rf"v?\d+(?:\.\d+)*(?:[.\-]?(?:{TAG})[.\-]?\d*)*(?:\+[0-9A-Za-z.]+)?"
+# Versions of more numbers than this are compared by the first so many.
+NUMBERS = 12
 
 
 def normalize_version(text: Column) -> Column:
-    """One spelling per version: trimmed, lower case, no leading v, short tags without separators."""
-    low = F.regexp_replace(F.lower(F.trim(text)), "^v", "")
-    joined = F.regexp_replace(low, r"[.\-]?(alpha|beta|a|b|rc|dev|post)[.\-]?(\d*)", "$1$2")
-    return F.regexp_replace(F.regexp_replace(joined, "alpha", "a"), "beta", "b")
+    """One spelling per version: trimmed, lower case, no leading v, short tags without separators.
+
+    A text that is no version only loses its case, its blanks and a leading v.
+    """
+    low = F.lower(F.trim(text))
+    release = F.regexp_extract(low, r"^v?([0-9]+(?:\.[0-9]+)*)", 1)
+    local = F.regexp_extract(low, r"(\+.*)$", 1)
+    pieces = F.regexp_extract_all(F.regexp_replace(F.regexp_replace(low, r"\+.*$", ""), r"^v?[0-9.]*", ""), F.lit("([a-z]+|[0-9]+)"), 1)
+    tags = F.create_map(*[F.lit(x) for pair in LONG_TAGS.items() for x in pair])
+    short = F.transform(pieces, lambda p: F.coalesce(F.try_element_at(tags, p), p))
+    return F.when(low.rlike(f"^(?:{VERSION})$"), F.concat(release, F.array_join(short, ""), local)).otherwise(F.regexp_replace(low, "^v", ""))
 
 
-def version_numbers(version: Column) -> Column:
-    """Major, minor and patch as whole numbers; what is not written is zero."""
-    parts = F.regexp_extract_all(F.regexp_extract(F.trim(version), "^v?(\\d+(?:\\.\\d+)*)", 1), F.lit("(\\d+)"), 1)
-    return F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.coalesce(F.get(parts, i).try_cast("int"), F.lit(0)))
+def version_numbers(version: Column, n: int = 3) -> Column:
+    """The first ``n`` numbers of a version; what is not written is zero."""
+    written = F.split(F.regexp_extract(F.trim(version), "^[vV]?([0-9.]*)", 1), "[.]")
+    padded = F.slice(F.concat(written, F.array_repeat(F.lit("0"), n)), 1, n)
+    return F.transform(padded, lambda x: F.coalesce(x.try_cast("long"), F.lit(0).cast("long")))
 
 
 def version_key(version: Column) -> Column:
-    """Sorts versions by number, a final release after all its candidates.
+    """Sorts versions: (numbers, rank, number of the tag). Numbers not written are zero, so 30.3 equals 30.3.0.
 
-    An array: the numbers written, then 1 for a final release or 0 and the candidate's number.
+    Ranks go dev, a, b, rc, final, post by the first tag; a tag without a number counts as number 0.
     """
     text = normalize_version(version)
-    release = F.regexp_extract(F.substring_index(text, "rc", 1), "^[^a-z]*", 0)
-    numbers = F.transform(F.regexp_extract_all(release, F.lit("(\\d+)"), 1), lambda n: n.try_cast("long"))
-    candidate = F.regexp_extract(text, "rc(\\d+)$", 1).try_cast("long")
-    final = F.when(text.rlike("rc."), F.lit(0)).otherwise(F.lit(1)).cast("long")
-    return F.concat(numbers, F.array(final, F.coalesce(candidate, F.lit(0).cast("long"))))
+    tag = F.regexp_extract(text, r"^[0-9.]+([a-z]+)[0-9]*", 1)
+    rank = F.array_position(F.array(*[F.lit(t) for t in TAGS]), tag)
+    number = F.coalesce(F.regexp_extract(text, r"^[0-9.]+[a-z]+([0-9]+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    return F.struct(version_numbers(text, NUMBERS).alias("numbers"), rank.alias("rank"), number.alias("number"))
 
 
 def level_of(raw: Column, package: Column) -> Column:

@@ -14,8 +14,8 @@ from concord.session import durable
 
 
 def newest(df: DataFrame, group: Sequence[str], version: str, out: str = "newest") -> DataFrame:
-    """The newest version of each group, by number and not by text."""
-    return df.groupBy(*group).agg(F.max_by(version, version_key(F.col(version))).alias(out))
+    """The newest version of each group, by number and not by text; of spellings of one version the last by text."""
+    return df.groupBy(*group).agg(F.max_by(version, F.struct(version_key(F.col(version)).alias("key"), F.col(version).alias("text"))).alias(out))
 
 
 def effective_level(declared: DataFrame, locked: DataFrame, keys: Sequence[str]) -> DataFrame:

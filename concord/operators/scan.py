@@ -1,6 +1,6 @@
 """Scans of a text corpus: names, markers, release spellings, and what is under no declaration.
 
-Files are (keys..., path, content), one row per file; ``drop_oversize`` bounds a file, so the rows
+Files are (keys..., path, content), one row per file; a file is one text, so the rows
 of one file are a bounded group. Patterns and name lists come from a register and are short.
 """
 
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from concord.functions.globs import glob_regex
 from concord.functions.versions import version_key
 from concord.operators.skew import lookup_join, spread_join
-from concord.sources.corpus import drop_oversize
 
 # How much of a line is shown; folders that are skipped; line ends.
 SHOWN = 200
@@ -129,11 +128,13 @@ def occurrences(files: DataFrame, keys: Sequence[str], text: str, pattern: str |
     return placed.where("found IS NOT NULL").select(*keys, "begin", (F.col("begin") + F.col("_lm")).alias("stop"), "line", "found")
 
 
-def line_of(found: DataFrame, files: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """Adds ``shown``: the line an occurrence starts on, trimmed, at most 200 characters."""
+def line_of(found: DataFrame, files: DataFrame, keys: Sequence[str], text: str, most: int | None = SHOWN) -> DataFrame:
+    """Adds ``shown``: the line an occurrence starts on, trimmed, at most ``most`` characters (none: all)."""
     files_met = found.select(*keys).distinct()
     lines = files.join(files_met, list(keys), "left_semi").select(*keys, F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
-    shown = lines.select(*keys, (F.col("_at") + 1).cast("long").alias("line"), F.left(F.trim(F.regexp_replace("_line", r"^\s+|\s+$", "")), F.lit(SHOWN)).alias("shown"))
+    trimmed = F.trim(F.regexp_replace("_line", r"^\s+|\s+$", ""))
+    trimmed = trimmed if most is None else F.left(trimmed, F.lit(most))
+    shown = lines.select(*keys, (F.col("_at") + 1).cast("long").alias("line"), trimmed.alias("shown"))
     return found.withColumn("line", F.col("line").cast("long")).join(shown, [*keys, "line"])
 
 
@@ -145,8 +146,8 @@ FORMS = {
 
 
 def expected_text(form: Column, found: Column, release: tuple[int, int, int]) -> Column:
-    """What a statement of this form should say, keeping the brackets the file does not write."""
-    text = F.lit(None).cast("string")
+    """What a statement of this form should say, keeping the brackets the file does not write. A form that is none says so."""
+    text = F.concat(F.lit("unknown form "), F.coalesce(form, F.lit("null")))
     for name, shape in FORMS.items():
         written = shape.format(*release)
         said = F.when(~found.startswith("("), F.lit(written[1:-1])).otherwise(F.lit(written)) if name == "tuple" else F.lit(written)
@@ -177,8 +178,8 @@ def stranger_occurrences(
 ) -> DataFrame:
     """Occurrences that lie in no declared span, in no accounted file and on no ignored line.
 
-    Files too large to be searched are data and are left out."""
-    open_files = drop_oversize(files, text)
+    Every text is searched whole, and ignored lines are told by the whole line; only what is shown of it is cut."""
+    open_files = files
     for glob in accounted:
         open_files = open_files.where(~F.col(path).rlike(glob_regex(glob)))
     found = occurrences(open_files, keys, text, pattern)
@@ -187,10 +188,12 @@ def stranger_occurrences(
     same = [F.col(k) == F.col(f"_{k}") for k in keys]
     # Both sides are equi-joined by file; a file is bounded.
     bare = found.join(spans, [*same, (F.col("_b") <= F.col("begin")) & (F.col("stop") <= F.col("_s"))], "left_anti")
-    shown = line_of(bare, open_files, keys, text)
+    if not ignored_lines:
+        return line_of(bare, open_files, keys, text)
+    shown = line_of(bare, open_files, keys, text, None)
     for ignored in ignored_lines:
         shown = shown.where(~F.col("shown").rlike(ignored))
-    return shown
+    return shown.withColumn("shown", F.left("shown", F.lit(SHOWN)))
 
 
 def without_lagging(rows: DataFrame, lagging: DataFrame, project: str) -> DataFrame:

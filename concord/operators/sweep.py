@@ -89,7 +89,7 @@ def sweep_diff(aligned: DataFrame, ids: Sequence[str], sides: Sequence[str], nes
             for i, j in pairs
         ],
     )
-    any_ne = F.greatest(*[F.col(f"_ne_{i}_{j}") for i, j in pairs])
+    any_ne = F.exists(F.array(*[F.col(f"_ne_{i}_{j}") for i, j in pairs]), lambda ne: F.coalesce(ne, F.lit(False)))
     # Equal places on unlike trails are kept for now: what hangs beneath them is no finding either.
     unlike = here.where(any_ne | (F.size("_trails") > 1))
     if nested:

@@ -64,7 +64,8 @@ def value_code(branches: Column, jtype: Column, num: Column, text: Column) -> Co
     fitting = F.filter(branches, lambda b: F.coalesce(_satisfies_type(b, jtype, num), F.lit(False)))
     codes = F.transform(fitting, lambda b: F.coalesce(_failure(b, jtype, num, text), F.lit("")))
     return (
-        F.when(F.size(codes) == 0, F.when(F.size(branches) > 1, "E002").otherwise("E003"))
+        F.when(F.coalesce(F.size(branches), F.lit(0)) <= 0, None)  # no branch, no rule
+        .when(F.size(codes) == 0, F.when(F.size(branches) > 1, "E002").otherwise("E003"))
         .when(F.array_contains(codes, ""), None)
         .otherwise(F.get(codes, F.lit(0)))
     )
@@ -75,58 +76,62 @@ def _written(values: DataFrame) -> DataFrame:
     return values.where((F.col("jtype") != "null") & ~((F.col("jtype") == "string") & (F.trim("str") == "")))
 
 
-def _finding(df: DataFrame, code: Column, field: Column, severity: str = "error") -> DataFrame:
+def _finding(df: DataFrame, code: Column, field: Column, severity: str = "error", model: Sequence[str] = ()) -> DataFrame:
     return df.select(
-        "object_type", "object_name", field.cast("string").alias("field"), code.alias("code"), F.lit(severity).alias("severity")
+        *model, "object_type", "object_name", field.cast("string").alias("field"), code.alias("code"), F.lit(severity).alias("severity")
     )
 
 
-def check_values(values: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``E002`` to ``E008``: type, permitted values and bounds. Fields without an entry pass."""
+def check_values(values: DataFrame, dictionary: DataFrame, model: Sequence[str] = ()) -> DataFrame:
+    """``E002`` to ``E008``: type, permitted values and bounds. Fields without an entry pass.
+
+    Here and below ``model`` names the columns that tell documents apart: a finding keeps them, and nothing of one
+    document counts for another. Without them all rows are one document.
+    """
     entries = dictionary.select(F.col("obj_type").alias("object_type"), "field", "branches")
     judged = lookup_join(_written(values), entries, ["object_type", "field"], "inner")
     code = value_code(F.col("branches"), F.col("jtype"), F.col("num"), F.col("str"))
-    return _finding(judged.withColumn("code", code).where("code IS NOT NULL"), F.col("code"), F.col("field"))
+    return _finding(judged.withColumn("code", code).where("code IS NOT NULL"), F.col("code"), F.col("field"), model=model)
 
 
-def check_required(objects: DataFrame, values: DataFrame, dictionary: DataFrame) -> DataFrame:
+def check_required(objects: DataFrame, values: DataFrame, dictionary: DataFrame, model: Sequence[str] = ()) -> DataFrame:
     """``E001``: required fields that are missing or blank."""
     needed = dictionary.where("required").groupBy(F.col("obj_type").alias("object_type")).agg(F.collect_set("field").alias("_needed"))
     # A type has as many required fields as its dictionary entry: the exploded set is no group of data.
-    expected = lookup_join(objects.select("object_type", "object_name"), needed, ["object_type"], "inner").select(
-        "object_type", "object_name", F.explode("_needed").alias("field")
+    expected = lookup_join(objects.select(*model, "object_type", "object_name"), needed, ["object_type"], "inner").select(
+        *model, "object_type", "object_name", F.explode("_needed").alias("field")
     )
-    present = _written(values).select("object_type", "object_name", "field").distinct()
-    missing = expected.join(present, ["object_type", "object_name", "field"], "left_anti")
-    return _finding(missing, F.lit("E001"), F.col("field"))
+    place = [*model, "object_type", "object_name", "field"]
+    missing = expected.join(_written(values).select(*place).distinct(), place, "left_anti")
+    return _finding(missing, F.lit("E001"), F.col("field"), model=model)
 
 
-def reference_names(values: DataFrame, dictionary: DataFrame) -> DataFrame:
+def reference_names(values: DataFrame, dictionary: DataFrame, model: Sequence[str] = ()) -> DataFrame:
     """Distinct (list, folded name) that any field of any level contributes."""
     contributes = dictionary.where("size(reference) > 0").select(F.col("obj_type").alias("object_type"), "field", "reference")
     named = lookup_join(_written(values), contributes, ["object_type", "field"], "inner")
-    return named.select(F.explode("reference").alias("list"), F.lower("str").alias("name")).distinct()
+    return named.select(*model, F.explode("reference").alias("list"), F.lower("str").alias("name")).distinct()
 
 
-def check_references(values: DataFrame, dictionary: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def check_references(values: DataFrame, dictionary: DataFrame, names: DataFrame | None = None, model: Sequence[str] = ()) -> DataFrame:
     """``E009``: pointers at names that no object declares in any of the field's lists.
 
     Values of repeated groups are rows like any other. A field that points into a list nothing can
     contribute to (it names types, not objects) is exempt. Names meet pointers in one join, in which
     a name that any share of the rows refers to is spread.
     """
-    names = reference_names(values, dictionary) if names is None else names
+    names = reference_names(values, dictionary, model) if names is None else names
     lists = dictionary.where("size(object_list) > 0").select(F.col("obj_type").alias("object_type"), "field", F.explode("object_list").alias("list"))
     fed = dictionary.select(F.explode("reference").alias("list")).distinct()
     open_fields = lists.join(fed, "list", "left_anti").select("object_type", "field").distinct()
     closed = lists.join(open_fields, ["object_type", "field"], "left_anti")
     # Both sets are at most the lists of the dictionary.
     pointing = closed.groupBy("object_type", "field").agg(F.collect_set("list").alias("lists"))
-    declared = names.groupBy("name").agg(F.collect_set("list").alias("_declared"))
+    declared = names.groupBy(*model, "name").agg(F.collect_set("list").alias("_declared"))
     rows = lookup_join(_written(values), pointing, ["object_type", "field"], "inner").withColumn("name", F.lower("str"))
     met = F.coalesce(F.arrays_overlap("lists", "_declared"), F.lit(False))
-    found = spread_join(rows, declared, ["name"], "left").where(~met)
-    return _finding(found, F.lit("E009"), F.col("field"))
+    found = spread_join(rows, declared, [*model, "name"], "left").where(~met)
+    return _finding(found, F.lit("E009"), F.col("field"), model=model)
 
 
 def check_singleton(objects: DataFrame, model: Sequence[str], singletons: DataFrame) -> DataFrame:
@@ -135,18 +140,18 @@ def check_singleton(objects: DataFrame, model: Sequence[str], singletons: DataFr
     return lookup_join(many, singletons.select(F.col("obj_type").alias("object_type")), ["object_type"], "left_semi")
 
 
-def check_unknown(objects: DataFrame, values: DataFrame, dictionary: DataFrame) -> DataFrame:
+def check_unknown(objects: DataFrame, values: DataFrame, dictionary: DataFrame, model: Sequence[str] = ()) -> DataFrame:
     """``W002`` unknown types, one per object, and ``W003`` unknown fields of known types."""
     types = dictionary.select(F.col("obj_type").alias("object_type")).distinct()
     fields = dictionary.select(F.col("obj_type").alias("object_type"), "field").distinct()
     w002 = lookup_join(objects, types, ["object_type"], "left_anti")
     w003 = lookup_join(lookup_join(values, fields, ["object_type", "field"], "left_anti"), types, ["object_type"], "left_semi")
-    return _finding(w002, F.lit("W002"), F.lit(None), "warning").unionByName(_finding(w003, F.lit("W003"), F.col("field"), "warning"))
+    return _finding(w002, F.lit("W002"), F.lit(None), "warning", model).unionByName(_finding(w003, F.lit("W003"), F.col("field"), "warning", model))
 
 
-def compare_findings(found: DataFrame, expected: DataFrame) -> DataFrame:
+def compare_findings(found: DataFrame, expected: DataFrame, model: Sequence[str] = ()) -> DataFrame:
     """All severities as one bag against the expected bag."""
-    return multiset_diff(found, expected, FINDING)
+    return multiset_diff(found, expected, [*model, *FINDING])
 
 
 def describe(dictionary: DataFrame, types: DataFrame) -> DataFrame:

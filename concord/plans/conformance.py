@@ -22,13 +22,15 @@ class Run:
 
 def conformance_run(cases: DataFrame, left: DataFrame, right: DataFrame, exceptions: DataFrame, library: str, assertion: str) -> Run:
     """``cases`` is (case_id) of the selected cases; ``left`` and ``right`` are node tables by
-    case_id; ``exceptions`` is (case_id, library, assertion)."""
+    case_id; ``exceptions`` is (case_id, library, assertion). A case of which a side has no document
+    that could be read (none, null or no JSON) is an ``error``: nothing was compared."""
     selected = cases.select("case_id").distinct()
     l, r = (nodes.join(selected, "case_id", "left_semi") for nodes in (left, right))
     differences = diff_nodes(l, r, ["case_id"])
+    both = l.where("ptr = ''").select("case_id").join(r.where("ptr = ''").select("case_id"), "case_id", "left_semi").distinct()
     counts = differences.groupBy("case_id").agg(F.count(F.lit(1)).alias("differences"))
-    status = F.when(F.col("differences") > 0, "fail").otherwise("pass")
-    outcomes = selected.join(counts, "case_id", "left").select(
+    status = F.when(F.col("_read").isNull(), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
+    outcomes = selected.join(both.withColumn("_read", F.lit(True)), "case_id", "left").join(counts, "case_id", "left").select(
         "case_id",
         F.lit(library).alias("library"),
         F.lit(assertion).alias("assertion"),

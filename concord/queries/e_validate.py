@@ -284,3 +284,28 @@ def e14(spark, sf):
     old = F.when(seg == "BUILDING", F.concat(F.lit("!"), name)).when(seg == "FURNITURE", F.col("c_custkey").cast("string")).otherwise(F.concat(F.lit(" "), name))
     new = F.when(F.col("c_acctbal") < 0, name).when(F.col("c_acctbal") < 1000, " ").otherwise(F.lower(name))
     return v.clean_renames(table(spark, sf, "customer").select(old.alias("old"), new.alias("new")), "old", "new")
+
+
+@query(
+    "e15_required_by_model",
+    """SELECT c_nationkey AS model, c_mktsegment AS object_name, 'name' AS field, 'E001' AS code FROM customer GROUP BY 1, 2 HAVING max(c_acctbal) <= 9000""",
+)
+def e15(spark, sf):
+    # Nations are models that share object names; a segment is named in a nation if a rich customer of it lives there.
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("model"), F.lit("Segment").alias("object_type"), F.col("c_mktsegment").alias("object_name"), "c_name", "c_acctbal")
+    values = c.where("c_acctbal > 9000").select("model", "object_type", "object_name", text_value("name", F.col("c_name")).alias("c")).select("model", "object_type", "object_name", "c.*")
+    known = spark.sql("SELECT 'Segment' AS obj_type, 'name' AS field, true AS required")
+    return v.check_required(c.select("model", "object_type", "object_name").distinct(), values, known, ["model"]).select("model", "object_name", "field", "code")
+
+
+@query(
+    "e16_dangling_by_model",
+    """SELECT o_orderpriority AS model, o_orderkey::VARCHAR AS object_name, 'E009' AS code FROM orders o
+       WHERE NOT EXISTS (SELECT 1 FROM orders f WHERE f.o_orderstatus = 'F' AND f.o_custkey = o.o_custkey AND f.o_orderpriority = o.o_orderpriority)""",
+)
+def e16(spark, sf):
+    # Priorities are models; a customer is declared in one by a finished order there, and pointed at by every order.
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_orderkey").cast("string").alias("object_name"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("who"), "o_orderstatus")
+    cells = lambda kind, field: [F.lit(kind).alias("object_type"), "model", "object_name", text_value(field, F.col("who")).alias("c")]
+    values = o.where("o_orderstatus = 'F'").select(*cells("Order", "key")).unionByName(o.select(*cells("Line", "order"))).select("object_type", "model", "object_name", "c.*")
+    return v.check_references(values, spark.sql(REFERENCES), model=["model"]).select("model", "object_name", "code")

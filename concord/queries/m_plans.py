@@ -30,20 +30,30 @@ def m01(spark, sf):
     return conformance_run(cases, left, right, accepted, "spark", "json").summary
 
 
-@query(
-    "m02_sweep_groups",
-    DIFFS
-    + """, kept AS (SELECT * FROM diffs QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE field WHEN 'name' THEN 0 WHEN 'size' THEN 1 ELSE 2 END, ptr) <= 40)
-       SELECT shape, count(*) AS occurrences, count(DISTINCT p_brand) AS file_count FROM kept GROUP BY shape""",
-)
-def m02(spark, sf):
+def part_sweep(spark, sf):
+    """A sweep of parts by brand. Forty differences a brand are listed; groups and totals are of all."""
     brands = table(spark, sf, "part").select("p_brand").distinct()
     outcomes = brands.select("p_brand", F.explode(F.array(*[F.lit(s) for s in SIDES])).alias("side")).select(
         "p_brand", "side", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error")
     )
-    # The sweep's own budget: forty differences per file.
-    flow = run_sweep(part_nodes(spark, sf), outcomes, "p_brand", SIDES, per_file=40, nested=False)
-    return flow.groups.select("shape", "occurrences", "file_count")
+    return run_sweep(part_nodes(spark, sf), outcomes, "p_brand", SIDES, per_file=40, nested=False)
+
+
+@query("m02_sweep_groups", DIFFS + "SELECT shape, count(*) AS occurrences, count(DISTINCT p_brand) AS file_count FROM diffs GROUP BY shape")
+def m02(spark, sf):
+    return part_sweep(spark, sf).groups.select("shape", "occurrences", "file_count")
+
+
+@query(
+    "m05_sweep_totals",
+    DIFFS
+    + """SELECT (SELECT count(DISTINCT p_brand) FROM part) AS files_seen, count(DISTINCT p_brand) AS files_with_differences,
+              count(*) AS differences_total, count(DISTINCT shape) AS shapes FROM diffs""",
+)
+def m05(spark, sf):
+    totals = part_sweep(spark, sf)
+    shapes = totals.groups.agg(F.countDistinct("shape").alias("shapes"))
+    return totals.totals.select("files_seen", "files_with_differences", "differences_total").join(F.broadcast(shapes))
 
 
 @query(

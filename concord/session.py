@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +27,15 @@ def local_session(name: str = "concord", cpus: int | str | None = None) -> Spark
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where results meet that all executors read: ``spark.checkpoint.dir``, or a folder in the warehouse where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` out and cut its lineage, so that losing an executor loses nothing.
-
-    The folder is the session's own ``spark.checkpoint.dir``. Only a local session without one
-    gets a temporary folder; on a cluster the setting is required, because a folder of one
-    machine is lost with it.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Write ``df`` out to the shared folder and cut its lineage, so that losing an executor loses nothing."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="concord-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

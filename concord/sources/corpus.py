@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.session import shared_folder
+
 # Fixed value: a file with more characters than this is data and is not searched.
 MAX_CHARACTERS = 2_000_000
 
@@ -47,11 +48,5 @@ def decode_audit(files: DataFrame, keys: list[str], content: str = "content") ->
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for written results: below the shared folder of the session when it has one."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="concord-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for written results, below the session's shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
