@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.numbers import read_number
@@ -164,19 +164,24 @@ def rename_refs(refs: DataFrame, ref: str, renames: DataFrame) -> DataFrame:
     return joined.withColumn(ref, F.coalesce("_new", ref)).drop("_folded", "_new")
 
 
+def _readable(kind: str) -> Column:
+    return F.col("value").isNull() | F.col("value").try_cast(kind).isNotNull()
+
+
 def apply_patches(df: DataFrame, ops: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
     """Records after a list of changes, applied in the order of ``seq``.
 
     ``ops`` has (seq, op, key, field, value) with op ``set-field``, ``add`` or ``remove``; the
     fields of one add share its seq. ``columns`` maps a column to its type; values are text. What
-    counts is the last remove, the last add and the last setting of each field, so the list is
-    reduced to one row per key by a partial aggregation before it meets the records.
+    counts is the last remove, the last add and the last readable setting of each field, so the list is
+    reduced to one row per key by a partial aggregation before it meets the records. Changes that
+    take no effect are the rows of ``patch_rejects``.
     """
     setting = F.col("op").isin("set-field", "add")
     last = ops.groupBy(key).agg(
         F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("_removed"),
         F.max(F.when(F.col("op") == "add", F.col("seq"))).alias("_added"),
-        *[F.max(F.when(setting & (F.col("field") == c), F.struct("seq", "value"))).alias(f"_set_{c}") for c in columns],
+        *[F.max(F.when(setting & (F.col("field") == c) & _readable(kind), F.struct("seq", "value"))).alias(f"_set_{c}") for c, kind in columns.items()],
     )
     base = df.select(key, *columns, F.lit(True).alias("_base"))
     both = base.join(last, key, "full_outer")
@@ -192,11 +197,23 @@ def apply_patches(df: DataFrame, ops: DataFrame, key: str, columns: Mapping[str,
     return both.where(alive).select(key, *[value(c, kind) for c, kind in columns.items()])
 
 
-def patch_rejects(df: DataFrame, ops: DataFrame, key: str) -> DataFrame:
-    """Changes naming an object that is neither held nor added by the list."""
-    added = ops.where(F.col("op") == "add").select(key).distinct()
-    return ops.where(F.col("op") != "add").join(df.select(key), key, "left_anti").join(added, key, "left_anti")
+def patch_rejects(df: DataFrame, ops: DataFrame, key: str, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """Changes of a list that take no effect, with the reason, each judged where it stands in the list.
 
+    ``no object``: a setting or removal of what is not held, or no longer. ``exists``: an addition of what is held.
+    With ``columns``: ``unknown field``, and ``unreadable`` for a value that is none of the column's type.
+    """
+    before = Window.partitionBy(key).orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    turned = F.max(F.when(F.col("op").isin("add", "remove"), F.struct("seq", (F.col("op") == "add").alias("held")))).over(before)
+    held = df.select(key).distinct().withColumn("_held", F.lit(True))
+    judged = ops.withColumn("_turned", turned).join(held, key, "left").withColumn("_alive", F.coalesce(F.col("_turned.held"), "_held", F.lit(False)))
+    reason = F.when(F.col("op").isin("set-field", "remove") & ~F.col("_alive"), "no object").when((F.col("op") == "add") & F.col("_alive"), "exists")
+    if columns is not None:
+        sets = F.col("op").isin("set-field", "add") & F.col("field").isNotNull()
+        reason = reason.when(sets & ~F.col("field").isin(*columns), "unknown field")
+        for c, kind in columns.items():
+            reason = reason.when(sets & (F.col("field") == c) & ~_readable(kind), "unreadable")
+    return judged.select(*ops.columns, reason.alias("reason")).where("reason IS NOT NULL")
 
 def judge_updates(ops: DataFrame, fields: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     """Split a list of grouped updates: entries of groups that apply, and refused entries.

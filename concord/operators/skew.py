@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,33 +19,17 @@ def hot_keys(fact: DataFrame, on: Sequence[str]) -> DataFrame:
     return counts.where(F.col("_n") * HOT_SHARE > total.scalar()).select(*on)
 
 
-def spread_join(
-    fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", salts: int = 64
-) -> DataFrame:
-    """Join ``fact`` to ``dim``; only rows of hot keys are salted and only their partners copied.
+def spread_join(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``fact`` to ``dim`` where one key may hold a large share of the rows of ``fact``.
 
-    ``how`` is one of inner, left, left_semi, left_anti. The salt is a hash of the row, so a
-    recomputed task gives each row the salt it had before.
+    Adaptive execution splits the partitions of such keys as it meets them, equal rows and rows without a key included, and
+    broadcasts a side that turns out small: no input is evaluated twice to find that out beforehand. Where the result is
+    grouped by the same key, ``spark.sql.adaptive.forceOptimizeSkewedJoin`` lets it split there too.
+    ``how`` is one of inner, left, left_semi, left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join cannot do a {how} join")
-    on = list(on)
-    hot = F.broadcast(hot_keys(fact, on).withColumn("_hot", F.lit(True)))
-    no_key = reduce(or_, [F.col(c).isNull() for c in on])  # pairs with nothing, so any salt will do
-    salted_fact = (
-        fact.join(hot, on, "left")
-        .withColumn(
-            "_salt",
-            F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in fact.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-        )
-        .drop("_hot")
-    )
-    salted_dim = (
-        dim.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
-    return salted_fact.join(salted_dim, [*on, "_salt"], how).drop("_salt")
+    return fact.join(dim, list(on), how)
 
 
 def blocked_running(

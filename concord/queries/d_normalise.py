@@ -258,6 +258,25 @@ def d18(spark, sf):
     return n.apply_patches(c, ops, "c_custkey", {"c_name": "string", "c_acctbal": "double"})
 
 
+@query(
+    "d18_rejects",
+    """SELECT c_custkey, 1 AS seq, 'exists' AS reason FROM customer WHERE c_mktsegment = 'BUILDING'
+       UNION ALL SELECT c_custkey, 3, 'no object' FROM customer WHERE c_mktsegment = 'MACHINERY'
+       UNION ALL SELECT -1 - c_custkey, 4, 'no object' FROM customer WHERE c_acctbal < 0
+       UNION ALL SELECT c_custkey, 5, 'unreadable' FROM customer WHERE c_mktsegment = 'FURNITURE'""",
+)
+def d18_rejects(spark, sf):
+    # Buildings are added though held; machinery is set after its removal; debtors' twins were never held; furniture gets words for a balance.
+    c = table(spark, sf, "customer")
+    op = lambda df, seq, kind, value, key="c_custkey": df.selectExpr(f"{seq} AS seq", f"'{kind}' AS op", f"{key} AS c_custkey", "'c_acctbal' AS field", f"'{value}' AS value")
+    segment = lambda s: c.where(F.col("c_mktsegment") == s)
+    ops = (
+        op(segment("BUILDING"), 1, "add", "1.0").unionByName(op(segment("MACHINERY"), 2, "remove", "")).unionByName(op(segment("MACHINERY"), 3, "set-field", "2.0"))
+        .unionByName(op(c.where("c_acctbal < 0"), 4, "set-field", "3.0", "-1 - c_custkey")).unionByName(op(segment("FURNITURE"), 5, "set-field", "a lot"))
+    )
+    return n.patch_rejects(c, ops, "c_custkey", {"c_name": "string", "c_acctbal": "double"}).select("c_custkey", "seq", "reason")
+
+
 @query(
     "d19_rename",
     """SELECT l_orderkey, l_linenumber, CASE WHEN p_type = 'LARGE' THEN 'renamed ' || l_partkey ELSE 'PART ' || l_partkey END AS ref

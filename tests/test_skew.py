@@ -26,6 +26,12 @@ def test_spread_join_is_the_plain_join(sides, how):
     assert key(spread_join(fact, dim, ["k"], how)) == key(fact.join(dim, ["k"], how))
 
 
+def test_equal_rows_and_maps_can_be_spread(spark):
+    fact = spark.createDataFrame([(1, {"a": 1})] * 50 + [(None, {})], "k int, m map<string,int>")
+    dim = spark.createDataFrame([(1, "d")], "k int, d string")
+    assert sorted(map(str, spread_join(fact, dim, ["k"]).select("k", "d").collect())) == ["Row(k=1, d='d')"] * 50 + ["Row(k=None, d=None)"]
+
+
 def test_hot_keys_are_few_and_hot(sides):
     fact, _ = sides
     assert [r.k for r in hot_keys(fact.where("k IS NOT NULL"), ["k"]).collect() if r.k == 7] == [7]
