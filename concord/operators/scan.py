@@ -141,34 +141,53 @@ def line_of(found: DataFrame, files: DataFrame, keys: Sequence[str], text: str,
 # How each form writes a release.
 FORMS = {
     "full": "{0}.{1}.{2}", "line": "{0}.{1}", "dashed": "{0}-{1}-{2}", "dashed-line": "{0}-{1}", "underscored-line": "{0}_{1}",
-    "tag": "v{0}.{1}.{2}", "tuple": "({0}, {1}, {2})",
+    "tag": "v{0}.{1}.{2}", "directory": "V{0}-{1}-{2}", "tuple": "({0}, {1}, {2})",
 }
+# English number words.
+UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
-def expected_text(form: Column, found: Column, release: tuple[int, int, int]) -> Column:
-    """What a statement of this form should say, keeping the brackets the file does not write. A form that is none says so."""
+def number_word(n: int) -> str:
+    """A number below a hundred in words, larger ones in digits."""
+    if n < len(UNITS):
+        return UNITS[n]
+    tens, unit = divmod(n, 10)
+    return str(n) if n > 99 else TENS[tens - 2] + (f"-{UNITS[unit]}" if unit else "")
+
+
+def expected_text(form: Column, found: Column, release: tuple[int, int, int], count: int | None = None) -> Column:
+    """What a statement of this form should say, keeping the brackets the file does not write and its capital.
+
+    ``count`` and ``count-word`` say how many releases are supported. A form that is none says so.
+    """
     text = F.concat(F.lit("unknown form "), F.coalesce(form, F.lit("null")))
     for name, shape in FORMS.items():
         written = shape.format(*release)
         said = F.when(~found.startswith("("), F.lit(written[1:-1])).otherwise(F.lit(written)) if name == "tuple" else F.lit(written)
         text = F.when(form == name, said).otherwise(text)
+    if count is not None:
+        word = number_word(count)
+        spoken = F.when(F.substring(found, 1, 1).rlike("[A-Z]"), F.lit(word[:1].upper() + word[1:])).otherwise(F.lit(word))
+        text = F.when(form == "count", F.lit(str(count))).when(form == "count-word", spoken).otherwise(text)
     return text
 
 
-def check_statements(files: DataFrame, keys: Sequence[str], text: str, declared: DataFrame, release: tuple[int, int, int]) -> DataFrame:
+def check_statements(files: DataFrame, keys: Sequence[str], text: str, declared: DataFrame, release: tuple[int, int, int], count: int | None = None) -> DataFrame:
     """Declared statements that are missing (wrong number of matches, no file) or stale.
 
-    ``declared`` is (keys..., pattern, occurrences, form); the pattern's first group is the release.
+    ``declared`` is (keys..., pattern, occurrences, form); the pattern's first group is the release, or for the forms
+    ``count`` and ``count-word`` the number ``count`` of supported releases.
     """
     joined = declared.join(files.select(*keys, F.col(text).alias("_t"), F.lit(True).alias("_file")), list(keys), "left")
     groups = F.regexp_extract_all("_t", F.col("pattern"), F.lit(1))
     judged = joined.select(*keys, "pattern", "occurrences", "form", "_file", groups.alias("_g"))
-    count = F.coalesce(F.size("_g"), F.lit(0))
-    missing = judged.where(F.col("_file").isNull() | (count != F.col("occurrences"))).select(
+    met = F.coalesce(F.size("_g"), F.lit(0))
+    missing = judged.where(F.col("_file").isNull() | (met != F.col("occurrences"))).select(
         *keys, F.lit("missing").alias("finding"), F.lit(None).cast("string").alias("found"), F.lit(None).cast("string").alias("expected")
     )
-    stated = judged.where(F.col("_file").isNotNull() & (count == F.col("occurrences"))).select(*keys, "form", F.explode("_g").alias("found"))
-    stale = stated.withColumn("expected", expected_text(F.col("form"), F.col("found"), release)).where("found <> expected")
+    stated = judged.where(F.col("_file").isNotNull() & (met == F.col("occurrences"))).select(*keys, "form", F.explode("_g").alias("found"))
+    stale = stated.withColumn("expected", expected_text(F.col("form"), F.col("found"), release, count)).where("found <> expected")
     return missing.unionByName(stale.select(*keys, F.lit("stale").alias("finding"), "found", "expected"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from concord.operators.nodes import json_nodes
+from concord.operators.nodes import json_nodes, json_rejects
 from concord.queries.registry import query, table
 from concord.sources.corpus import decode_audit, drop_oversize, scan_corpus, scratch_folder
 from concord.sources.hourly import hourly_rows
@@ -67,6 +67,14 @@ def a04(spark, sf):
     return json_nodes(table(spark, sf, "events", spread=True), ["event_id"], "props", 2).select("event_id", "ptr", "depth", "jtype", "num")
 
 
+@query("a04_json_rejects", "SELECT event_id FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0")
+def a04_rejects(spark, sf):
+    # Cut off, missing, and with a repeated key.
+    i, props = F.col("event_id"), F.col("props")
+    broken = F.when(i % 7 == 0, F.expr("left(props, length(props) - 1)")).when(i % 11 == 0, None).when(i % 13 == 0, F.concat(F.lit('{"x":1,"x":2,'), F.expr("substring(props, 2)"))).otherwise(props)
+    return json_rejects(table(spark, sf, "events").select("event_id", broken.alias("json")), "json").select("event_id")
+
+
 @query(
     "a05_statements",
     """SELECT p_partkey, 1 AS seq, 1 AS line, p_type AS obj_type, 0 AS pos, p_name AS raw FROM part

@@ -78,3 +78,26 @@ def test_an_unknown_form_is_a_finding(spark):
     declared = spark.createDataFrame([("a", r"v ([0-9.]+)", 1, "roman")], "path string, pattern string, occurrences int, form string")
     found = scan.check_statements(files, ["path"], "content", declared, (26, 1, 0)).collect()
     assert [(r.finding, r.found, r.expected) for r in found] == [("stale", "26.1", "unknown form roman")]
+
+
+def test_every_statement_form(spark):
+    said = {"full": "9.6.0", "line": "9.6", "dashed": "9-6-0", "dashed-line": "9-6", "underscored-line": "9_6", "tag": "v9.6.0", "directory": "V9-6-0", "tuple": "9, 6, 0", "count": "3", "count-word": "Three"}
+    want = {"full": "26.1.0", "line": "26.1", "dashed": "26-1-0", "dashed-line": "26-1", "underscored-line": "26_1", "tag": "v26.1.0", "directory": "V26-1-0", "tuple": "26, 1, 0", "count": "21", "count-word": "Twenty-one"}
+    files = spark.createDataFrame([(f, f"<{t}>") for f, t in said.items()], "path string, content string")
+    declared = files.select("path", F.lit("<(.*)>").alias("pattern"), F.lit(1).alias("occurrences"), F.col("path").alias("form"))
+    found = scan.check_statements(files, ["path"], "content", declared, (26, 1, 0), 21).collect()
+    assert {r.path: (r.finding, r.expected) for r in found} == {f: ("stale", t) for f, t in want.items()}
+    again = files.select("path", F.concat(F.lit("<"), F.element_at(F.create_map(*[F.lit(x) for p in want.items() for x in p]), F.col("path")), F.lit(">")).alias("content"))
+    assert scan.check_statements(again, ["path"], "content", declared, (26, 1, 0), 21).count() == 0
+    assert [scan.number_word(n) for n in (0, 19, 20, 42, 99, 100)] == ["zero", "nineteen", "twenty", "forty-two", "ninety-nine", "100"]
+
+
+def test_changes_without_effect_are_listed(spark):
+    from concord.operators.normalise import apply_patches, patch_rejects
+
+    df = spark.createDataFrame([(1, 5.0), (2, 6.0)], "k int, v double")
+    rows = [(1, "remove", 1, None, None), (2, "set-field", 1, "v", "9"), (3, "add", 1, "v", "1"), (4, "set-field", 1, "v", "x"), (5, "add", 2, "v", "2"), (6, "set-field", 7, "v", "2"), (7, "set-field", 2, "w", "2")]
+    ops = spark.createDataFrame(rows, "seq int, op string, k int, field string, value string")
+    found = patch_rejects(df, ops, "k", {"v": "double"}).collect()
+    assert sorted((r.seq, r.reason) for r in found) == [(2, "no object"), (4, "unreadable"), (5, "exists"), (6, "no object"), (7, "unknown field")]
+    assert {r.k: r.v for r in apply_patches(df, ops.where("seq in (1, 3, 4)"), "k", {"v": "double"}).collect()} == {1: 1.0, 2: 6.0}
