@@ -260,6 +260,7 @@ def test_globs():
 
 def test_every_query_has_sql_and_agrees_on_names():
     from __spark_entry__ import oracle_sql, queries
+    from concord.queries import ORACLES, QUERIES
 
-    assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"a01_corpus_scan"}
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
+    assert set(QUERIES) - set(ORACLES) == {"a01_corpus_scan"}
