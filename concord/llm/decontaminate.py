@@ -11,13 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import batch_of, durable, text_bytes, written
+from concord.llm.common import batch_of, durable, sliced, text_bytes, written
 
 #: What a word is made of, in lower case: digits, letters a to z, and all bytes of other alphabets.
 KEPT = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Words of a shard; a document is never split, so the longest may exceed it.
-SHARD_WORDS = 2_000_000
+#: Words and documents of a shard; a document is never split, so the longest may exceed it.
+SHARD_WORDS, SHARD_ROWS = 2_000_000, 4_000
 #: Windows searched in one pass. More are searched in further passes, each with its own broadcast of at most so many.
 BLOCK_WINDOWS = 200_000
 SAMPLE = 16
@@ -198,7 +198,7 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_col: str = "item_id",
     """(window, item): every run of ``width`` words of an item, or all its words if it has fewer; items as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SHARD_ROWS):
             windows, items = [], []
             for item, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
                 words = split_words(text)
@@ -239,7 +239,7 @@ def _search(docs: DataFrame, block: object, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Windows = block.value  # type: ignore[attr-defined]
         get = found.words.get
-        for batch in batches:
+        for batch in sliced(batches, SHARD_ROWS):
             texts = text_bytes(batch.column(text_col))
             out: list[tuple[list[int], list[str]]] = []
             counts, symbols, held = [], [], 0
@@ -313,7 +313,7 @@ def contamination(
     found = searched(rows, benchmark, width, block, "text", item_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SHARD_ROWS):
             spans = [merged(x) for x in batch.column("__spans").to_pylist()]
             items = [sorted(set(x)) for x in batch.column("__items").to_pylist()]
             pairs = [[{"begin": a, "end": b} for a, b in zip(x[::2], x[1::2])] for x in spans]
@@ -352,7 +352,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, width: int = 10, block: int =
         return b"".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, SHARD_ROWS):
             texts, spans = batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist()
             new = [cut(t.encode("utf-8"), merged(x)).decode("utf-8") if x else t for t, x in zip(texts, spans)]
             yield batch_of(**{f: pa.array(new, pa.string()) if f == text_col else batch.column(f) for f in names})

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import batch_of, durable
+from concord.llm.common import batch_of, durable, sliced
 
 #: Forms of address and the gender they state.
 TITLES = {
@@ -218,7 +218,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Distinct (kind, value, detail) of all texts. A value of several details keeps the first by order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             seen = {(kind, text[a:b], detail) for text in batch.column(0).to_pylist() if text for a, b, kind, detail in find(text)}
             if seen:
                 kinds, values, details = zip(*sorted(seen))
@@ -238,7 +238,7 @@ def collisions(found: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame
     def surrogate(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = Surrogates(key)
-            for batch in batches:
+            for batch in sliced(batches):
                 kinds, values, details, attempts = (batch.column(i).to_pylist() for i in range(4))
                 out = [made.value(*x) for x in zip(kinds, values, details, attempts)]
                 yield batch_of(kind=batch.column(0), value=batch.column(1), detail=batch.column(2), attempt=batch.column(3), surrogate=pa.array(out, pa.string()))
@@ -288,7 +288,7 @@ def surrogates(
         shared = None
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches):
                 got = [(i, k, t[a:b]) for i, t in enumerate(batch.column(1).to_pylist()) if t for a, b, k, _ in find(t)]
                 at, kinds, values = zip(*got) if got else ((), (), ())
                 yield batch_of(id=batch.column(0).take(pa.array(at, pa.int64())), kind=pa.array(kinds, pa.string()), value=pa.array(values, pa.string()))
@@ -305,7 +305,7 @@ def surrogates(
         import json
 
         made, none = Surrogates(key), shared.value if shared else {}
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(text_at).to_pylist()
             lists = batch.column("__again").to_pylist() if extra else [None] * len(texts)
             new, spans = [], []

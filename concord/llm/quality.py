@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import WordHash, batch_of, text_bytes
+from concord.llm.common import WordHash, batch_of, sliced, text_bytes
 
 WORD_BITS = 15
 #: Statistics of a text's structure; each is one feature with its value. The last is metadata: the stated length.
@@ -19,7 +19,7 @@ STATS = (
     "distinct", "commonest", "marked_words", "repeated_lines", "line_length", "empty", "stated_length",
 )
 #: Words handled at once, whatever the batch: bounds a task's memory.
-SLICE_WORDS = 1_000_000
+SLICE_WORDS = 250_000
 
 
 def structure(text: bytes, words: list[bytes], counts: np.ndarray, stated: float | None) -> list[float]:
@@ -192,7 +192,7 @@ def fit_machine(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in sliced(batches):
             for first, part in features(text_bytes(batch.column(2)), batch.column(3).to_pylist(), hashes):
                 n = len(part.stats)
                 cut = lambda a: [a[x:y].tobytes() for x, y in zip(part.start, part.start[1:])]
@@ -233,7 +233,7 @@ def quality_scores(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, fitted = WordHash(), machine.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts, stated = text_bytes(batch.column("__text")), batch.column("__stated").to_pylist()
             scores = [fitted.score(part) for _, part in features(texts, stated, hashes)]
             score = np.concatenate(scores) if scores else np.empty(0)

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import batch_of, durable, text_bytes
+from concord.llm.common import batch_of, durable, sliced, text_bytes
 
 SIDE = 48  # a token is one of SIDE members of one of SIDE classes
 TOKENS = SIDE * SIDE
@@ -183,7 +183,7 @@ def common_words(docs: DataFrame, most: int = COMMON) -> tuple[dict[bytes, int],
                 part = words[i : i + 50_000]
                 yield batch_of(word=pa.array(part, pa.binary()), n=pa.array([counts[w] for w in part], pa.int64()))
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text in text_bytes(batch.column(0)):
                 if text:
                     counts.update(text.lower().split())
@@ -199,7 +199,7 @@ def common_words(docs: DataFrame, most: int = COMMON) -> tuple[dict[bytes, int],
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, numbering = np.zeros(TOKENS, np.int64), Numbering(shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total[numbering[word]] += n
         used = np.flatnonzero(total)
@@ -255,7 +255,7 @@ def trained(docs: DataFrame, width: int = 16, rate: float = 0.08, rounds: int =
                     net.predict(flat, at[i : i + BATCH], step)
                 return len(at)
 
-            for batch in batches:
+            for batch in sliced(batches):
                 for text in text_bytes(batch.column(0)):
                     tokens = numbering.of(text)
                     if len(tokens):
@@ -296,7 +296,7 @@ def scores(docs: DataFrame, width: int = 16, rounds: int = 2, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, numbering = Network(flat.value, width), Numbering(words.value)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, totals = [], []
             held: list[np.ndarray] = []
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from concord.llm.common import WordHash, batch_of, mix, sliced, text_bytes, windows, written
 
 #: Edges sorted at once by a task that reads texts, and edges that one group of equal hash ranges is meant to hold.
-BLOCK_EDGES, BUCKET_EDGES = 1_000_000, 1_000_000
+BLOCK_EDGES, BUCKET_EDGES = 500_000, 1_000_000
 #: Texts are picked by a broadcast of their ids up to so many (8 bytes each), by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 

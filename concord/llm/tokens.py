@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import batch_of
+from concord.llm.common import batch_of, sliced
 
 #: The public pattern that splits text before byte-level merges.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -131,7 +131,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary.value, kept=worker_memory(f"pieces_{vocabulary_key}"))
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             sizes = [len(t.encode("utf-8")) if t else 0 for t in texts]
             tokens = [count(t) if t else 0 for t in texts]
