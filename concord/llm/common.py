@@ -20,6 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
 
 
+def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Arrow batches hold ``rows`` rows at most where the session still has Spark's default of 10,000.
+
+    Rows with whole texts are kilobytes each; the batches of all tasks of an executor are memory outside its heap.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

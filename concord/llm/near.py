@@ -15,7 +15,7 @@ from concord.llm.components import components
 
 WIDTH, SKETCH, FINE = 5, 128, 1_024
 #: Lists of so many nodes are compared pair by pair, longer ones in blocks of BLOCK nodes, COLUMNS values at a time.
-SHORT_LIST, BLOCK, COLUMNS = 16, 512, 8_192
+SHORT_LIST, BLOCK, COLUMNS = 16, 512, 4_096
 #: Texts are picked by a broadcast of their ids up to so many (8 bytes each), by a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 
