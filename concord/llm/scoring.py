@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import batch_of, durable, sliced, text_bytes
+from concord.llm.common import batch_of, durable, sliced, text_bytes, written
 
-SIDE = 48  # a token is one of SIDE members of one of SIDE classes
+SIDE = 64  # the least side: a token is one of ``side`` members of one of ``side`` classes
 TOKENS = SIDE * SIDE
-COMMON = 1_728  # tokens for the commonest words, in order; the others share the rest by hash
+COMMON = 3_072  # words with a token of their own at least; the others share the rest by hash, each with its exact share of it
+LEAST, OWN = 10_000, 262_144  # words seen so often have their own token too, up to what a task's memory holds
+HEAD = 200_000  # words whose exact shares are broadcast; those of the others are joined
+FIXED = 1 << 30  # logarithms are summed as whole numbers of this part of one, so that their order does not matter
 REACH = (-2, -1, 1, 2)
 BATCH, SCORED = 8_192, 8_192
 BLOCK, FAN = 4_096, 64  # parameters of a row, rows averaged at once
@@ -27,33 +31,34 @@ class Network:
     """Parameters: context vectors for each offset and token, and the outputs for the class and for the member of a class.
 
     h = tanh(b + sum of the context tokens' vectors); P(token) = softmax(classes h)[class] * softmax(members_of_class h)[member].
-    Both softmaxes are over SIDE values, so every probability is normalised at the cost of two short rows.
+    Both softmaxes are over ``side`` values, so every probability is normalised at the cost of two short rows.
     """
 
     flat: np.ndarray
     width: int
+    side: int = SIDE
 
     @classmethod
-    def shapes(cls, width: int) -> list[tuple[int, ...]]:
-        return [(len(REACH), TOKENS + 1, width), (width,), (SIDE, width), (SIDE,), (SIDE, SIDE, width), (SIDE, SIDE)]
+    def shapes(cls, width: int, side: int = SIDE) -> list[tuple[int, ...]]:
+        return [(len(REACH), side * side + 1, width), (width,), (side, width), (side,), (side, side, width), (side, side)]
 
     @classmethod
     def start(cls, width: int, counts: np.ndarray, seed: int = 11) -> Network:
         """Small random vectors; outputs begin at the tokens' shares of the corpus."""
-        draw = np.random.default_rng(seed)
-        net = cls(np.zeros(sum(int(np.prod(s)) for s in cls.shapes(width)), np.float32), width)
+        draw, side = np.random.default_rng(seed), math.isqrt(len(counts))
+        net = cls(np.zeros(sum(int(np.prod(s)) for s in cls.shapes(width, side)), np.float32), width, side)
         context, _, top, top_bias, members, member_bias = net.parts()
         context[:] = draw.standard_normal(context.shape) * 0.1
         top[:] = draw.standard_normal(top.shape) * 0.1
         members[:] = draw.standard_normal(members.shape) * 0.1
-        share = (counts.reshape(SIDE, SIDE) + 0.5) / (counts.sum() + 0.5 * TOKENS)
+        share = (counts.reshape(side, side) + 0.5) / (counts.sum() + 0.5 * side * side)
         top_bias[:] = np.log(share.sum(1))
         member_bias[:] = np.log(share / share.sum(1, keepdims=True))
         return net
 
     def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
         flat, out, at = self.flat if flat is None else flat, [], 0
-        for shape in self.shapes(self.width):
+        for shape in self.shapes(self.width, self.side):
             n = int(np.prod(shape))
             out.append(flat[at : at + n].reshape(shape))
             at += n
@@ -72,7 +77,7 @@ class Network:
         np.minimum(logits, 60, out=logits)  # keeps float32 finite; nothing near it is ever learnt
         chosen = logits[np.arange(len(picked)), picked]
         np.exp(logits, out=logits)
-        total = logits @ np.ones(SIDE, logits.dtype)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
         if whole:
             logits *= (1 / total)[:, None]
         return logits, chosen - np.log(total)
@@ -80,17 +85,17 @@ class Network:
     def predict(self, tokens: np.ndarray, at: np.ndarray, step: object = None) -> np.ndarray:
         """The log-probability of each token ``tokens[at]`` given those around it; with ``step``, also the gradients to it."""
         _, _, top, top_bias, members, member_bias = self.parts()
-        target = tokens[at]
-        at = at[order := np.argsort((target // SIDE).astype(np.uint8), kind="stable")]
+        side, target = self.side, tokens[at]
+        at = at[order := np.argsort((target // side).astype(np.uint16), kind="stable")]
         target = target[order]
-        group, member = target // SIDE, target % SIDE
+        group, member = target // side, target % side
         h = self.hidden(tokens, at)
         logits = h @ top.T
         logits += top_bias
         share, log_top = self.shares(logits, group, step is not None)
-        cut = np.searchsorted(group, np.arange(SIDE + 1))
-        full = [g for g in range(SIDE) if cut[g] < cut[g + 1]]
-        logits = np.empty((len(at), SIDE), np.float32)
+        cut = np.searchsorted(group, np.arange(side + 1))
+        full = [g for g in range(side) if cut[g] < cut[g + 1]]
+        logits = np.empty((len(at), side), np.float32)
         for g in full:
             a, b = cut[g], cut[g + 1]
             np.matmul(h[a:b], members[g].T, out=logits[a:b])
@@ -135,20 +140,27 @@ class Network:
         return step
 
 
+def room(common: dict[bytes, int]) -> tuple[int, int]:
+    """(first shared token, side) for these words: a quarter of all tokens is left for the others."""
+    own = max(COMMON, len(common))
+    return own, max(SIDE, math.isqrt(own * 4 // 3 - 1) + 1)
+
+
 class Numbering(dict):
-    """Token numbers of words: the commonest have their own, the others share TOKENS - COMMON by hash and are remembered a while."""
+    """Token numbers of words: the commonest have their own, the others share the rest by hash and are remembered a while."""
 
     def __init__(self, common: dict[bytes, int], most: int = 300_000) -> None:
         import xxhash
 
         super().__init__(common)
-        self.common, self.digest, self.most = common, xxhash.xxh3_64_intdigest, most + len(common)
+        self.own, side = room(common)
+        self.common, self.digest, self.most, self.shared = common, xxhash.xxh3_64_intdigest, most + len(common), side * side - self.own
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.most:
             self.clear()
             self.update(self.common)
-        token = self[word] = COMMON + self.digest(word, 3) % (TOKENS - COMMON)
+        token = self[word] = self.own + self.digest(word, 3) % self.shared
         return token
 
     def of(self, text: bytes | None) -> np.ndarray:
@@ -156,23 +168,20 @@ class Numbering(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def padded(texts: list[np.ndarray], blank: int = TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """All texts' tokens in a row, two pads around each, and the places of the tokens."""
     pad = max(map(abs, REACH))
     size = np.array([len(t) for t in texts], np.int64)
     start = np.cumsum(size + 2 * pad) - size - pad
-    flat = np.full(int((size + 2 * pad).sum()), TOKENS, np.int64)
+    flat = np.full(int((size + 2 * pad).sum()), blank, np.int64)
     for a, t in zip(start, texts):
         flat[a : a + len(t)] = t
     shift = np.repeat(start - (np.cumsum(size) - size), size)
     return flat, np.arange(int(size.sum())) + shift
 
 
-def common_words(docs: DataFrame, most: int = COMMON) -> tuple[dict[bytes, int], np.ndarray]:
-    """The corpus's ``most`` commonest words, numbered in order, and the count of every token. Counts are of all texts.
-
-    Each task sends its own sums. The driver receives the commonest and the sums of the others' hash classes.
-    """
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of all texts, exact. Each task sends its own sums; nothing reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -192,20 +201,42 @@ def common_words(docs: DataFrame, most: int = COMMON) -> tuple[dict[bytes, int],
                 counts.clear()
         yield from done()
 
-    words = durable(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    top = words.orderBy(F.desc("n"), "word").limit(most).collect()
-    common = {bytes(r.word): i for i, r in enumerate(top)}
+    return durable(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def seen_often(words: DataFrame, most: int) -> int:
+    """The least n for which no more than ``most`` words are seen n times or more."""
+    n, total = 1, 0
+    for r in sorted(words.groupBy("n").count().collect(), key=lambda r: -r.n):
+        total += r["count"]
+        if total > most:
+            n = r.n + 1
+            break
+    return n
+
+
+def common_words(docs: DataFrame, most: int = COMMON, words: DataFrame | None = None, least: int = LEAST) -> tuple[dict[bytes, int], np.ndarray]:
+    """The words with a token of their own, numbered in order, and the count of every token. Counts are of all texts.
+
+    They are the ``most`` commonest, and all that are seen ``least`` times (OWN words at the outside), so that their number
+    and the network's side grow with the corpus. The driver receives them and the sums of the others' hash classes.
+    """
+    words = word_counts(docs) if words is None else words
+    often = words.where(F.col("n") >= max(least, seen_often(words, OWN)))
+    top = often.collect() if often.count() > most else words.orderBy(F.desc("n"), "word").limit(most).collect()
+    common = {bytes(r.word): i for i, r in enumerate(sorted(top, key=lambda r: (-r.n, bytes(r.word))))}
+    _, side = room(common)
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, numbering = np.zeros(TOKENS, np.int64), Numbering(shared.value)
+        total, numbering = np.zeros(side * side, np.int64), Numbering(shared.value)
         for batch in sliced(batches):
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 total[numbering[word]] += n
         used = np.flatnonzero(total)
         yield batch_of(token=used, n=total[used])
 
-    counts = np.zeros(TOKENS, np.float64)
+    counts = np.zeros(side * side, np.float64)
     for r in words.mapInArrow(classes, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
         counts[r.token] = r.n
     return common, counts
@@ -229,7 +260,9 @@ def averaged(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["values"], np.float32) for r in sorted(parts.collect(), key=lambda r: r.block)] or [np.empty(0, np.float32)])
 
 
-def trained(docs: DataFrame, width: int = 16, rate: float = 0.08, rounds: int = 2) -> tuple[dict[bytes, int], Network]:
+def trained(
+    docs: DataFrame, width: int = 16, rate: float = 0.08, rounds: int = 2, counted: tuple[dict[bytes, int], np.ndarray] | None = None,
+) -> tuple[dict[bytes, int], Network]:
     """The network, from every token of every document once.
 
     A round takes the documents of one hash class. Each task trains a copy in numpy on its texts, batch by batch, from
@@ -237,20 +270,21 @@ def trained(docs: DataFrame, width: int = 16, rate: float = 0.08, rounds: int =
     reads its texts is part of the result: the same table, split alike, gives the same network.
     """
     spark = docs.sparkSession
-    common, counts = common_words(docs)
+    common, counts = counted or common_words(docs)
     net = Network.start(width, counts)
+    side = net.side
     words = spark.sparkContext.broadcast(common)
     for r in range(rounds):
         begin = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
-            net, numbering, seen = Network(begin.value.copy(), width), Numbering(words.value), 0
+            net, numbering, seen = Network(begin.value.copy(), width, side), Numbering(words.value), 0
             step = net.descent(rate)
             held: list[np.ndarray] = []
             size = 0
 
             def learn() -> int:
-                flat, at = padded(held)
+                flat, at = padded(held, side * side)
                 for i in range(0, len(at), BATCH):
                     net.predict(flat, at[i : i + BATCH], step)
                 return len(at)
@@ -273,50 +307,114 @@ def trained(docs: DataFrame, width: int = 16, rate: float = 0.08, rounds: int =
         mine = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("text")
         parts = durable(mine.mapInArrow(run, "block long, part long, weight double, values binary"))
         flat = averaged(parts)
-        net = Network(flat, width) if len(flat) else net
+        net = Network(flat, width, side) if len(flat) else net
     return common, net
 
 
-def scores(docs: DataFrame, width: int = 16, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Shares(dict):
+    """Places of words in the head, and for a word outside it -1 - token, remembered a while."""
+
+    def __init__(self, head: list[bytes], numbering: Numbering, most: int = 300_000) -> None:
+        super().__init__(zip(head, range(len(head))))
+        self.head, self.numbering, self.most = head, numbering, most + len(head)
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+            self.update(zip(self.head, range(len(self.head))))
+        place = self[word] = -1 - self.numbering[word]
+        return place
+
+
+def head_of(words: DataFrame, common: dict[bytes, int], counts: np.ndarray, most: int) -> Broadcast:
+    """Broadcast (words, tokens, logarithms of their shares of their tokens) of the words with their own token and of those seen most often."""
+    rows = [(bytes(r.word), r.n) for r in words.where(F.col("n") >= seen_often(words, most)).collect()]
+    rows = sorted((w, n) for w, n in rows if w not in common)
+    head, numbering = [*common, *(w for w, _ in rows)], Numbering(common)
+    tokens = np.array([numbering[w] for w in head], np.int64)
+    logs = np.zeros(len(head))
+    logs[len(common) :] = np.log(np.array([n for _, n in rows], np.float64) / counts[tokens[len(common) :]])
+    return words.sparkSession.sparkContext.broadcast((head, tokens, logs))
+
+
+def scores(docs: DataFrame, width: int = 16, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, per_token) of every row of ``docs``.
 
-    Words (ASCII letters lower-cased) are tokens; the two before and the two after a word predict it, and the summed
-    log-probabilities are the text's score. Vocabulary, token shares and network are of the whole corpus (``trained``).
-    What reaches the driver and the workers is the network and the commonest words, of fixed size; what moves are sums of
-    words and the tasks' networks.
+    Words (ASCII letters lower-cased) are predicted by the two before and the two after, and the summed log-probabilities
+    are the text's score. A word's probability is the network's of its token, times the word's exact share of the
+    occurrences of that token: 1 for words with a token of their own. Vocabulary, shares and network are of the whole corpus
+    (``common_words``, ``trained``); the counts of all words stay a table, so the model grows with the corpus.
+
+    The driver and the workers receive the network, its words and the shares of the ``head`` words seen most often. The
+    other words of a text, each once with its number, meet their counts by a join; the words with their own token, and so
+    all frequent ones, never take part in it. What moves besides are sums of words and the tasks' networks.
 
     Null, empty and wordless texts have no tokens, likelihood 0 and no mean. Repeated rows and ids get a row each, and
     count in training each time. Other columns are not read. An empty table gives an empty table. A text of any length is
     scored whole, in slices of SCORED tokens.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    common, net = trained(rows, width, rounds=rounds)
-    context = docs.sparkSession.sparkContext
-    words, flat = context.broadcast(common), context.broadcast(net.flat)
+    words = word_counts(rows)
+    common, counts = common_words(rows, words=words)
+    _, net = trained(rows, width, rounds=rounds, counted=(common, counts))
+    context, side = docs.sparkSession.sparkContext, net.side
+    known, flat = head_of(words, common, counts, head), context.broadcast(net.flat)
+    shared = context.broadcast((common, np.log(np.maximum(counts, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, numbering = Network(flat.value, width), Numbering(words.value)
+        (common, log_total), (head, token_of, log_of) = shared.value, known.value
+        net, places, row = Network(flat.value, width, side), Shares(head, Numbering(common)), TaskContext.get().partitionId() << 40
         for batch in sliced(batches):
-            sizes, totals = [], []
+            sizes, totals, within = [], [], []
             held: list[np.ndarray] = []
+            far: tuple[list[int], list[bytes], list[int]] = ([], [], [])
 
             def done() -> None:
-                flat, at = padded(held)
+                flat, at = padded(held, side * side)
                 logs = np.concatenate([net.predict(flat, at[i : i + SCORED]) for i in range(0, len(at), SCORED)] or [np.empty(0)])
                 ends = np.cumsum([len(t) for t in held])
                 upto = np.concatenate([[0.0], np.cumsum(logs)])
                 totals.extend((upto[ends] - upto[ends - [len(t) for t in held]]).tolist())
                 held.clear()
 
-            for text in text_bytes(batch.column(1)):
-                held.append(numbering.of(text))
-                sizes.append(len(held[-1]))
+            for i, text in enumerate(text_bytes(batch.column(1))):
+                said = text.lower().split() if text else []
+                place = np.fromiter(map(places.__getitem__, said), np.int64, len(said))
+                near, outside = np.maximum(place, 0), np.flatnonzero(place < 0)
+                tokens = token_of[near] if len(said) else place
+                share = log_of[near].sum() if len(said) else 0.0
+                if len(outside):
+                    tokens[outside] = -1 - place[outside]
+                    share += -log_of[near[outside]].sum() - log_total[tokens[outside]].sum()
+                    of = Counter(said[j] for j in outside.tolist())
+                    far[0].extend([row + i] * len(of))
+                    far[1].extend(of)
+                    far[2].extend(of.values())
+                within.append(float(share))
+                held.append(tokens)
+                sizes.append(len(tokens))
                 if sum(sizes[len(totals) :]) >= SCORED:
                     done()
             if held:
                 done()
-            mean = [t / n if n else None for t, n in zip(totals, sizes)]
-            yield batch_of(doc_id=batch.column(0), n_tokens=pa.array(sizes, pa.int64()), log_likelihood=pa.array(totals, pa.float64()), per_token=pa.array(mean, pa.float64()))
+            n, k = len(sizes), len(far[0])
+            yield batch_of(
+                row=pa.array(range(row, row + n), pa.int64()), doc_id=batch.column(0), n_tokens=pa.array(sizes, pa.int64()),
+                total=pa.array(np.array(totals) + np.array(within), pa.float64()), word=pa.nulls(n, pa.binary()), n=pa.nulls(n, pa.int64()),
+            )
+            for at in range(0, k, 10_000):
+                m = len(far[0][at : at + 10_000])
+                yield batch_of(
+                    row=pa.array(far[0][at : at + m], pa.int64()), doc_id=pa.nulls(m, batch.column(0).type), n_tokens=pa.nulls(m, pa.int64()),
+                    total=pa.nulls(m, pa.float64()), word=pa.array(far[1][at : at + m], pa.binary()), n=pa.array(far[2][at : at + m], pa.int64()),
+                )
+            row += n
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double, per_token double")
+    made = written(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, total double, word binary, n long"))
+    log = F.round(F.ln(words["n"].cast("double")) * FIXED).cast("long")
+    far = made.where("word IS NOT NULL").select("row", "word", F.col("n").alias("times")).join(words, "word")
+    far = far.groupBy("row").agg(F.sum(F.col("times") * log).alias("logs"))
+    total = F.col("total") + F.coalesce(F.col("logs") / F.lit(float(FIXED)), F.lit(0.0))
+    out = made.where("word IS NULL").join(far, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -91,3 +91,24 @@ def test_scores_are_sums_over_whole_texts(docs, hard, monkeypatch):
     assert by[4].n_tokens == 30_000 and by[4].log_likelihood == pytest.approx(by[7].log_likelihood) and by[4].log_likelihood < 0
     assert by[4].per_token == pytest.approx(by[4].log_likelihood / 30_000)
     assert scores(docs([])).collect() == []
+
+
+def test_rare_words_have_their_exact_shares(docs):
+    """Words of one hash class are told apart by their own counts, by broadcast or by a join."""
+    common = {f"c{i}".encode(): i for i in range(scoring.COMMON)}
+    number = Numbering(common)
+    a, b = b"rare0", next(w for i in range(1, 10**6) if number[w := b"rare%d" % i] == number[b"rare0"])
+    rows = [(i, " ".join(f"c{j}" for j in range(scoring.COMMON))) for i in range(9)]
+    rows += [(100 + i, a.decode()) for i in range(7)] + [(200, b.decode())]
+    made = {r.doc_id: r for r in scores(docs(rows)).collect()}
+    assert made[100].log_likelihood - made[200].log_likelihood == pytest.approx(np.log(7))
+    joined = {r.doc_id: r for r in scores(docs(rows), head=0).collect()}
+    assert all(joined[i].log_likelihood == pytest.approx(made[i].log_likelihood) for i in made) and joined[0].n_tokens == scoring.COMMON
+
+
+def test_vocabulary_and_side_grow_with_the_corpus(docs):
+    df = docs([(i, " ".join(f"w{j}" for j in range(5_000))) for i in range(3)])
+    common, counts = common_words(df, least=3)
+    assert len(common) == 5_000 and len(counts) > TOKENS and counts[:5_000].sum() == counts.sum() == 15_000
+    net = Network.start(4, counts)
+    assert net.side**2 == len(counts) and len(common_words(df)[0]) == scoring.COMMON
