@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,12 +33,33 @@ GIVEN = {
 }
 GENDER = {name: gender for (_, gender), names in GIVEN.items() for name in names}
 
-#: Letters that stand for one another, by script and case. What is in none of them stays.
+#: Letters that stand for one another, by script and case. Letters and digits in none of them have their neighbours (``class_of``).
 ALPHABETS = [
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
 CLASS_OF = {c: alphabet for alphabet in ALPHABETS for c in alphabet}
+CJK, HANGUL = "".join(map(chr, range(0x4E00, 0xA000))), "".join(map(chr, range(0xAC00, 0xD7A4)))
+
+
+@lru_cache(1)
+def neighbours() -> dict[str, str]:
+    """All other letters and digits by runs of 128 code points and category; those alone in theirs are one class together."""
+    groups: dict[tuple[int, str], list[str]] = {}
+    for c in map(chr, range(128, sys.maxunicode + 1)):
+        if c.isalnum() and c not in CLASS_OF and not "一" <= c <= "\u9fff" and not "가" <= c <= "힣":
+            groups.setdefault((ord(c) >> 7, unicodedata.category(c)), []).append(c)
+    alone = "".join(g[0] for g in groups.values() if len(g) == 1)
+    return {c: alphabet for g in groups.values() for alphabet in ["".join(g) if len(g) > 1 else alone] for c in g}
+
+
+def class_of(c: str) -> str | None:
+    """The characters that ``c`` is permuted among; None for marks and spaces."""
+    if (found := CLASS_OF.get(c)) or c < "\x80":
+        return found
+    return CJK if "一" <= c <= "\u9fff" else HANGUL if "가" <= c <= "힣" else neighbours().get(c)
+
+
 HEX = {c: a for a in ("0123456789abcdef", "0123456789ABCDEF") for c in a}
 
 NAME_PART = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+(?:[-'’][^\W\d_]+)*"
@@ -111,7 +134,8 @@ class Surrogates:
 
     A value's changeable characters are read as one number, each a digit in the base of its alphabet, and that number is
     permuted among all numbers of the format: a balanced Feistel network over the next even number of bits, walked until
-    it lands inside. ``attempt`` picks another permutation.
+    it lands inside. ``moved`` is one cycle through all of them, so no value is its own surrogate. ``attempt`` picks another
+    permutation; for given names it adds a name of the pool every four attempts, so there are always enough.
     """
 
     def __init__(self, key: bytes) -> None:
@@ -121,33 +145,41 @@ class Surrogates:
     def draw(self, *parts: object) -> int:
         return int.from_bytes(hmac.new(self.key, repr(parts).encode(), hashlib.sha256).digest(), "big")
 
-    def permuted(self, number: int, size: int, tweak: object) -> int:
+    def permuted(self, number: int, size: int, tweak: object, back: bool = False) -> int:
         if size <= 1:
             return number
         half = max(2, (size - 1).bit_length() + 1 >> 1)
         mask = (1 << half) - 1
         while True:
             left, right = number >> half, number & mask
-            for i in range(6):
+            if back:
+                left, right = right, left
+            for i in reversed(range(6)) if back else range(6):
                 # blocks of 256 bits, for halves longer than one
                 pad = 0
                 for block in range(-(-half // 256)):
                     pad = pad << 256 | self.draw(tweak, size, i, block, right)
                 left, right = right, left ^ (pad & mask)
+            if back:
+                left, right = right, left
             number = left << half | right
             if number < size:
                 return number
 
-    def reshaped(self, text: str, tweak: object, classes: dict[str, str] = CLASS_OF) -> str:
+    def moved(self, number: int, size: int, tweak: object) -> int:
+        """The next of ``number`` in a keyed order of all numbers below ``size``."""
+        return self.permuted((self.permuted(number, size, tweak, back=True) + 1) % size, size, tweak)
+
+    def reshaped(self, text: str, tweak: object, classes: dict[str, str] | None = None) -> str:
         """``text`` with every character of an alphabet permuted inside it; all others stay where they are."""
-        number, size = 0, 1
+        number, size, among = 0, 1, class_of if classes is None else classes.get
         for c in text:
-            if alphabet := classes.get(c):
+            if alphabet := among(c):
                 number, size = number * len(alphabet) + alphabet.index(c), size * len(alphabet)
-        shape = "".join("." if c in classes else c for c in text)
-        number, out = self.permuted(number, size, (tweak, shape)), []
+        shape = "".join("." if among(c) else c for c in text)
+        number, out = self.moved(number, size, (tweak, shape)), []
         for c in reversed(text):
-            if alphabet := classes.get(c):
+            if alphabet := among(c):
                 number, i = divmod(number, len(alphabet))
                 c = alphabet[i]
             out.append(c)
@@ -168,7 +200,7 @@ class Surrogates:
             total = 1
             for _, size in spans:
                 total *= size
-            number, out = self.permuted(number, total, (tweak, tuple(spans))), []
+            number, out = self.moved(number, total, (tweak, tuple(spans))), []
             for low, size in reversed(spans):
                 number, i = divmod(number, size)
                 out.append(str(low + i))
@@ -184,7 +216,7 @@ class Surrogates:
         if kind == "secret":
             plain = [c for c in value if c.isalnum()]
             hexed = all(c in "0123456789abcdef" for c in plain) or all(c in "0123456789ABCDEF" for c in plain)
-            classes = {c: "0123456789abcdef" if all(x in "0123456789abcdef" for x in plain) else "0123456789ABCDEF" for c in set(plain)} if hexed else CLASS_OF
+            classes = {c: "0123456789abcdef" if all(x in "0123456789abcdef" for x in plain) else "0123456789ABCDEF" for c in set(plain)} if hexed else None
             return self.reshaped(value, (tweak, hexed), classes)
         if kind == "phone":
             # The country code stays; what follows is permuted.
@@ -193,13 +225,18 @@ class Surrogates:
             return value[:keep] + self.reshaped(value[keep:], (tweak, value[:keep]))
         if kind == "name":
             *given, family = value.split(" ")
-            script = next((s for s, low, high in (("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ")) if low <= value[0] <= high), "latin")
+            known = (("cyrillic", "Ѐ", "ӿ"), ("greek", "Ͱ", "Ͽ"))
+            script = next((x for x, low, high in known if low <= value[0] <= high), "latin" if unicodedata.name(value[0], "").startswith("LATIN") else "")
             out = []
             for part in given:
+                if not script:  # no pool: permuted in its own script
+                    out.append(self.reshaped(part, (tweak, "given")))
+                    continue
                 gender = GENDER.get(part) or detail or "mf"[self.draw("gender", part) % 2]
                 pool = GIVEN[script, gender]
                 i = self.draw(tweak, part) % len(pool)
-                out.append(pool[i] if pool[i] != part else pool[(i + 1) % len(pool)])
+                more = [pool[self.draw(tweak, part, n) % len(pool)] for n in range(attempt // 4)]
+                out.append("-".join([pool[i] if pool[i] != part else pool[(i + 1) % len(pool)], *more]))
             # The family name's permutation does not depend on the attempt: "Mr Roe" stays the same person as "John Roe".
             return " ".join([*out, self.reshaped(family, ("family", attempt if not given else 0))])
         return self.reshaped(value, tweak)

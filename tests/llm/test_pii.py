@@ -115,3 +115,18 @@ def test_hard_rows(docs, hard):
 
 def test_luhn():
     assert luhn([int(c) for c in "7992739871"]) == 3
+
+
+def test_every_name_gets_another_however_many_there_are(spark, docs):
+    lone = ["Dr. 王伟", "Dr. 김철수", "Dr. محمد", "Dr. דוד", "Dr. 王伟 李明", "Dr. Żaneta"]
+    rows = [(i, t) for i, t in enumerate(lone)] + [(100 + i, f"Mr. {chr(65 + i % 26)}{'abc'[i // 26]}o Smith") for i in range(60)]
+    made = {r.doc_id: r.text for r in surrogates(docs(rows), KEY).collect()}
+    assert all(made[i] != t for i, t in enumerate(lone)) and len(set(made.values())) == len(rows)
+    assert all("一" <= c <= "\u9fff" for c in made[0][4:]) and all("가" <= c <= "힣" for c in made[1][4:])
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 90, 1000])
+def test_permutations_leave_nothing_in_place(size):
+    made = Surrogates(KEY)
+    out = [made.moved(i, size, "t") for i in range(size)]
+    assert sorted(out) == list(range(size)) and all(i != x for i, x in enumerate(out))
