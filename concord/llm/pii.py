@@ -73,8 +73,8 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
     "name": re.compile(r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.? ({NAME_PART}(?: {NAME_PART}){{0,2}})"),
 }
-#: A text without these characters or words holds nothing of the kind.
-HINTS = {"email": "@", "phone": "-", "ip": ".", "ssn": "-"}
+#: A text without any of these characters, or without the words, holds nothing of the kind.
+HINTS = {"email": "@", "phone": "-+.", "ip": ".", "ssn": "-"}
 DIGITS, TITLE_HINT, SECRET_HINT = re.compile(r"\d{2}|\d\.\d"), re.compile("|".join(TITLES)), re.compile(r"(?i)token|key|secret|passw")
 
 
@@ -102,15 +102,19 @@ def is_real(kind: str, value: str) -> bool:
     return True
 
 
-def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(begin, end, kind, detail) of what is found in a text, in order and apart; detail is the gender of a name, as its title states it."""
+def hopeful(text: str) -> list[str]:
+    """The kinds that a text may hold, by what is quick to tell."""
     digits = DIGITS.search(text) is not None
-    hopeful = [
+    return [
         kind for kind in PATTERNS
-        if (TITLE_HINT.search(text) if kind == "name" else SECRET_HINT.search(text) if kind == "secret" else (digits or kind == "email") and HINTS.get(kind, "") in text or kind == "phone" and "+" in text)
+        if (TITLE_HINT.search(text) if kind == "name" else SECRET_HINT.search(text) if kind == "secret" else (digits or kind == "email") and (kind not in HINTS or any(c in text for c in HINTS[kind])))
     ]
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
+    """(begin, end, kind, detail) of what is found in a text, in order and apart; detail is the gender of a name, as its title states it."""
     taken: list[tuple[int, int, str, str]] = []
-    for kind in hopeful:
+    for kind in hopeful(text):
         for m in PATTERNS[kind].finditer(text):
             begin, end = m.span(1) if kind in ("secret", "name") else m.span()
             value = text[begin:end]

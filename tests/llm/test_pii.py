@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from concord.llm import pii
 from concord.llm.pii import ALPHABETS, GENDER, Surrogates, collisions, entities, find, is_real, luhn, surrogates
 
 KEY = b"k"
@@ -130,3 +131,13 @@ def test_permutations_leave_nothing_in_place(size):
     made = Surrogates(KEY)
     out = [made.moved(i, size, "t") for i in range(size)]
     assert sorted(out) == list(range(size)) and all(i != x for i, x in enumerate(out))
+
+
+PHONES = ["415.555.0123", "415-555-0123", "415.555-0123", "(415) 555-0123", "(415)555-0123", "+14155550123", "+1 415 555 0123", "+44.20.7946.0958"]
+
+
+@pytest.mark.parametrize("text", PHONES + [v for _, v in FOUND] + ["4111111111111111", "4111-1111-1111-1111", "api_key: abcdefgh1234", "Dr. 王伟"])
+def test_quick_look_misses_nothing(monkeypatch, text):
+    quick = find(f"x {text} y")
+    monkeypatch.setattr(pii, "hopeful", lambda text: list(pii.PATTERNS))
+    assert quick and quick == find(f"x {text} y")
