@@ -245,18 +245,19 @@ class Surrogates:
             return " ".join([*out, self.reshaped(family, ("family", attempt if not given else 0))])
         return self.reshaped(value, tweak)
 
-    def apply(self, text: str, attempts: dict[tuple[str, str], int]) -> tuple[str, list[tuple[int, int, str]]]:
+    def apply(self, text: str, attempts: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with surrogates, and (begin, end, kind) of what they replaced, in the old text."""
         found, parts, at = find(text), [], 0
         for begin, end, kind, detail in found:
             value = text[begin:end]
-            parts += [text[at:begin], self.value(kind, value, detail, attempts.get((kind, value), 0))]
+            attempt, detail = attempts.get((kind, value), (0, detail))  # the corpus's detail, where texts differ
+            parts += [text[at:begin], self.value(kind, value, detail, attempt)]
             at = end
         return ("".join([*parts, text[at:]]) if found else text), [x[:3] for x in found]
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct (kind, value, detail) of all texts. A value of several details keeps the first by order."""
+    """(kind, value, detail, several) of the distinct values of all texts: one of several details keeps the greatest, in all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -266,11 +267,11 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 yield batch_of(kind=list(kinds), value=list(values), detail=list(details))
 
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind string, value string, detail string")
-    return found.groupBy("kind", "value").agg(F.max("detail").alias("detail"))
+    return found.groupBy("kind", "value").agg(F.max("detail").alias("detail"), (F.max("detail") != F.min("detail")).alias("several"))
 
 
 def collisions(found: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame:
-    """(kind, value, attempt) of the values whose first surrogate was another's too, or their own value.
+    """(kind, value, attempt, detail) of the values whose first surrogate was another's too, or their own value, or that have several details.
 
     Each round counts the values of every surrogate; of those that share one the least value keeps it and the others draw
     again. Rounds go on until no two share one; only the number of the rest reaches the driver.
@@ -280,24 +281,24 @@ def collisions(found: DataFrame, key: bytes, most_rounds: int = 64) -> DataFrame
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = Surrogates(key)
             for batch in sliced(batches):
-                kinds, values, details, attempts = (batch.column(i).to_pylist() for i in range(4))
+                kinds, values, details, attempts = (batch.column(x).to_pylist() for x in ("kind", "value", "detail", "attempt"))
                 out = [made.value(*x) for x in zip(kinds, values, details, attempts)]
-                yield batch_of(kind=batch.column(0), value=batch.column(1), detail=batch.column(2), attempt=batch.column(3), surrogate=pa.array(out, pa.string()))
+                yield batch_of(kind=batch.column(0), value=batch.column(1), detail=batch.column(2), several=batch.column(3), attempt=batch.column(4), surrogate=pa.array(out, pa.string()))
 
-        return rows.mapInArrow(run, "kind string, value string, detail string, attempt int, surrogate string")
+        return rows.mapInArrow(run, "kind string, value string, detail string, several boolean, attempt int, surrogate string")
 
-    rows = durable(surrogate(found.select("kind", "value", "detail", F.lit(0).alias("attempt"))))
+    rows = durable(surrogate(found.select("kind", "value", "detail", "several", F.lit(0).alias("attempt"))))
     for _ in range(most_rounds):
         first = F.min(F.struct(F.col("attempt"), F.col("value")))
         shared = rows.groupBy("kind", "surrogate").agg(first.alias("keeper"), F.count("*").alias("n")).where((F.col("n") > 1) | (F.col("keeper.value") == F.col("surrogate")))
         marked = rows.join(shared, ["kind", "surrogate"], "left")
         own = (F.col("value") == F.col("surrogate")) & F.exists(F.split(F.col("value"), ""), lambda c: c.rlike(r"[\p{L}\p{N}]"))
         again = F.coalesce((F.col("n") > 1) & (F.col("keeper.value") != F.col("value")), F.lit(False)) | own
-        marked = durable(marked.select("kind", "value", "detail", "attempt", "surrogate", again.alias("again")))
+        marked = durable(marked.select("kind", "value", "detail", "several", "attempt", "surrogate", again.alias("again")))
         if marked.where("again").isEmpty():
-            return rows.where("attempt > 0").select("kind", "value", "attempt")
+            return rows.where("attempt > 0 OR several").select("kind", "value", "attempt", "detail")
         kept = marked.where(~F.col("again")).drop("again")
-        rows = durable(kept.unionByName(surrogate(marked.where("again").select("kind", "value", "detail", (F.col("attempt") + 1).alias("attempt")))))
+        rows = durable(kept.unionByName(surrogate(marked.where("again").select("kind", "value", "detail", "several", (F.col("attempt") + 1).alias("attempt")))))
     raise RuntimeError("values outnumber the surrogates of their format")
 
 
@@ -312,7 +313,7 @@ def surrogates(
     documents, and a family name its own with and without a given name. ``spans`` tells where in the old text.
 
     Texts are read twice: once for the distinct values, whose surrogates are checked for collisions over the whole
-    corpus, and once to rewrite them. Neither pass moves a text. The few values that drew again reach the workers by
+    corpus, and once to rewrite them. Neither pass moves a text. The few values that drew again or have several details reach the workers by
     broadcast up to ``broadcast_most`` rows, and by a join on the document beyond.
 
     Null texts stay null without entities, empty ones empty. Repeated rows and ids get a row each. With ``keep``, columns
@@ -323,7 +324,7 @@ def surrogates(
     again = durable(collisions(entities(docs, text_col), key))
     n = again.count()
     if n <= broadcast_most:
-        shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): r.attempt for r in again.collect()})
+        shared = docs.sparkSession.sparkContext.broadcast({(r.kind, r.value): (r.attempt, r.detail) for r in again.collect()})
         extra: list[str] = []
     else:
         shared = None
@@ -336,7 +337,7 @@ def surrogates(
 
         kind_of = docs.schema[id_col].dataType.simpleString()
         pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(held, f"id {kind_of}, kind string, value string")
-        lists = pairs.join(again, ["kind", "value"]).groupBy(F.col("id").alias("__id")).agg(F.to_json(F.collect_set(F.array("kind", "value", F.col("attempt").cast("string")))).alias("__again"))
+        lists = pairs.join(again, ["kind", "value"]).groupBy(F.col("id").alias("__id")).agg(F.to_json(F.collect_set(F.array("kind", "value", F.col("attempt").cast("string"), "detail"))).alias("__again"))
         rows = rows.join(lists, F.col(id_col if keep else "doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
         extra = ["__again"]
     fields = [f for f in rows.schema if f.name not in extra]
@@ -351,7 +352,7 @@ def surrogates(
             lists = batch.column("__again").to_pylist() if extra else [None] * len(texts)
             new, spans = [], []
             for text, mine in zip(texts, lists):
-                known = {(k, v): int(a) for k, v, a in json.loads(mine)} if mine else none
+                known = {(k, v): (int(a), d) for k, v, a, d in json.loads(mine)} if mine else none
                 out, found = made.apply(text, known) if text else (text, [])
                 new.append(out)
                 spans.append(found)

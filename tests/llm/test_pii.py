@@ -141,3 +141,12 @@ def test_quick_look_misses_nothing(monkeypatch, text):
     quick = find(f"x {text} y")
     monkeypatch.setattr(pii, "hopeful", lambda text: list(pii.PATTERNS))
     assert quick and quick == find(f"x {text} y")
+
+
+@pytest.mark.parametrize("most", [100_000, -1])
+def test_one_surrogate_whatever_the_title(docs, most):
+    people = [f"{a}{b}" for a in "BCDFGHJKLM" for b in ("alex", "erin")]
+    rows = [(100 * n + i, f"{title} {x} Roe") for n, x in enumerate(people) for i, title in enumerate(("Dr", "Mr", "Mrs"))]
+    made = {r.doc_id: r.text.split(" ", 1)[1] for r in surrogates(docs(rows), KEY, broadcast_most=most).collect()}
+    each = [{made[100 * n + i] for i in range(3)} for n in range(len(people))]
+    assert all(len(x) == 1 for x in each) and len(set.union(*each)) == len(people)
