@@ -85,7 +85,7 @@ def top_k(
     usable = whole_vectors(vectors, id_col, vector_col, scale)
     queries = written(whole_vectors(vectors.where(is_query), id_col, vector_col, scale).distinct())
     firsts = Window.partitionBy("vector").orderBy("vec_id")
-    few = usable.withColumn("n", F.row_number().over(firsts)).where(F.col("n") <= k + 1)  # cut in each task before it moves
+    few = usable.distinct().withColumn("n", F.row_number().over(firsts)).where(F.col("n") <= k + 1)  # cut in each task before it moves
     groups = written(few.groupBy("vector").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "vector", "ids"))
 
     sizes = queries.groupBy(F.size("vector").alias("width")).count().collect()

@@ -52,3 +52,8 @@ def test_hard_rows(spark):
     assert got(top_k(table(spark, rows), F.col("vec_id") == 0)) == brute(rows, lambda i: i == 0)
     assert got(top_k(table(spark, []), everyone)) == set()
     assert got(top_k(table(spark, rows), F.lit(False))) == set()
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(20) for _ in range(12)] + [(100, [1.0, 1.0]), (101, [0.5, 0.0])]
+    assert got(top_k(table(spark, rows), F.col("vec_id") >= 100)) == brute(rows, lambda i: i >= 100)
