@@ -181,14 +181,15 @@ def fit_machine(
 ) -> Machine:
     """A machine fitted on ``most`` labelled rows at most, those of lowest hash among the rows not held out.
 
-    The bound is a parameter; nothing but the fit is bounded. Labels other than 0 and 1 and null ids are left out, ids with
+    The bound is a parameter; nothing but the fit is bounded. Of the rows of an id the one of least text hash is taken. Labels other than 0 and 1 and null ids are left out, ids with
     conflicting labels count as 0. Without labels the machine scores every text one half.
     """
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     sample = usable.orderBy(F.xxhash64("id"), "id").limit(most)  # top rows of each partition meet, not all rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(length_col).cast("double").alias("stated"))
-    joined = rows.join(F.broadcast(sample), "id").select("id", "label", "text", "stated")
+    one = F.min_by(F.struct("text", "stated"), F.struct(F.xxhash64("text"), "stated", "text")).alias("row")  # within each task first
+    joined = rows.join(F.broadcast(sample), "id").groupBy("id", "label").agg(one).select("id", "label", "row.text", "row.stated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -203,7 +204,7 @@ def fit_machine(
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = joined.mapInArrow(run, f"id {kind}, label int, place binary, value binary, stats binary").collect()
-    got = sorted(got, key=lambda r: (str(r.id), r.place, r.stats))[: 4 * most]  # equal ids with many texts don't widen the bound
+    got = sorted(got, key=lambda r: str(r.id))
     sizes = [len(r.place) // 4 for r in got]
     rows_in = Rows(
         np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(b"".join(r.place for r in got), np.int32),

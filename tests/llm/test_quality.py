@@ -85,3 +85,12 @@ def test_hard_rows_and_bounds(spark, docs, hard):
     rows, marks = corpus(60)
     small = fit_machine(docs(rows), label_table(spark, marks), most=5)
     assert np.count_nonzero(small.linear[: 1 << WORD_BITS]) <= 5 * 80
+
+
+def test_an_id_on_many_rows_leaves_the_other_labels(spark, docs, monkeypatch):
+    ids = [i for i in range(30) if zlib.crc32(str(i).encode()) % 5][:6]
+    rows = [(ids[0], f"text {i}") for i in range(60)] + [(i, f"other {i}") for i in ids[1:]]
+    held = []
+    monkeypatch.setattr(Machine, "fit", lambda self, rows, labels: held.append(labels.tolist()) or self)
+    fit_machine(docs(rows), label_table(spark, [(i, int(i != ids[0]), 0) for i in ids]), most=6)
+    assert sorted(held[0]) == [0, 1, 1, 1, 1, 1]
