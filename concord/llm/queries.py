@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, licences, mixing, near, pii, quality, scoring, substring, tokens, topk
+from concord.llm import decontaminate, languages, licences, mixing, near, pii, quality, scoring, substring, tokens, topk
 from concord.llm.common import modest_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only here: the other queries do without the vocabulary files
+
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -147,3 +148,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 @query
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scores(table(spark, sf_dir, "documents"))
+
+
+def held_out_language() -> Column:
+    """The documents whose languages are not learnt; null for a null id, of which nothing is learnt either."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predicted(table(spark, sf_dir, "documents"), held_out_language())
