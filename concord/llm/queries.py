@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import decontaminate, languages, licences, mixing, near, pii, quality, scoring, substring, tokens, topk
+from concord.llm import collocations, decontaminate, languages, licences, mixing, near, pii, quality, scoring, substring, tokens, topk
 from concord.llm.common import modest_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,26 @@ def held_out_language() -> Column:
 @query
 def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.predicted(table(spark, sf_dir, "documents"), held_out_language())
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+o AS (SELECT lang, s, w[i:i + s - 1] AS w FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS sizes(s) WHERE len(w) >= s)),
+f AS MATERIALIZED (SELECT lang, s, array_to_string(w, ' ') AS phrase, any_value(w) AS w, count(*) AS n FROM o GROUP BY 1, 2, 3),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE s = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE s > 1 AND n >= 10),
+i AS (SELECT lang, phrase, max(n) AS most FROM (SELECT lang, n, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM c WHERE s = 3) GROUP BY ALL),
+k AS (SELECT lang, phrase, n AS a, cut, array_to_string(w[1:cut], ' ') AS l, array_to_string(w[cut + 1:], ' ') AS r FROM (SELECT *, unnest(range(1, s)) AS cut FROM c)),
+s AS (SELECT k.lang, k.phrase, k.a, k.cut, l.n AS l, r.n AS r, ((1000000::HUGEINT * k.a * k.a) // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = k.l JOIN f r ON r.lang = k.lang AND r.phrase = k.r),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s),
+x AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase COLLATE "C") AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE best = 1 AND (most IS NULL OR 100 * most < 50 * a))
+SELECT x.lang, rank, phrase, a, l, r, t.n, score FROM x JOIN t ON t.lang = x.lang WHERE rank <= 2000
+"""
