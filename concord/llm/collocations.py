@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm.common import WordHash, batch_of, mix, text_bytes, written
+from concord.llm.common import WordHash, batch_of, mix, text_bytes, tidy_shuffles, written
 from concord.llm.decontaminate import WaveletMatrix
 
 #: Words of a shard; a text is never split, so the longest may exceed it.
@@ -51,8 +51,9 @@ class Shard:
 
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the language's words by id."""
-        seed = WordHash().digest(self.language.encode())
-        return np.concatenate([np.zeros(1, np.uint64), WordHash(most=len(self.words) + 1, seed=seed).of(self.words)])
+        digest = WordHash().digest
+        seed = digest(self.language.encode())
+        return np.fromiter((digest(w, seed) for w in [b"", *self.words]), np.uint64, len(self.words) + 1)
 
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
@@ -143,6 +144,20 @@ def compacted(ids: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([[0], symbols[stays], [0]]), np.concatenate([[0], old])
 
 
+def linked(symbols: np.ndarray, hashes: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The sequence with a 0 wherever two neighbours are no pair that may be frequent; words in no such pair go. ``hashes`` by symbol."""
+    passes = (symbols[:-1] > 0) & (symbols[1:] > 0)
+    at = np.flatnonzero(passes)
+    passes[at] = in_filter(two, pair_hashes(hashes[symbols[at]], hashes[symbols[at + 1]]))
+    on, off = np.concatenate([passes, [False]]), np.concatenate([[False], passes])  # a pair begins, or ends, here
+    where = np.flatnonzero(on | off)
+    size = 1 + ~on[where]  # a 0 after the last of a run
+    end = np.cumsum(size)
+    out = np.zeros(1 + int(size.sum()), np.int64)
+    out[1 + end - size] = symbols[where]
+    return out
+
+
 def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One hash for each pair of words from the words' hashes."""
     return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
@@ -159,27 +174,24 @@ class Pairs:
     """Two-word phrases of a shard: ids and counts, and where each is in the index of the reversed sequence."""
 
     bits: int
-    symbols: np.ndarray
-    old: np.ndarray
     first: np.ndarray
     second: np.ndarray
     count: np.ndarray
     low: np.ndarray
 
 
-def pairs(shard: Shard, kept: np.ndarray) -> Pairs:
-    """All pairs of kept words: the interval of each word, extended to the left in the index of the sequence.
+def pairs(symbols: np.ndarray, words: int) -> Pairs:
+    """All pairs of ``words`` symbols: the interval of each symbol, extended to the left in the index of the sequence.
 
-    The reversed sequence has the interval of a word at the same place; the offsets of the extensions give the pairs' there.
+    The reversed sequence has the interval of a symbol at the same place; the offsets of the extensions give the pairs' there.
     """
-    symbols, old = compacted(shard.ids, kept)
-    bits = max(1, int(len(old) - 1).bit_length())
+    bits = max(1, words.bit_length())
     index = Index(symbols, bits)
-    low, high = index.smaller[1 : len(old)], index.smaller[2 : len(old) + 1]
+    low, high = index.smaller[1 : words + 1], index.smaller[2 : words + 2]
     parent, before, left_low, left_high, offset = index.extended(low, high)
-    words = before > 0
-    parent = parent[words]
-    return Pairs(bits, symbols, old, before[words], parent + 1, (left_high - left_low)[words], low[parent] + offset[words])
+    full = before > 0
+    parent = parent[full]
+    return Pairs(bits, before[full], parent + 1, (left_high - left_low)[full], low[parent] + offset[full])
 
 
 def word_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -193,34 +205,30 @@ def pair_rows(batches: Iterator[pa.RecordBatch], most: int, words: np.ndarray) -
     """Hashes and counts of each shard's pairs of words that may be frequent."""
     for shard in shards(batches, most):
         hashes = shard.hashes()
-        found = pairs(shard, np.concatenate([[False], in_filter(words, hashes[1:])]))
-        yield pair_hashes(hashes[found.old[found.first]], hashes[found.old[found.second]]), found.count
+        symbols, old = compacted(shard.ids, np.concatenate([[False], in_filter(words, hashes[1:])]))
+        found, hashed = pairs(symbols, len(old) - 1), hashes[old]
+        yield pair_hashes(hashed[found.first], hashed[found.second]), found.count
 
 
 def phrase_rows(batches: Iterator[pa.RecordBatch], most: int, words: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, size, n) of each shard: all its words as one row of size 0, and its phrases all parts of which may be frequent.
 
-    A pair is extended to the right in the index of the reversed sequence; of what comes, the second pair must pass too.
+    Only runs of pairs that may be frequent are indexed. A pair found there is extended to the right in the index of the
+    reversed sequence; what comes has two such pairs.
     """
     for shard in shards(batches, most):
         hashes, names = shard.hashes(), pa.array([b"", *shard.words], pa.binary())
         kept = np.concatenate([[False], in_filter(words, hashes[1:])])
         total = np.bincount(shard.ids, minlength=len(shard.words) + 1)
-        parts = [([np.flatnonzero(kept)], total[kept])]
-        found = pairs(shard, kept)
-        old, hashed = found.old, hashes[found.old]
-        passed = np.flatnonzero(in_filter(two, pair_hashes(hashed[found.first], hashed[found.second])))
-        first, second, low = found.first[passed], found.second[passed], found.low[passed]
-        count = found.count[passed]
-        parts.append(([old[first], old[second]], count))
-        if len(passed):
-            back = Index(found.symbols[::-1], found.bits)
-            parent, third, new_low, new_high, _ = back.extended(low, low + count)
-            stays = np.flatnonzero(third > 0)
-            parent, third, n = parent[stays], third[stays], (new_high - new_low)[stays]
-            stays = np.flatnonzero(in_filter(two, pair_hashes(hashed[second[parent]], hashed[third])))
-            parent, third = parent[stays], third[stays]
-            parts.append(([old[first[parent]], old[second[parent]], old[third]], n[stays]))
+        symbols, old = compacted(shard.ids, kept)
+        symbols = linked(symbols, hashes[old], two)
+        found = pairs(symbols, len(old) - 1)
+        first, second = old[found.first], old[found.second]
+        parts = [([old[1:]], total[old[1:]]), ([first, second], found.count)]
+        if len(first):
+            parent, third, low, high, _ = Index(symbols[::-1], found.bits).extended(found.low, found.low + found.count)
+            full = np.flatnonzero(third > 0)
+            parts.append(([first[parent[full]], second[parent[full]], old[third[full]]], (high - low)[full]))
         yield batch_of(
             lang=pa.array([shard.language], pa.string()), phrase=pa.array([""], pa.string()), size=pa.array([0], pa.int32()), n=pa.array([int(total[1:].sum())], pa.int64()),
         )
@@ -262,6 +270,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, text_col: str = "text", lang
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     context = docs.sparkSession.sparkContext
+    tidy_shuffles(docs.sparkSession)
 
     def hashed(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for h, n in batches:

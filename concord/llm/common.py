@@ -30,6 +30,14 @@ def modest_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def tidy_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of a query when it has ended, not when the driver happens to collect its garbage.
+
+    Operators that write table after table call it: each step's files go before the next writes its own.
+    """
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

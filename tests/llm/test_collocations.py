@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from concord.llm import collocations as c
-from concord.llm.collocations import Index, collocations, compacted, frequent_filter, in_filter, phrase_counts
+from concord.llm.collocations import Index, collocations, compacted, frequent_filter, in_filter, linked, pair_hashes, phrase_counts
 
 SCHEMA = "doc_id long, text string, lang string, n string, rank string, a string"
 
@@ -114,6 +114,16 @@ def test_words_left_out_end_runs():
     assert symbols.tolist() == [0, 1, 2, 0, 1, 0, 2, 0, 0] and old.tolist() == [0, 1, 2]
 
 
+def test_runs_of_frequent_pairs_stay():
+    hashes, held = np.arange(6, dtype=np.uint64) * np.uint64(77), np.zeros(1 << 13, np.uint8)
+    for a, b in ((1, 2), (2, 3), (4, 5)):
+        place = int(pair_hashes(hashes[[a]], hashes[[b]])[0]) % (1 << 16)
+        held[place >> 3] |= 1 << (place & 7)
+    seq = lambda *x: linked(np.array(x), hashes, held).tolist()
+    assert seq(0, 1, 2, 3, 4, 5, 0, 1, 0, 2, 0) == [0, 1, 2, 3, 0, 4, 5, 0]
+    assert seq(0, 1, 2, 0, 1, 2, 0) == [0, 1, 2, 0, 1, 2, 0] and seq(0, 3, 3, 0) == [0] and seq(0) == [0]
+
+
 def test_a_filter_holds_what_is_frequent(spark):
     rows = spark.createDataFrame([(2**62 + 5, 6), (2**62 + 5, 4), (-7, 10), (3, 9)], "h long, n long")
     held = frequent_filter(rows, 10, 16)
