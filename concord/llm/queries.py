@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import collocations, decontaminate, languages, licences, mixing, near, pii, quality, scoring, substring, tokens, topk
+from concord.llm import collocations, decontaminate, languages, licences, mixing, near, pii, quality, scoring, spellings, substring, tokens, topk
 from concord.llm.common import modest_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,8 @@ x AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a
   FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE best = 1 AND (most IS NULL OR 100 * most < 50 * a))
 SELECT x.lang, rank, phrase, a, l, r, t.n, score FROM x JOIN t ON t.lang = x.lang WHERE rank <= 2000
 """
+
+
+@query
+def op13_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spellings(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
