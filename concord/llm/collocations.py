@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,58 +30,54 @@ PIECES = bytes(10 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c + 3
 RANK_SALTS = 64
 
 
-class Ids(dict):
-    """Ids of words in the order they are met, from 1; 0 ends a piece, -1 is nothing between two spaces."""
-
-    def __init__(self) -> None:
-        super().__init__({b"\n": 0, b"": -1})
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self) - 1
-        return value
-
-
 @dataclass
 class Shard:
-    """Texts of one language as word ids, a 0 after each piece."""
+    """Texts of one language as word ids from 1, a 0 after each piece; ``words`` has the words by id, the first for 0."""
 
     language: str
-    words: list[bytes]
+    words: pa.Array
     ids: np.ndarray
 
+    @classmethod
+    def of(cls, language: str, texts: list[bytes]) -> Shard:
+        """``texts``: with PIECES applied, a space between any two words or line feeds."""
+        tokens = pc.split_pattern(pa.array(texts, pa.string()), " ").flatten().dictionary_encode()
+        named = tokens.dictionary
+        full = np.ones(len(named), bool)
+        end, nothing = pc.index(named, "\n").as_py(), pc.index(named, "").as_py()
+        full[[i for i in (end, nothing) if i >= 0]] = False
+        to = np.where(full, np.cumsum(full), -1)
+        to[end] = 0
+        ids = to[tokens.indices.to_numpy()]
+        return cls(language, pa.concat_arrays([pa.array([""], pa.string()), named.filter(pa.array(full))]).cast(pa.binary()), ids[ids >= 0])
+
     def hashes(self) -> np.ndarray:
         """64-bit hashes of the language's words by id."""
         digest = WordHash().digest
         seed = digest(self.language.encode())
-        return np.fromiter((digest(w, seed) for w in [b"", *self.words]), np.uint64, len(self.words) + 1)
+        return np.fromiter((digest(w, seed) for w in self.words.to_pylist()), np.uint64, len(self.words))
 
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
-    """Shards of the batches' (lang, text): one is given out whenever a language, or all held ones, have ``most`` words."""
-    open_shards: dict[str, tuple[Ids, array]] = {}
-
-    def done(language: str) -> Shard:
-        ids, sequence = open_shards.pop(language)
-        found = np.frombuffer(sequence, np.int32)
-        del ids[b"\n"], ids[b""]
-        return Shard(language, list(ids), found[found >= 0])
-
+    """Shards of the batches' (lang, text): the largest language's is given out whenever all held texts have ``most`` words."""
+    texts: dict[str, list[bytes]] = {}
+    words: Counter = Counter()
     held = 0
     for batch in batches:
         for language, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
             if not text:
                 continue
-            ids, sequence = open_shards.setdefault(language, (Ids(), array("i")))
-            before = len(sequence)
-            sequence.extend(map(ids.__getitem__, text.translate(PIECES).replace(b"\n", b" \n ").split(b" ")))
-            sequence.append(0)
-            held += len(sequence) - before
+            spaced = text.translate(PIECES).replace(b"\n", b" \n ") + b" \n"
+            texts.setdefault(language, []).append(spaced)
+            n = spaced.count(b" ")
+            words[language] += n
+            held += n
             while held >= most:
-                largest = max(open_shards, key=lambda x: len(open_shards[x][1]))
-                held -= len(open_shards[largest][1])
-                yield done(largest)
-    for language in sorted(open_shards):
-        yield done(language)
+                largest = max(words, key=words.__getitem__)
+                held -= words.pop(largest)
+                yield Shard.of(largest, texts.pop(largest))
+    for language in sorted(texts):
+        yield Shard.of(language, texts[language])
 
 
 def suffix_order(symbols: np.ndarray, bits: int) -> np.ndarray:
@@ -197,7 +193,7 @@ def pairs(symbols: np.ndarray, words: int) -> Pairs:
 def word_rows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes and counts of each shard's words."""
     for shard in shards(batches, most):
-        count = np.bincount(shard.ids, minlength=len(shard.words) + 1)
+        count = np.bincount(shard.ids, minlength=len(shard.words))
         yield shard.hashes()[1:], count[1:]
 
 
@@ -217,9 +213,9 @@ def phrase_rows(batches: Iterator[pa.RecordBatch], most: int, words: np.ndarray,
     reversed sequence; what comes has two such pairs.
     """
     for shard in shards(batches, most):
-        hashes, names = shard.hashes(), pa.array([b"", *shard.words], pa.binary())
+        hashes = shard.hashes()
         kept = np.concatenate([[False], in_filter(words, hashes[1:])])
-        total = np.bincount(shard.ids, minlength=len(shard.words) + 1)
+        total = np.bincount(shard.ids, minlength=len(shard.words))
         symbols, old = compacted(shard.ids, kept)
         symbols = linked(symbols, hashes[old], two)
         found = pairs(symbols, len(old) - 1)
@@ -234,7 +230,7 @@ def phrase_rows(batches: Iterator[pa.RecordBatch], most: int, words: np.ndarray,
         )
         for columns, n in parts:
             for a in range(0, len(n), ROWS):
-                texts = [names.take(pa.array(c[a : a + ROWS])) for c in columns]
+                texts = [shard.words.take(pa.array(c[a : a + ROWS])) for c in columns]
                 phrase = texts[0] if len(texts) == 1 else pc.binary_join_element_wise(*texts, b" ")
                 rows = len(phrase)
                 yield batch_of(
@@ -249,7 +245,7 @@ def frequent_filter(rows: DataFrame, least: int, bits: int) -> np.ndarray:
     frequent = rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(place.alias("place"))
     blocks = frequent.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in blocks.toLocalIterator():
+    for row in blocks.collect():
         at = (row.block - 1) * len(row.bits)
         out[at : at + len(row.bits)] = np.frombuffer(row.bits, np.uint8)[: len(out)]
     return out
