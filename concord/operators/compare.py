@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.numbers import is_finite, num_equal
-from concord.operators.nodes import AFTER_ALL, VALUE, parent_of, topmost
+from concord.operators.nodes import AFTER_ALL, VALUE, topmost
 from concord.operators.skew import blocked_running
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -91,6 +91,10 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
     A missing subtree or a clash of types is one row with nothing beneath it. Arrays of unlike
     length give one ``length`` row, their shared prefix is still compared, their tails are not
     listed. Absent and null differ; null equals null.
+
+    ``place`` and then the pointer give the order of differences within a document: the left document's; members the left
+    lacks follow their parent's own, by code point. Objects of unlike names tell their children where they close, so the
+    order takes no second look at the documents.
     """
     on = [*ids, "ptr"]
     aligned = left.select(*on, F.struct(*VALUE).alias("l")).join(right.select(*on, F.struct(*VALUE).alias("r")), on, "full_outer")
@@ -107,9 +111,10 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
         .when((l["jtype"] == "array") & (l["size"] != r["size"]), "length")
     )
     tail = F.col("kind").isin("missing", "extra") & F.coalesce(l["trail"], r["trail"]).endswith("a")
-    found = aligned.withColumns({"kind": kind, "_apart": apart}).where(F.col("kind").isNotNull() | apart)
+    unlike_names = F.coalesce(l["names"] != r["names"], F.lit(False))
+    found = aligned.withColumns({"kind": kind, "_apart": apart, "_names": unlike_names}).where(F.col("kind").isNotNull() | apart | unlike_names)
     stop = F.col("_apart") | F.coalesce(F.col("kind").isin("missing", "extra", "type"), F.lit(False))
-    kept = topmost(found, ids, stop).where(F.col("kind").isNotNull() & ~F.col("_apart") & ~tail)
+    kept = topmost(found, ids, stop, (F.col("_names"), l["stop"])).where(F.col("kind").isNotNull() & ~F.col("_apart") & ~tail)
 
     def text(side: Column) -> Column:
         return (
@@ -128,27 +133,13 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
         r["jtype"].alias("right_type"),
         text(l).alias("left_value"),
         text(r).alias("right_value"),
-        l["ord"].alias("left_ord"),
-        F.when(l.isNull(), parent_of(F.col("ptr"))).alias("right_parent"),
+        F.coalesce(l["ord"], F.col("_told"), F.lit(AFTER_ALL)).alias("place"),
     )
 
 
-def place_diffs(diffs: DataFrame, left: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Adds ``place``, which with the pointer gives the order of differences within a document:
-    left document order; keys the left lacks follow their parent's own keys, by code point."""
-    missing = diffs.where(F.col("left_ord").isNull())
-    parents = left.join(
-        missing.select(*ids, F.col("right_parent").alias("ptr")).distinct(), [*ids, "ptr"], "left_semi"
-    ).select(*ids, F.col("ptr").alias("right_parent"), F.col("ord").alias("_parent_ord"))
-    return diffs.join(parents, [*ids, "right_parent"], "left").withColumn(
-        "place",
-        F.coalesce(F.col("left_ord"), F.concat(F.coalesce("_parent_ord", F.array().cast("array<int>")), F.array(F.lit(AFTER_ALL)))),
-    ).drop("_parent_ord")
-
-
-def order_diffs(diffs: DataFrame, left: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Differences by document, and in each in the order of ``place_diffs``."""
-    return place_diffs(diffs, left, ids).orderBy(*ids, "place", "ptr").drop("place")
+def order_diffs(diffs: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """Differences by document, and in each in their order."""
+    return diffs.orderBy(*ids, "place", "ptr").drop("place")
 
 
 def diff_arrays(left: DataFrame, right: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

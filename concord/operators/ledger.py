@@ -17,19 +17,25 @@ OUTCOME_KEY = ["case_id", "library", "assertion"]
 def select_cases(cases: DataFrame, case_id: str, tags: str, ids: Sequence[str] = (), any_of: Sequence[str] = ()) -> DataFrame:
     """Cases with one of the ids and any of the tags (no list: no condition).
 
-    An unknown id is an error, and so is a selection that meets nothing, unless there is no case.
+    An unknown id is an error, and so is a selection that meets nothing, unless there is no case. Both fail the query when
+    it runs: one aggregation over all cases, of one row, meets every row that is picked or could have been.
     """
-    picked = cases
-    if ids:
-        picked = picked.where(F.col(case_id).isin(*ids))
-        known = picked.select(case_id).distinct().count()
-        if known < len(set(ids)):
-            raise ValueError(f"{len(set(ids)) - known} of the ids name no case")
+    wanted = F.array(*[F.lit(i) for i in dict.fromkeys(ids)]) if ids else None
+    picked = F.lit(True)
+    if wanted is not None:
+        picked &= F.array_contains(wanted, F.col(case_id))
     if any_of:
-        picked = picked.where(F.arrays_overlap(F.col(tags), F.array(*[F.lit(t) for t in any_of])))
-    if (ids or any_of) and picked.isEmpty() and not cases.isEmpty():
-        raise ValueError("the selection meets no case")
-    return picked
+        picked &= F.coalesce(F.arrays_overlap(F.col(tags), F.array(*[F.lit(t) for t in any_of])), F.lit(False))
+    if not ids and not any_of:
+        return cases
+    known = F.count_distinct(F.when(F.array_contains(wanted, F.col(case_id)), F.col(case_id))) if wanted is not None else F.lit(0)
+    met = cases.agg(F.count(F.lit(1)).alias("_all"), F.count_if(picked).alias("_picked"), known.alias("_known"))
+    lacking = len(set(ids)) - F.col("_known")
+    fault = F.when(lacking > 0, F.concat(lacking.cast("string"), F.lit(" of the ids name no case"))).when(
+        (F.col("_picked") == 0) & (F.col("_all") > 0), F.lit("the selection meets no case")
+    )
+    checked = met.select(F.when(fault.isNotNull(), F.raise_error(fault)).otherwise(F.lit(True)).cast("boolean").alias("_fine"))
+    return cases.where(picked & checked.scalar())
 
 
 def dependent_status(status: Column, has_document: Column, declared: Column) -> Column:
@@ -74,6 +80,25 @@ def run_summary(outcomes: DataFrame, reconciled: DataFrame) -> DataFrame:
     return row.withColumn("green", (F.col("blocking") == 0) & (F.col("stale") == 0) & (F.col("unexercisable") == 0))
 
 
+def run_totals(outcomes: DataFrame, exceptions: DataFrame, selected: DataFrame) -> DataFrame:
+    """``run_summary`` of outcomes (one per key) and the register, each read once: they meet by key and are summed up together."""
+    chosen = selected.select("case_id").distinct().withColumn("_selected", F.lit(True))
+    register = exceptions.groupBy(*OUTCOME_KEY).agg(F.count(F.lit(1)).alias("_accepted")).join(chosen, "case_id", "left")
+    met = outcomes.select(*OUTCOME_KEY, "status").join(register, OUTCOME_KEY, "full_outer")
+    status, accepted = F.col("status"), F.coalesce("_selected", F.lit(False))
+
+    def entries(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(accepted & condition, F.col("_accepted"))), F.lit(0))
+
+    row = met.agg(
+        *[F.count_if(status == s).alias(s) for s in STATUSES],
+        entries(status == "pass").alias("stale"),
+        entries(status.isNull()).alias("unexercisable"),
+        F.count_if((status == "error") | ((status == "fail") & ~accepted)).alias("blocking"),
+    )
+    return row.withColumn("green", (F.col("blocking") == 0) & (F.col("stale") == 0) & (F.col("unexercisable") == 0))
+
+
 def coverage_by(cases: DataFrame, column: str) -> DataFrame:
     """Cases per tag, assertion or truth; an array counts once per distinct member."""
     is_array = dict(cases.dtypes)[column].startswith("array")

@@ -2,93 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from concord.functions.json import pointer_token
+from concord.functions.json_text import FIELDS, NameHash, tree
 
-# Fixed value: sorts keys the left side lacks after every key it has.
-AFTER_ALL = 2**31 - 1
+# Fixed value: sorts keys the left side lacks, where it has no parent of them either, after all others.
+AFTER_ALL = 2**63 - 1
+# Values nested deeper make a text a reject.
+MAX_DEPTH = 1_000
+NODE = "ptr string, trail string, ord long, stop long, jtype string, size int, names long, num double, str string, bool boolean"
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
-def json_rejects(df: DataFrame, json: str) -> DataFrame:
-    """Rows whose text is not JSON."""
-    return df.where(F.col(json).isNull() | F.try_parse_json(json).isNull())
+def json_scan(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """One row per value of a JSON text, or one row with ``reject`` for what is no JSON.
 
-
-def json_nodes(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = 8) -> DataFrame:
-    """One row per value of a JSON text: pointer, type, size and scalar value.
-
-    ``ord`` lists the position of every step from the root, so sorting by it is document order;
-    ``trail`` has one letter per ancestor, ``o`` for an object and ``a`` for an array. A value
-    nested below ``max_depth`` fails the run instead of going unseen. All steps are narrow: no
-    shuffle, one scan. (Members are read twice: as variants for their types, as text because a
-    variant does not keep the order of an object's keys.)
+    Every text is read once, from begin to end. ``ord`` is the offset at which a value begins, so sorting by it is document
+    order; ``stop`` is where a container closes; ``trail`` has one letter per ancestor, ``o`` for an object and ``a`` for an
+    array; ``names`` adds up the hashes of an object's member names. Rejected are null (``no text``), texts that break the
+    grammar or end early, a name repeated in one object and values nested below ``max_depth``, with the offset in ``ord``.
+    One scan, no shuffle; a task holds the values of some texts at a time, so a text should fit in memory.
     """
-    keep = [f"`{c}`" for c in ids]
-    rows = df.select(*ids, F.col(json).alias("_raw"), F.try_parse_json(json).alias("_v")).selectExpr(
-        *keep, "'' AS ptr", "'' AS trail", "CAST(array() AS ARRAY<INT>) AS ord",
-        f"{JTYPE.format(v='_v')} AS jtype", "CAST(NULL AS INT) AS size", "_v", "_raw",
-    )
-    for depth in range(max_depth):
-        rows = _open(rows, keep, depth)
-    left = "if(jtype = 'array', size(from_json(_raw, 'array<string>')), size(from_json(_raw, 'map<string,string>')))"
-    return rows.selectExpr(
-        *keep, "ptr", "trail", "length(trail) AS depth", "ord", "jtype",
-        f"""CASE WHEN jtype IN ('array', 'object') AND size IS NULL
-            THEN if({left} = 0, 0, raise_error('value nested too deep at ' || ptr)) ELSE size END AS size""",
-        "CASE WHEN jtype = 'number' THEN try_variant_get(_v, '$', 'double') END AS num",
-        "CASE WHEN jtype = 'string' THEN try_variant_get(_v, '$', 'string') END AS str",
-        "CASE WHEN jtype = 'boolean' THEN try_variant_get(_v, '$', 'boolean') END AS bool",
-    )
-
-
-# The rule of `json_type`, as text for the generated steps.
-JTYPE = """coalesce(element_at(map('VOID', 'null', 'BOOLEAN', 'boolean', 'STRING', 'string', 'ARRAY', 'array', 'OBJECT', 'object'),
- regexp_extract(nvl(schema_of_variant({v}), 'VOID'), '^[A-Z]+', 0)), 'number')"""
-
-
-def _open(rows: DataFrame, keep: Sequence[str], depth: int) -> DataFrame:
-    """Replace each container at ``depth`` by itself and its members, in document order.
-
-    A container that was opened leaves its text and variant behind, so that no step copies them.
-    A text that is no JSON is dropped at the root (a filter would parse it once more).
-    """
-    here = f"length(trail) = {depth} AND jtype"
-    text = "if(left({r}, 1) IN ('{{', '['), {r}, NULL)"
-    found = rows.selectExpr(
-        "*",
-        f"""CASE WHEN {here} = 'object' THEN zip_with(map_entries(from_json(_raw, 'map<string,string>')),
-                 map_values(from_json(_raw, 'map<string,variant>')),
-                 (e, x) -> named_struct('key', e.key, 'v', x, 'raw', {text.format(r="e.value")}, 'size', CAST(NULL AS INT)))
-                WHEN {here} = 'array' THEN zip_with(from_json(_raw, 'array<string>'), from_json(_raw, 'array<variant>'),
-                 (r, x) -> named_struct('key', CAST(NULL AS STRING), 'v', x, 'raw', {text.format(r="r")}, 'size', CAST(NULL AS INT))) END AS _members""",
-    )
-    itself = """named_struct('key', CAST(NULL AS STRING), 'v', if(_members IS NULL, _v, NULL), 'raw', if(_members IS NULL, _raw, NULL),
-                'size', if(_members IS NULL, size, size(_members)))"""
-    if depth == 0:
-        itself = f"if(_v IS NULL, array(), array({itself}))"
-    else:
-        itself = f"array({itself})"
-    opened = found.selectExpr(
-        *keep, "ptr", "trail", "ord", "jtype", f"posexplode(concat({itself}, coalesce(_members, array()))) AS (_at, _m)"
-    )
-    return opened.selectExpr(
-        *keep,
-        "if(_at = 0, ptr, ptr || '/' || coalesce(replace(replace(_m.key, '~', '~0'), '/', '~1'), CAST(_at - 1 AS STRING))) AS ptr",
-        "if(_at = 0, trail, trail || left(jtype, 1)) AS trail",
-        "if(_at = 0, ord, concat(ord, array(_at - 1))) AS ord",
-        f"if(_at = 0, jtype, {JTYPE.format(v='_m.v')}) AS jtype",
-        "_m.size AS size",
-        "_m.v AS _v",
-        "_m.raw AS _raw",
+    kept = df.select(*ids, F.col(json).alias("_json"))
+    kinds = [part.split() for part in NODE.split(", ")] + [["reject", "string"]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = NameHash()
+        for batch in batches:
+            keys, texts = batch.columns[:-1], batch.columns[-1].to_pylist()
+            of: list[int] = []
+            rows: list[list] = []
+
+            def done() -> pa.RecordBatch:
+                at = pa.array(of, pa.int64())
+                columns = zip(*rows) if rows else ((),) * len(kinds)
+                return pa.RecordBatch.from_arrays(
+                    [k.take(at) for k in keys] + [pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, kinds)], [*batch.schema.names[:-1], *[n for n, _ in kinds]]
+                )
+
+            for i, text in enumerate(texts):
+                found, reason, at = tree(text, max_depth, hashes)
+                if reason is not None:
+                    found = [[at if f == "ord" else None for f in FIELDS]]
+                of += [i] * len(found)
+                rows += [[*row, reason] for row in found]
+                if len(rows) >= 50_000:
+                    yield done()
+                    of, rows = [], []
+            yield done()
+
+    names = StructType([kept.schema[c] for c in ids]).fields
+    schema = StructType([*names, *StructType.fromDDL(NODE + ", reject string").fields])
+    return kept.mapInArrow(run, schema)
+
+
+def json_nodes(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The values of ``json_scan``, with their depth."""
+    return json_scan(df, ids, json, max_depth).where("reject IS NULL").select(
+        *ids, "ptr", "trail", F.length("trail").alias("depth"), "ord", "stop", "jtype", "size", "names", "num", "str", "bool"
     )
 
 
+def json_rejects(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """What ``json_scan`` rejects: ids, reason and offset."""
+    return json_scan(df, ids, json, max_depth).where("reject IS NOT NULL").select(*ids, F.col("reject").alias("reason"), F.col("ord").alias("offset"))
+
+
 # What a side says of one place.
-VALUE = ("jtype", "size", "num", "str", "bool", "trail", "ord")
+VALUE = ("jtype", "size", "num", "str", "bool", "trail", "ord", "stop", "names")
 
 
 def parent_of(ptr: Column) -> Column:
@@ -111,19 +98,24 @@ def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], avai
     return aligned.join(has.where(enough), list(ids))
 
 
-def topmost(rows: DataFrame, ids: Sequence[str], stop: Column) -> DataFrame:
+def topmost(rows: DataFrame, ids: Sequence[str], stop: Column, parent: tuple[Column, Column] | None = None) -> DataFrame:
     """Rows whose parent is no stop. (A stop deeper up has stops all the way down.)
 
     A stop also stands at the head of its own children; one window per parent then tells them.
-    Only rows given here move, and they are read once.
+    Only rows given here move, and they are read once. ``parent`` is (which rows tell their children, what): what a row's
+    parent tells is added as ``_told``.
     """
+    tells, what = parent or (F.lit(False), F.lit(None).cast("long"))
     group = F.array(
-        F.struct(parent_of(F.col("ptr")).alias("of"), F.lit(False).alias("head")),
-        F.when(stop, F.struct(F.col("ptr").alias("of"), F.lit(True).alias("head"))),
+        F.struct(parent_of(F.col("ptr")).alias("of"), F.lit(True).alias("itself"), F.lit(False).alias("stop"), F.lit(None).cast("long").alias("what")),
+        F.when(stop | tells, F.struct(F.col("ptr").alias("of"), F.lit(False).alias("itself"), stop.alias("stop"), what.alias("what"))),
     )
     placed = rows.withColumn("_g", F.explode(group)).where(F.col("_g").isNotNull())
-    under = F.max("_g.head").over(Window.partitionBy(*ids, "_g.of"))
-    return placed.withColumn("_under", under).where(~F.col("_g.head") & ~F.col("_under")).drop("_g", "_under")
+    under = Window.partitionBy(*ids, "_g.of")
+    known = placed.withColumn("_under", F.max("_g.stop").over(under))
+    if parent is not None:
+        known = known.withColumn("_told", F.max("_g.what").over(under))
+    return known.where(F.col("_g.itself") & ~F.col("_under")).drop("_g", "_under")
 
 
 def record_nodes(df: DataFrame, ids: Sequence[str], path: Column, fields: Mapping[str, Column]) -> DataFrame:
@@ -154,9 +146,11 @@ def record_nodes(df: DataFrame, ids: Sequence[str], path: Column, fields: Mappin
         *ids,
         F.concat("_path", F.lit("/"), pointer_token(F.col("_c.field"))).alias("ptr"),
         F.lit("o").alias("trail"),
-        F.array(F.col("_c.at")).alias("ord"),
+        F.col("_c.at").cast("long").alias("ord"),
+        F.lit(None).cast("long").alias("stop"),
         F.col("_c.jtype").alias("jtype"),
         F.lit(None).cast("int").alias("size"),
+        F.lit(None).cast("long").alias("names"),
         F.col("_c.num").alias("num"),
         F.col("_c.str").alias("str"),
         F.col("_c.bool").alias("bool"),

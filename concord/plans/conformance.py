@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.compare import diff_nodes
-from concord.operators.ledger import blocking, reconcile, run_summary
+from concord.operators.ledger import blocking, reconcile, run_totals
 
 
 @dataclass(frozen=True)
@@ -38,4 +38,4 @@ def conformance_run(cases: DataFrame, left: DataFrame, right: DataFrame, excepti
         F.coalesce("differences", F.lit(0)).alias("differences"),
     )
     reconciled = reconcile(outcomes, exceptions, selected)
-    return Run(differences, outcomes, reconciled, blocking(outcomes, reconciled), run_summary(outcomes, reconciled))
+    return Run(differences, outcomes, reconciled, blocking(outcomes, reconciled), run_totals(outcomes, exceptions, selected))

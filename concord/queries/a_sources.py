@@ -59,20 +59,29 @@ def a03(spark, sf):
 
 @query(
     "a04_json_nodes",
-    """SELECT event_id, '' AS ptr, 0 AS depth, 'object' AS jtype, NULL::DOUBLE AS num FROM events
+    """SELECT event_id, '' AS ptr, 0 AS depth, 'object' AS jtype, NULL::DOUBLE AS num, 0::BIGINT AS ord, length(props) - 1 AS stop FROM events
        UNION ALL
-       SELECT event_id, '/k', 1, 'number', json_extract(props, '$.k')::DOUBLE FROM events""",
+       SELECT event_id, '/k', 1, 'number', json_extract(props, '$.k')::DOUBLE, strpos(props, ':') + length(regexp_extract(props, ':( *)', 1)), NULL FROM events""",
 )
 def a04(spark, sf):
-    return json_nodes(table(spark, sf, "events", spread=True), ["event_id"], "props", 2).select("event_id", "ptr", "depth", "jtype", "num")
+    return json_nodes(table(spark, sf, "events", spread=True), ["event_id"], "props").select("event_id", "ptr", "depth", "jtype", "num", "ord", "stop")
 
 
-@query("a04_json_rejects", "SELECT event_id FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0")
+@query(
+    "a04_json_rejects",
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'text ends early' WHEN event_id % 11 = 0 THEN 'no text' WHEN event_id % 13 = 0 THEN 'repeated name' ELSE 'nested too deep' END AS reason,
+              CASE WHEN event_id % 7 = 0 THEN length(props) - 1 WHEN event_id % 11 = 0 THEN 0 WHEN event_id % 13 = 0 THEN 7 ELSE 41 END::BIGINT AS "offset"
+       FROM events WHERE event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0""",
+)
 def a04_rejects(spark, sf):
-    # Cut off, missing, and with a repeated key.
+    # Cut off, missing, with a repeated name, and nested one level too deep (others just not).
     i, props = F.col("event_id"), F.col("props")
-    broken = F.when(i % 7 == 0, F.expr("left(props, length(props) - 1)")).when(i % 11 == 0, None).when(i % 13 == 0, F.concat(F.lit('{"x":1,"x":2,'), F.expr("substring(props, 2)"))).otherwise(props)
-    return json_rejects(table(spark, sf, "events").select("event_id", broken.alias("json")), "json").select("event_id")
+    deep = lambda n: F.concat(F.repeat(F.lit("["), F.lit(n)), props, F.repeat(F.lit("]"), F.lit(n)))
+    broken = (
+        F.when(i % 7 == 0, F.expr("left(props, length(props) - 1)")).when(i % 11 == 0, None).when(i % 13 == 0, F.concat(F.lit('{"x":1,"x":2,'), F.expr("substring(props, 2)")))
+        .when(i % 17 == 0, deep(41)).otherwise(deep(39))
+    )
+    return json_rejects(table(spark, sf, "events").select("event_id", broken.alias("json")), ["event_id"], "json", 40)
 
 
 @query(

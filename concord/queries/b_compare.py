@@ -136,8 +136,8 @@ def event_docs(spark, sf):
     )
     docs = e.select("event_id", left.alias("_left"), right.alias("_right"))
     return (
-        json_nodes(docs.select("event_id", F.col("_left").alias("j")), ["event_id"], "j", 4),
-        json_nodes(docs.select("event_id", F.col("_right").alias("j")), ["event_id"], "j", 4),
+        json_nodes(docs.select("event_id", F.col("_left").alias("j")), ["event_id"], "j"),
+        json_nodes(docs.select("event_id", F.col("_right").alias("j")), ["event_id"], "j"),
     )
 
 
@@ -248,7 +248,7 @@ def b09(spark, sf):
 def b10(spark, sf):
     left, right = event_docs(spark, sf)
     ids = ["event_id"]
-    placed = compare.place_diffs(compare.diff_nodes(left, right, ids), left, ids)
+    placed = compare.diff_nodes(left, right, ids)
     # The order is the result; it is numbered within each document so that a bag comparison sees it.
     number = F.row_number().over(Window.partitionBy("event_id").orderBy("place", "ptr"))
     return placed.select("event_id", "ptr", "kind", number.cast("long").alias("at"))

@@ -113,7 +113,7 @@ def c04_nested(spark, sf):
     }
     sides = None
     for side, text in versions.items():
-        nodes = json_nodes(e.select("event_id", text.alias("j")), ["event_id"], "j", 4).withColumn("side", F.lit(side))
+        nodes = json_nodes(e.select("event_id", text.alias("j")), ["event_id"], "j").withColumn("side", F.lit(side))
         sides = nodes if sides is None else sides.unionByName(nodes)
     diffs = sweep.sweep_diff(sweep.align_sides(sides, ["event_id"], SIDES), ["event_id"], SIDES)
     return diffs.select("event_id", "ptr", "kind", "partition")

@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from concord.functions.json_text import NameHash, tree
 from concord.functions.numbers import num_equal, read_number
 from concord.operators import compare as c
 from concord.operators.drift import text_drift
@@ -81,7 +82,7 @@ def test_nested_differences_against_brute_force(spark):
     pairs.append((300, {"a": {"0": {"x": 1}}}, {"a": [{"y": 2}]}))  # a clash with alike members beneath it
     pairs.append((301, {"a": {"0": {"x": {"q": 1}}}}, {"a": [{"x": {}}]}))
     docs = spark.createDataFrame([(i, json.dumps(a), json.dumps(b)) for i, a, b in pairs], "id int, a string, b string")
-    left, right = (json_nodes(docs.select("id", F.col(s).alias("j")), ["id"], "j", 4) for s in "ab")
+    left, right = (json_nodes(docs.select("id", F.col(s).alias("j")), ["id"], "j") for s in "ab")
     got = Counter((r.id, r.ptr, r.kind) for r in c.diff_nodes(left, right, ["id"]).collect())
     want = Counter((i, ptr, kind) for i, a, b in pairs for ptr, kind in diff(a, b))
     assert got == want
@@ -89,26 +90,55 @@ def test_nested_differences_against_brute_force(spark):
 
 def test_difference_order_follows_the_left_document(spark):
     docs = spark.createDataFrame([(1, '{"z":1,"a":{"q":1},"m":[1,2]}', '{"b":0,"m":[1,3],"a":{"q":2,"c":1},"z":2,"B":0}')], "id int, a string, b string")
-    left, right = (json_nodes(docs.select("id", F.col(s).alias("j")), ["id"], "j", 4) for s in "ab")
-    ordered = c.order_diffs(c.diff_nodes(left, right, ["id"]), left, ["id"])
+    left, right = (json_nodes(docs.select("id", F.col(s).alias("j")), ["id"], "j") for s in "ab")
+    ordered = c.order_diffs(c.diff_nodes(left, right, ["id"]), ["id"])
     assert [r.ptr for r in ordered.collect()] == ["/z", "/a/q", "/a/c", "/m/1", "/B", "/b"]
 
 
 def test_nodes_keep_document_order_and_reject_what_is_no_json(spark):
     docs = spark.createDataFrame([(1, '{"z":{"y":1,"a":2},"b":[true,null]}'), (2, "{bad"), (3, '"text"')], "id int, j string")
-    rows = json_nodes(docs, ["id"], "j", 4).where("id = 1").orderBy("ord").collect()
+    rows = json_nodes(docs, ["id"], "j").where("id = 1").orderBy("ord").collect()
     assert [(r.ptr, r.jtype) for r in rows] == [
         ("", "object"), ("/z", "object"), ("/z/y", "number"), ("/z/a", "number"), ("/b", "array"), ("/b/0", "boolean"), ("/b/1", "null"),
     ]
-    assert [r.id for r in json_rejects(docs, "j").collect()] == [2]
-    assert {r.id for r in json_nodes(docs, ["id"], "j", 4).collect()} == {1, 3}
-
-
-def test_a_value_nested_too_deep_fails(spark):
-    docs = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "id int, j string")
-    with pytest.raises(Exception, match="nested too deep"):
-        json_nodes(docs, ["id"], "j", 2).collect()
-    assert json_nodes(docs, ["id"], "j", 3).count() == 4
+    assert [tuple(r) for r in json_rejects(docs, ["id"], "j").collect()] == [(2, "unexpected text", 1)]
+    assert {r.id for r in json_nodes(docs, ["id"], "j").collect()} == {1, 3}
+
+
+def test_deep_values_are_rows_or_rejects(spark):
+    docs = spark.createDataFrame([(n, "[" * n + '{"a":1}' + "]" * n) for n in (1, 39, 40, 5_000)], "id int, j string")
+    assert {r.id: r["max(depth)"] for r in json_nodes(docs, ["id"], "j", 40).groupBy("id").agg({"depth": "max"}).collect()} == {1: 2, 39: 40}
+    assert {tuple(r) for r in json_rejects(docs, ["id"], "j", 40).collect()} == {(40, "nested too deep", 45), (5_000, "nested too deep", 41)}
+    assert {tuple(r) for r in json_rejects(docs, ["id"], "j").collect()} == {(5_000, "nested too deep", 1_001)}
+
+
+def test_texts_are_read_as_the_grammar_says():
+    rng, hashes = random.Random(5), NameHash()
+
+    def strict(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    def no_constant(_):
+        raise ValueError
+
+    for _ in range(1500):
+        letters = list(json.dumps(some_value(rng, 4), indent=rng.choice([None, 1])))
+        for _ in range(rng.randint(0, 2)):
+            letters[rng.randrange(len(letters))] = rng.choice(["", *'{}[],:"1t- \\'])
+        text = "".join(letters)
+        try:
+            json.loads(text, object_pairs_hook=strict, parse_constant=no_constant)
+            good = True
+        except ValueError:
+            good = False
+        rows, reason, _ = tree(text, 50, hashes)
+        assert good == (reason is None) == bool(rows), text
+        assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+    text = '{"a":"\\ud83d\\ude00\\ud800","b":[1e2,{}]}'
+    rows = tree(text, 9, hashes)[0]
+    assert rows[1][8] == "\U0001f600\ufffd" and rows[3][7] == 100.0 and [(r[2], r[3]) for r in rows if r[3]] == [(0, len(text) - 1), (30, len(text) - 2), (35, 36)]
 
 
 def test_keyed_difference_kinds_and_duplicate_keys(spark):
