@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import sys
+from collections.abc import Sequence
 
 from pyspark import cloudpickle
 
@@ -19,10 +20,9 @@ TOKEN = re.compile(
     r"|(true|false|null))"
 )
 SPACE = re.compile(r"[ \t\n\r]*")
-MARK, STRING, NUMBER = 1, 2, 3
-#: The columns of a row, in order.
+MARK, STRING, NUMBER, WORD = 1, 2, 3, 4
+#: The columns of a node, in order.
 FIELDS = ("ptr", "trail", "ord", "stop", "jtype", "size", "names", "num", "str", "bool")
-STOP, SIZE, NAMES = 3, 5, 6
 
 
 class NameHash(dict):
@@ -43,17 +43,27 @@ def unescaped(body: str) -> str:
     return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def tree(text: str | None, max_depth: int, hashes: NameHash) -> tuple[list[list], str | None, int]:
-    """(rows, None, 0) of a JSON text's values in document order, or ([], reason, offset) of what is no JSON.
+def tree(text: str | None, max_depth: int, hashes: NameHash, out: Sequence[list]) -> tuple[str | None, int]:
+    """Append a JSON text's values in document order to the columns FIELDS of ``out``: (None, 0), or (reason, offset) of what
+    is no JSON, of which nothing is appended.
 
     ``ord`` is the offset at which a value begins, ``stop`` the one of a container's closing mark, ``names`` the sum of the
     hashes of an object's names. The open containers are kept on a stack, so no text is nested too deep for Python; values
     below ``max_depth`` are refused. A repeated name in one object is refused too.
     """
     if text is None:
-        return [], "no text", 0
-    rows: list[list] = []
-    opened: list[tuple[list, set | None]] = []  # a container's row and, for an object, its names
+        return "no text", 0
+    first = len(out[0])
+    found = _tree(text, max_depth, hashes, out)
+    if found[0] is not None:
+        for column in out:
+            del column[first:]
+    return found
+
+
+def _tree(text: str, max_depth: int, hashes: NameHash, out: Sequence[list]) -> tuple[str | None, int]:
+    ptrs, trails, begins, stops, jtypes, sizes, sums, nums, strs, bools = out
+    opened: list[list] = []  # a container's row, pointer, trail, size, and the names of an object
     match, at = TOKEN.match, 0
     ptr = trail = ""
     want, closing = "value", ""  # value, name, colon, comma or end; and the mark that may close instead
@@ -62,68 +72,71 @@ def tree(text: str | None, max_depth: int, hashes: NameHash) -> tuple[list[list]
         if found is None:
             begin = SPACE.match(text, at).end()
             if begin == len(text):
-                return (rows, None, 0) if want == "end" else ([], "text ends early", begin)
-            return [], "unexpected text", begin
+                return (None, 0) if want == "end" else ("text ends early", begin)
+            return "unexpected text", begin
         kind, at = found.lastindex, found.end()
-        token, begin = found[kind], found.start(kind) - (kind == STRING)
+        token = found[kind]
         if kind == MARK and token in "}]":
-            if not opened or token != closing or want in ("colon", "end"):
-                return [], "unexpected text", begin
-            row, _ = opened.pop()
-            row[STOP] = begin
-            if row[NAMES] is not None:
-                row[NAMES] = (row[NAMES] + (1 << 63)) % (1 << 64) - (1 << 63)
+            if token != closing:
+                return "unexpected text", at - 1
+            row, _, _, size, names = opened.pop()
+            stops[row], sizes[row] = at - 1, size
+            if names is not None:
+                sums[row] = (sum(map(hashes.__getitem__, names)) + (1 << 63)) % (1 << 64) - (1 << 63)
         elif want == "value" and (kind != MARK or token in "{["):
             if len(trail) > max_depth:
-                return [], "nested too deep", begin
-            row = [ptr, trail, begin, None, None, None, None, None, None, None]
-            rows.append(row)
+                return "nested too deep", found.start(kind) - (kind == STRING)
+            ptrs.append(ptr)
+            trails.append(trail)
+            begins.append(found.start(kind) - (kind == STRING))
+            stops.append(None)
+            sizes.append(None)
+            sums.append(None)
+            nums.append(float(token) if kind == NUMBER else None)
+            strs.append(unescaped(token) if kind == STRING else None)
+            bools.append(token == "true" if kind == WORD and token != "null" else None)
             if kind == MARK:
-                is_object = token == "{"
-                row[4], row[SIZE], row[NAMES] = ("object", 0, 0) if is_object else ("array", 0, None)
-                opened.append((row, set() if is_object else None))
-                if is_object:
+                row = len(ptrs) - 1
+                if token == "{":
+                    jtypes.append("object")
+                    opened.append([row, ptr, trail, 0, set()])
                     want, closing = "name", "}"
                 else:
+                    jtypes.append("array")
+                    opened.append([row, ptr, trail, 0, None])
                     want, closing, ptr, trail = "value", "]", f"{ptr}/0", trail + "a"
                 continue
-            if kind == STRING:
-                row[4], row[8] = "string", unescaped(token)
-            elif kind == NUMBER:
-                row[4], row[7] = "number", float(token)
-            elif token == "null":
-                row[4] = "null"
-            else:
-                row[4], row[9] = "boolean", token == "true"
+            jtypes.append("string" if kind == STRING else "number" if kind == NUMBER else "null" if token == "null" else "boolean")
         elif want == "name" and kind == STRING:
-            row, names = opened[-1]
+            holder = opened[-1]
             name = unescaped(token)
-            if name in names:
-                return [], "repeated name", begin
-            names.add(name)
-            row[SIZE] += 1
-            row[NAMES] += hashes[name]
-            ptr, trail = f"{row[0]}/{name.replace('~', '~0').replace('/', '~1')}", row[1] + "o"
+            if name in holder[4]:
+                return "repeated name", found.start(kind) - 1
+            holder[4].add(name)
+            holder[3] += 1
+            if "~" in name or "/" in name:
+                name = name.replace("~", "~0").replace("/", "~1")
+            ptr, trail = f"{holder[1]}/{name}", holder[2] + "o"
             want, closing = "colon", ""
             continue
         elif want == "colon" and token == ":" and kind == MARK:
             want = "value"
             continue
         elif want == "comma" and token == "," and kind == MARK:
-            row, names = opened[-1]
-            if names is None:
-                ptr, trail, want = f"{row[0]}/{row[SIZE]}", row[1] + "a", "value"
+            holder = opened[-1]
+            if holder[4] is None:
+                ptr, trail, want = f"{holder[1]}/{holder[3]}", holder[2] + "a", "value"
             else:
                 want = "name"
             closing = ""
             continue
         else:
-            return [], "unexpected text", begin
+            return "unexpected text", found.start(kind) - (kind == STRING)
         # A value has ended: in an array it counts, and a comma or the container's end comes next.
         if not opened:
             want, closing = "end", ""
-            continue
-        row, names = opened[-1]
-        if names is None:
-            row[SIZE] += 1
-        want, closing = "comma", "]" if names is None else "}"
+        elif opened[-1][4] is None:
+            opened[-1][3] += 1
+            want, closing = "comma", "]"
+        else:
+            want, closing = "comma", "}"

@@ -30,31 +30,34 @@ def json_scan(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = MAX
     One scan, no shuffle; a task holds the values of some texts at a time, so a text should fit in memory.
     """
     kept = df.select(*ids, F.col(json).alias("_json"))
-    kinds = [part.split() for part in NODE.split(", ")] + [["reject", "string"]]
+    kinds = [part.split() for part in NODE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = NameHash()
         for batch in batches:
             keys, texts = batch.columns[:-1], batch.columns[-1].to_pylist()
             of: list[int] = []
-            rows: list[list] = []
+            reasons: list[str | None] = []
+            columns: list[list] = [[] for _ in FIELDS]
 
             def done() -> pa.RecordBatch:
                 at = pa.array(of, pa.int64())
-                columns = zip(*rows) if rows else ((),) * len(kinds)
+                nodes = [pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, kinds)]
                 return pa.RecordBatch.from_arrays(
-                    [k.take(at) for k in keys] + [pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, kinds)], [*batch.schema.names[:-1], *[n for n, _ in kinds]]
+                    [*[k.take(at) for k in keys], *nodes, pa.array(reasons, pa.string())], [*batch.schema.names[:-1], *[n for n, _ in kinds], "reject"]
                 )
 
             for i, text in enumerate(texts):
-                found, reason, at = tree(text, max_depth, hashes)
+                reason, at = tree(text, max_depth, hashes, columns)
                 if reason is not None:
-                    found = [[at if f == "ord" else None for f in FIELDS]]
-                of += [i] * len(found)
-                rows += [[*row, reason] for row in found]
-                if len(rows) >= 50_000:
+                    for name, column in zip(FIELDS, columns):
+                        column.append(at if name == "ord" else None)
+                fresh = len(columns[0]) - len(of)
+                of += [i] * fresh
+                reasons += [reason] * fresh
+                if len(of) >= 50_000:
                     yield done()
-                    of, rows = [], []
+                    of, reasons, columns = [], [], [[] for _ in FIELDS]
             yield done()
 
     names = StructType([kept.schema[c] for c in ids]).fields

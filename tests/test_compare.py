@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from concord.functions.json_text import NameHash, tree
+from concord.functions.json_text import FIELDS, NameHash, tree
 from concord.functions.numbers import num_equal, read_number
 from concord.operators import compare as c
 from concord.operators.drift import text_drift
@@ -133,12 +133,16 @@ def test_texts_are_read_as_the_grammar_says():
             good = True
         except ValueError:
             good = False
-        rows, reason, _ = tree(text, 50, hashes)
-        assert good == (reason is None) == bool(rows), text
-        assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+        out = [[] for _ in FIELDS]
+        reason, _ = tree(text, 50, hashes, out)
+        assert good == (reason is None) == bool(out[0]), text
+        assert out[2] == sorted(out[2]) and len({len(c) for c in out}) == 1
     text = '{"a":"\\ud83d\\ude00\\ud800","b":[1e2,{}]}'
-    rows = tree(text, 9, hashes)[0]
-    assert rows[1][8] == "\U0001f600\ufffd" and rows[3][7] == 100.0 and [(r[2], r[3]) for r in rows if r[3]] == [(0, len(text) - 1), (30, len(text) - 2), (35, 36)]
+    out = [[] for _ in FIELDS]
+    assert tree(text, 9, hashes, out) == (None, 0)
+    node = dict(zip(FIELDS, out))
+    assert node["str"][1] == "\U0001f600\ufffd" and node["num"][3] == 100.0
+    assert [x for x in zip(node["ord"], node["stop"]) if x[1]] == [(0, len(text) - 1), (30, len(text) - 2), (35, 36)]
 
 
 def test_keyed_difference_kinds_and_duplicate_keys(spark):
