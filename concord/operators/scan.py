@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions.arrays import running_max, running_sum
+from concord.functions.binding import let
 from concord.functions.globs import glob_regex
 from concord.functions.versions import version_key
 from concord.operators.skew import lookup_join, spread_join
@@ -90,52 +93,131 @@ def closed_between(markers: DataFrame, before: DataFrame, after: DataFrame) -> D
     return joined.where((was != "complete") & (F.col("_new") == "complete") & ~F.coalesce("terminal", F.lit(False))).drop("_old", "_new", "terminal")
 
 
-def spellings(major: int, minor: int, patch: int) -> str:
-    """One pattern for the spellings of a release: dotted, dashed, underscored, tuple.
+# What may write a release: a chain of numbers, each parted from the next by one separator.
+CHAIN = r"[vV]?\d+(?:(?:[._-]|,\s*)\d+)+"
 
-    What surrounds a match keeps package versions, longer numbers and dates out.
+
+@dataclass(frozen=True)
+class Spelling:
+    """The ways a release is written in running text: dotted or dashed with or without its patch and a leading v, underscored
+    without patch, and as a tuple with it.
+
+    ``inside`` finds them in a match of CHAIN. A number counts as a whole, and a dotted or dashed release has no further
+    number of its kind on either side: that keeps package versions, longer numbers and dates out.
     """
-    dotted = rf"(?<![\d.])[vV]?{major}\.{minor}(?:\.{patch})?(?!\.?\d)"
-    dashed = rf"(?<![\d-])[vV]?{major}-{minor}(?:-{patch})?(?!-?\d)"
-    scored = rf"(?<!\d){major}_{minor}(?!\d)"
-    tupled = rf"(?<!\d){major},\s*{minor},\s*{patch}(?!\d)"
-    return "|".join((dotted, dashed, scored, tupled))
+
+    major: int
+    minor: int
+    patch: int
+
+    def inside(self, chain: Column, before: Column) -> Column:
+        """(skip, size) of each release in a chain; ``before`` is the character in front of it, empty at a text's begin."""
+        numbers, marks = F.regexp_extract_all(chain, F.lit(r"\d+"), F.lit(0)), F.regexp_extract_all(chain, F.lit(r"[._-]|,\s*"), F.lit(0))
+        lettered = chain.rlike("^[vV]").cast("int")
+        parts = F.struct(numbers.alias("n"), marks.alias("m"), lettered.alias("v"), before.alias("b"))
+
+        def judged(p: Column) -> Column:
+            is_number = lambda i, n: F.coalesce(F.get(p["n"], i) == str(n), F.lit(False))
+            mark = lambda i: F.coalesce(F.left(F.get(p["m"], i), F.lit(1)), F.lit(""))
+            widths = F.transform(p["n"], lambda n, i: (F.length(n) + F.coalesce(F.length(F.get(p["m"], i)), F.lit(0))).cast("long"))
+
+            def release(begin: Column, i: Column) -> Column:
+                own = mark(i)
+                pair = is_number(i, self.major) & is_number(i + 1, self.minor)
+                third = (mark(i + 1) == own) & is_number(i + 2, self.patch)
+                # What stands in front: the mark inside a chain, the character before it at its begin.
+                front = F.when(i > 0, mark(i - 1)).when(p["v"] == 1, F.lit("v")).otherwise(p["b"])
+                written = (
+                    F.when(own.isin(".", "-") & (front != own) & (mark(i + 1) != own), F.lit(2))
+                    .when(own.isin(".", "-") & (front != own) & third & (mark(i + 2) != own), F.lit(3))
+                    .when(own == "_", F.lit(2))
+                    .when((own == ",") & third, F.lit(3))
+                )
+                # The letter belongs to a dotted or dashed release that nothing of its kind, and no digit, stands before.
+                letter = ((i == 0) & own.isin(".", "-") & (p["v"] == 1) & (p["b"] != own) & ~p["b"].rlike(r"\d")).cast("int")
+                skip = begin + p["v"] - letter
+                last = i + written - 1
+                return F.when(pair & written.isNotNull(), F.struct(skip.alias("skip"), last.alias("last"), letter.alias("letter"), i.alias("first")))
+
+            def sized(r: Column, begins: Column) -> Column:
+                end = F.get(begins, r["last"]) + F.length(F.get(p["n"], r["last"])) + p["v"]
+                return F.struct(r["skip"].cast("int").alias("skip"), (end - r["skip"]).cast("int").alias("size"))
+
+            return let(
+                running_sum(widths),
+                lambda begins: F.transform(F.filter(F.transform(begins, release), lambda r: r.isNotNull()), lambda r: sized(r, begins)),
+            )
+
+        return let(parts, judged)
 
 
-def occurrences(files: DataFrame, keys: Sequence[str], text: str, pattern: str | Column) -> DataFrame:
-    """Every match in a whole text: keys, begin, stop (0-based, end exclusive), line, found.
+def spellings(major: int, minor: int, patch: int) -> Spelling:
+    return Spelling(major, minor, patch)
 
-    The pieces between matches give the offsets as running sums within one file.
+
+def _feeds(text: Column) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
+
+
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
+def placed(text: Column, pattern: Column | str | Spelling) -> Column:
+    """Every match in a text as an array, in order: begin, stop (0-based, end exclusive), line, found, shown (its line, trimmed).
+
+    Offsets and line numbers are running sums over the pieces between matches, worked out inside the row.
     """
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    held = files.select(*keys, F.col(text).alias("_t"), regex.alias("_re")).where(F.rlike("_t", F.col("_re")))
-    rows = held.select(
-        *keys,
-        F.posexplode(
-            F.arrays_zip(F.split("_t", F.col("_re"), -1).alias("piece"), F.regexp_extract_all("_t", F.col("_re"), F.lit(0)).alias("match"))
-        ).alias("_at", "_p"),
+    spelling = pattern if isinstance(pattern, Spelling) else None
+    regex = F.lit(CHAIN) if spelling else F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.struct(F.split(text, regex, -1).alias("pieces"), F.regexp_extract_all(text, regex, F.lit(0)).alias("matches"), F.split(text, "\n").alias("lines"))
+
+    def rows(f: Column) -> Column:
+        pieces, matches = f["pieces"], f["matches"]
+        widths = F.zip_with(pieces, matches, lambda a, m: (F.length(a) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+        feeds = F.zip_with(pieces, matches, lambda a, m: _feeds(a) + F.coalesce(_feeds(m), F.lit(0)))
+
+        def one(begins: Column, lines: Column) -> Column:
+            def row(m: Column, i: Column) -> Column:
+                piece = F.get(pieces, i)
+                begin, line = F.get(begins, i) + F.length(piece), F.get(lines, i) + _feeds(piece)
+                if spelling is None:
+                    return F.array(_occurrence(f, begin, m, line))
+                before = F.when((F.length(piece) == 0) & (i > 0), F.lit("0")).otherwise(F.right(piece, F.lit(1)))
+
+                def part(r: Column) -> Column:
+                    head = F.left(m, r["skip"])
+                    return _occurrence(f, begin + r["skip"], F.substring(m, r["skip"] + 1, r["size"]), line + _feeds(head))
+
+                return F.transform(spelling.inside(m, before), part)
+
+            return F.flatten(F.transform(matches, row))
+
+        return let(running_sum(widths), lambda begins: let(running_sum(feeds), lambda lines: one(begins, lines)))
+
+    return let(found, rows)
+
+
+def _occurrence(f: Column, begin: Column, found: Column, line: Column) -> Column:
+    return F.struct(
+        begin.alias("begin"), (begin + F.length(found)).alias("stop"), (line + 1).alias("line"), found.alias("found"), _trimmed(F.get(f["lines"], line.cast("int"))).alias("shown")
     )
-    feeds = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    sizes = rows.select(
-        *keys, "_at", F.col("_p.match").alias("found"), F.length("_p.piece").alias("_lp"), F.length("_p.match").alias("_lm"),
-        feeds(F.col("_p.piece")).alias("_np"), feeds(F.col("_p.match")).alias("_nm"),
-    )
-    upto = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.sum("_lp").over(upto) + F.coalesce(F.sum("_lm").over(before), F.lit(0))
-    line = F.sum("_np").over(upto) + F.coalesce(F.sum("_nm").over(before), F.lit(0)) + 1
-    placed = sizes.select(*keys, "found", "_lm", begin.alias("begin"), line.alias("line"))
-    return placed.where("found IS NOT NULL").select(*keys, "begin", (F.col("begin") + F.col("_lm")).alias("stop"), "line", "found")
 
 
-def line_of(found: DataFrame, files: DataFrame, keys: Sequence[str], text: str, most: int | None = SHOWN) -> DataFrame:
-    """Adds ``shown``: the line an occurrence starts on, trimmed, at most ``most`` characters (none: all)."""
-    files_met = found.select(*keys).distinct()
-    lines = files.join(files_met, list(keys), "left_semi").select(*keys, F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
-    trimmed = F.trim(F.regexp_replace("_line", r"^\s+|\s+$", ""))
-    trimmed = trimmed if most is None else F.left(trimmed, F.lit(most))
-    shown = lines.select(*keys, (F.col("_at") + 1).cast("long").alias("line"), trimmed.alias("shown"))
-    return found.withColumn("line", F.col("line").cast("long")).join(shown, [*keys, "line"])
+def _opened(df: DataFrame, keys: Sequence[str], found: Column) -> DataFrame:
+    """A row for each element of ``found``. The outer form keeps Spark from working ``found`` out once more to drop empty arrays."""
+    return df.select(*keys, F.explode_outer(found).alias("_o")).where("_o IS NOT NULL")
+
+
+def occurrences(files: DataFrame, keys: Sequence[str], text: str, pattern: str | Column | Spelling) -> DataFrame:
+    """Every match in a whole text: keys, begin, stop (0-based, end exclusive), line, found and shown, the line it begins on,
+    trimmed and cut to SHOWN characters. A row stays apart from others of its key, and nothing is shuffled.
+    """
+    regex = F.lit(CHAIN) if isinstance(pattern, Spelling) else F.lit(pattern) if isinstance(pattern, str) else pattern
+    held = files.where(F.rlike(F.col(text), regex))
+    return _opened(held, keys, placed(F.col(text), pattern)).select(
+        *keys, "_o.begin", "_o.stop", "_o.line", "_o.found", F.left("_o.shown", F.lit(SHOWN)).alias("shown")
+    )
 
 
 # How each form writes a release.
@@ -174,45 +256,69 @@ def expected_text(form: Column, found: Column, release: tuple[int, int, int], co
 
 
 def check_statements(files: DataFrame, keys: Sequence[str], text: str, declared: DataFrame, release: tuple[int, int, int], count: int | None = None) -> DataFrame:
-    """Declared statements that are missing (wrong number of matches, no file) or stale.
+    """Declared statements that are missing (wrong number of matches, no file) or stale, with the line of a stale one.
 
     ``declared`` is (keys..., pattern, occurrences, form); the pattern's first group is the release, or for the forms
     ``count`` and ``count-word`` the number ``count`` of supported releases.
     """
     joined = declared.join(files.select(*keys, F.col(text).alias("_t"), F.lit(True).alias("_file")), list(keys), "left")
-    groups = F.regexp_extract_all("_t", F.col("pattern"), F.lit(1))
-    judged = joined.select(*keys, "pattern", "occurrences", "form", "_file", groups.alias("_g"))
-    met = F.coalesce(F.size("_g"), F.lit(0))
-    missing = judged.where(F.col("_file").isNull() | (met != F.col("occurrences"))).select(
-        *keys, F.lit("missing").alias("finding"), F.lit(None).cast("string").alias("found"), F.lit(None).cast("string").alias("expected")
-    )
-    stated = judged.where(F.col("_file").isNotNull() & (met == F.col("occurrences"))).select(*keys, "form", F.explode("_g").alias("found"))
-    stale = stated.withColumn("expected", expected_text(F.col("form"), F.col("found"), release, count)).where("found <> expected")
-    return missing.unionByName(stale.select(*keys, F.lit("stale").alias("finding"), "found", "expected"))
+    stated = F.zip_with(
+        F.regexp_extract_all("_t", F.col("pattern"), F.lit(1)),
+        placed(F.col("_t"), F.col("pattern")),
+        lambda g, o: F.struct(
+            g.alias("found"), (o["line"] + _feeds(F.call_function("substring_index", o["found"], g, F.lit(1)))).alias("line"), o["shown"].alias("shown"),
+        ),
+    )
+    judged = joined.select(*keys, "occurrences", "form", "_file", stated.alias("_s"))
+    right = F.col("_file").isNotNull() & (F.coalesce(F.size("_s"), F.lit(0)) == F.col("occurrences"))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("found"), F.lit(None).cast("long").alias("line"), F.lit(None).cast("string").alias("shown")))
+    told = judged.select(*keys, "form", right.alias("_right"), F.when(right, F.col("_s")).otherwise(nothing).alias("_s"))
+    rows = _opened(told, [*keys, "form", "_right"], F.col("_s")).select(*keys, "form", "_right", "_o.*")
+    expected = F.when(F.col("_right"), expected_text(F.col("form"), F.col("found"), release, count))
+    told = rows.withColumn("expected", expected).where(~F.col("_right") | (F.col("found") != F.col("expected")))
+    return told.select(*keys, F.when(F.col("_right"), "stale").otherwise("missing").alias("finding"), "line", "found", "expected", F.left("shown", F.lit(SHOWN)).alias("shown"))
 
 
 def stranger_occurrences(
-    files: DataFrame, keys: Sequence[str], path: str, text: str, pattern: str, declared: DataFrame,
+    files: DataFrame, keys: Sequence[str], path: str, text: str, pattern: str | Spelling, declared: DataFrame,
     accounted: Sequence[str] = (), ignored_lines: Sequence[str] = (),
 ) -> DataFrame:
     """Occurrences that lie in no declared span, in no accounted file and on no ignored line.
 
-    Every text is searched whole, and ignored lines are told by the whole line; only what is shown of it is cut."""
+    The patterns declared for a file join it as one list. Spans and occurrences are sorted together by their begin; the
+    farthest end of the spans begun so far tells whether an occurrence lies in one. Only strangers leave the row. Every text
+    is searched whole, and ignored lines are told by the whole line; only what is shown of it is cut.
+    """
     open_files = files
     for glob in accounted:
         open_files = open_files.where(~F.col(path).rlike(glob_regex(glob)))
-    found = occurrences(open_files, keys, text, pattern)
-    spans = occurrences(open_files.join(declared.select(*keys, "pattern"), list(keys)), [*keys, "pattern"], text, F.col("pattern"))
-    spans = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("begin").alias("_b"), F.col("stop").alias("_s"))
-    same = [F.col(k) == F.col(f"_{k}") for k in keys]
-    # Both sides are equi-joined by file; a file is bounded.
-    bare = found.join(spans, [*same, (F.col("_b") <= F.col("begin")) & (F.col("stop") <= F.col("_s"))], "left_anti")
-    if not ignored_lines:
-        return line_of(bare, open_files, keys, text)
-    shown = line_of(bare, open_files, keys, text, None)
-    for ignored in ignored_lines:
-        shown = shown.where(~F.col("shown").rlike(ignored))
-    return shown.withColumn("shown", F.left("shown", F.lit(SHOWN)))
+    held = open_files.where(F.rlike(F.col(text), F.lit(CHAIN if isinstance(pattern, Spelling) else pattern)))
+    patterns = declared.groupBy(*keys).agg(F.collect_set("pattern").alias("_patterns"))
+    joined = held.select(*keys, F.col(text).alias("_t")).join(patterns, list(keys), "left")
+    found = joined.withColumn("_found", placed(F.col("_t"), pattern))
+    declared_here = F.coalesce("_patterns", F.array().cast("array<string>"))
+    spanned = found.withColumn("_spans", F.flatten(F.transform(declared_here, lambda p: placed(F.col("_t"), p)))).drop("_t", "_patterns")
+
+    def events(column: str, kind: int) -> Column:
+        # A span at 0 comes before an occurrence that begins where it does.
+        return F.transform(column, lambda o: F.struct(o["begin"].alias("begin"), F.lit(kind).alias("kind"), *[o[c].alias(c) for c in ("stop", "line", "found", "shown")]))
+
+    ordered = spanned.withColumn("_events", F.array_sort(F.concat(events("_spans", 0), events("_found", 1)))).drop("_spans", "_found")
+    # Bound once: an expression that a lambda names is worked out for each element.
+    bare = let(
+        F.col("_events"),
+        lambda es: let(
+            running_max(F.transform(es, lambda e: F.when(e["kind"] == 0, e["stop"]).otherwise(-1)), -1),
+            lambda reach: F.filter(es, lambda e, i: (e["kind"] == 1) & (F.get(reach, i) < e["stop"])),
+        ),
+    )
+    strangers = ordered.select(*keys, bare.alias("_bare"))
+    if ignored_lines:
+        ignored = F.array(*[F.lit(i) for i in ignored_lines])
+        strangers = strangers.withColumn("_bare", F.filter("_bare", lambda e: ~F.exists(ignored, lambda i: F.rlike(e["shown"], i))))
+    return _opened(strangers, keys, F.col("_bare")).select(
+        *keys, "_o.begin", "_o.stop", "_o.line", "_o.found", F.left("_o.shown", F.lit(SHOWN)).alias("shown")
+    )
 
 
 def without_lagging(rows: DataFrame, lagging: DataFrame, project: str) -> DataFrame:

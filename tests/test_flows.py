@@ -1,7 +1,11 @@
 """Whole texts, models that share names, versions of unlike length, and flows over documents that cannot be read."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from concord.functions.arrays import running_max, running_sum
 from concord.functions.versions import normalize_version, version_key
 from concord.operators import fleet, scan, validate
 from concord.operators.nodes import json_nodes
@@ -73,6 +77,77 @@ def test_strangers_in_long_texts_and_long_lines(spark):
     assert sorted((r.path, r.line, len(r.shown)) for r in found) == [("a", 1_100_001, 17), ("c", 1, 200)]
 
 
+def plain_spellings(text, major, minor, patch):
+    """(begin, found): numbers with what parts them, judged one by one."""
+    out, last = [], -1
+    numbers = list(re.finditer(r"\d+", text))
+    for i, m in enumerate(numbers):
+        if m[0] != str(major) or m.start() < last or i + 1 == len(numbers) or numbers[i + 1][0] != str(minor):
+            continue
+        gap = lambda j: text[numbers[j].end() : numbers[j + 1].start()] if j + 1 < len(numbers) else ""
+        sep, begin, end = gap(i), m.start(), numbers[i + 1].end()
+        front = text[begin - 1 : begin]
+        if sep in (".", "-"):
+            more = gap(i + 1) == sep
+            if more and numbers[i + 2][0] == str(patch) and gap(i + 2) != sep:
+                end, more = numbers[i + 2].end(), False
+            if more or front == sep:
+                continue
+            if front in ("v", "V") and not re.match(r"[\d" + sep + "]", text[begin - 2 : begin - 1] if begin > 1 else "x"):
+                begin -= 1
+        elif sep != "_":
+            if not (re.fullmatch(r",\s*", sep) and re.fullmatch(r",\s*", gap(i + 1)) and numbers[i + 2][0] == str(patch)):
+                continue
+            end = numbers[i + 2].end()
+        out.append((begin, text[begin:end]))
+        last = end
+    return out
+
+
+def test_spellings_against_a_plain_search(spark):
+    said = {"26.1": 1, "v26.1.0": 1, "26-1": 1, "26_1": 1, "26, 1, 0": 1, "0.26.1": 0, "26.10": 0, "2026-10-13": 0, "26.1.0.5": 0, "26.1.": 1, "1v26.1": 1, "-26-1": 0, "1_26_1": 1, "26,1": 0, "126.1": 0, "V26-1-0": 1}
+    rng = random.Random(3)
+    texts = [*said] + ["".join(rng.choice(["26", "1", "0", "26.1", "26-1", ".", "-", "_", ", ", ",", "v", "x", "\n", " ", "é"]) for _ in range(rng.randrange(25))) for _ in range(1500)]
+    files = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    found = {}
+    for r in scan.occurrences(files, ["id"], "content", scan.spellings(26, 1, 0)).collect():
+        found.setdefault(r.id, []).append((r.begin, r.found))
+        text = texts[r.id]
+        assert text[r.begin : r.stop] == r.found and r.line == text.count("\n", 0, r.begin) + 1 and r.shown == text.split("\n")[r.line - 1].strip()
+    assert [len(found.get(i, [])) for i in range(len(said))] == list(said.values())
+    assert {i: sorted(x) for i, x in found.items()} == {i: x for i, t in enumerate(texts) if (x := plain_spellings(t, 26, 1, 0))}
+
+
+def test_matches_of_files_of_one_key_stay_apart(spark):
+    files = spark.createDataFrame([("a", "x 26.1"), ("a", "\n\nlong before 26.1"), ("b", "none")], "path string, content string")
+    found = scan.occurrences(files, ["path"], "content", r"26\.1").collect()
+    assert sorted((r.path, r.begin, r.line, r.shown) for r in found) == [("a", 2, 1, "x 26.1"), ("a", 14, 3, "long before 26.1")]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "ab\n" * 5_000 + "abab"
+    files = spark.createDataFrame([(1, text)], "id int, content string")
+    found = scan.occurrences(files, ["id"], "content", "b").orderBy("begin").collect()
+    assert [(r.begin, r.line) for r in found] == [(m.start(), text.count("\n", 0, m.start()) + 1) for m in re.finditer("b", text)]
+
+
+def test_running_values(spark):
+    rng = random.Random(2)
+    rows = [[rng.randint(-9, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 4_096, 4_097, 9_000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x array<long>")
+    got = df.select(running_sum(F.col("x")).alias("s"), running_max(F.col("x"), -99).alias("m")).orderBy("i").collect()
+    for r, x in zip(got, rows):
+        assert r.s == [sum(x[:i]) for i in range(len(x))] and r.m == [max(x[:i], default=-99) for i in range(len(x))]
+
+
+def test_a_stale_statement_has_its_line(spark):
+    files = spark.createDataFrame([("a", "one\n release\n  = 9.6.0 here\n"), ("a", "x")], "path string, content string")
+    declared = spark.createDataFrame([("a", r"release\s+= ([0-9.]+)", 1, "full")], "path string, pattern string, occurrences int, form string")
+    found = scan.check_statements(files, ["path"], "content", declared, (26, 1, 0)).collect()
+    assert sorted((r.finding, r.line, r.found, r.expected, r.shown) for r in found if r.line) == [("stale", 3, "9.6.0", "26.1.0", "release")]
+    assert [r.finding for r in found if r.line is None] == ["missing"]
+
+
 def test_an_unknown_form_is_a_finding(spark):
     files = spark.createDataFrame([("a", "v 26.1")], "path string, content string")
     declared = spark.createDataFrame([("a", r"v ([0-9.]+)", 1, "roman")], "path string, pattern string, occurrences int, form string")
