@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from concord.operators.nodes import json_nodes, json_rejects
 from concord.queries.registry import query, table
-from concord.sources.corpus import decode_audit, drop_oversize, scan_corpus, scratch_folder
+from concord.sources.corpus import decode_audit, drop_oversize, scan_corpus, scratch_folder, with_contents
 from concord.sources.hourly import hourly_rows
 from concord.sources.report import write_findings
-from concord.sources.rings import parse_rings, read_rings, report_rows, ring_lines
+from concord.sources.rings import parse_rings, read_rings, report_rows, ring_lines, ring_rejects
 from concord.sources.statements import statements
 
 # Rings of 32 vertices: coordinates in pairs from the vector, the label as height.
@@ -28,10 +28,15 @@ def embedding_rings(spark, sf):
     return e.select("vec_id", "label", ring.alias("vertices"))
 
 
-@query("a01_corpus_scan")
+@query("a01_corpus_scan", "SELECT lang, sum(octet_length(encode(text)) + 1)::BIGINT AS size, sum(octet_length(encode(text)) + 1)::BIGINT AS content FROM documents GROUP BY lang")
 def a01(spark, sf):
-    files = scan_corpus(spark, sf, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "size")
+    # The corpus is written from the documents: files of lines, a folder for each language.
+    folder = scratch_folder(spark, "corpus")
+    table(spark, sf, "documents").select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(folder)
+    listing = scan_corpus(spark, folder, "*.txt")
+    read = with_contents(spark, listing, folder, "*.txt")
+    lang = F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")
+    return read.groupBy(lang).agg(F.sum("size").alias("size"), F.sum(F.octet_length("content")).cast("long").alias("content"))
 
 
 @query(
@@ -84,22 +89,39 @@ def a04_rejects(spark, sf):
     return json_rejects(table(spark, sf, "events").select("event_id", broken.alias("json")), ["event_id"], "json", 40)
 
 
-@query(
-    "a05_statements",
-    """SELECT p_partkey, 1 AS seq, 1 AS line, p_type AS obj_type, 0 AS pos, p_name AS raw FROM part
+PART_STATEMENTS = """SELECT p_partkey, 1 AS seq, 1 AS line, p_type AS obj_type, 0 AS pos, p_name AS raw FROM part
        UNION ALL SELECT p_partkey, 1, 1, p_type, 1, p_size::VARCHAR FROM part
        UNION ALL SELECT p_partkey, 2, 4, 'Brand', 0, p_brand FROM part
        UNION ALL SELECT p_partkey, 2, 4, 'Brand', 1, '' FROM part
-       UNION ALL SELECT p_partkey, 2, 4, 'Brand', 2, 'two lines' FROM part""",
-)
-def a05(spark, sf):
+       UNION ALL SELECT p_partkey, 2, 4, 'Brand', 2, 'two lines' FROM part"""
+
+
+def part_texts(spark, sf):
     part = table(spark, sf, "part", spread=True)
     text = F.concat(
         F.col("p_type"), F.lit(",\n  "), F.col("p_name"), F.lit(", "), F.col("p_size").cast("string"),
         F.lit("; ! a stray, comment;\n! a whole line;\nBrand, "), F.col("p_brand"), F.lit(", , two\n  lines;\n"),
     )
-    fields = statements(part.select("p_partkey", text.alias("content")), ["p_partkey"])
-    return fields.select("p_partkey", "seq", "line", "obj_type", "pos", "raw")
+    return part.select("p_partkey", "p_type", "p_size", text.alias("content"))
+
+
+@query("a05_statements", PART_STATEMENTS)
+def a05(spark, sf):
+    return statements(part_texts(spark, sf), ["p_partkey"]).select("p_partkey", "seq", "line", "obj_type", "pos", "raw")
+
+
+@query(
+    "a05_statement_pieces",
+    f"""WITH s AS ({PART_STATEMENTS}), f AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS n FROM part)
+       SELECT f.p_type, 2 * n + seq AS seq, 5 * n + line AS line, obj_type, pos, raw FROM s JOIN f USING (p_partkey)""",
+)
+def a05_pieces(spark, sf):
+    # One file a type, of the texts of its parts one after the other, cut into pieces inside every one of them.
+    texts = part_texts(spark, sf)
+    cut = (F.col("p_size") % F.length("content") + 1).cast("int")
+    pieces = texts.select("p_type", "p_partkey", F.posexplode(F.array(F.expr("left(content, p_size % length(content) + 1)"), F.substring("content", cut + 1, F.length("content")))).alias("half", "content"))
+    numbered = pieces.withColumn("at", F.col("p_partkey") * 2 + F.col("half"))
+    return statements(numbered, ["p_type"], at="at").select("p_type", "seq", "line", "obj_type", "pos", "raw")
 
 
 @query(
@@ -121,15 +143,23 @@ def a06(spark, sf):
     )
 
 
-@query("a06_ring_file", "SELECT 'v' || vec_id AS name, len(embedding)::BIGINT // 2 AS vertices FROM embeddings")
+@query(
+    "a06_ring_file",
+    """SELECT 'v' || vec_id AS name, CASE WHEN vec_id % 5 <> 0 THEN len(embedding) // 2 END::BIGINT AS vertices,
+              CASE WHEN vec_id % 5 = 0 THEN (len(embedding) // 2) || ' vertices stated, ' || (len(embedding) // 2 * 3 - 1) || ' numbers' END AS reject FROM embeddings""",
+)
 def a06_file(spark, sf):
     rings = embedding_rings(spark, sf).select(
         F.lit("Shading Surface").alias("kind"), F.concat(F.lit("v"), "vec_id").alias("name"),
-        F.lit("Wall").alias("surface_class"), F.lit("").alias("base_surface"), "vertices",
+        F.lit("Wall").alias("surface_class"), F.lit("").alias("base_surface"), "vertices", "vec_id",
     )
     folder = scratch_folder(spark, "rings")
-    ring_lines(rings).write.text(folder)
-    return read_rings(spark, folder).select("name", F.size("vertices").cast("long").alias("vertices"))
+    # Every fifth line loses its last number.
+    line = F.when(F.col("vec_id") % 5 == 0, F.regexp_replace("value", ",[^,]*$", "")).otherwise(F.col("value"))
+    ring_lines(rings, ["vec_id"]).select(line.alias("value")).write.text(folder)
+    kept = read_rings(spark, folder).select("name", F.size("vertices").cast("long").alias("vertices"), F.lit(None).cast("string").alias("reject"))
+    lines = spark.read.text(folder)
+    return kept.unionByName(ring_rejects(lines).select("name", F.lit(None).cast("long").alias("vertices"), "reject"))
 
 
 @query(

@@ -364,13 +364,14 @@ def b16(spark, sf):
     "b17_drift_outside_spans",
     DRIFT.format(where="a[i] <> b[i] AND i > 20")
     + """SELECT doc_id, off AS "offset", off AS right_offset, substr(written, off + 1, n) AS left_text, substr(text, off + 1, n) AS right_text
-       FROM regions JOIN p USING (doc_id) WHERE lang <> 'de'""",
+       FROM regions JOIN p USING (doc_id) WHERE lang <> 'de'
+       UNION ALL SELECT doc_id, length(written), length(written), '', right(text, 1) FROM p WHERE lang = 'de' AND length(text) > 20""",
 )
 def b17(spark, sf):
-    # The first twenty characters are one excluded span on both sides.
-    spans = F.array(F.struct(F.lit(0).alias("start"), F.least(F.lit(20), F.length("source")).alias("end")))
-    pairs = drift_pairs(spark, sf).where("lang <> 'de'").withColumn("spans", spans)
-    found = text_drift(pairs, ["doc_id"], "written", "source", "spans", "spans")
+    # The first twenty characters are one excluded span on both sides; a text that is not longer is all excluded.
+    pairs = drift_pairs(spark, sf)
+    span = lambda text: F.array(F.struct(F.lit(0).alias("start"), F.least(F.lit(20), F.length(text)).alias("end")))
+    found = text_drift(pairs.withColumns({"ls": span("written"), "rs": span("source")}), ["doc_id"], "written", "source", "ls", "rs")
     return found.select(
         "doc_id", F.col("offset").cast("long").alias("offset"), F.col("right_offset").cast("long").alias("right_offset"), "left_text", "right_text"
     )

@@ -13,22 +13,22 @@ from concord.session import shared_folder
 MAX_CHARACTERS = 2_000_000
 
 
+def _files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(root)
+
+
 def scan_corpus(spark: SparkSession, root: str, glob: str = "*", limit: int | None = None) -> DataFrame:
-    """Files under ``root`` whose name fits ``glob``: path, size and content, sorted by path.
-
-    The content is only read when a later step uses it.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", F.col("length").alias("size"), "content")
-        .orderBy("path")
-    )
+    """Files under ``root`` whose name fits ``glob``: path and size, sorted by path. No content is read."""
+    files = _files(spark, root, glob).select("path", F.col("length").alias("size")).orderBy("path")
     return files if limit is None else files.limit(limit)
 
 
+def with_contents(spark: SparkSession, listing: DataFrame, root: str, glob: str = "*") -> DataFrame:
+    """The files of a ``scan_corpus`` listing with their content, in no order. Contents are not sorted; AQE broadcasts a short
+    listing, and only a long one moves them once by path."""
+    return _files(spark, root, glob).select("path", F.col("length").alias("size"), "content").join(listing.select("path"), "path", "left_semi")
+
+
 def drop_oversize(files: DataFrame, text: str = "content", limit: int = MAX_CHARACTERS) -> DataFrame:
     """Only files small enough to be searched; apply before any pattern or explode."""
     return files.where(F.length(text) <= limit)

@@ -12,8 +12,8 @@ from concord.functions.binding import let
 ROW_KINDS = ("HeatTransfer Surface", "Shading Surface")
 SIDES_FIELD = 26
 
-# Fixed pattern: a comma outside quotes.
-COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# Stands for a comma outside quotes while a line is cut; no text file holds it.
+CUT = "\x1f"
 
 
 def vertices_of(numbers: Column) -> Column:
@@ -34,31 +34,65 @@ def _unquoted(cell: Column) -> Column:
     ).otherwise(cell)
 
 
-def parse_rings(lines: DataFrame, keys: list[str] = [], line: str = "value") -> DataFrame:  # noqa: B006
-    """Ring rows: kind, name, surface_class, base_surface, then a count and three numbers each."""
+def _cells(line: str) -> Column:
+    """The cells of a line. Quotes part it into stretches outside and inside of quotes by turns; only commas outside cut."""
+    turns = F.transform(F.split(line, '"', -1), lambda part, i: F.when(i % 2 == 0, F.replace(part, F.lit(","), F.lit(CUT))).otherwise(part))
+    plain = F.split(line, ",", -1)
+    return F.when(F.contains(F.col(line), F.lit('"')), F.transform(F.split(F.array_join(turns, '"'), CUT, -1), _unquoted)).otherwise(plain)
+
+
+def ring_scan(lines: DataFrame, keys: list[str] = [], line: str = "value") -> DataFrame:  # noqa: B006
+    """Ring rows: kind, name, surface_class, base_surface, then a count and three numbers each; ``reject`` says what is wrong.
+
+    Refused are a quote that is not closed, a count that is no whole number from 0, numbers fewer or more than three for
+    each vertex, and what is no number. Lines are read in time linear in their length.
+    """
     body = lines.where(~F.col(line).startswith("#") & ~F.col(line).startswith("kind,") & (F.trim(line) != ""))
-    cells = F.transform(F.split(line, COMMA, -1), _unquoted)
-    rows = body.select(*keys, cells.alias("_c")).withColumn("_n", F.get("_c", F.lit(4)).try_cast("int"))
-    numbers = F.transform(F.slice("_c", F.lit(6), F.col("_n") * 3), lambda v: v.try_cast("double"))
+    quotes = F.length(line) - F.length(F.replace(F.col(line), F.lit('"'), F.lit("")))
+    rows = body.select(*keys, _cells(line).alias("_c"), (quotes % 2 == 1).alias("_open")).withColumn("_n", F.get("_c", F.lit(4)).try_cast("int"))
+    rows = rows.withColumn("_numbers", F.transform(F.slice("_c", F.lit(6), F.greatest(F.size("_c") - 5, F.lit(0))), lambda v: v.try_cast("double")))
+    reject = (
+        F.when(F.col("_open"), "quote not closed")
+        .when(F.col("_n").isNull() | (F.col("_n") < 0), "no count")
+        .when(F.size("_numbers") != 3 * F.col("_n"), F.concat(F.col("_n").cast("string"), F.lit(" vertices stated, "), F.size("_numbers").cast("string"), F.lit(" numbers")))
+        .when(F.exists("_numbers", lambda v: v.isNull()), "no number")
+    )
     return rows.select(
         *keys,
         F.get("_c", F.lit(0)).alias("kind"),
         F.get("_c", F.lit(1)).alias("name"),
         F.get("_c", F.lit(2)).alias("surface_class"),
         F.get("_c", F.lit(3)).alias("base_surface"),
-        vertices_of(numbers).alias("vertices"),
+        vertices_of(F.col("_numbers")).alias("vertices"),
+        reject.alias("reject"),
     )
 
 
+def parse_rings(lines: DataFrame, keys: list[str] = [], line: str = "value") -> DataFrame:  # noqa: B006
+    """The rings of ``ring_scan``."""
+    return ring_scan(lines, keys, line).where("reject IS NULL").drop("reject")
+
+
+def ring_rejects(lines: DataFrame, keys: list[str] = [], line: str = "value") -> DataFrame:  # noqa: B006
+    """What ``ring_scan`` refuses: keys, name and reason."""
+    return ring_scan(lines, keys, line).where("reject IS NOT NULL").select(*keys, "name", "reject")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+
+
 def read_rings(spark: SparkSession, path: str) -> DataFrame:
-    return parse_rings(spark.read.text(path))
+    """Rings of the files of a folder or glob, by file."""
+    return parse_rings(_lines(spark, path), ["file"])
 
 
 def read_provenance(spark: SparkSession, path: str) -> DataFrame:
-    """The ``# key: value`` header lines."""
-    lines = spark.read.text(path).where(F.col("value").startswith("#"))
+    """The ``# key: value`` header lines, by file."""
+    lines = _lines(spark, path).where(F.col("value").startswith("#"))
     text = F.trim(F.regexp_replace("value", "^#", ""))
     return lines.select(
+        "file",
         F.trim(F.substring_index(text, ":", 1)).alias("key"),
         F.trim(F.regexp_extract(text, "^[^:]*:(.*)$", 1)).alias("value"),
     )

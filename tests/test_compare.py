@@ -227,3 +227,15 @@ def test_merge_spans(spark):
     for width in (1, 4, 1000):
         got = sorted((r.k, r.a, r.b) for r in c.merge_spans(df, ["k"], "a", "b", "n", width).collect())
         assert got == [("d", 0, 7), ("d", 8, 12), ("d", 50, 60), ("e", 0, 2)]
+
+
+def test_drift_of_long_texts_and_of_nulls(spark):
+    long = "é7 chars\n" * 2_000_000  # 18 million characters
+    one = long[:9_000_000] + "X" + long[9_000_001:]
+    rows = [(1, long, one), (2, long, long[:-1]), (3, None, "new"), (4, "old", None), (5, None, None), (6, "a" * 256 + "b", "a" * 256), (7, "", "x" * 600), (8, "é" * 300 + "x" + "é" * 300, "é" * 300 + "yz" + "é" * 300)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    got = {r.id: (r.offset, r.line, r.column, r.right_offset, r.left_text, r.right_text) for r in text_drift(df, ["id"], "a", "b").collect()}
+    assert got == {
+        1: (9_000_000, 1_000_001, 1, 9_000_000, "é", "X"), 2: (17_999_999, 2_000_000, 9, 17_999_999, "\n", ""), 3: (0, 1, 1, 0, None, "new"), 4: (0, 1, 1, 0, "old", None),
+        6: (256, 1, 257, 256, "b", ""), 7: (0, 1, 1, 0, "", "x" * 600), 8: (300, 1, 301, 300, "x", "yz"),
+    }

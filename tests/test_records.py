@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ from concord.functions.json import pointer_pattern
 from concord.functions.versions import level_of, normalize_version, version_key
 from concord.operators import fleet, ledger, normalise, reserved, rings, rules, scan, sweep, validate
 from concord.operators.nodes import json_nodes
-from concord.sources.corpus import decode_audit, scan_corpus
+from concord.sources.corpus import decode_audit, scan_corpus, with_contents
 from concord.sources.hourly import read_hourly
 from concord.sources.report import write_findings, write_report
-from concord.sources.rings import read_provenance, read_rings, report_rows
+from concord.sources.rings import parse_rings, read_provenance, read_rings, report_rows, ring_rejects
 from concord.sources.statements import statements
 
 
@@ -157,7 +158,7 @@ def test_hourly_file_and_corpus(spark, tmp_path):
     rows = read_hourly(spark, str(tmp_path / "*.epw")).orderBy("row").collect()
     assert [(r.row, r.month, r.dry_bulb_temperature, r.liquid_precipitation_quantity) for r in rows] == [(0, 2, 6.0, 34.0), (1, 2, 6.0, 34.0)]
     (tmp_path / "b.txt").write_bytes(b"caf\xe9")
-    files = scan_corpus(spark, str(tmp_path), "*.txt")
+    files = with_contents(spark, scan_corpus(spark, str(tmp_path), "*.txt"), str(tmp_path))
     assert [tuple(r)[1:] for r in decode_audit(files, ["path"]).collect()] == [(False, 4, 4, True)]
 
 
@@ -265,3 +266,57 @@ def test_every_query_has_sql_and_agrees_on_names():
 
     assert set(oracle_sql()) <= set(queries()) and set(QUERIES) <= set(queries())
     assert set(QUERIES) - set(ORACLES) == {"a01_corpus_scan"}
+
+
+def plain_statements(text):
+    """(seq, line, terminated, type, fields) by one walk over the text."""
+    out, part, begin, line, seq, noted = [], "", None, 1, 1, False
+
+    def end(terminated):
+        if part.strip():
+            tidy = lambda c: re.sub(r"\s*[\r\n]+\s*", " ", c).strip(" ")
+            cells = [tidy(c) for c in part.split(",")]
+            out.append((seq, begin, terminated, cells[0], tuple(cells[1:])))
+
+    for c in text:
+        noted = c == "!" or noted and c not in "\r\n"
+        if c == ";" and not noted:
+            end(True)
+            part, begin, seq = "", None, seq + 1
+        elif not noted:
+            if begin is None and not c.isspace():
+                begin = line
+            part += c
+        line += c == "\n"
+    end(False)
+    return out
+
+
+def test_statements_of_cut_files(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["a", "B c", ",", ", ", ";", "; ", "! note; x", "!", "\n", "\r\n", " "]) for _ in range(rng.randrange(80))) for _ in range(120)]
+    cuts = [sorted(rng.randrange(len(t) + 1) for _ in range(rng.randrange(8))) for t in texts]
+    pieces = [(i, n, t[a:b]) for i, (t, c) in enumerate(zip(texts, cuts)) for n, (a, b) in enumerate(zip([0, *c], [*c, len(t)]))]
+    cut = statements(spark.createDataFrame(pieces, "f int, place int, content string"), ["f"], at="place")
+    whole = statements(spark.createDataFrame(list(enumerate(texts)), "f int, content string"), ["f"])
+    want = sorted((i, *s[:4], n, v) for i, t in enumerate(texts) for s in plain_statements(t) for n, v in (enumerate(s[4]) if s[4] else [(None, None)]))
+    key = lambda r: tuple((x is None, x) for x in r)
+    for found in (whole, cut):
+        got = [(r.f, r.seq, r.line, r.terminated, r.obj_type, r.pos, r.raw) for r in found.collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_ring_lines_that_disagree_are_rejected(spark):
+    wide = "k,n,c,b,16000," + ",".join(["1.5"] * 48_000)
+    lines = ['k,"a, ""b""",c,"",1,1,2,3', "k,short,c,b,2,1,2,3", "k,long,c,b,1,1,2,3,4", "k,word,c,b,1,1,x,3", 'k,"open,c,b,1,1,2,3', "k,none,c,b,x", "k,zero,c,b,0", wide, wide.replace("k,n,", 'k,"n,m",')]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, value string")
+    assert {(r.i, r.name, len(r.vertices)) for r in parse_rings(df, ["i"]).collect()} == {(0, 'a, "b"', 1), (6, "zero", 0), (7, "n", 16_000), (8, "n,m", 16_000)}
+    assert {r.i: r.reject for r in ring_rejects(df, ["i"]).collect()} == {1: "2 vertices stated, 3 numbers", 2: "1 vertices stated, 4 numbers", 3: "no number", 4: "quote not closed", 5: "no count"}
+
+
+def test_a_listing_reads_no_content(spark, tmp_path):
+    for name in ("b.txt", "a.txt", "c.bin"):
+        (tmp_path / name).write_text(name * 3)
+    listing = scan_corpus(spark, str(tmp_path), "*.txt", 1)
+    assert [(r.path[-5:], r.size) for r in listing.collect()] == [("a.txt", 15)] and "content" not in listing.columns
+    assert [bytes(r.content) for r in with_contents(spark, listing, str(tmp_path)).collect()] == [b"a.txt" * 3]
