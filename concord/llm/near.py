@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from concord.llm.common import WordHash, batch_of, durable, mix, sliced, text_bytes, windows, written
+from concord.llm.common import WordHash, batch_of, durable, mix, sliced, text_bytes, tidy_shuffles, windows, written
 from concord.llm.components import components
 
 WIDTH, SKETCH, FINE = 5, 128, 1_024
@@ -257,6 +257,7 @@ def near_duplicates(
     nothing, have no component and are kept. Rows that repeat an id share its node: it is linked if any of their texts is. Other
     columns are not read. An empty table gives an empty table.
     """
+    tidy_shuffles(docs.sparkSession)
     rows = written(sketched(docs, width, k, percent, deviations, id_col, text_col))
     key = ["n", "key1", "key2"]
     known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
