@@ -132,35 +132,39 @@ def first_unknown_type(unknown: DataFrame, ids: Sequence[str], line: str, obj_ty
     return unknown.groupBy(*ids).agg(F.min(F.struct(line, obj_type)).alias("_f")).select(*ids, "_f.*")
 
 
-def lookup(df: DataFrame, group: str, name: str, order: str, queries: DataFrame, query: str = "query") -> DataFrame:
-    """Names of a collection asked for in any casing: rows (query, present, order, name).
+def lookup(df: DataFrame, group: str, name: str, order: str, queries: DataFrame, query: str = "query", scope: Sequence[str] = ()) -> DataFrame:
+    """Names of a collection asked for in any casing: rows (scope, query, present, order, name).
 
     One row per name, so a collection of any size is never one row; a query that meets nothing
-    keeps one row with ``present`` false. The collection itself is not touched.
+    keeps one row with ``present`` false. The collection itself is not touched. ``scope`` are the columns of both tables that
+    tell documents apart: a query sees the collections of its own document only.
     """
-    asked = queries.select(query, F.lower(query).alias("_folded"))
-    members = df.select(F.lower(group).alias("_folded"), F.col(order), F.col(name))
-    hits = lookup_join(members, asked, ["_folded"], "inner").select(query, F.lit(True).alias("present"), order, name)
-    met = df.select(F.lower(group).alias("_folded")).distinct()
-    misses = asked.join(met, "_folded", "left_anti").select(
-        query, F.lit(False).alias("present"), F.lit(None).cast(dict(df.dtypes)[order]).alias(order), F.lit(None).cast("string").alias(name)
+    on = [*scope, "_folded"]
+    asked = queries.select(*scope, query, F.lower(query).alias("_folded"))
+    members = df.select(*scope, F.lower(group).alias("_folded"), F.col(order), F.col(name))
+    joined = spread_join(members, asked, on, "inner") if scope else lookup_join(members, asked, on, "inner")
+    hits = joined.select(*scope, query, F.lit(True).alias("present"), order, name)
+    met = df.select(*scope, F.lower(group).alias("_folded")).distinct()
+    misses = asked.join(met, on, "left_anti").select(
+        *scope, query, F.lit(False).alias("present"), F.lit(None).cast(dict(df.dtypes)[order]).alias(order), F.lit(None).cast("string").alias(name)
     )
     return hits.unionByName(misses)
 
 
-def resolve_refs(refs: DataFrame, ref: str, names: DataFrame, name: str, out: str = "target") -> DataFrame:
+def resolve_refs(refs: DataFrame, ref: str, names: DataFrame, name: str, out: str = "target", scope: Sequence[str] = ()) -> DataFrame:
     """Adds the name a reference meets in any casing; both spellings stay as they are.
 
-    Dangling references keep a null target; an object may refer to itself.
+    Dangling references keep a null target; an object may refer to itself. ``scope`` are the columns of both tables that tell
+    documents apart: a reference meets names of its own document only.
     """
-    declared = names.groupBy(F.lower(name).alias("_folded")).agg(F.min(name).alias(out))
-    return spread_join(refs.withColumn("_folded", F.lower(ref)), declared, ["_folded"]).drop("_folded")
+    declared = names.groupBy(*scope, F.lower(name).alias("_folded")).agg(F.min(name).alias(out))
+    return spread_join(refs.withColumn("_folded", F.lower(ref)), declared, [*scope, "_folded"]).drop("_folded")
 
 
-def rename_refs(refs: DataFrame, ref: str, renames: DataFrame) -> DataFrame:
-    """References follow renamed objects (``old`` to ``new``), matched in any casing."""
-    moved = renames.groupBy(F.lower("old").alias("_folded")).agg(F.min("new").alias("_new"))
-    joined = spread_join(refs.withColumn("_folded", F.lower(ref)), moved, ["_folded"])
+def rename_refs(refs: DataFrame, ref: str, renames: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """References follow renamed objects (``old`` to ``new``), matched in any casing, each within its document (``scope``)."""
+    moved = renames.groupBy(*scope, F.lower("old").alias("_folded")).agg(F.min("new").alias("_new"))
+    joined = spread_join(refs.withColumn("_folded", F.lower(ref)), moved, [*scope, "_folded"])
     return joined.withColumn(ref, F.coalesce("_new", ref)).drop("_folded", "_new")
 
 

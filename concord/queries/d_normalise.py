@@ -1,8 +1,12 @@
 """Normalisation over the driver's tables."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators import normalise as n
+from concord.operators.changes import apply_changes
 from concord.operators.skew import blocked_number
 from concord.queries.registry import query, table
 from concord.sources.statements import statements
@@ -277,6 +281,97 @@ def d18_rejects(spark, sf):
     return n.patch_rejects(c, ops, "c_custkey", {"c_name": "string", "c_acctbal": "double"}).select("c_custkey", "seq", "reason")
 
 
+def threes(spark, sf):
+    """Orders in documents of three, which have the same names in every document."""
+    order = F.col("o_orderkey")
+    names = F.concat(F.lit("Order "), (order % 3).cast("string"))
+    return table(spark, sf, "orders").select(F.floor(order / 3).alias("doc"), (order % 3).alias("at"), names.alias("name"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"))
+
+
+def order_changes(spark, sf):
+    """Open orders get an update with a field that is unknown, finished ones a good one; names move on when they are free."""
+    o = threes(spark, sf)
+    op = lambda at, where, seq, kind, name, field=None, value=None, to=None: o.where(F.col("at") == at).where(where).select(
+        "doc", F.lit(seq).alias("seq"), F.lit(kind).alias("op"), F.lit(name).alias("name"), *[F.lit(v).cast("string").alias(c) for c, v in (("field", field), ("value", value), ("to", to))]
+    )
+    done, every = "status = 'F'", "true"
+    changes = [
+        op(0, "status IN ('F', 'O')", 1, "update", "ORDER 0", "total", "1.5"), op(0, done, 1, "update", "ORDER 0", "status", "X"),
+        op(0, "status = 'O'", 1, "update", "ORDER 0", "colour", "red"), op(0, "status = 'P'", 1, "set-field", "order 0", "total", "a lot"),
+        op(1, every, 2, "rename", "ORDER 1", to="Spare"), op(2, every, 3, "rename", "Order 0", to="ORDER 2"), op(2, done, 4, "remove", "order 2"),
+        op(2, every, 5, "rename", "Spare", to="Order 2"), op(2, every, 6, "set-field", "order 2", "status", "last"),
+        op(1, every, 7, "add", "order 1", "total", "7"), op(1, every, 8, "rename", "order 1", to="ORDER 1"),
+    ]
+    return apply_changes(o, functools.reduce(DataFrame.unionByName, changes), ["doc"], "name", {"total": "double", "status": "string"})
+
+
+THREES = """WITH o AS (SELECT o_orderkey // 3 AS doc, o_orderkey % 3 AS nth, o_totalprice AS total, o_orderstatus AS status FROM orders),
+    m AS (SELECT a.*, b.status AS next FROM o a LEFT JOIN o b ON b.doc = a.doc AND b.nth = 2) """
+
+
+@query(
+    "d18_changes",
+    THREES
+    + """SELECT doc, 'Order 0' AS name, CASE status WHEN 'F' THEN 1.5 ELSE total END AS total, CASE status WHEN 'F' THEN 'X' ELSE status END AS status FROM o WHERE nth = 0
+       UNION ALL SELECT doc, CASE next WHEN 'F' THEN 'Order 2' ELSE 'Spare' END, total, CASE next WHEN 'F' THEN 'last' ELSE status END FROM m WHERE nth = 1
+       UNION ALL SELECT doc, 'Order 2', total, 'last' FROM o WHERE nth = 2 AND status <> 'F'
+       UNION ALL SELECT doc, 'ORDER 1', 7.0, NULL FROM o WHERE nth = 1""",
+)
+def d18_changes(spark, sf):
+    return order_changes(spark, sf)[0]
+
+
+@query(
+    "d18_change_rejects",
+    THREES
+    + """SELECT doc, 1 AS seq, 'total' AS field, CASE status WHEN 'O' THEN 'group refused' ELSE 'unreadable' END AS reason FROM o WHERE nth = 0 AND status IN ('O', 'P')
+       UNION ALL SELECT doc, 1, 'colour', 'unknown field' FROM o WHERE nth = 0 AND status = 'O'
+       UNION ALL SELECT doc, 3, NULL, 'exists' FROM o WHERE nth = 2
+       UNION ALL SELECT doc, 5, NULL, 'exists' FROM o WHERE nth = 2 AND status <> 'F'""",
+)
+def d18_change_rejects(spark, sf):
+    return order_changes(spark, sf)[1].select("doc", "seq", "field", "reason")
+
+
+@query(
+    "d16_lookup_in_document",
+    """WITH q AS (SELECT c_custkey AS o_custkey, lower(s) AS query FROM customer, (VALUES ('F'), ('p')) v(s))
+       SELECT q.o_custkey, query, o_orderkey IS NOT NULL AS present, o_orderkey, o_orderpriority FROM q LEFT JOIN orders o ON o.o_custkey = q.o_custkey AND lower(o_orderstatus) = query""",
+)
+def d16_document(spark, sf):
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.explode(F.array(F.lit("f"), F.lit("p"))).alias("query"))
+    return n.lookup(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority", "o_orderkey", asked, scope=["o_custkey"])
+
+
+def nation_names(spark, sf):
+    """Names that suppliers of several nations share, and customers who refer to them."""
+    digit = lambda key, word: F.concat(F.lit(word), (F.col(key) % 10).cast("string"))
+    names = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", digit("s_suppkey", "Source ").alias("name"))
+    refs = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", digit("c_custkey", "SOURCE ").alias("ref"))
+    return refs, names
+
+
+@query(
+    "d17_resolve_in_document",
+    """SELECT c_custkey, c_nationkey AS nation, 'SOURCE ' || c_custkey % 10 AS ref,
+              CASE WHEN (c_nationkey, c_custkey % 10) IN (SELECT (s_nationkey, s_suppkey % 10) FROM supplier) THEN 'Source ' || c_custkey % 10 END AS target FROM customer""",
+)
+def d17_document(spark, sf):
+    refs, names = nation_names(spark, sf)
+    return n.resolve_refs(refs, "ref", names, "name", scope=["nation"])
+
+
+@query(
+    "d19_rename_in_document",
+    """SELECT c_custkey, c_nationkey AS nation, coalesce((SELECT min('first ' || s_suppkey) FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey % 10 = c_custkey % 10),
+              'SOURCE ' || c_custkey % 10) AS ref FROM customer""",
+)
+def d19_document(spark, sf):
+    refs, names = nation_names(spark, sf)
+    renames = names.select("nation", F.col("name").alias("old"), F.concat(F.lit("first "), F.col("s_suppkey").cast("string")).alias("new"))
+    return n.rename_refs(refs, "ref", renames, ["nation"])
+
+
 @query(
     "d19_rename",
     """SELECT l_orderkey, l_linenumber, CASE WHEN p_type = 'LARGE' THEN 'renamed ' || l_partkey ELSE 'PART ' || l_partkey END AS ref
