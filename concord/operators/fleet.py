@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from concord.functions.globs import glob_regex
 from concord.functions.versions import normalize_version, version_key
+from concord.operators.graphs import layers
 from concord.operators.skew import lookup_join, spread_join
-from concord.session import durable
 
 
 def newest(df: DataFrame, group: Sequence[str], version: str, out: str = "newest") -> DataFrame:
@@ -126,29 +126,8 @@ def disabled_schedules(schedules: DataFrame, unreadable: DataFrame) -> DataFrame
 
 
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, wave): a node comes one wave after the last of what it depends on (src needs dst).
-
-    Only edges between members count; a cycle is an error. One step per wave, each written out,
-    over the edges that are still open.
-    """
-    members = durable(nodes.select("node").distinct())
-    open_edges = durable(
-        edges.select("src", "dst").distinct()
-        .join(members.withColumnRenamed("node", "src"), "src", "left_semi")
-        .join(members.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    )
-    waiting, wave, placed = members, 0, None
-    while not waiting.isEmpty():
-        wave += 1
-        blocked = open_edges.select(F.col("src").alias("node")).distinct()
-        ready = waiting.join(blocked, "node", "left_anti").withColumn("wave", F.lit(wave))
-        placed_now = durable(ready)
-        if placed_now.isEmpty():
-            raise ValueError(f"no order: {waiting.count()} members wait on a cycle")
-        placed = placed_now if placed is None else placed.unionByName(placed_now)
-        waiting = durable(waiting.join(placed_now, "node", "left_anti"))
-        open_edges = durable(open_edges.join(placed_now.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    return members.withColumn("wave", F.lit(0)).limit(0) if placed is None else placed
+    """(node, wave): a node comes one wave after the last of what it depends on (src needs dst). See ``layers``."""
+    return layers(nodes, edges)
 
 
 def order_gate(requests: DataFrame, releases: DataFrame) -> DataFrame:

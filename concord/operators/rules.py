@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.operators.graphs import cycles
 from concord.operators.skew import spread_join
-from concord.session import durable
 
 
 def _found(df: DataFrame, rule: str, key: str | Column, message: str | Column) -> DataFrame:
@@ -88,69 +88,6 @@ def covers(df: DataFrame, column: str, expected: DataFrame, expected_column: str
     )
 
 
-def _trim(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without incoming or without outgoing edges are peeled off."""
-    left = edges.count()
-    while True:
-        srcs, dsts = edges.select("src").distinct(), edges.select("dst").distinct()
-        edges = durable(
-            edges.join(dsts.withColumnRenamed("dst", "src"), "src", "left_semi").join(srcs.withColumnRenamed("src", "dst"), "dst", "left_semi")
-        )
-        now = edges.count()
-        if now in (0, left):
-            return edges
-        left = now
-
-
-def cycles(edges: DataFrame) -> DataFrame:
-    """Every node on a cycle, with the cycle's component (its largest node).
-
-    Peeling leaves what lies on or between cycles. The largest label that can reach a node colours
-    it; nodes that reach back to the node their colour is named after form one component. Found
-    components are removed and the rest is peeled again. Each step is a join over the edges that
-    are left, written out, so a lost executor costs one step.
-    """
-    edges = durable(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    found = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    edges = _trim(edges.where("src <> dst"))
-    while not edges.isEmpty():
-        colours = durable(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("colour", F.col("node")))
-        while True:
-            sent = edges.join(colours, edges["src"] == colours["node"]).select(F.col("dst").alias("node"), F.col("colour").alias("_sent"))
-            best = sent.groupBy("node").agg(F.max("_sent").alias("_sent"))
-            moved = colours.join(best, "node", "left").select(
-                "node", F.greatest("colour", "_sent").alias("colour"), (F.col("_sent") > F.col("colour")).alias("_moved")
-            )
-            moved = durable(moved)
-            changed = not moved.where("_moved").isEmpty()
-            colours = moved.select("node", "colour")
-            if not changed:
-                break
-        # Backwards from each root, inside its colour.
-        inside = (
-            edges.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("_a")), "src")
-            .join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("_b")), "dst")
-            .where("_a = _b")
-            .select("src", "dst", F.col("_a").alias("colour"))
-        )
-        inside = durable(inside)
-        members = durable(colours.where("node = colour"))
-        frontier = members
-        while True:
-            back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct()
-            frontier = durable(back.join(members, ["node", "colour"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            members = durable(members.unionByName(frontier))
-        size = members.groupBy("colour").agg(F.count(F.lit(1)).alias("_n"))
-        found = found.unionByName(members.join(size.where("_n > 1"), "colour").select("node", F.col("colour").alias("component")))
-        gone = members.select("node")
-        edges = _trim(
-            edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        )
-    return found.groupBy("node").agg(F.max("component").alias("component"))
-
-
 def cycle_findings(edges: DataFrame) -> DataFrame:
     return _found(cycles(edges), "acyclic", "node", "lies on a cycle")
 
