@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.numbers import is_finite, num_equal
 from concord.operators.nodes import AFTER_ALL, VALUE, topmost
-from concord.operators.skew import blocked_running
+from concord.operators.skew import blocked_running, data_blocks
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -272,18 +272,26 @@ def diff_sequence(left: DataFrame, right: DataFrame, keys: Sequence[str], pos: s
     return unlike.unionByName(sizes)
 
 
-def merge_spans(spans: DataFrame, group: Sequence[str], start: str, end: str, length: str | None = None, width: int = 1_000_000) -> DataFrame:
-    """Spans clamped to their text, empty ones dropped, overlapping or touching ones merged."""
+def merge_spans(spans: DataFrame, group: Sequence[str], start: str, end: str, length: str | None = None, rows: int = 1_000_000) -> DataFrame:
+    """Spans clamped to their text, empty ones dropped, overlapping or touching ones merged.
+
+    Spans are moved once: each block of a group (``data_blocks``) merges its own. What is left of a block meets only the
+    furthest end of the blocks before it; a span that begins within that reach belongs to the last one opened there.
+    """
+    group = list(group)
     s, e = F.col(start), F.col(end)
     kept = spans.where(e > s)
     if length is not None:
         s, e = F.greatest(F.lit(0), F.least(s, F.col(length))), F.greatest(F.lit(0), F.least(e, F.col(length)))
     # A clamped span may be empty now; it is kept because it may still touch a neighbour's end.
-    clamped = kept.select(*group, s.alias("_s"), e.alias("_e")).groupBy(*group, "_s").agg(F.max("_e").alias("_e"))
-    block = F.floor(F.col("_s") / F.lit(width))
-    seen = blocked_running(clamped, group, [F.col("_s")], block, {"_reach": ("max", F.col("_e"), False)})
-    opened = seen.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), F.col("_s")))
-    placed = blocked_running(
-        opened, group, [F.col("_s")], block, {"_island": ("max", F.col("_opens"), True)}
-    )
+    cut = data_blocks(kept.select(*group, s.alias("_s"), e.alias("_e")), group, "_s", rows)
+    inside = Window.partitionBy(*group, "_block").orderBy("_s")
+    reach = F.max("_e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opened = cut.withColumn("_opens", F.when(reach.isNull() | (F.col("_s") > reach), F.col("_s")))
+    local = opened.withColumn("_island", F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = local.groupBy(*group, "_block", F.col("_island").alias("_s")).agg(F.max("_e").alias("_e"))
+    order, one = [F.col("_s")], {"_reach": ("max", F.col("_e"), False)}
+    carried = blocked_running(parts.withColumnRenamed("_block", "_cut"), group, order, F.col("_cut"), one)
+    opened = carried.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), F.col("_s")))
+    placed = blocked_running(opened, group, order, F.col("_cut"), {"_island": ("max", F.col("_opens"), True)})
     return placed.groupBy(*group, F.col("_island").alias(start)).agg(F.max("_e").alias(end))

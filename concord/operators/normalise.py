@@ -15,16 +15,16 @@ from concord.operators.skew import blocked_number, lookup_join, spread_join
 SENTINELS = ("autosize", "autocalculate")
 
 
-def synthetic_key(df: DataFrame, model: Sequence[str], obj_type: str, order: str, width: int = 1_000_000) -> DataFrame:
+def synthetic_key(df: DataFrame, model: Sequence[str], obj_type: str, order: str, rows: int = 1_000_000) -> DataFrame:
     """Adds ``synthetic``: ``<Type> N``, counted from 1 in file order within model and type."""
-    numbered = blocked_number(df, [*model, obj_type], order, "_n", width)
+    numbered = blocked_number(df, [*model, obj_type], order, "_n", rows)
     return numbered.withColumn("synthetic", F.concat_ws(" ", F.col(obj_type), F.col("_n").cast("string"))).drop("_n")
 
 
-def object_key(df: DataFrame, model: Sequence[str], obj_type: str, order: str, has_name: str, name: str, width: int = 1_000_000) -> DataFrame:
+def object_key(df: DataFrame, model: Sequence[str], obj_type: str, order: str, has_name: str, name: str, rows: int = 1_000_000) -> DataFrame:
     """Adds ``key``: the written name where the type has a name field, blank names included;
     the synthetic key elsewhere. A type without a name field never takes part in naming."""
-    nameless = synthetic_key(df.where(~F.col(has_name)), model, obj_type, order, width)
+    nameless = synthetic_key(df.where(~F.col(has_name)), model, obj_type, order, rows)
     named = df.where(F.col(has_name)).withColumn("synthetic", F.lit(None).cast("string"))
     return nameless.unionByName(named).withColumn(
         "key", F.when(F.col(has_name), F.coalesce(F.col(name), F.lit(""))).otherwise(F.col("synthetic"))

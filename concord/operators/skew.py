@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,11 +79,36 @@ def blocked_running(
     return joined.select(*df.columns, *running)
 
 
-def blocked_number(df: DataFrame, group: Sequence[str], order: str, out: str, width: int = 1_000_000) -> DataFrame:
-    """1-based position within ``group`` by the whole-number column ``order``."""
-    return blocked_running(
-        df, group, [F.col(order)], F.floor(F.col(order) / F.lit(width)), {out: ("sum", F.lit(1), True)}
-    ).withColumn(out, F.col(out).cast("long"))
+#: Bounds of a large group: it is cut into one block more, of about as many rows each.
+BOUNDS = 127
+
+
+def data_blocks(df: DataFrame, group: Sequence[str], order: str, rows: int, out: str = "_block") -> DataFrame:
+    """Adds ``out``: the block of a row within its group, numbered along ``order``.
+
+    A group of at most ``rows`` rows is one block. A larger one is cut at approximate quantiles of its own order values, so that
+    neither sparse nor dense values nor one very large group make a large block; rows of one order value stay together. Counts
+    and quantiles come from partial aggregations, and there are fewer large groups than there are ``rows`` in the table.
+    """
+    keys = [f"_k{i}" for i in range(len(group))] or ["_all"]
+    keyed = df.select(*([F.col(g).alias(k) for g, k in zip(group, keys)] or [F.lit(0).alias("_all")]), F.col(order).alias("_o"))
+    large = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).drop("_n")
+    same = lambda x, y: functools.reduce(Column.__and__, [x(k).eqNullSafe(F.col(f"{y}.{k}")) for k in keys])
+    inside = keyed.alias("x").join(large.alias("y"), same(lambda k: F.col(f"x.{k}"), "y"), "left_semi")
+    cuts = [(i + 1) / (BOUNDS + 1) for i in range(BOUNDS)]
+    bounds = inside.groupBy(*keys).agg(F.percentile_approx("_o", cuts).alias("_bounds"))
+    of = dict(zip(keys, group))
+    joined = df.alias("x").join(bounds.alias("y"), same(lambda k: F.col(f"x.{of[k]}") if k in of else F.lit(0), "y"), "left")
+    number = F.coalesce(F.size(F.filter("_bounds", lambda b: b <= F.col(f"x.{order}"))), F.lit(0))
+    return joined.select("x.*", F.when(F.col("_bounds").isNull(), 0).otherwise(number).alias(out))
+
+
+def blocked_number(df: DataFrame, group: Sequence[str], order: str, out: str, rows: int = 1_000_000) -> DataFrame:
+    """1-based position within ``group`` by ``order``, in blocks of the data's own (``data_blocks``)."""
+    cut = data_blocks(df, group, order, rows, "_cut")
+    return blocked_running(cut, group, [F.col(order)], F.col("_cut"), {out: ("sum", F.lit(1), True)}).drop("_cut").withColumn(
+        out, F.col(out).cast("long")
+    )
 
 
 def first_members(df: DataFrame, group: Sequence[str], member: str, n: int, out: str) -> DataFrame:

@@ -357,7 +357,7 @@ def b16(spark, sf):
     spans = line.select(
         F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + F.col("l_linenumber") * 3).alias("b")
     )
-    return compare.merge_spans(spans, ["k"], "a", "b", width=2000)
+    return compare.merge_spans(spans, ["k"], "a", "b", rows=2000)
 
 
 @query(

@@ -17,7 +17,7 @@ from concord.sources.statements import statements
     "SELECT event_id, event_type || ' ' || row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS synthetic FROM events",
 )
 def d01(spark, sf):
-    keyed = n.synthetic_key(table(spark, sf, "events"), [], "event_type", "event_id", width=1000)
+    keyed = n.synthetic_key(table(spark, sf, "events"), [], "event_type", "event_id", rows=1000)
     return keyed.select("event_id", "synthetic")
 
 
@@ -31,7 +31,7 @@ def d02(spark, sf):
         "event_id", "event_type", F.col("event_type").isin("click", "view").alias("has_name"),
         F.when(F.col("value") >= 20, F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("name"),
     )
-    return n.object_key(e, [], "event_type", "event_id", "has_name", "name", width=1000).select("event_id", "key")
+    return n.object_key(e, [], "event_type", "event_id", "has_name", "name", rows=1000).select("event_id", "key")
 
 
 def part_slots(spark, sf):
@@ -66,7 +66,7 @@ f AS (SELECT user_id, (pos - 2) // 3 AS grp, max(CASE WHEN (pos - 2) % 3 = 0 THE
 def user_slots(spark, sf):
     """The events of a user, in order, as the slots of one record."""
     e = table(spark, sf, "events").select("user_id", "event_id", "event_type")
-    return blocked_number(e, ["user_id"], "event_id", "_at", width=1000).withColumn("pos", F.col("_at") - 1)
+    return blocked_number(e, ["user_id"], "event_id", "_at", rows=1000).withColumn("pos", F.col("_at") - 1)
 
 
 def user_groups(spark, sf):
@@ -90,7 +90,7 @@ def d05(spark, sf):
 )
 def d06(spark, sf):
     orders = table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "o_orderpriority")
-    slots = blocked_number(orders, ["o_custkey"], "o_orderkey", "_at", width=1000).withColumn("pos", F.col("_at") - 1)
+    slots = blocked_number(orders, ["o_custkey"], "o_orderkey", "_at", rows=1000).withColumn("pos", F.col("_at") - 1)
     groups = n.fold_groups(slots, ["o_custkey"], "pos", "o_orderpriority", 2, ["a", "b"])
     held = groups.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has_groups", F.lit(True))
     return table(spark, sf, "customer").join(held, "c_custkey", "left").select(

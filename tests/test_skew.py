@@ -7,7 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from concord.operators import skew
-from concord.operators.skew import blocked_number, blocked_running, first_members, hot_keys, lookup_join, spread_join
+from concord.operators.compare import merge_spans
+from concord.operators.skew import blocked_number, blocked_running, data_blocks, first_members, hot_keys, lookup_join, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -62,9 +63,41 @@ def test_running_values_against_plain_windows(spark, width):
 
 def test_numbers_without_a_group(spark):
     df = spark.range(100).select((F.col("id") * 3).cast("int").alias("o"))
-    assert [r.n for r in blocked_number(df, [], "o", "n", width=20).orderBy("o").collect()] == list(range(1, 101))
+    assert [r.n for r in blocked_number(df, [], "o", "n", rows=20).orderBy("o").collect()] == list(range(1, 101))
 
 
 def test_first_members(spark):
     df = spark.createDataFrame([("g", x) for x in "dbaabc"] + [("h", "z")], "g string, m string")
     assert {r.g: r.first for r in first_members(df, ["g"], "m", 2, "first").collect()} == {"g": ["a", "b"], "h": ["z"]}
+
+
+@pytest.mark.parametrize("rows", [1, 50, 10_000])
+def test_blocks_follow_the_data(spark, rows):
+    """Sparse 64-bit values, a group of half the rows, a null group and no group at all."""
+    rng = random.Random(4)
+    values = [(rng.choice(["hot", "hot", "a", None]), rng.randrange(-(2**62), 2**62)) for _ in range(800)]
+    df = spark.createDataFrame(values, "g string, o long")
+    for group in (["g"], []):
+        w = Window.partitionBy(*group).orderBy("o")
+        want = df.withColumn("n", F.row_number().over(w).cast("long"))
+        assert sorted(map(str, blocked_number(df, group, "o", "n", rows=rows).collect())) == sorted(map(str, want.collect()))
+    sizes = [r["count"] for r in data_blocks(df, ["g"], "o", 50).groupBy("g", "_block").count().collect()]
+    assert max(sizes) <= 50
+
+
+@pytest.mark.parametrize("rows", [1, 30, 10_000])
+def test_merged_spans_against_going_along(spark, rows):
+    rng = random.Random(6)
+    spans = [(rng.choice(["hot", "hot", "b"]), s, s + rng.randrange(0, 40)) for s in (rng.randrange(3000) for _ in range(400))]
+    spans += [("hot", 100, 900), ("b", 5, 5), ("b", -9, 3)]
+    want = []
+    for g in ("hot", "b"):
+        at = None
+        for s, e in sorted((max(0, min(s, 2000)), max(0, min(e, 2000))) for k, s, e in spans if k == g and e > s):
+            if at is None or s > at[2]:
+                at = [g, s, e]
+                want.append(at)
+            at[2] = max(at[2], e)
+    df = spark.createDataFrame(spans, "k string, a int, b int").withColumn("len", F.lit(2000))
+    got = merge_spans(df, ["k"], "a", "b", "len", rows=rows).select("k", "a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
