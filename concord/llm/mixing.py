@@ -17,9 +17,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place(key: Column, seed: str = "") -> Column:
-    """A document's place in [0, 2**48): its share of the key space, the same in every run."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def place(key: Column, text: Column, seed: str = "") -> Column:
+    """A document's place in [0, 2**48) by its id and text: its share of the key space, the same in every run."""
+    content = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")), F.lit(":"), content).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -65,22 +66,23 @@ def mix(
     With ``keep``, all columns of ``docs`` and the last four; columns of their names are replaced.
 
     A document's size is its number of words. A source is taken whole as often as its target holds it; of the rest, the
-    documents whose place (a hash of the id) is under the source's threshold are taken once more. The threshold comes
+    documents whose place (a hash of id and text) is under the source's threshold are taken once more. The threshold comes
     from histograms: words summed by source and the first 12 bits of the place, then only the bucket in which the budget
-    ends is summed by the next 12 bits, and so on to all 48. The documents at the threshold itself share what is left in
-    proportion to their size, as a last, partial copy, so a source takes its target up to rounding. Thresholds are nested:
-    a larger target keeps every document that a smaller one took.
+    ends is summed by the next 12 bits, and so on to all 48. The documents at the threshold itself, as a rule repeated rows,
+    share what is left in proportion to their size, as a last, partial copy: the fractions are carried from one to the next, so
+    a source takes its target to the word. Thresholds are nested: a larger target keeps every document that a smaller one took.
+    They are numbered within their input partition, and partitions meet by their sums, so a row repeated without end is never
+    one task. ``docs`` should be a table of files, which reads as the same partitions each time.
 
     Sizes are written once (id, source, size, place) and read by each level. Every shuffle carries sums by source and
     bucket, summed before they move, so a source with most of the rows costs no task more. Windows run over at most 4,096
     buckets of a source.
 
     Null and empty texts have size 0 and take 0; null is a source of its own, last in order. A source without words has
-    target 0. Repeated rows and ids count each time; equal ids share a place, and share the threshold's rest if it falls on
-    them. Columns other than the three named are not read. Empty tables give an empty table.
+    target 0. Repeated rows and ids count each time; which of several equal rows takes the last words is left open. Columns other than the three named are not read. Empty tables give an empty table.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    sizes = written(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("place")))
+    sizes = written(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id"), F.col("text"), seed).alias("place"), F.spark_partition_id().alias("part")))
     sources, n = source_targets(sizes, weights, cap)
     small = (lambda df: F.broadcast(df)) if n <= BROADCAST_SOURCES else (lambda df: df)
 
@@ -100,19 +102,26 @@ def mix(
 
     ends = ends.select(F.col("source").alias("end_source"), F.col("prefix"), F.col("rest"), F.col("total"), F.col("whole"))
     limits = sources.join(small(ends), F.col("source").eqNullSafe(F.col("end_source")), "left").drop("end_source")
-    extra = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")] if keep else []
+    extra = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")] if keep else []
     if keep:
-        whole_rows = docs.select(*extra, F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), place(F.col(id_col), seed).alias("__place"))
+        whole_rows = docs.select(*extra, F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), place(F.col(id_col), F.col(text_col), seed).alias("__place"), F.spark_partition_id().alias("__part"))
     else:
-        whole_rows = sizes.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("place").alias("__place"))
+        whole_rows = sizes.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("place").alias("__place"), F.col("part").alias("__part"))
     limits = limits.select(F.col("source").alias("__from"), "source_size", "target", *[F.col(c).alias(f"__{c}") for c in ("prefix", "rest", "total", "whole")])
     found = whole_rows.join(small(limits), F.col("__source").eqNullSafe(F.col("__from")))
-    size = F.col("__size")
-    once = (
-        F.when(F.col("__place") < F.col("__prefix"), size)
-        .when(F.col("__place") == F.col("__prefix"), F.floor(size.cast("decimal(20,0)") * F.col("__rest") / F.col("__total")).cast("long"))
-        .otherwise(0)
-    )
+    # Words at each threshold in earlier partitions, then in earlier rows of the partition.
+    ties = sizes.alias("d").join(small(ends).alias("e"), F.col("d.source").eqNullSafe(F.col("e.end_source")) & (F.col("d.place") == F.col("e.prefix")))
+    parts = ties.groupBy("source", "part").agg(F.sum("size").alias("sum"))
+    earlier = F.sum("sum").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("source").alias("__at"), F.col("part").alias("__of"), F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    tied, size = F.col("__place") == F.col("__prefix"), F.col("__size")
+    rows = found.where(tied).join(parts, F.col("__source").eqNullSafe(F.col("__at")) & (F.col("__part") == F.col("__of")))
+    upto = Window.partitionBy("__source", "__part").orderBy("__size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__until", F.col("__earlier") + F.sum("__size").over(upto))
+    share = lambda words: f"(CAST({words} AS DECIMAL(20, 0)) * __rest) DIV __total"
+    rows = rows.withColumn("__once", F.expr(f"{share('__until')} - {share('__until - __size')}")).select(*found.columns, "__once")
+    rest = found.where(F.coalesce(~tied, F.lit(True))).withColumn("__once", F.when(F.col("__place") < F.col("__prefix"), size).otherwise(0).cast("long"))
+    found, once = rest.unionByName(rows), F.col("__once")
     taken = F.coalesce(F.col("__whole") * size + once, F.lit(0)).cast("long")
     first = [F.col(c) for c in extra] if keep else [F.col("doc_id"), F.col("__source").alias("source")]
     return found.select(*first, size.alias("size"), "source_size", "target", taken.alias("taken"))

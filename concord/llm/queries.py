@@ -44,7 +44,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op6_mixing"] = r"""
 WITH RECURSIVE d AS MATERIALIZED (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS place
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS place
   FROM documents),
 s AS MATERIALIZED (
   SELECT source, source_size, 3 * source_size AS most,
@@ -61,12 +61,14 @@ t AS (
   FROM s, (SELECT level FROM levels WHERE step = 40)),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(floor(target + 0.5) / source_size) ELSE 0 END::BIGINT AS whole FROM t),
 r AS (SELECT *, (floor(target + 0.5) - whole * source_size)::BIGINT AS rest FROM b),
-p AS (SELECT source, place, sum(size)::BIGINT AS total FROM d GROUP BY source, place),
-c AS (SELECT *, (sum(total) OVER (PARTITION BY source ORDER BY place))::BIGINT AS until FROM p)
-SELECT d.doc_id, d.size::BIGINT AS size, r.source_size, r.target,
-  (whole * d.size + CASE WHEN c.until <= rest THEN d.size WHEN c.until - c.total < rest THEN d.size * (rest - (c.until - c.total)) // c.total ELSE 0 END)::BIGINT AS taken
-FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
-JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.place = c.place
+c AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY place, size ROWS UNBOUNDED PRECEDING))::HUGEINT AS until,
+    (sum(size) OVER (PARTITION BY source, place))::HUGEINT AS total,
+    (sum(size) OVER (PARTITION BY source, place ORDER BY size ROWS UNBOUNDED PRECEDING))::HUGEINT AS part FROM d),
+f AS (SELECT c.*, r.* EXCLUDE (source), c.until - c.part AS start FROM c JOIN r ON c.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (whole * size + CASE WHEN start + total <= rest THEN size
+    WHEN start < rest THEN part * (rest - start) // total - (part - size) * (rest - start) // total ELSE 0 END)::BIGINT AS taken
+FROM f
 """
 
 

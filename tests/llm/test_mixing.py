@@ -17,7 +17,8 @@ def table(spark, rows):
 def brute(rows, weights=(5, 2, 1), cap=3):
     """(doc_id, size, source_size, target, taken) by sorting and by exact fractions."""
     size = lambda t: len((t or "").encode().split())
-    place = lambda i: int(hashlib.md5(("null" if i is None else str(i)).encode()).hexdigest()[:12], 16)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    place = lambda i, t: int(md5(("null" if i is None else str(i)) + ":" + md5(t or ""))[:12], 16)
     sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
     total = {s: sum(size(t) for _, t, x in rows if x == s) for s in sources}
     weight = {s: weights[n % len(weights)] for n, s in enumerate(sources)}
@@ -32,15 +33,17 @@ def brute(rows, weights=(5, 2, 1), cap=3):
         full |= more
     out = []
     for s in sources:
-        mine = sorted((place(i), i, size(t)) for i, t, x in rows if x == s)
+        mine = sorted(((place(i, t), i, size(t)) for i, t, x in rows if x == s), key=lambda m: (m[0], m[2]))
         budget = int(target[s] + Fraction(1, 2))
         whole, left = divmod(budget, total[s]) if total[s] else (0, 0)
         at = 0
         while at < len(mine):
             tied = [m for m in mine if m[0] == mine[at][0]]
             held = sum(m[2] for m in tied)
+            carry = Fraction(0)
             for _, i, n in tied:
-                once = n if held <= left else (n * left // held if left > 0 else 0)
+                exact = carry + (n if held <= left else Fraction(n * left, held) if left > 0 else 0)
+                once, carry = int(exact), exact - int(exact)
                 out.append((i, n, total[s], round(float(target[s]), 6), whole * n + once))
             left -= held
             at += len(tied)
@@ -95,3 +98,20 @@ def test_kept_columns(spark, rows):
     kept = mix(df, keep=True)
     assert set(df.columns) <= set(kept.columns) and len(kept.columns) == len(set(kept.columns))
     assert got(kept) == got(mix(df))
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_repeated_rows_reach_their_target(spark, key):
+    """A source that is one row over and over, without an id or with one id, takes its target to the word."""
+    rows = [(key, "w", "a")] * 1000 + [(i, "w", "b") for i in range(1000)]
+    found = mix(table(spark, rows).repartition(6))
+    sums = {r.source: (r.target, r.taken) for r in found.groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert all(abs(taken - target) < 1 for target, taken in sums.values())
+    assert got(found) == brute(rows) and found.count() == len(rows)
+
+
+def test_columns_that_clash_in_another_case(spark):
+    df = table(spark, corpus()).withColumnRenamed("size", "SIZE").withColumnRenamed("taken", "Taken")
+    kept = mix(df, keep=True)
+    assert sorted(c.lower() for c in kept.columns) == sorted({c.lower() for c in kept.columns})
+    assert got(kept.select("doc_id", "size", "source_size", "target", "taken")) == got(mix(df))
