@@ -12,8 +12,6 @@ LONG_TAGS = {"alpha": "a", "beta": "b"}
 TAG = "|".join([*LONG_TAGS, *filter(None, TAGS)])
 # Fixed pattern: how a version may be written.
 VERSION = rf"v?\d+(?:\.\d+)*(?:[.\-]?(?:{TAG})[.\-]?\d*)*(?:\+[0-9A-Za-z.]+)?"
-# Versions of more numbers than this are compared by the first so many.
-NUMBERS = 12
 
 
 def normalize_version(text: Column) -> Column:
@@ -38,7 +36,8 @@ def version_numbers(version: Column, n: int = 3) -> Column:
 
 
 def version_key(version: Column) -> Column:
-    """Sorts versions: (numbers, rank, number of the tag). Numbers not written are zero, so 30.3 equals 30.3.0.
+    """Sorts versions: (numbers, rank, number of the tag). Zeros at the end are left out, so 30.3 equals 30.3.0 and
+    versions of any length compare whole. Numbers may have 38 digits.
 
     Ranks go dev, a, b, rc, final, post by the first tag; a tag without a number counts as number 0.
     """
@@ -46,7 +45,9 @@ def version_key(version: Column) -> Column:
     tag = F.regexp_extract(text, r"^[0-9.]+([a-z]+)[0-9]*", 1)
     rank = F.array_position(F.array(*[F.lit(t) for t in TAGS]), tag)
     number = F.coalesce(F.regexp_extract(text, r"^[0-9.]+[a-z]+([0-9]+)", 1).try_cast("long"), F.lit(0).cast("long"))
-    return F.struct(version_numbers(text, NUMBERS).alias("numbers"), rank.alias("rank"), number.alias("number"))
+    written = F.split(F.regexp_replace(F.regexp_extract(text, "^[0-9.]*", 0), r"([.]0*)+$", ""), "[.]")
+    numbers = F.transform(written, lambda x: F.coalesce(x.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")))
+    return F.struct(numbers.alias("numbers"), rank.alias("rank"), number.alias("number"))
 
 
 def level_of(raw: Column, package: Column) -> Column:

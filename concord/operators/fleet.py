@@ -30,6 +30,8 @@ def judge(observations: DataFrame, current: DataFrame) -> DataFrame:
     ``observations`` is (consumer, library, ord, own, level, locked, delivers, error, lag);
     ``current`` (library, newest). Any error: unread. Own declarations: unpinned, current or
     behind by the first one. Delivered only: unpinned where one names no level, else via-provider.
+    ``level`` is the own one or the one that is delivered; where several are, it is null and
+    ``delivered_levels`` has them as rows.
     """
     own, effective = F.col("own"), F.coalesce("locked", "level")
     rows = observations.groupBy("consumer", "library").agg(
@@ -37,7 +39,8 @@ def judge(observations: DataFrame, current: DataFrame) -> DataFrame:
         F.bool_or(own).alias("_own"),
         F.min(F.when(own, F.struct("ord", effective.alias("level"))))["level"].alias("_level"),
         F.bool_or(~own & F.col("level").isNull()).alias("_unpinned"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~own, F.col("delivers")))), ", ").alias("_delivered"),
+        F.min(F.when(~own, F.col("delivers"))).alias("_least"),
+        F.max(F.when(~own, F.col("delivers"))).alias("_most"),
         F.max("lag").alias("lag"),
     )
     known = lookup_join(rows, current.select("library", "newest"), ["library"])
@@ -48,10 +51,17 @@ def judge(observations: DataFrame, current: DataFrame) -> DataFrame:
         .when(F.col("_unpinned"), "unpinned")
         .otherwise("via-provider")
     )
-    level = F.when(F.col("_error"), None).when(F.col("_own"), F.col("_level")).when(F.col("_delivered") != "", F.col("_delivered"))
+    level = F.when(F.col("_error"), None).when(F.col("_own"), F.col("_level")).when(F.col("_least") == F.col("_most"), F.col("_least"))
     return known.select("consumer", "library", level.alias("level"), standing.alias("standing"), "lag")
 
 
+def delivered_levels(observations: DataFrame, standings: DataFrame) -> DataFrame:
+    """(consumer, library, delivers): a row for each level that reaches a consumer by its providers alone."""
+    by_provider = standings.where("standing = 'via-provider'").select("consumer", "library")
+    rows = observations.where("NOT own AND delivers IS NOT NULL").select("consumer", "library", "delivers").distinct()
+    return spread_join(rows, by_provider, ["consumer", "library"], "left_semi")
+
+
 def explain(standings: DataFrame) -> DataFrame:
     """Standings that lack a reason, and reasons that no longer hold."""
     state = F.when(F.col("standing").isin("behind", "unpinned") & F.col("lag").isNull(), "unexplained").when(

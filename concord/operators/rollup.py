@@ -122,35 +122,69 @@ def refusals(rows: DataFrame, strangers: DataFrame, drift: DataFrame, unread: Da
     )
 
 
-def next_action(rows: DataFrame, strangers: DataFrame, project: str, order: str) -> DataFrame:
-    """What is owed next: rows (action, project, step).
+def next_action(rows: DataFrame, strangers: DataFrame, project: str, order: str, openings: DataFrame | None = None) -> DataFrame:
+    """What is owed next: rows (action, project, step, package, waiting).
 
     By priority: the first row that awaits a person or failed; the first project whose proposed
-    steps all passed, to be merged; every project not dispatched; the first gate's publication;
+    steps all passed, to be merged; every project not dispatched; the first publication that is due;
     every project with strangers. Only the highest priority with a candidate is returned.
+
+    ``openings`` is (project, package, owner): a closed project waits until the package is published by its
+    owner, null where no project is known to publish it. It is due once every step of the owner is resolved;
+    ``waiting`` counts the closed projects that wait on it. Projects that lag wait, but make nothing due.
+
+    Steps are summed up by project once; offers and the least of them are taken from those sums.
     """
-    def offer(df: DataFrame, priority: int, action: str | Column, step: Column, at: Column) -> DataFrame:
-        return df.select(
-            F.lit(priority).alias("priority"), at.cast("long").alias("at"), (F.lit(action) if isinstance(action, str) else action).alias("action"),
-            F.col(project).alias("project"), step.cast("long").alias("step"),
+    at, proposed = F.col(order).cast("long"), F.coalesce((F.col("pull") == "open") & (F.col("landing") == "proposed"), F.lit(False))
+    shut = ~F.col("opened")
+    states = rows.groupBy(project).agg(
+        F.min(F.when(F.col("verdict") == "awaiting person", at)).alias("_review"),
+        F.min(F.when(F.col("verdict") == "failed", at)).alias("_failed"),
+        F.min(F.when(proposed, at)).alias("_proposed"),
+        F.bool_and(~proposed | (F.col("verdict") == "passed")).alias("_ready"),
+        F.coalesce(F.bool_or(F.col("reason") == NOT_DISPATCHED), F.lit(False)).alias("_start"),
+        F.bool_and(resolved()).alias("_resolved"),
+        F.coalesce(F.bool_or(shut), F.lit(False)).alias("_shut"),
+        F.min(F.when(shut & F.col("lag").isNull(), at)).alias("_closed"),
+    )
+
+    def offer(priority: int, action: str, place: Column, step: Column) -> Column:
+        return F.struct(
+            F.lit(priority).alias("priority"), place.cast("long").alias("at"), F.lit(action).alias("action"), step.cast("long").alias("step"),
+            F.lit(None).cast("string").alias("package"), F.lit(None).cast("long").alias("waiting"),
         )
 
     none = F.lit(None)
-    owed = rows.where(F.col("verdict").isin("awaiting person", "failed"))
-    people = offer(owed, 1, F.when(F.col("verdict") == "failed", "resolve the failure").otherwise("review"), F.col(order), F.col(order))
-    proposed = rows.where((F.col("pull") == "open") & (F.col("landing") == "proposed"))
-    ready = proposed.groupBy(project).agg(F.bool_and(F.col("verdict") == "passed").alias("_all"), F.min(order).alias("_at")).where("_all")
-    start = rows.where(F.col("reason") == NOT_DISPATCHED).groupBy(project).agg(F.min(order).alias("_at"))
-    closed = rows.where(~F.col("opened") & F.col("lag").isNull()).groupBy(project).agg(F.min(order).alias("_at"))
-    loose = strangers.select(project).distinct()
-    offers = (
-        people.unionByName(offer(ready, 2, "merge", none, F.col("_at")))
-        .unionByName(offer(start, 3, "start", none, F.lit(0)))
-        .unionByName(offer(closed, 4, "publish", none, F.col("_at")))
-        .unionByName(offer(loose, 5, "account for strangers", none, F.lit(0)))
+    offered = F.array(
+        F.when(F.col("_review").isNotNull(), offer(1, "review", F.col("_review"), F.col("_review"))),
+        F.when(F.col("_failed").isNotNull(), offer(1, "resolve the failure", F.col("_failed"), F.col("_failed"))),
+        F.when(F.col("_proposed").isNotNull() & F.col("_ready"), offer(2, "merge", F.col("_proposed"), none)),
+        F.when(F.col("_start"), offer(3, "start", F.lit(0), none)),
+    )
+    offers = states.select(project, F.inline(F.filter(offered, lambda o: o.isNotNull())))
+    loose = strangers.select(project).distinct().select(project, F.inline(F.array(offer(5, "account for strangers", F.lit(0), none))))
+    offers = offers.unionByName(loose)
+    if openings is not None:
+        offers = offers.unionByName(_publications(states, openings, project))
+    # Several packages of one first project: the least name.
+    place = F.struct("priority", "at", F.coalesce("package", F.lit("")).alias("package"))
+    best = offers.agg(F.min(place).alias("_b"))
+    return offers.join(F.broadcast(best), place == F.col("_b")).select("action", project, "step", "package", "waiting")  # one row
+
+
+def _publications(states: DataFrame, openings: DataFrame, project: str) -> DataFrame:
+    """The packages that closed projects wait on and whose owner is done, as offers."""
+    waiting = spread_join(openings.select(project, "package", "owner").distinct(), states.where("_shut").select(project, "_closed"), [project], "inner")
+    packages = waiting.groupBy("package", "owner").agg(
+        F.min(F.when(F.col("_closed").isNotNull(), F.struct(F.col("_closed").alias("at"), F.col(project).alias("project")))).alias("_first"),
+        F.count(F.lit(1)).alias("waiting"),
     )
-    best = offers.agg(F.min(F.struct("priority", "at")).alias("_b"))
-    return offers.join(F.broadcast(best), F.struct("priority", "at") == F.col("_b")).select("action", "project", "step")  # one row
+    owing = states.where("NOT _resolved").select(F.col(project).alias("owner"))
+    due = packages.where("_first IS NOT NULL").join(owing, "owner", "left_anti")
+    return due.select(
+        F.col("_first.project").alias(project), F.lit(4).alias("priority"), F.col("_first.at").alias("at"), F.lit("publish").alias("action"),
+        F.lit(None).cast("long").alias("step"), "package", "waiting",
+    )
 
 
 def sections(states: DataFrame) -> DataFrame:

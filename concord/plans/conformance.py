@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.compare import diff_nodes
-from concord.operators.ledger import blocking, reconcile, run_totals
+from concord.operators.ledger import OUTCOME_KEY, blocking, dependent_status, reconcile, run_totals
+
+# The check that a document is read where success is declared, and refused where failure is.
+PARSE_OUTCOME = "parse-outcome"
 
 
 @dataclass(frozen=True)
@@ -39,3 +42,32 @@ def conformance_run(cases: DataFrame, left: DataFrame, right: DataFrame, excepti
     )
     reconciled = reconcile(outcomes, exceptions, selected)
     return Run(differences, outcomes, reconciled, blocking(outcomes, reconciled), run_totals(outcomes, exceptions, selected))
+
+
+def conformance_matrix(checks: DataFrame, read: DataFrame, left: DataFrame, right: DataFrame, exceptions: DataFrame) -> Run:
+    """A run of several libraries and assertions in one plan.
+
+    ``checks`` is (case_id, library, assertion, declared) of the selected checks, ``declared`` (success or failure)
+    being the case's own; ``read`` is (case_id, library, ok), a missing row is a document that was not read. ``left`` are node
+    tables by (case_id, library, assertion), what a library made; ``right`` by (case_id, assertion), what is expected of all.
+
+    PARSE_OUTCOME passes where the reading went as declared. Every other assertion needs a document: without one it is
+    skipped where failure is declared and fails elsewhere. Where one was read but a side's nodes lack, it is an error.
+    """
+    has = F.coalesce("ok", F.lit(False))
+    known = read.groupBy("case_id", "library").agg(F.bool_and("ok").alias("ok"))
+    selected = checks.select(*OUTCOME_KEY, "declared").distinct().join(known, ["case_id", "library"], "left").withColumn("_has", has).drop("ok")
+    compared = selected.where((F.col("assertion") != PARSE_OUTCOME) & F.col("_has")).select(*OUTCOME_KEY)
+    l = left.join(compared, OUTCOME_KEY, "left_semi")
+    r = right.join(compared, ["case_id", "assertion"])
+    differences = diff_nodes(l, r, OUTCOME_KEY)
+    counts = differences.groupBy(*OUTCOME_KEY).agg(F.count(F.lit(1)).alias("differences"))
+    both = l.where("ptr = ''").select(*OUTCOME_KEY).join(r.where("ptr = ''").select(*OUTCOME_KEY), OUTCOME_KEY, "left_semi").distinct()
+    compare = F.when(F.col("_both").isNull(), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
+    as_declared = F.when(F.col("_has") == (F.col("declared") == "success"), "pass").otherwise("fail")
+    status = F.when(F.col("assertion") == PARSE_OUTCOME, as_declared).otherwise(dependent_status(compare, F.col("_has"), F.col("declared")))
+    joined = selected.join(both.withColumn("_both", F.lit(True)), OUTCOME_KEY, "left").join(counts, OUTCOME_KEY, "left")
+    outcomes = joined.select(*OUTCOME_KEY, status.alias("status"), F.coalesce("differences", F.lit(0)).alias("differences"))
+    cases = checks.select("case_id").distinct()
+    reconciled = reconcile(outcomes, exceptions, cases)
+    return Run(differences, outcomes, reconciled, blocking(outcomes, reconciled), run_totals(outcomes, exceptions, cases))

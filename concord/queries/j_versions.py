@@ -76,20 +76,23 @@ def j05(spark, sf):
     return f.effective_level(declared, locks, ["o_orderkey"]).select("o_orderkey", "effective")
 
 
-def standings(spark, sf):
+def observations(spark, sf):
     """Customers are consumers, segments libraries, orders declarations: status O is own, a low
     priority names no level, an urgent order of a household could not be read."""
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
     rows = spread_join(o.withColumn("c_custkey", F.col("o_custkey")), c, ["c_custkey"], "inner")
     level = F.when(F.col("o_orderpriority") != "5-LOW", F.concat((F.col("o_orderkey") % 3).cast("string"), F.lit(".0")))
-    observed = rows.select(
+    return rows.select(
         F.col("c_custkey").alias("consumer"), F.col("c_mktsegment").alias("library"), F.col("o_orderkey").alias("ord"), (F.col("o_orderstatus") == "O").alias("own"),
         level.alias("level"), F.lit(None).cast("string").alias("locked"), level.alias("delivers"),
         F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("c_mktsegment") == "HOUSEHOLD"), "timeout").alias("error"),
         F.when(F.col("c_acctbal") < 0, "decided").alias("lag"),
     )
-    current = c.select(F.col("c_mktsegment").alias("library")).distinct().withColumn("newest", F.lit("v2.0"))
-    return f.judge(observed, current)
+
+
+def standings(spark, sf):
+    current = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("library")).distinct().withColumn("newest", F.lit("v2.0"))
+    return f.judge(observations(spark, sf), current)
 
 
 STANDINGS = """
@@ -108,6 +111,14 @@ def j06(spark, sf):
     return standings(spark, sf).select("consumer", "library", "standing")
 
 
+@query(
+    "j06_delivered_levels",
+    STANDINGS + "SELECT DISTINCT consumer, library, level AS delivers FROM st JOIN r ON c_custkey = consumer AND c_mktsegment = library WHERE standing = 'via-provider' AND level IS NOT NULL",
+)
+def j06_delivered(spark, sf):
+    return f.delivered_levels(observations(spark, sf), standings(spark, sf))
+
+
 @query(
     "j07_unexplained",
     STANDINGS

@@ -132,17 +132,46 @@ def l05(spark, sf):
        SELECT CASE verdict WHEN 'failed' THEN 'resolve the failure' ELSE 'review' END AS action, r.project, r.step FROM r JOIN f USING (step)""",
 )
 def l06(spark, sf):
-    return r.next_action(steps(spark, sf), causes(spark, sf)[0], "project", "step")
+    return r.next_action(steps(spark, sf), causes(spark, sf)[0], "project", "step").select("action", "project", "step")
+
+
+# The state of the same steps before any proposal, and with every run still to come or at work.
+UNPROPOSED = """
+WITH s AS (SELECT o_custkey AS project, o_orderkey AS step, c_mktsegment AS seg, c_nationkey AS nat, c_acctbal < 0 AS lags, o_orderpriority AS p, o_orderstatus AS st
+           FROM orders JOIN customer ON o_custkey = c_custkey),
+w AS (SELECT project, NOT lags AND st <> 'F' AND seg NOT IN ('BUILDING', 'FURNITURE') AND nat <> 5 AND p <> '2-HIGH' AND nat <> 7 AS waits FROM s)
+"""
+
+
+@query("l06_next_start", UNPROPOSED + "SELECT DISTINCT 'start' AS action, project, NULL::BIGINT AS step FROM w WHERE waits")
+def l06_start(spark, sf):
+    # No project has a proposal or a failure, so the next thing owed is to start.
+    none = F.lit(None).cast("string")
+    running = F.when(F.col("run") == "running", F.col("run"))
+    before = steps(spark, sf).withColumns({"pull": none, "base_failing": F.lit(False), "run": running}).drop("verdict", "landing", "reason")
+    return r.next_action(r.verdicts(before), causes(spark, sf)[0], "project", "step").select("action", "project", "step")
 
 
 @query(
-    "l06_next_start",
-    STEPS + "SELECT DISTINCT 'start' AS action, project, NULL::BIGINT AS step FROM r WHERE reason = 'not dispatched'",
+    "l06_next_publish",
+    """WITH c AS (SELECT c_custkey AS project, c_nationkey AS nat, c_mktsegment = 'BUILDING' AS shut, c_acctbal < 0 AS lags FROM customer),
+            ow AS (SELECT nat, min(project) FILTER (NOT shut) AS owner FROM c GROUP BY 1),
+            st AS (SELECT o_custkey AS project, min(o_orderkey) AS at, bool_and(NOT shut OR lags) AS resolved, any_value(nat) AS nat, any_value(shut) AS shut, any_value(lags) AS lags
+                   FROM orders JOIN c ON o_custkey = project GROUP BY 1),
+            pk AS (SELECT s.nat, count(*) AS waiting, min(s.at) FILTER (NOT s.lags) AS at, arg_min(s.project, s.at) FILTER (NOT s.lags) AS project
+                   FROM st s WHERE s.shut GROUP BY 1)
+       SELECT 'publish' AS action, pk.project, NULL::BIGINT AS step, 'nation ' || nat AS package, waiting
+       FROM pk JOIN ow USING (nat) LEFT JOIN st o ON o.project = ow.owner WHERE coalesce(o.resolved, true) AND pk.at IS NOT NULL ORDER BY pk.at LIMIT 1""",
 )
-def l06_start(spark, sf):
-    # Without rows that a person owes, and without proposals, the next thing owed is to start.
-    rows = steps(spark, sf).where("verdict NOT IN ('awaiting person', 'failed') AND (pull IS NULL OR pull <> 'open')")
-    return r.next_action(rows, causes(spark, sf)[0], "project", "step")
+def l06_publish(spark, sf):
+    # All that is open is released; closed projects wait on the package of their nation, which its first open customer publishes.
+    c = table(spark, sf, "customer")
+    shut = F.col("c_mktsegment") == "BUILDING"
+    package = F.concat(F.lit("nation "), F.col("c_nationkey").cast("string"))
+    owners = c.groupBy("c_nationkey").agg(F.min(F.when(~shut, F.col("c_custkey"))).alias("owner"))
+    openings = c.where(shut).join(owners, "c_nationkey").select(F.col("c_custkey").alias("project"), package.alias("package"), "owner")
+    released = steps(spark, sf).drop("verdict", "landing", "reason").withColumns({"default_holds": F.col("opened"), "published": F.lit(True)})
+    return r.next_action(r.verdicts(released), causes(spark, sf)[0], "project", "step", openings)
 
 
 @query("l07_sections", GATES + "SELECT opened, waits_on, count(*) AS projects FROM g GROUP BY ALL")

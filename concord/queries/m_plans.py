@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 from concord.operators import rings as r
 from concord.operators.ledger import select_cases
 from concord.plans.checks import monthly_check, ring_check
-from concord.plans.conformance import conformance_run
+from concord.plans.conformance import PARSE_OUTCOME, conformance_matrix, conformance_run
+from concord.plans.surveys import fleet_run, scan_run
 from concord.plans.sweep import run_sweep
 from concord.queries.b_compare import event_docs
 from concord.queries.c_sweep import DIFFS, SIDES, part_nodes
 from concord.queries.g_rings import parts
+from concord.queries.j_versions import observations
+from concord.queries.k_scan import PLANTED, declared_statements, released
 from concord.queries.registry import query, table
 
 
@@ -92,3 +95,102 @@ def m04(spark, sf):
     resolved = rings.where("model <> 2").withColumn("parent", F.lit(None).cast("string"))
     nothing = rules.limit(0).select("model")
     return ring_check(resolved, rules, zones, reported, nothing).select("model", "compared", "failures")
+
+
+def event_matrix(spark, sf):
+    """Two libraries and two assertions. The first reads every document; the second none of the kinds error (declared to fail)
+    and view, and makes of all others what is expected."""
+    e = table(spark, sf, "events")
+    case, kind = F.col("event_id").alias("case_id"), F.col("event_type")
+    left, right = (nodes.withColumnRenamed("event_id", "case_id") for nodes in event_docs(spark, sf))
+    libraries = F.explode(F.array(F.lit("first"), F.lit("second")))
+    checks = e.select(case, libraries.alias("library"), F.when(kind == "error", "failure").otherwise("success").alias("declared")).withColumn(
+        "assertion", F.explode(F.array(F.lit(PARSE_OUTCOME), F.lit("json")))
+    )
+    read = e.select(case, libraries.alias("library"), kind).select("case_id", "library", ((F.col("library") == "first") | ~kind.isin("error", "view")).alias("ok"))
+    json = F.lit("json").alias("assertion")
+    made = left.select("*", F.lit("first").alias("library"), json).unionByName(right.select("*", F.lit("second").alias("library"), json))
+    accepted = e.where("user_id < 20").select(case, F.lit("second").alias("library"), json)
+    return conformance_matrix(checks, read, made, right.select("*", json), accepted)
+
+
+MATRIX = """
+WITH m AS (SELECT event_id AS case_id, library, assertion, user_id,
+                  CASE WHEN assertion = 'parse-outcome' THEN CASE WHEN (library = 'first') = (event_type = 'error') AND NOT (library = 'second' AND event_type NOT IN ('error', 'view')) THEN 'fail' ELSE 'pass' END
+                       WHEN library = 'first' THEN CASE WHEN event_type = 'purchase' THEN 'pass' ELSE 'fail' END
+                       ELSE CASE event_type WHEN 'error' THEN 'skip' WHEN 'view' THEN 'fail' ELSE 'pass' END END AS status
+           FROM events, (VALUES ('first'), ('second')) l(library), (VALUES ('parse-outcome'), ('json')) a(assertion))
+"""
+
+
+@query("m06_conformance_matrix", MATRIX + "SELECT case_id, library, assertion, status FROM m")
+def m06(spark, sf):
+    return event_matrix(spark, sf).outcomes.select("case_id", "library", "assertion", "status")
+
+
+@query("m06_matrix_blocking", MATRIX + "SELECT case_id, library, assertion FROM m WHERE status = 'fail' AND NOT (user_id < 20 AND library = 'second' AND assertion = 'json')")
+def m06_blocking(spark, sf):
+    return event_matrix(spark, sf).blocking.select("case_id", "library", "assertion")
+
+
+def corpus_report(spark, sf):
+    """Documents as files of a roster: two projects lag, one is listed without files, one could not be read, one declares nothing."""
+    files = released(spark, sf)
+    projects = files.select("project").distinct()
+    roster = projects.select("project", F.col("project").isin("src1", "src2").alias("lags")).unionByName(
+        projects.select(F.concat("project", F.lit("-archive")).alias("project"), F.lit(False).alias("lags"))
+    )
+    failed = projects.where("project = 'src4'").withColumn("reason", F.lit("timeout"))
+    declared = declared_statements(spark, sf).join(files.select("doc_id", "project", "path"), "doc_id").where("project <> 'src3'").drop("doc_id")
+    return scan_run(files, "project", "path", "content", roster, failed, declared, (26, 1, 0))
+
+
+@query(
+    "m07_scan_findings",
+    PLANTED
+    + """, d AS (SELECT source AS project, lang || '/d' || doc_id || '.txt' AS path, * FROM documents WHERE source <> 'src4')
+       SELECT project, path, 'missing' AS finding, NULL::BIGINT AS line, NULL AS found, NULL AS expected FROM d WHERE lang IN ('de', 'es') AND source NOT IN ('src1', 'src2', 'src3')
+       UNION ALL SELECT d.project, d.path, 'stale', p.line, p.found, '26-1' FROM d JOIN p USING (doc_id) WHERE d.lang = 'fr' AND d.source NOT IN ('src1', 'src2', 'src3')
+       UNION ALL SELECT d.project, d.path, 'stranger', p.line, p.found, NULL FROM d JOIN p USING (doc_id) WHERE d.source = 'src3'""",
+)
+def m07(spark, sf):
+    return corpus_report(spark, sf).findings.select("project", "path", "finding", "line", "found", "expected")
+
+
+@query(
+    "m07_scan_unread",
+    "SELECT DISTINCT source || '-archive' AS project, 'no files are listed' AS reason FROM documents UNION ALL SELECT DISTINCT source, 'timeout' FROM documents WHERE source = 'src4'",
+)
+def m07_unread(spark, sf):
+    return corpus_report(spark, sf).unread
+
+
+@query(
+    "m08_fleet_findings",
+    """WITH r AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal, o_orderkey, o_orderstatus, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey % 3 || '.0' END AS level,
+                         o_orderpriority = '1-URGENT' AND c_mktsegment = 'HOUSEHOLD' AS bad FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 4),
+            g AS (SELECT c_custkey, c_mktsegment, any_value(c_acctbal) AS bal, bool_or(bad) AS bad, bool_or(o_orderstatus = 'O') AS own,
+                         arg_min(coalesce(level, '-'), o_orderkey) FILTER (o_orderstatus = 'O') AS lvl, bool_or(o_orderstatus <> 'O' AND level IS NULL) AS unpinned FROM r GROUP BY ALL),
+            st AS (SELECT c_custkey, c_mktsegment, bal < 0 AS lag, CASE WHEN bad THEN 'unread' WHEN own THEN CASE lvl WHEN '-' THEN 'unpinned' WHEN '2.0' THEN 'current' ELSE 'behind' END
+                                                                   WHEN unpinned THEN 'unpinned' ELSE 'via-provider' END AS standing FROM g),
+            dis AS (SELECT DISTINCT c_custkey, c_mktsegment, level FROM r WHERE o_orderstatus = 'O' AND level IS NOT NULL)
+       SELECT c_custkey::VARCHAR AS consumer, c_mktsegment AS library, CASE WHEN lag THEN 'stale reason' ELSE 'unexplained' END AS finding, standing AS detail
+       FROM st WHERE (standing IN ('behind', 'unpinned') AND NOT lag) OR (standing = 'current' AND lag)
+       UNION ALL SELECT c_custkey::VARCHAR, c_mktsegment, 'disagreement', c_mktsegment || '-release ' || level FROM dis
+                 WHERE (c_custkey, c_mktsegment) IN (SELECT (c_custkey, c_mktsegment) FROM dis GROUP BY ALL HAVING count(*) > 1)
+       UNION ALL SELECT DISTINCT c_custkey::VARCHAR, NULL, 'stranger', 'orders: ' || o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey > 20
+       UNION ALL SELECT c_custkey::VARCHAR, NULL, 'unread', 'timeout' FROM customer WHERE c_nationkey = 4""",
+)
+def m08(spark, sf):
+    # Nations above 20 are not on the roster; those of nation 4 could not be read. A segment's release is a package of its own.
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    name = F.col("c_custkey").cast("string")
+    seen = observations(spark, sf).withColumn("consumer", F.col("consumer").cast("string"))
+    segments = c.select(F.col("c_mktsegment").alias("library")).distinct()
+    releases = segments.select("library", F.explode(F.array(F.lit("v1.9"), F.lit("v2.0"), F.lit("2.0rc1"))).alias("version"))
+    stated = seen.where("own").select("consumer", "library", F.lit("core").alias("package"), "level")
+    governed = {s: ["core"] for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")}
+    lost = c.where("c_nationkey = 4").select(name.alias("repository"), F.lit("timeout").alias("reason"))
+    found = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(name.alias("repository"), F.lit("orders").alias("path"), F.col("o_orderpriority").alias("package"))
+    roster = c.where("c_nationkey <= 20").select(name.alias("repository"))
+    return fleet_run(seen, releases, stated, governed, lost, found, roster).findings
