@@ -7,7 +7,8 @@ import hmac
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -73,6 +74,8 @@ PATTERNS = {
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)"),
     "name": re.compile(r"(?<!\w)(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.? ({NAME_PART}(?: {NAME_PART}){{0,2}})"),
 }
+#: Words that may be part of a name, and where a possessive ends one.
+NAME_WORD, POSSESSIVE = re.compile(rf"(?<!\w){NAME_PART}"), re.compile(r"['’]s(?= |$)")
 #: A text without any of these characters, or without the words, holds nothing of the kind.
 HINTS = {"email": "@", "phone": "-+.", "ip": ".", "ssn": "-"}
 DIGITS, TITLE_HINT, SECRET_HINT = re.compile(r"\d{2}|\d\.\d"), re.compile("|".join(TITLES)), re.compile(r"(?i)token|key|secret|passw")
@@ -111,8 +114,46 @@ def hopeful(text: str) -> list[str]:
     ]
 
 
+def forms(names: list[tuple[str, str]]) -> dict[str, tuple[str, str]]:
+    """How the names of a text may be mentioned in it: whole, by the family, by given names. To kind and detail (see ``find``).
+
+    What is one person's family and another's given name is the family; a given name of several is the first's.
+    """
+    out = {value: ("name", gender) for value, gender in names}
+    for value, gender in names:
+        out.setdefault(value.rpartition(" ")[2], ("name", gender))
+    for value, gender in names:
+        given = value.split(" ")[:-1]
+        for i in range(len(given)):
+            for j in range(i + 1, len(given) + 1):
+                out.setdefault(" ".join(given[i:j]), ("given", f"{gender} {value}"))
+    return out
+
+
+def mentions(text: str, known: dict[str, tuple[str, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """Every place where one of ``known`` stands as whole words, the longest of those that begin at a word."""
+    words = [m.span() for m in NAME_WORD.finditer(text)]
+    for at, (begin, end) in enumerate(words):
+        stops: list[int] = []
+        for a, b in words[at : at + 3]:
+            if stops and text[end:a] != " ":
+                break
+            # Marks inside a word may end the name too: "Roe's", "Roe-led".
+            stops += [*(i for i in range(a, b) if text[i] in "-'’"), b]
+            end = b
+        for stop in reversed(stops):
+            if found := known.get(text[begin:stop]):
+                yield begin, stop, *found
+                break
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(begin, end, kind, detail) of what is found in a text, in order and apart; detail is the gender of a name, as its title states it."""
+    """(begin, end, kind, detail) of what is found in a text, in order and apart.
+
+    A name is introduced by a form of address and then found wherever the text has it, whole or by the family; detail is
+    its gender, as the title states it. Given names that stand alone are of kind ``given``, with gender and whole name
+    as their detail.
+    """
     taken: list[tuple[int, int, str, str]] = []
     for kind in hopeful(text):
         for m in PATTERNS[kind].finditer(text):
@@ -121,11 +162,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
             if kind == "email":
                 end -= len(value) - len(value.rstrip(".-"))
             if kind == "name":
+                if owner := POSSESSIVE.search(value):
+                    end = begin + owner.start()
+                    value = text[begin:end]
                 detail = TITLES.get(m[0].split(" ")[0].rstrip("."), "") or GENDER.get(value.split(" ")[0], "")
             else:
                 detail = ""
             if is_real(kind, value):
                 taken.append((begin, end, kind, detail))
+    if named := [(text[a:b], gender) for a, b, kind, gender in taken if kind == "name"]:
+        taken.extend(mentions(text, forms(named)))
     out: list[tuple[int, int, str, str]] = []
     for item in sorted(taken, key=lambda x: (x[0], -x[1])):  # what begins first, the longest of those
         if not out or item[0] >= out[-1][1]:
@@ -247,13 +293,33 @@ class Surrogates:
 
     def apply(self, text: str, attempts: dict[tuple[str, str], tuple[int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with surrogates, and (begin, end, kind) of what they replaced, in the old text."""
+
+        def made(kind: str, value: str, detail: str) -> str:
+            attempt, detail = attempts.get((kind, value), (0, detail))  # the corpus's detail, where texts differ
+            return self.value(kind, value, detail, attempt)
+
         found, parts, at = find(text), [], 0
+        given = self.given_alone({(text[a:b], detail) for a, b, kind, detail in found if kind == "given"}, made)
         for begin, end, kind, detail in found:
             value = text[begin:end]
-            attempt, detail = attempts.get((kind, value), (0, detail))  # the corpus's detail, where texts differ
-            parts += [text[at:begin], self.value(kind, value, detail, attempt)]
+            parts += [text[at:begin], given[value] if kind == "given" else made(kind, value, detail)]
             at = end
-        return ("".join([*parts, text[at:]]) if found else text), [x[:3] for x in found]
+        return ("".join([*parts, text[at:]]) if found else text), [(a, b, "name" if kind == "given" else kind) for a, b, kind, _ in found]
+
+    def given_alone(self, alone: set[tuple[str, str]], made: Callable[[str, str, str], str]) -> dict[str, str]:
+        """Given names of a text to what stands for them: the same words of the whole name's surrogate.
+
+        Where two given names of the text would come out alike, each is written as the whole surrogate, which no two names share.
+        """
+        short, whole = {}, {}
+        for value, detail in alone:
+            gender, _, name = detail.partition(" ")
+            words, parts = made("name", name, gender).split(" "), name.split(" ")
+            n = value.count(" ") + 1
+            i = next(i for i in range(len(parts)) if parts[i : i + n] == value.split(" "))
+            whole[value], short[value] = " ".join(words), " ".join(words[i : i + n])
+        times = Counter(short.values())
+        return {value: new if times[new] == 1 and new != value else whole[value] for value, new in short.items()}
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -261,7 +327,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            seen = {(kind, text[a:b], detail) for text in batch.column(0).to_pylist() if text for a, b, kind, detail in find(text)}
+            seen = {(kind, text[a:b], detail) for text in batch.column(0).to_pylist() if text for a, b, kind, detail in find(text) if kind != "given"}
             if seen:
                 kinds, values, details = zip(*sorted(seen))
                 yield batch_of(kind=list(kinds), value=list(values), detail=list(details))
@@ -308,7 +374,8 @@ def surrogates(
     """(doc_id, text, n_entities, kinds, spans) of every row of ``docs``; with ``keep``, all columns of ``docs``, texts rewritten.
 
     Found: email and IP addresses, phone numbers, card and account numbers with valid check digits, social security
-    numbers, secrets after ``token =`` and the like, names after a form of address. Everything else stays as it is, byte
+    numbers, secrets after ``token =`` and the like, names after a form of address and their other mentions in the same text, whole, by
+    the family or by given names. Everything else stays as it is, byte
     for byte. A surrogate depends on the key, the kind and the value alone, so a value keeps its surrogate in all
     documents, and a family name its own with and without a given name. ``spans`` tells where in the old text.
 
@@ -331,7 +398,7 @@ def surrogates(
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches):
-                got = [(i, k, t[a:b]) for i, t in enumerate(batch.column(1).to_pylist()) if t for a, b, k, _ in find(t)]
+                got = [(i, k, t[a:b]) for i, t in enumerate(batch.column(1).to_pylist()) if t for a, b, k, _ in find(t) if k != "given"]
                 at, kinds, values = zip(*got) if got else ((), (), ())
                 yield batch_of(id=batch.column(0).take(pa.array(at, pa.int64())), kind=pa.array(kinds, pa.string()), value=pa.array(values, pa.string()))
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -41,6 +42,64 @@ def test_surrogates_keep_kind_and_format(kind, value):
     assert [k for *_, k, _ in find(f" {new} ")] == [kind] or kind == "secret"
 
 
+def plain_mentions(text):
+    """The mentions of a text by trying every form at every place."""
+    names = [(text[m.start(1) : m.end(1)]) for m in pii.PATTERNS["name"].finditer(text)]
+    names = [re.split(r"['’]s(?: |$)", n)[0] for n in names]
+    spans, at = [], 0
+    every = {" ".join(n.split(" ")[i:j]) for n in names for i in range(3) for j in range(i + 1, 4) if i < len(n.split(" "))}
+    every = {f for f in every if any(f == n or f == n.split(" ")[-1] or f in [" ".join(n.split(" ")[i:j]) for i in range(3) for j in range(i + 1, len(n.split(" ")))] for n in names)}
+    while at < len(text):
+        here = [f for f in every if text.startswith(f, at) and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")) and not text[at + len(f) :][:1].isalpha()]
+        if here:
+            spans.append((at, at + len(max(here, key=len))))
+        at += len(max(here, key=len)) if here else 1
+    return spans
+
+
+def test_every_mention_of_an_introduced_name():
+    text = "Mr John Roe called. Roe said he is John Roe. Signed, John Roe. John's hat, Roe-led, Monroe, Roes, Johnson, roe"
+    new, spans = Surrogates(KEY).apply(text, {})
+    full = Surrogates(KEY).value("name", "John Roe", "m")
+    given, family = full.split()
+    assert new == f"Mr {full} called. {family} said he is {full}. Signed, {full}. {given}'s hat, {family}-led, Monroe, Roes, Johnson, roe"
+    assert [text[a:b] for a, b, _ in spans] == ["John Roe", "Roe", "John Roe", "John Roe", "John", "Roe"] and {k for *_, k in spans} == {"name"}
+    assert find("Roe said he is John Roe") == []
+
+
+def test_mentions_match_a_plain_search():
+    draw = random.Random(9)
+    bits = ["Mr", "Dr.", "Frau", "Ann", "Bo", "Roe", "Lee", "Müller", "Иван", "said", "the", "Roe's", "Lee-led", "x", "Ann,", "Roe.", "(Lee)", "Smith's House"]
+    for _ in range(2000):
+        text = " ".join(draw.choice(bits) for _ in range(draw.randint(1, 25)))
+        assert [(a, b) for a, b, *_ in find(text)] == plain_mentions(text), text
+
+
+def test_given_names_alone_stay_apart():
+    pool = pii.GIVEN["latin", "m"]
+    made = Surrogates(KEY)
+    by_new = {}
+    for name in (n for n in pool if "-" not in n):
+        by_new.setdefault(made.value("name", f"{name} Lee", "m").split()[0], []).append(name)
+    one, two = next(x for x in by_new.values() if len(x) > 1)[:2]
+    new, _ = made.apply(f"Mr {one} Roe, Mr {two} Lee: {one} is not {two}", {})
+    left, right = new.split(": ")[1].split(" is not ")
+    assert left != right and [left.split()[0], len(left.split())] == [right.split()[0], 2]
+    many = "Mr " + " and Mr ".join(f"Ab{chr(97 + i // 26)}{chr(97 + i % 26)} Roe" for i in range(600)) + ". " + "Roe met Abaa. " * 20000
+    assert len(find(many)) == 600 + 40000
+
+
+def test_mentions_keep_their_surrogate_in_all_texts(spark, docs):
+    rows = [(1, "Mr John Roe. Roe is John."), (2, "Dr. Roe alone"), (3, "Roe and John, whoever"), (4, "Mrs John Roe, John"), (5, None)]
+    new = {r.doc_id: r.text for r in surrogates(docs(rows), KEY).collect()}
+    full = new[1].removeprefix("Mr ").split(".")[0]
+    given, family = full.split()
+    assert new[1] == f"Mr {full}. {family} is {given}." and new[2] == f"Dr. {family} alone" and new[4] == f"Mrs {full}, {given}"
+    assert new[3] == rows[2][1] and new[5] is None
+    joined = {r.doc_id: r.text for r in surrogates(docs(rows), KEY, broadcast_most=-1).collect()}
+    assert joined == new
+
+
 def test_names_keep_gender_script_and_person():
     made = Surrogates(KEY)
     full, short = made.value("name", "Mary Roe", "f"), made.value("name", "Roe", "f")
