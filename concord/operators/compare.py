@@ -85,7 +85,7 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFrame:
+def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str], selected: DataFrame | None = None, roots: bool = False) -> DataFrame:
     """Differences of two node tables, the topmost of each branch only.
 
     A missing subtree or a clash of types is one row with nothing beneath it. Arrays of unlike
@@ -95,6 +95,10 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
     ``place`` and then the pointer give the order of differences within a document: the left document's; members the left
     lacks follow their parent's own, by code point. Objects of unlike names tell their children where they close, so the
     order takes no second look at the documents.
+
+    ``selected`` (some of ids) restricts the differences to documents it names; it meets what differs, not every node.
+    ``roots`` adds ``read``, true in one row for every document of which both sides have a root; that row has no kind where
+    the roots do not differ.
     """
     on = [*ids, "ptr"]
     aligned = left.select(*on, F.struct(*VALUE).alias("l")).join(right.select(*on, F.struct(*VALUE).alias("r")), on, "full_outer")
@@ -112,9 +116,13 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
     )
     tail = F.col("kind").isin("missing", "extra") & F.coalesce(l["trail"], r["trail"]).endswith("a")
     unlike_names = F.coalesce(l["names"] != r["names"], F.lit(False))
-    found = aligned.withColumns({"kind": kind, "_apart": apart, "_names": unlike_names}).where(F.col("kind").isNotNull() | apart | unlike_names)
+    read = (F.col("ptr") == "") & l.isNotNull() & r.isNotNull() if roots else F.lit(False)
+    found = aligned.withColumns({"kind": kind, "_apart": apart, "_names": unlike_names, "read": read})
+    found = found.where(F.col("kind").isNotNull() | apart | unlike_names | F.col("read"))
+    if selected is not None:
+        found = found.join(selected, selected.columns, "left_semi")
     stop = F.col("_apart") | F.coalesce(F.col("kind").isin("missing", "extra", "type"), F.lit(False))
-    kept = topmost(found, ids, stop, (F.col("_names"), l["stop"])).where(F.col("kind").isNotNull() & ~F.col("_apart") & ~tail)
+    kept = topmost(found, ids, stop, (F.col("_names"), l["stop"])).where((F.col("kind").isNotNull() & ~F.col("_apart") & ~tail) | F.col("read"))
 
     def text(side: Column) -> Column:
         return (
@@ -134,6 +142,7 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str]) -> DataFra
         text(l).alias("left_value"),
         text(r).alias("right_value"),
         F.coalesce(l["ord"], F.col("_told"), F.lit(AFTER_ALL)).alias("place"),
+        *(["read"] if roots else []),
     )
 
 

@@ -67,6 +67,13 @@ def blocking(outcomes: DataFrame, reconciled: DataFrame) -> DataFrame:
     return outcomes.where(F.col("status").isin("fail", "error")).join(accepted, [*OUTCOME_KEY, "status"], "left_anti")
 
 
+def blocking_of(outcomes: DataFrame, exceptions: DataFrame) -> DataFrame:
+    """``blocking`` of outcomes that are all of selected cases, straight from the register: an entry that names a failure
+    accepts it, so the outcomes need not be worked out once more for its bucket."""
+    accepted = exceptions.select(*OUTCOME_KEY, F.lit("fail").alias("status"))
+    return outcomes.where(F.col("status").isin("fail", "error")).join(accepted, [*OUTCOME_KEY, "status"], "left_anti")
+
+
 def run_summary(outcomes: DataFrame, reconciled: DataFrame) -> DataFrame:
     """One row: outcomes per status down to zero, and whether the run is green."""
     counts = outcomes.agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from concord.functions.json import pointer_token
+from concord.functions.json_batch import plain_trees, slices
 from concord.functions.json_text import FIELDS, NameHash, tree
 
 # Fixed value: sorts keys the left side lacks, where it has no parent of them either, after all others.
@@ -27,7 +28,8 @@ def json_scan(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = MAX
     order; ``stop`` is where a container closes; ``trail`` has one letter per ancestor, ``o`` for an object and ``a`` for an
     array; ``names`` adds up the hashes of an object's member names. Rejected are null (``no text``), texts that break the
     grammar or end early, a name repeated in one object and values nested below ``max_depth``, with the offset in ``ord``.
-    One scan, no shuffle; a task holds the values of some texts at a time, so a text should fit in memory.
+    One scan, no shuffle; a task holds the values of some texts at a time, so a text should fit in memory. Texts are read a
+    megabyte at once (``plain_trees``); those with a backslash, the longest and deepest and what is no JSON one by one.
     """
     kept = df.select(*ids, F.col(json).alias("_json"))
     kinds = [part.split() for part in NODE.split(", ")]
@@ -35,30 +37,34 @@ def json_scan(df: DataFrame, ids: Sequence[str], json: str, max_depth: int = MAX
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = NameHash()
         for batch in batches:
-            keys, texts = batch.columns[:-1], batch.columns[-1].to_pylist()
-            of: list[int] = []
-            reasons: list[str | None] = []
-            columns: list[list] = [[] for _ in FIELDS]
+            keys, fields = batch.columns[:-1], [*batch.schema.names[:-1], *[n for n, _ in kinds], "reject"]
 
-            def done() -> pa.RecordBatch:
+            def rows(of: Sequence[int], columns: Sequence, reasons: Sequence[str | None]) -> pa.RecordBatch:
                 at = pa.array(of, pa.int64())
-                nodes = [pa.array(c, ARROW[kind]) for c, (_, kind) in zip(columns, kinds)]
-                return pa.RecordBatch.from_arrays(
-                    [*[k.take(at) for k in keys], *nodes, pa.array(reasons, pa.string())], [*batch.schema.names[:-1], *[n for n, _ in kinds], "reject"]
-                )
-
-            for i, text in enumerate(texts):
-                reason, at = tree(text, max_depth, hashes, columns)
-                if reason is not None:
-                    for name, column in zip(FIELDS, columns):
-                        column.append(at if name == "ord" else None)
-                fresh = len(columns[0]) - len(of)
-                of += [i] * fresh
-                reasons += [reason] * fresh
-                if len(of) >= 50_000:
-                    yield done()
-                    of, reasons, columns = [], [], [[] for _ in FIELDS]
-            yield done()
+                nodes = [pa.array(c, ARROW[kind]) if isinstance(c, list) else c.cast(ARROW[kind]) for c, (_, kind) in zip(columns, kinds)]
+                return pa.RecordBatch.from_arrays([*[k.take(at) for k in keys], *nodes, pa.array(reasons, pa.string())], fields)
+
+            for begin, end in slices(batch.columns[-1]):
+                texts = batch.columns[-1].slice(begin, end - begin)
+                at, columns, left = plain_trees(texts, max_depth, hashes)
+                if len(at):
+                    yield rows(begin + at, columns, pa.nulls(len(at), pa.string()))
+                of: list[int] = []
+                reasons: list[str | None] = []
+                columns = [[] for _ in FIELDS]
+                for i in left.tolist():
+                    reason, offset = tree(texts[i].as_py(), max_depth, hashes, columns)
+                    if reason is not None:
+                        for name, column in zip(FIELDS, columns):
+                            column.append(offset if name == "ord" else None)
+                    fresh = len(columns[0]) - len(of)
+                    of += [begin + i] * fresh
+                    reasons += [reason] * fresh
+                    if len(of) >= 50_000:
+                        yield rows(of, columns, reasons)
+                        of, reasons, columns = [], [], [[] for _ in FIELDS]
+                if of:
+                    yield rows(of, columns, reasons)
 
     names = StructType([kept.schema[c] for c in ids]).fields
     schema = StructType([*names, *StructType.fromDDL(NODE + ", reject string").fields])
@@ -93,7 +99,8 @@ def align_sides(nodes: DataFrame, ids: Sequence[str], sides: Sequence[str], avai
     documents with two or more of them are kept. Without it every side took part everywhere.
     """
     value = F.struct(*VALUE)
-    aligned = nodes.groupBy(*ids, "ptr").agg(*[F.max(F.when(F.col("side") == s, value)).alias(s) for s in sides])
+    # A place has a row a side: combining them before they move would sort all nodes for nothing.
+    aligned = nodes.repartition(*ids, "ptr").groupBy(*ids, "ptr").agg(*[F.max(F.when(F.col("side") == s, value)).alias(s) for s in sides])
     if available is None:
         return aligned.select("*", *[F.lit(True).alias(f"has_{s}") for s in sides])
     has = available.groupBy(*ids).agg(*[F.max(F.col("side") == s).alias(f"has_{s}") for s in sides])

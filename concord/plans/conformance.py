@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.compare import diff_nodes
-from concord.operators.ledger import OUTCOME_KEY, blocking, dependent_status, reconcile, run_totals
+from concord.operators.ledger import OUTCOME_KEY, blocking_of, dependent_status, reconcile, run_totals
 
 # The check that a document is read where success is declared, and refused where failure is.
 PARSE_OUTCOME = "parse-outcome"
@@ -23,17 +23,23 @@ class Run:
     summary: DataFrame
 
 
+def _counted(found: DataFrame, ids: list[str]) -> DataFrame:
+    """Per document its differences, and whether both sides could be read: one pass over what ``diff_nodes`` finds with roots."""
+    return found.groupBy(*ids).agg(F.count("kind").alias("differences"), F.max("read").alias("_read"))
+
+
+def _differences(found: DataFrame) -> DataFrame:
+    return found.where("kind IS NOT NULL").drop("read")
+
+
 def conformance_run(cases: DataFrame, left: DataFrame, right: DataFrame, exceptions: DataFrame, library: str, assertion: str) -> Run:
     """``cases`` is (case_id) of the selected cases; ``left`` and ``right`` are node tables by
     case_id; ``exceptions`` is (case_id, library, assertion). A case of which a side has no document
     that could be read (none, null or no JSON) is an ``error``: nothing was compared."""
     selected = cases.select("case_id").distinct()
-    l, r = (nodes.join(selected, "case_id", "left_semi") for nodes in (left, right))
-    differences = diff_nodes(l, r, ["case_id"])
-    both = l.where("ptr = ''").select("case_id").join(r.where("ptr = ''").select("case_id"), "case_id", "left_semi").distinct()
-    counts = differences.groupBy("case_id").agg(F.count(F.lit(1)).alias("differences"))
-    status = F.when(F.col("_read").isNull(), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
-    outcomes = selected.join(both.withColumn("_read", F.lit(True)), "case_id", "left").join(counts, "case_id", "left").select(
+    found = diff_nodes(left, right, ["case_id"], selected, roots=True)
+    status = F.when(~F.coalesce("_read", F.lit(False)), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
+    outcomes = selected.join(_counted(found, ["case_id"]), "case_id", "left").select(
         "case_id",
         F.lit(library).alias("library"),
         F.lit(assertion).alias("assertion"),
@@ -41,7 +47,7 @@ def conformance_run(cases: DataFrame, left: DataFrame, right: DataFrame, excepti
         F.coalesce("differences", F.lit(0)).alias("differences"),
     )
     reconciled = reconcile(outcomes, exceptions, selected)
-    return Run(differences, outcomes, reconciled, blocking(outcomes, reconciled), run_totals(outcomes, exceptions, selected))
+    return Run(_differences(found), outcomes, reconciled, blocking_of(outcomes, exceptions), run_totals(outcomes, exceptions, selected))
 
 
 def conformance_matrix(checks: DataFrame, read: DataFrame, left: DataFrame, right: DataFrame, exceptions: DataFrame) -> Run:
@@ -58,16 +64,12 @@ def conformance_matrix(checks: DataFrame, read: DataFrame, left: DataFrame, righ
     known = read.groupBy("case_id", "library").agg(F.bool_and("ok").alias("ok"))
     selected = checks.select(*OUTCOME_KEY, "declared").distinct().join(known, ["case_id", "library"], "left").withColumn("_has", has).drop("ok")
     compared = selected.where((F.col("assertion") != PARSE_OUTCOME) & F.col("_has")).select(*OUTCOME_KEY)
-    l = left.join(compared, OUTCOME_KEY, "left_semi")
-    r = right.join(compared, ["case_id", "assertion"])
-    differences = diff_nodes(l, r, OUTCOME_KEY)
-    counts = differences.groupBy(*OUTCOME_KEY).agg(F.count(F.lit(1)).alias("differences"))
-    both = l.where("ptr = ''").select(*OUTCOME_KEY).join(r.where("ptr = ''").select(*OUTCOME_KEY), OUTCOME_KEY, "left_semi").distinct()
-    compare = F.when(F.col("_both").isNull(), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
+    found = diff_nodes(left, right.join(compared, ["case_id", "assertion"]), OUTCOME_KEY, compared, roots=True)
+    compare = F.when(~F.coalesce("_read", F.lit(False)), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
     as_declared = F.when(F.col("_has") == (F.col("declared") == "success"), "pass").otherwise("fail")
     status = F.when(F.col("assertion") == PARSE_OUTCOME, as_declared).otherwise(dependent_status(compare, F.col("_has"), F.col("declared")))
-    joined = selected.join(both.withColumn("_both", F.lit(True)), OUTCOME_KEY, "left").join(counts, OUTCOME_KEY, "left")
+    joined = selected.join(_counted(found, OUTCOME_KEY), OUTCOME_KEY, "left")
     outcomes = joined.select(*OUTCOME_KEY, status.alias("status"), F.coalesce("differences", F.lit(0)).alias("differences"))
     cases = checks.select("case_id").distinct()
     reconciled = reconcile(outcomes, exceptions, cases)
-    return Run(differences, outcomes, reconciled, blocking(outcomes, reconciled), run_totals(outcomes, exceptions, cases))
+    return Run(_differences(found), outcomes, reconciled, blocking_of(outcomes, exceptions), run_totals(outcomes, exceptions, cases))

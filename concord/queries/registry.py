@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 Build = Callable[[SparkSession, str], DataFrame]
 
+#: Rows of a partition that a table is dealt out in.
+SPREAD_ROWS = 100_000
+
 QUERIES: dict[str, Build] = {}
 ORACLES: dict[str, str] = {}
 
@@ -28,8 +31,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A driver table. ``spread`` is for work that costs far more than moving its rows: a table
-    that reads as fewer partitions than there are cores (one small file) is dealt out over them.
-    A large table reads as many partitions and is left as it is."""
+    that reads as fewer partitions than there are cores (one small file), or than its rows need at
+    ``SPREAD_ROWS`` each (a compact file of few row groups), is dealt out. Rows are counted from the footers."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+    if not spread:
+        return df
+    parts = max(spark.sparkContext.defaultParallelism, -(-df.count() // SPREAD_ROWS))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df

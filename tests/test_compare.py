@@ -5,9 +5,11 @@ import math
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from concord.functions.json_batch import plain_trees, slices
 from concord.functions.json_text import FIELDS, NameHash, tree
 from concord.functions.numbers import num_equal, read_number
 from concord.operators import compare as c
@@ -145,6 +147,42 @@ def test_texts_are_read_as_the_grammar_says():
     assert [x for x in zip(node["ord"], node["stop"]) if x[1]] == [(0, len(text) - 1), (30, len(text) - 2), (35, 36)]
 
 
+def test_many_texts_are_read_as_each_one_is():
+    rng, hashes = random.Random(6), NameHash()
+    words = ["1", "-0", "1e400", "-1.25E-3", "12345678901234567890", "true", "null", '"x"', '"\u00e9\u20ac\U0001f600"', '""', '"a,{}[]:"', '"\\u0041"', "01", "tru", '"\x01"', "1 2"]
+
+    def text(depth):
+        space = rng.choice(["", "", " ", "\n\t"])
+        kind = rng.random() if depth else 1
+        parts = [space + text(depth - 1) for _ in range(rng.randrange(4))] if kind < 0.6 else []
+        if kind < 0.3:
+            return "[" + ",".join(parts) + space + "]"
+        if kind < 0.6:
+            return "{" + ",".join(f'"{rng.choice(["a", "b", "c/d", "~", "é", ""])}"{space}:{p}' for p in parts) + "}"
+        return rng.choice(words[: rng.choice([12, 12, 12, 16])])
+
+    texts = [None, "", " ", "[" * 70 + "]" * 70, "[", "]", "{]", "1,2", '{"a"}', '{"a":1,}', "[,1]"]
+    for _ in range(2000):
+        letters = list(text(4))
+        if rng.random() < 0.3:
+            letters[rng.randrange(len(letters))] = rng.choice(["", *'{}[],:"1t '])
+        texts.append("".join(letters))
+    for most_depth in (1000, 2):
+        of, columns, left = plain_trees(pa.array(["skipped", *texts]).slice(1), most_depth, hashes)
+        got = {i: [] for i in of.tolist()}
+        for i, *row in zip(of.tolist(), *[c.to_pylist() for c in columns]):
+            got[i].append(tuple(row))
+        for i, one in enumerate(texts):
+            out = [[] for _ in FIELDS]
+            if tree(one, most_depth, hashes, out)[0] is None and i in got:
+                assert repr(got[i]) == repr(list(zip(*out))), one
+            else:
+                assert i not in got, one
+        assert sorted([*got, *left.tolist()]) == list(range(len(texts)))
+    assert len(got) > 400
+    assert list(slices(pa.array(["a" * 5, None, "", "b" * 9, "c"]), 4)) == [(0, 1), (1, 4), (4, 5)] and list(slices(pa.array(["a", "b"]))) == [(0, 2)]
+
+
 def test_keyed_difference_kinds_and_duplicate_keys(spark):
     left = spark.createDataFrame([(1, 1.0, "a"), (2, None, "b"), (3, 1.0, "c")], "k int, n double, s string")
     right = spark.createDataFrame([(1, 1.0, "A"), (2, 2.0, "b"), (4, 1.0, "d")], "k int, n double, s string")

@@ -9,8 +9,9 @@ from concord.functions.arrays import running_max, running_sum
 from concord.functions.versions import normalize_version, version_key
 from concord.operators import fleet, scan, validate
 from concord.operators.nodes import json_nodes
-from concord.plans.conformance import conformance_run
+from concord.plans.conformance import conformance_matrix, conformance_run
 from concord.plans.sweep import run_sweep
+from concord.queries.registry import table
 
 
 def versions(spark, texts):
@@ -56,6 +57,28 @@ def test_what_could_not_be_read_is_an_error(spark):
     assert {r.case_id: r.status for r in run.outcomes.collect()} == {1: "pass", 2: "fail", 3: "error", 4: "error", 5: "error"}
 
 
+def test_a_run_reads_every_document_once(spark):
+    df = spark.createDataFrame([(1, '{"a":1}', '{"a":1}'), (2, "[1]", "{}"), (3, '{"a":1,"b":[]}', '{"a":2}'), (4, "{", "{}")], "case_id int, l string, r string")
+    left, right = (json_nodes(df, ["case_id"], side) for side in "lr")
+    accepted = spark.createDataFrame([(3, "x", "json"), (4, "x", "json"), (9, "x", "json")], "case_id int, library string, assertion string")
+    run = conformance_run(df.where("case_id > 1"), left, right, accepted, "x", "json")
+    assert {(r.case_id, r.ptr, r.kind) for r in run.differences.collect()} == {(2, "", "type"), (3, "/a", "value"), (3, "/b", "extra"), (4, "", "missing")}
+    assert sorted((r.case_id, r.status) for r in run.blocking.collect()) == [(2, "fail"), (4, "error")]
+    key = [F.lit("x").alias("library"), F.lit("json").alias("assertion")]
+    checks = df.select("case_id", *key, F.lit("success").alias("declared"))
+    matrix = conformance_matrix(checks, df.select("case_id", key[0], F.lit(True).alias("ok")), left.select("*", *key), right.select("*", key[1]), accepted)
+    assert sorted((r.case_id, r.status) for r in matrix.outcomes.collect()) == [(1, "pass"), (2, "fail"), (3, "fail"), (4, "error")]
+    assert sorted((r.case_id, r.status) for r in matrix.blocking.collect()) == [(2, "fail"), (4, "error")]
+    for frame in (run.blocking, run.summary, matrix.blocking):
+        assert frame._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
+
+
+def test_a_compact_table_is_dealt_out_by_its_rows(spark, tmp_path):
+    spark.range(1_650_000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    dealt = table(spark, str(tmp_path), "t", spread=True).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in dealt) == 1_650_000 and max(r["count"] for r in dealt) < 110_000
+
+
 def test_sweep_of_two_sides_counts_every_difference(spark):
     rows = [(side, f"f{n}", "{" + ",".join(f'"k{i}":{i + (side == "b")}' for i in range(30)) + "}") for side in "ab" for n in range(2)]
     df = spark.createDataFrame(rows, "side string, file string, json string")
