@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.numbers import is_finite, num_equal
 from concord.operators.nodes import AFTER_ALL, VALUE, topmost
-from concord.operators.skew import blocked_running, data_blocks
+from concord.operators.skew import data_blocks
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
@@ -284,8 +285,9 @@ def diff_sequence(left: DataFrame, right: DataFrame, keys: Sequence[str], pos: s
 def merge_spans(spans: DataFrame, group: Sequence[str], start: str, end: str, length: str | None = None, rows: int = 1_000_000) -> DataFrame:
     """Spans clamped to their text, empty ones dropped, overlapping or touching ones merged.
 
-    Spans are moved once: each block of a group (``data_blocks``) merges its own. What is left of a block meets only the
-    furthest end of the blocks before it; a span that begins within that reach belongs to the last one opened there.
+    Spans are moved once: each block of a group (``data_blocks``) merges its own, in one order and without a table of islands.
+    What is left of a block meets one row of totals of the blocks before it: their furthest end, and the island opened there
+    last. The islands of a block that begin within that reach are its first ones, so they belong to that island.
     """
     group = list(group)
     s, e = F.col(start), F.col(end)
@@ -295,12 +297,19 @@ def merge_spans(spans: DataFrame, group: Sequence[str], start: str, end: str, le
     # A clamped span may be empty now; it is kept because it may still touch a neighbour's end.
     cut = data_blocks(kept.select(*group, s.alias("_s"), e.alias("_e")), group, "_s", rows)
     inside = Window.partitionBy(*group, "_block").orderBy("_s")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max("_e").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    opened = cut.withColumn("_opens", F.when(reach.isNull() | (F.col("_s") > reach), F.col("_s")))
-    local = opened.withColumn("_island", F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = local.groupBy(*group, "_block", F.col("_island").alias("_s")).agg(F.max("_e").alias("_e"))
-    order, one = [F.col("_s")], {"_reach": ("max", F.col("_e"), False)}
-    carried = blocked_running(parts.withColumnRenamed("_block", "_cut"), group, order, F.col("_cut"), one)
-    opened = carried.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), F.col("_s")))
-    placed = blocked_running(opened, group, order, F.col("_cut"), {"_island": ("max", F.col("_opens"), True)})
-    return placed.groupBy(*group, F.col("_island").alias(start)).agg(F.max("_e").alias(end))
+    opened = cut.withColumns({"_opens": F.when(reach.isNull() | (F.col("_s") > reach), F.col("_s")), "_upto": F.max("_e").over(so_far)})
+    # An island ends before the next one opens, and no end before it is further.
+    ends = opened.withColumns({"_island": F.max("_opens").over(so_far), "_ends": F.lead(F.col("_opens").isNotNull(), 1, True).over(inside)})
+    parts = ends.where("_ends").select(*group, "_block", F.col("_island").alias("_s"), F.col("_upto").alias("_e"))
+
+    before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*group, "_block").agg(F.max("_s").alias("_s"), F.max("_e").alias("_e")).withColumn("_reach", F.max("_e").over(before))
+    # If a block's last island does not open, none of it does.
+    last = F.max(F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), F.col("_s"))).over(before)
+    carried = totals.withColumn("_last", last).where("_reach IS NOT NULL").drop("_s", "_e")
+    same = functools.reduce(Column.__and__, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in [*group, "_block"]])
+    placed = parts.alias("x").join(carried.alias("y"), same, "left")
+    island = F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), F.col("_s")).otherwise(F.col("_last"))
+    return placed.select("x.*", island.alias("_island")).groupBy(*group, F.col("_island").alias(start)).agg(F.max("_e").alias(end))

@@ -101,3 +101,10 @@ def test_merged_spans_against_going_along(spark, rows):
     df = spark.createDataFrame(spans, "k string, a int, b int").withColumn("len", F.lit(2000))
     got = merge_spans(df, ["k"], "a", "b", "len", rows=rows).select("k", "a", "b").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_spans_are_merged_in_one_pass(spark, tmp_path):
+    spark.range(100).selectExpr("id % 3 AS k", "id AS a", "id + 2 AS b").write.parquet(f"{tmp_path}/spans")
+    plan = merge_spans(spark.read.parquet(f"{tmp_path}/spans"), ["k"], "a", "b", rows=10)._jdf.queryExecution().sparkPlan().toString()
+    # Islands come from the windows; the only aggregations are counts, bounds, totals of blocks and the result.
+    assert plan.count("FileScan") <= 6 and plan.count("max(_opens") <= 2
