@@ -18,7 +18,7 @@ def number_value(name, column):
 
 def part_values(spark, sf):
     """Values of parts, broken by part type: see the SQL of each query for what is broken where."""
-    p = table(spark, sf, "part")
+    p = table(spark, sf, "part", spread=True)
     kind, size, price = F.col("p_type"), F.col("p_size"), F.col("p_retailprice")
     values = F.array(
         text_value("name", F.when(kind == "PROMO", " ").otherwise(F.col("p_name"))),
@@ -67,7 +67,7 @@ def codes(spark, sf, *wanted):
 
 
 def part_objects(spark, sf):
-    return table(spark, sf, "part").select(F.lit("Part").alias("object_type"), F.col("p_partkey").cast("string").alias("object_name"))
+    return table(spark, sf, "part", spread=True).select(F.lit("Part").alias("object_type"), F.col("p_partkey").cast("string").alias("object_name"))
 
 
 @query("e01_required", "SELECT p_partkey, 'name' AS field FROM part WHERE p_type = 'PROMO'")

@@ -44,6 +44,16 @@ def test_models_do_not_answer_for_one_another(spark):
     assert [tuple(r)[:4] for r in validate.check_references(values, known, model=["model"]).collect()] == [("m2", "Use", "u", "zone")]
 
 
+def test_required_fields_hold_no_table_of_all_values(spark):
+    objects = spark.range(20_000).selectExpr("'Zone' AS object_type", "CAST(id AS STRING) AS object_name")
+    known = spark.sql("SELECT 'Zone' AS obj_type, 'name' AS field, true AS required")
+    values = objects.where("object_name <> '7'").selectExpr("*", "'name' AS field", "'string' AS jtype", "CAST(NULL AS DOUBLE) AS num", "'a' AS str")
+    found = validate.check_required(objects, values.unionByName(values), known)
+    assert [r.object_name for r in found.collect()] == ["7"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "keys=[object_type" not in plan
+
+
 def test_no_branch_is_no_rule(spark):
     code = validate.value_code(F.array().cast(validate.BRANCHES), F.lit("string"), F.lit(None).cast("double"), F.lit("x"))
     assert spark.range(1).select(code).first()[0] is None
