@@ -62,7 +62,7 @@ def conformance_matrix(checks: DataFrame, read: DataFrame, left: DataFrame, righ
     """
     has = F.coalesce("ok", F.lit(False))
     known = read.groupBy("case_id", "library").agg(F.bool_and("ok").alias("ok"))
-    selected = checks.select(*OUTCOME_KEY, "declared").distinct().join(known, ["case_id", "library"], "left").withColumn("_has", has).drop("ok")
+    selected = checks.select(*OUTCOME_KEY, "declared").distinct().join(known.hint("merge"), ["case_id", "library"], "left").withColumn("_has", has).drop("ok")
     compared = selected.where((F.col("assertion") != PARSE_OUTCOME) & F.col("_has")).select(*OUTCOME_KEY)
     found = diff_nodes(left, right.join(compared, ["case_id", "assertion"]), OUTCOME_KEY, compared, roots=True)
     compare = F.when(~F.coalesce("_read", F.lit(False)), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
