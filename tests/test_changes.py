@@ -88,3 +88,10 @@ def test_long_chain_of_renames_and_odd_rows(spark):
     assert after == sorted([(1, "N300", 1.0, "end"), (2, "n0", 2.0, "b"), (None, "x", 0.0, "c")], key=str)
     assert sorted(r[-1] for r in rejects) == ["no object", "no object", "unknown op"]
     assert found(spark, [], []) == ([], [])
+
+
+def test_names_of_few_events_are_not_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr("concord.operators.changes.blocked_running", None)
+    ops = [(1, 1, "rename", "a", None, None, "b"), (1, 2, "set-field", "B", "v", "2", None), (1, 3, "remove", "a", None, None, None)]
+    after, rejects = found(spark, [(1, "a", 1.0, "x")], ops)
+    assert after == [(1, "b", 2.0, "x")] and [r[-1] for r in rejects] == ["no object"]
