@@ -189,7 +189,9 @@ def picked(texts: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets have a Jaccard similarity of ``percent`` or more. Only texts of pairs move."""
+    """The pairs (a, b) whose whole sets have a Jaccard similarity of ``percent`` or more. Only texts of pairs move.
+
+    ``pairs`` are read three times, for their ids and for either text: what is costly to find should be ``durable``."""
     ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = picked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ids, "id")
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -265,8 +267,7 @@ def near_duplicates(
     equal = (F.col("n") == F.col("c_n")) & (F.col("key1") == F.col("c_key1")) & (F.col("key2") == F.col("c_key2"))
     firsts = rows.where(known).join(named, equal & (F.col("doc_id") == F.col("node")), "left_semi")
     lists = written(index_lists(firsts.select(F.col("doc_id").alias("node"), "n", "sketch", "least")))
-    links = durable(verified(docs, stars(lists), width, percent, id_col, text_col))
-    found = components(links)
+    found = components(verified(docs, durable(stars(lists)), width, percent, id_col, text_col))
 
     mixed, _ = labelled(lists, found)
     open_nodes = durable(mixed.select("node").distinct())
@@ -274,12 +275,12 @@ def near_duplicates(
     nodes = written(sketched(texts, width, fine, percent, deviations, "node", "text").select(F.col("doc_id").alias("node"), "n", "sketch", "least"))
     lists = written(index_lists(nodes))
     mixed, _ = labelled(lists, found)
-    links = durable(links.unionByName(verified(docs, estimated(stars(mixed.select(*lists.columns)), nodes, fine, percent, deviations), width, percent, id_col, text_col)))
-    found = components(links)
+    likely = durable(estimated(stars(mixed.select(*lists.columns)), nodes, fine, percent, deviations))
+    found = components(verified(docs, likely, width, percent, id_col, text_col), found)
 
     mixed = written(labelled(lists, found)[0].select("value", "node", "root", "n", "place", "size", "least", "main", "members"))
     likely = durable(estimated(in_short_lists(mixed, percent), nodes, fine, percent, deviations).unionByName(in_long_lists(mixed, nodes, fine, percent, deviations)).distinct())
-    found = components(links.unionByName(verified(docs, likely, width, percent, id_col, text_col)))
+    found = components(verified(docs, likely, width, percent, id_col, text_col), found)
 
     by_key = named.join(found.select("node", F.col("root").alias("component")), "node", "left").select("c_n", "c_key1", "c_key2", F.coalesce("component", "node").alias("component"))
     component = F.coalesce("component", "doc_id")

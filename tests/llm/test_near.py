@@ -98,3 +98,35 @@ def test_components(spark, edges):
             root[a] = root[b] = min(root[a], root[b])
     want = {k: v for k, v in root.items() if any(a != b and k in (a, b) for a, b in edges)}
     assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_components_go_on_from_known_ones(spark):
+    make = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    got = lambda found: sorted((r.node, r.root) for r in found.collect())
+    early, late = [(2, 1), (3, 2), (5, 4), (9, 8)], [(5, 3), (7, 6), (8, 7), (12, 11), (3, 1), (6, 6)]
+    assert got(components(make(late), components(make(early)))) == got(components(make(early + late)))
+    assert got(components(make([]), components(make(early)))) == got(components(make(early)))
+    assert got(components(make([(3, 1)]), components(make(early)))) == got(components(make(early)))
+    assert got(components(make(late), components(make([])))) == got(components(make(late)))
+
+
+def test_small_components_take_few_tasks(spark):
+    """The driver keeps something of every task; a loop over some ids must not take hundreds a step."""
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    context = spark.sparkContext
+    links = spark.createDataFrame([(i + 1, i) for i in range(1, 30)], "a long, b long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("small components", "")
+        assert {r.root for r in components(links).collect()} == {1}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("small components")]
+    stages = {s for j in jobs for s in j.stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert 0 < tasks < 1_200, tasks
