@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import batch_of, durable, sliced, text_bytes, written
+from concord.llm.common import batch_of, durable, sliced, written
 
 SIDE = 64  # the least side: a token is one of ``side`` members of one of ``side`` classes
 TOKENS = SIDE * SIDE
@@ -24,6 +24,7 @@ FIXED = 1 << 30  # logarithms are summed as whole numbers of this part of one, s
 REACH = (-2, -1, 1, 2)
 BATCH, SCORED = 8_192, 8_192
 BLOCK, FAN = 4_096, 64  # parameters of a row, rows averaged at once
+READ = 8 << 20  # bytes of texts whose words are looked up at once, or one text
 
 
 @dataclass
@@ -122,20 +123,25 @@ class Network:
                 g_member_bias[g] = inner[a:b].sum(0)
             back *= 1 - h * h
             g_bias += back.sum(0)
-            lanes, weights = np.arange(self.width), back.reshape(-1)
+            lanes, weights = np.arange(self.width), back.reshape(-1).astype(np.float64)
             for table, offset in zip(g_context, REACH):
                 where = (tokens[at + offset][:, None] * self.width + lanes).reshape(-1)
-                table += np.bincount(where, weights, table.size).reshape(table.shape)
+                table[:] = np.bincount(where, weights, table.size).reshape(table.shape)
             step(gradient)  # type: ignore[operator]
         return logs
 
     def descent(self, rate: float) -> object:
         """AdaGrad on the network's own parameters."""
-        power = np.full_like(self.flat, 1e-8)
+        power, root = np.full_like(self.flat, 1e-8), np.empty_like(self.flat)
 
         def step(gradient: np.ndarray) -> None:
-            np.add(power, gradient * gradient, out=power)
-            self.flat -= rate * gradient / np.sqrt(power)
+            """Uses ``gradient`` up."""
+            np.multiply(gradient, gradient, out=root)
+            np.add(power, root, out=power)
+            np.sqrt(power, out=root)
+            np.multiply(gradient, np.float32(rate), out=gradient)
+            np.divide(gradient, root, out=gradient)
+            np.subtract(self.flat, gradient, out=self.flat)
 
         return step
 
@@ -180,26 +186,69 @@ def padded(texts: list[np.ndarray], blank: int = TOKENS) -> tuple[np.ndarray, np
     return flat, np.arange(int(size.sum())) + shift
 
 
+def parted(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts with READ bytes of texts in ``column``, or with one row."""
+    for batch in sliced(batches):
+        upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + READ, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of ``texts`` in a row, A-Z lower-cased, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty one
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(sizes)
+    return words.filter(full).cast(pa.binary()), upto[ends] - upto[ends - sizes]
+
+
+class Reader:
+    """Tokens of texts: words of the head by one lookup of a part's words, the distinct others by their hash."""
+
+    def __init__(self, head: list[bytes], token_of: np.ndarray, common: dict[bytes, int]) -> None:
+        self.head, self.token_of, self.numbering = pa.array(head, pa.binary()), token_of, Numbering(common)
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Words of each text; of each word its token and place in the head, -1 outside; the words outside, each as a number
+        in the list of distinct ones; that list."""
+        words, sizes = words_of(texts)
+        place = pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy(zero_copy_only=False)
+        outside = np.flatnonzero(place < 0)
+        other = words.take(pa.array(outside)).dictionary_encode()
+        which, distinct = other.indices.to_numpy(zero_copy_only=False), other.dictionary
+        tokens = np.empty(len(place), np.int64)
+        tokens[place >= 0] = self.token_of[place[place >= 0]]
+        tokens[outside] = np.fromiter(map(self.numbering.__getitem__, distinct.to_pylist()), np.int64, len(distinct))[which]
+        return sizes, tokens, place, outside, which, distinct
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of every word of all texts, exact. Each task sends its own sums; nothing reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def done() -> Iterator[pa.RecordBatch]:
-            words = list(counts)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield batch_of(word=pa.array(part, pa.binary()), n=pa.array([counts[w] for w in part], pa.int64()))
-
-        for batch in sliced(batches):
-            for text in text_bytes(batch.column(0)):
-                if text:
-                    counts.update(text.lower().split())
-            if len(counts) > 1_000_000:
-                yield from done()
-                counts.clear()
-        yield from done()
+        held: list[pa.Table] = []
+        rows = 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+        for batch in parted(batches, 0):
+            found = words_of(batch.column(0))[0].value_counts()
+            held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+            rows += len(found)
+            if rows > 2_000_000:
+                held = [summed()]
+                rows = held[0].num_rows
+            if rows > 1_000_000 and len(held) == 1:
+                yield from held.pop().to_batches(50_000)
+                rows = 0
+        if held:
+            yield from summed().to_batches(50_000)
 
     return durable(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
@@ -262,23 +311,26 @@ def averaged(parts: DataFrame) -> np.ndarray:
 
 def trained(
     docs: DataFrame, width: int = 16, rate: float = 0.08, rounds: int = 2, counted: tuple[dict[bytes, int], np.ndarray] | None = None,
+    known: Broadcast | None = None,
 ) -> tuple[dict[bytes, int], Network]:
     """The network, from every token of every document once.
 
     A round takes the documents of one hash class. Each task trains a copy in numpy on its texts, batch by batch, from
     the parameters of the round before; then the copies are averaged by their numbers of tokens. The order in which a task
-    reads its texts is part of the result: the same table, split alike, gives the same network.
+    reads its texts is part of the result: the same table, split alike, gives the same network. ``known`` is a ``head_of``; it
+    spares looking most words up one by one and changes no token.
     """
     spark = docs.sparkSession
     common, counts = counted or common_words(docs)
     net = Network.start(width, counts)
     side = net.side
+    known = known or spark.sparkContext.broadcast(([*common], np.arange(len(common)), None))
     words = spark.sparkContext.broadcast(common)
     for r in range(rounds):
         begin = spark.sparkContext.broadcast(net.flat)
 
         def run(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
-            net, numbering, seen = Network(begin.value.copy(), width, side), Numbering(words.value), 0
+            net, reader, seen = Network(begin.value.copy(), width, side), Reader(*known.value[:2], words.value), 0
             step = net.descent(rate)
             held: list[np.ndarray] = []
             size = 0
@@ -289,9 +341,9 @@ def trained(
                     net.predict(flat, at[i : i + BATCH], step)
                 return len(at)
 
-            for batch in sliced(batches):
-                for text in text_bytes(batch.column(0)):
-                    tokens = numbering.of(text)
+            for batch in parted(batches, 0):
+                sizes, said, *_ = reader.read(batch.column(0))
+                for tokens in np.split(said, np.cumsum(sizes)[:-1]):
                     if len(tokens):
                         held.append(tokens)
                         size += len(tokens)
@@ -311,21 +363,6 @@ def trained(
     return common, net
 
 
-class Shares(dict):
-    """Places of words in the head, and for a word outside it -1 - token, remembered a while."""
-
-    def __init__(self, head: list[bytes], numbering: Numbering, most: int = 300_000) -> None:
-        super().__init__(zip(head, range(len(head))))
-        self.head, self.numbering, self.most = head, numbering, most + len(head)
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-            self.update(zip(self.head, range(len(self.head))))
-        place = self[word] = -1 - self.numbering[word]
-        return place
-
-
 def head_of(words: DataFrame, common: dict[bytes, int], counts: np.ndarray, most: int) -> Broadcast:
     """Broadcast (words, tokens, logarithms of their shares of their tokens) of the words with their own token and of those seen most often."""
     rows = [(bytes(r.word), r.n) for r in words.where(F.col("n") >= seen_often(words, most)).collect()]
@@ -356,57 +393,34 @@ def scores(docs: DataFrame, width: int = 16, rounds: int = 2, id_col: str = "doc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     words = word_counts(rows)
     common, counts = common_words(rows, words=words)
-    _, net = trained(rows, width, rounds=rounds, counted=(common, counts))
+    known = head_of(words, common, counts, head)
+    _, net = trained(rows, width, rounds=rounds, counted=(common, counts), known=known)
     context, side = docs.sparkSession.sparkContext, net.side
-    known, flat = head_of(words, common, counts, head), context.broadcast(net.flat)
+    flat = context.broadcast(net.flat)
     shared = context.broadcast((common, np.log(np.maximum(counts, 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, log_total), (head, token_of, log_of) = shared.value, known.value
-        net, places, row = Network(flat.value, width, side), Shares(head, Numbering(common)), TaskContext.get().partitionId() << 40
-        for batch in sliced(batches):
-            sizes, totals, within = [], [], []
-            held: list[np.ndarray] = []
-            far: tuple[list[int], list[bytes], list[int]] = ([], [], [])
-
-            def done() -> None:
-                flat, at = padded(held, side * side)
-                logs = np.concatenate([net.predict(flat, at[i : i + SCORED]) for i in range(0, len(at), SCORED)] or [np.empty(0)])
-                ends = np.cumsum([len(t) for t in held])
-                upto = np.concatenate([[0.0], np.cumsum(logs)])
-                totals.extend((upto[ends] - upto[ends - [len(t) for t in held]]).tolist())
-                held.clear()
-
-            for i, text in enumerate(text_bytes(batch.column(1))):
-                said = text.lower().split() if text else []
-                place = np.fromiter(map(places.__getitem__, said), np.int64, len(said))
-                near, outside = np.maximum(place, 0), np.flatnonzero(place < 0)
-                tokens = token_of[near] if len(said) else place
-                share = log_of[near].sum() if len(said) else 0.0
-                if len(outside):
-                    tokens[outside] = -1 - place[outside]
-                    share += -log_of[near[outside]].sum() - log_total[tokens[outside]].sum()
-                    of = Counter(said[j] for j in outside.tolist())
-                    far[0].extend([row + i] * len(of))
-                    far[1].extend(of)
-                    far[2].extend(of.values())
-                within.append(float(share))
-                held.append(tokens)
-                sizes.append(len(tokens))
-                if sum(sizes[len(totals) :]) >= SCORED:
-                    done()
-            if held:
-                done()
-            n, k = len(sizes), len(far[0])
+        net, reader, row = Network(flat.value, width, side), Reader(head, token_of, common), TaskContext.get().partitionId() << 40
+        for batch in parted(batches, 1):
+            sizes, tokens, place, outside, which, distinct = reader.read(batch.column(1))
+            n = len(sizes)
+            text = np.repeat(np.arange(n), sizes)
+            share = np.empty(len(tokens))
+            share[place >= 0] = log_of[place[place >= 0]]
+            share[outside] = -log_total[tokens[outside]]
+            line, spots = padded(np.split(tokens, np.cumsum(sizes)[:-1]), side * side)
+            logs = np.concatenate([net.predict(line, spots[i : i + SCORED]) for i in range(0, len(spots), SCORED)] or [np.empty(0)])
             yield batch_of(
                 row=pa.array(range(row, row + n), pa.int64()), doc_id=batch.column(0), n_tokens=pa.array(sizes, pa.int64()),
-                total=pa.array(np.array(totals) + np.array(within), pa.float64()), word=pa.nulls(n, pa.binary()), n=pa.nulls(n, pa.int64()),
+                total=pa.array(np.bincount(text, logs + share, n), pa.float64()), word=pa.nulls(n, pa.binary()), n=pa.nulls(n, pa.int64()),
             )
-            for at in range(0, k, 10_000):
-                m = len(far[0][at : at + 10_000])
+            far, times = np.unique(text[outside] * len(distinct) + which, return_counts=True)
+            for at in range(0, len(far), 10_000):
+                of, m = far[at : at + 10_000], len(far[at : at + 10_000])
                 yield batch_of(
-                    row=pa.array(far[0][at : at + m], pa.int64()), doc_id=pa.nulls(m, batch.column(0).type), n_tokens=pa.nulls(m, pa.int64()),
-                    total=pa.nulls(m, pa.float64()), word=pa.array(far[1][at : at + m], pa.binary()), n=pa.array(far[2][at : at + m], pa.int64()),
+                    row=pa.array(row + of // len(distinct), pa.int64()), doc_id=pa.nulls(m, batch.column(0).type), n_tokens=pa.nulls(m, pa.int64()),
+                    total=pa.nulls(m, pa.float64()), word=distinct.take(pa.array(of % len(distinct))), n=pa.array(times[at : at + m], pa.int64()),
                 )
             row += n
 

@@ -112,3 +112,30 @@ def test_vocabulary_and_side_grow_with_the_corpus(docs):
     assert len(common) == 5_000 and len(counts) > TOKENS and counts[:5_000].sum() == counts.sum() == 15_000
     net = Network.start(4, counts)
     assert net.side**2 == len(counts) and len(common_words(df)[0]) == scoring.COMMON
+
+
+def test_words_are_looked_up_once_a_part(hard, monkeypatch):
+    """The reader's tokens are those of ``Numbering`` word by word, and only distinct words outside the head reach it."""
+    import pyarrow as pa
+
+    texts = [t for _, t in hard] + [None, "The THE the\x0bcat \x0c", "cat rare rare Rare\u00c9", " "]
+    common = {b"the": 0, b"cat": 1}
+    reader = scoring.Reader([b"the", b"cat", b"word3", b"one"], np.array([0, 1, *(Numbering(common)[w] for w in (b"word3", b"one"))]), common)
+    asked = []
+    monkeypatch.setattr(reader.numbering, "digest", lambda w, seed, f=reader.numbering.digest: (asked.append(w), f(w, seed))[1])
+    sizes, tokens, place, outside, which, distinct = reader.read(pa.array(texts, pa.string()))
+    said = [(t or "").encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(x) for x in said]
+    assert tokens.tolist() == [t for x in texts for t in Numbering(common).of((x or "").encode())]
+    words = [w for x in said for w in x]
+    assert [words[i] for i in outside] == distinct.take(pa.array(which)).to_pylist() and len(outside) == (place < 0).sum()
+    assert len(asked) == len(set(asked)) == len(distinct) < len(outside)
+
+
+def test_parts_hold_a_bounded_size_of_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(scoring, "READ", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * 4, None, "b" * 5, "c" * 30, "", "d" * 9, "e" * 2])], ["text"])
+    parts = [p.column(0).to_pylist() for p in scoring.parted(iter([batch]), 0)]
+    assert parts == [["aaaa", None, "bbbbb"], ["c" * 30], ["", "d" * 9], ["ee"]]
