@@ -20,7 +20,7 @@ def few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def roots(parents: DataFrame, rows: int) -> DataFrame:
-    """(node, root) of a forest of at most ``rows`` (node, parent) with parent < node: each round doubles the length of the jumps."""
+    """(node, root) of a forest of at most ``rows`` (node, parent), without cycles: each round doubles the length of the jumps."""
     jumps = durable(few(parents.select("node", F.col("parent").alias("root")), rows))
     while True:
         up = jumps.select(F.col("node").alias("root"), F.col("root").alias("higher"))

@@ -213,5 +213,6 @@ def spellings(
     noted = written(joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(is_form, F.col("most.near")).alias("form"), F.when(is_form, -F.col("most.less")).alias("form_n"),
     ))
-    last = roots(noted.where("form IS NOT NULL").select(F.col("word").alias("node"), F.col("form").alias("parent")))
+    forms = noted.where("form IS NOT NULL").select(F.col("word").alias("node"), F.col("form").alias("parent"))
+    last = roots(forms, forms.count())
     return noted.join(last.withColumnRenamed("node", "word"), "word", "left").withColumn("root", F.coalesce("root", "word"))

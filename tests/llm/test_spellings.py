@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from concord.llm import components
 from concord.llm.spellings import PositionIndex, cells, near_pairs, noted_words, slab_pairs, spellings, vocabulary
 
 SCHEMA = "doc_id long, text string, word string, n string, root string"
@@ -83,6 +84,17 @@ def test_same_words_as_brute_force(spark, cell, typo):
     assert len(want) > 100 and (typo < 199 or any(r[3] and r[5] != r[3] for r in want)) and max(r[2] for r in want) > 3
 
 
+def test_forms_are_followed_to_the_last(spark, monkeypatch):
+    """A chain of forms, in one partition of the loop and in many."""
+    chain = ["abcdef", "abcdefg", "abcdefgh", "abcdefghi", "abcdefghij"]
+    rows = [(i, f"{w} " * 5 ** (i + 1)) for i, w in enumerate(chain)] + [(9, "apart! " * 5 + "aparts " * 5)]
+    want = brute(rows, typo=10**10)
+    assert {(w, root) for w, *_, root in want} == {(w, chain[-1]) for w in chain} | {("aparts", "aparts")}
+    assert got(spellings(frame(spark, rows), typo=10**10)) == want
+    monkeypatch.setattr(components, "PART_ROWS", 1)
+    assert got(spellings(frame(spark, rows), typo=10**10)) == want
+
+
 def test_hard_rows(docs, hard):
     more = [(None, "Straßen straßen STRASSE " * 5), (8, "wo×den ÷÷÷÷÷÷ " * 6), (9, "a" * 20_000 + " " + "a" * 19_999), (9, "漢字漢字漢字漢字 \U0001f600abcdef " * 5)]
     rows = hard + more
