@@ -24,7 +24,8 @@ FIXED = 1 << 30  # logarithms are summed as whole numbers of this part of one, s
 REACH = (-2, -1, 1, 2)
 BATCH, SCORED = 8_192, 8_192
 BLOCK, FAN = 4_096, 64  # parameters of a row, rows averaged at once
-READ = 8 << 20  # bytes of texts whose words are looked up at once, or one text
+READ = 4 << 20  # bytes of texts whose words are looked up at once, or one text
+PIECES = 16  # batches, of 1,000 rows at most, whose words are looked up at once
 
 
 @dataclass
@@ -32,7 +33,8 @@ class Network:
     """Parameters: context vectors for each offset and token, and the outputs for the class and for the member of a class.
 
     h = tanh(b + sum of the context tokens' vectors); P(token) = softmax(classes h)[class] * softmax(members_of_class h)[member].
-    Both softmaxes are over ``side`` values, so every probability is normalised at the cost of two short rows.
+    Both softmaxes are over ``side`` values, so every probability is normalised at the cost of two short rows. An output's
+    bias is stored behind its weights and h ends with a one, so products add the bias.
     """
 
     flat: np.ndarray
@@ -41,7 +43,7 @@ class Network:
 
     @classmethod
     def shapes(cls, width: int, side: int = SIDE) -> list[tuple[int, ...]]:
-        return [(len(REACH), side * side + 1, width), (width,), (side, width), (side,), (side, side, width), (side, side)]
+        return [(len(REACH), side * side + 1, width), (width,), (side, width + 1), (side, side, width + 1)]
 
     @classmethod
     def start(cls, width: int, counts: np.ndarray, seed: int = 11) -> Network:
@@ -57,7 +59,8 @@ class Network:
         member_bias[:] = np.log(share / share.sum(1, keepdims=True))
         return net
 
-    def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
+    def stored(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
+        """Context vectors, their bias, and the outputs with their biases behind them."""
         flat, out, at = self.flat if flat is None else flat, [], 0
         for shape in self.shapes(self.width, self.side):
             n = int(np.prod(shape))
@@ -65,68 +68,70 @@ class Network:
             at += n
         return out
 
+    def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
+        context, bias, top, members = self.stored(flat)
+        return [context, bias, top[:, :-1], top[:, -1], members[..., :-1], members[..., -1]]
+
     def hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-        context, bias, *_ = self.parts()
+        """h of each place, and a one."""
+        context, bias, *_ = self.stored()
         total = np.broadcast_to(bias, (len(at), self.width)).copy()
         for table, offset in zip(context, REACH):
-            total += table[tokens[at + offset]]
-        return np.tanh(total, out=total)
+            total += table.take(tokens.take(at + offset), axis=0)
+        h = np.ones((len(at), self.width + 1), self.flat.dtype)
+        np.tanh(total, out=h[:, :-1])
+        return h
 
     @staticmethod
-    def shares(logits: np.ndarray, picked: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The logarithm of the picked one of each row's softmax, and with ``whole`` the softmax."""
-        np.minimum(logits, 60, out=logits)  # keeps float32 finite; nothing near it is ever learnt
-        chosen = logits[np.arange(len(picked)), picked]
+    def shares(logits: np.ndarray, picked: np.ndarray, scale: np.float32 | None) -> np.ndarray:
+        """The logarithm of the picked one of each row's softmax; with ``scale``, ``logits`` become its gradients times that."""
+        if logits.size and logits.max() > 60:
+            np.minimum(logits, 60, out=logits)  # keeps float32 finite; nothing near it is ever learnt
+        line, where = logits.reshape(-1), np.arange(len(picked)) * logits.shape[1] + picked
+        chosen = line.take(where)
         np.exp(logits, out=logits)
         total = logits @ np.ones(logits.shape[1], logits.dtype)
-        if whole:
-            logits *= (1 / total)[:, None]
-        return logits, chosen - np.log(total)
+        if scale is not None:
+            logits *= (scale / total)[:, None]
+            line[where] -= scale
+        return chosen - np.log(total)
 
     def predict(self, tokens: np.ndarray, at: np.ndarray, step: object = None) -> np.ndarray:
         """The log-probability of each token ``tokens[at]`` given those around it; with ``step``, also the gradients to it."""
-        _, _, top, top_bias, members, member_bias = self.parts()
-        side, target = self.side, tokens[at]
-        at = at[order := np.argsort((target // side).astype(np.uint16), kind="stable")]
-        target = target[order]
-        group, member = target // side, target % side
+        _, _, top, members = self.stored()
+        side, target = self.side, tokens.take(at)
+        group = (target // side).astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        at, group, target = at.take(order), group.take(order).astype(np.int64), target.take(order)
+        scale = None if step is None else np.float32(1 / len(at))
         h = self.hidden(tokens, at)
-        logits = h @ top.T
-        logits += top_bias
-        share, log_top = self.shares(logits, group, step is not None)
-        cut = np.searchsorted(group, np.arange(side + 1))
-        full = [g for g in range(side) if cut[g] < cut[g + 1]]
-        logits = np.empty((len(at), side), np.float32)
-        for g in full:
-            a, b = cut[g], cut[g + 1]
-            np.matmul(h[a:b], members[g].T, out=logits[a:b])
-            logits[a:b] += member_bias[g]
-        inner, log_member = self.shares(logits, member, step is not None)
+        share = h @ top.T
+        log_top = self.shares(share, group, scale)
+        cut = np.searchsorted(group, np.arange(side + 1)).tolist()
+        full = [(g, cut[g], cut[g + 1]) for g in range(side) if cut[g] < cut[g + 1]]
+        inner = np.empty((len(at), side), h.dtype)
+        for g, a, b in full:
+            np.matmul(h[a:b], members[g].T, out=inner[a:b])
+        log_member = self.shares(inner, target - group * side, scale)
         logs = np.empty(len(at), np.float64)
         logs[order] = log_top.astype(np.float64) + log_member
         if step is not None:
-            rows = np.arange(len(at))
-            share[rows, group] -= 1
-            inner[rows, member] -= 1
-            scale = np.float32(1 / len(at))
-            share *= scale
-            inner *= scale
             gradient = np.zeros_like(self.flat)
-            g_context, g_bias, g_top, g_top_bias, g_members, g_member_bias = self.parts(gradient)
-            back = share @ top
-            g_top += share.T @ h
-            g_top_bias += share.sum(0)
-            for g in full:
-                a, b = cut[g], cut[g + 1]
-                back[a:b] += inner[a:b] @ members[g]
-                g_members[g] = inner[a:b].T @ h[a:b]
-                g_member_bias[g] = inner[a:b].sum(0)
-            back *= 1 - h * h
-            g_bias += back.sum(0)
-            lanes, weights = np.arange(self.width), back.reshape(-1).astype(np.float64)
+            g_context, g_bias, g_top, g_members = self.stored(gradient)
+            before, ones = h[:, :-1], np.ones(len(at), h.dtype)  # products are quicker with whole lanes, so the biases come apart
+            back, more = share @ top[:, :-1], np.empty((len(at), self.width), h.dtype)
+            g_top[:, :-1], g_top[:, -1] = share.T @ before, ones @ share
+            for g, a, b in full:
+                np.matmul(inner[a:b], members[g, :, :-1], out=more[a:b])
+                g_members[g, :, :-1], g_members[g, :, -1] = inner[a:b].T @ before[a:b], ones[a:b] @ inner[a:b]
+            back += more
+            back *= 1 - before * before
+            back = back.astype(np.float64)
+            g_bias[:] = back.sum(0)
+            cells = np.arange(g_context[0].size).reshape(g_context[0].shape)
             for table, offset in zip(g_context, REACH):
-                where = (tokens[at + offset][:, None] * self.width + lanes).reshape(-1)
-                table[:] = np.bincount(where, weights, table.size).reshape(table.shape)
+                where = cells.take(tokens.take(at + offset), axis=0)
+                table[:] = np.bincount(where.reshape(-1), back.reshape(-1), table.size).reshape(table.shape)
             step(gradient)  # type: ignore[operator]
         return logs
 
@@ -169,6 +174,12 @@ class Numbering(dict):
         token = self[word] = self.own + self.digest(word, 3) % self.shared
         return token
 
+    def rare(self, words: list[bytes]) -> np.ndarray:
+        """The tokens of words that have none of their own, which are not remembered."""
+        digest = self.digest
+        hashes = np.fromiter([digest(w, 3) for w in words], np.uint64, len(words))
+        return (hashes % np.uint64(self.shared)).astype(np.int64) + self.own
+
     def of(self, text: bytes | None) -> np.ndarray:
         words = text.lower().split() if text else []
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -187,14 +198,24 @@ def padded(texts: list[np.ndarray], blank: int = TOKENS) -> tuple[np.ndarray, np
 
 
 def parted(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Batches in parts with READ bytes of texts in ``column``, or with one row."""
+    """Rows in parts of at most READ bytes of texts in ``column``, or of one row; a part may hold rows of several batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in sliced(batches):
         upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + READ, "right")))
-            yield batch.slice(at, end - at)
-            at = end
+            before = int(upto[at - 1]) if at else 0
+            end = int(np.searchsorted(upto, before + READ - size, "right"))
+            if held and (end <= at or len(held) >= PIECES):  # the next row is too much for this part
+                yield pa.concat_batches(held)
+                held, size = [], 0
+                continue
+            end = max(at + 1, end)
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(upto[end - 1]) - before, end
+    if held:
+        yield pa.concat_batches(held)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -208,10 +229,14 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 class Reader:
-    """Tokens of texts: words of the head by one lookup of a part's words, the distinct others by their hash."""
+    """Tokens of texts: words of the head by one lookup of a part's words, the distinct others by their hash.
+
+    The head holds all words with a token of their own.
+    """
 
     def __init__(self, head: list[bytes], token_of: np.ndarray, common: dict[bytes, int]) -> None:
-        self.head, self.token_of, self.numbering = pa.array(head, pa.binary()), token_of, Numbering(common)
+        self.head, self.numbering = pa.array(head, pa.binary()), Numbering(common)
+        self.token_of = np.append(token_of, 0)  # the last is at -1
 
     def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
         """Words of each text; of each word its token and place in the head, -1 outside; the words outside, each as a number
@@ -221,9 +246,8 @@ class Reader:
         outside = np.flatnonzero(place < 0)
         other = words.take(pa.array(outside)).dictionary_encode()
         which, distinct = other.indices.to_numpy(zero_copy_only=False), other.dictionary
-        tokens = np.empty(len(place), np.int64)
-        tokens[place >= 0] = self.token_of[place[place >= 0]]
-        tokens[outside] = np.fromiter(map(self.numbering.__getitem__, distinct.to_pylist()), np.int64, len(distinct))[which]
+        tokens = self.token_of.take(place)
+        tokens[outside] = self.numbering.rare(distinct.to_pylist())[which]
         return sizes, tokens, place, outside, which, distinct
 
 
@@ -250,7 +274,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if held:
             yield from summed().to_batches(50_000)
 
-    return durable(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return written(docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
 
 def seen_often(words: DataFrame, most: int) -> int:
@@ -401,13 +425,13 @@ def scores(docs: DataFrame, width: int = 16, rounds: int = 2, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, log_total), (head, token_of, log_of) = shared.value, known.value
+        log_of = np.append(log_of, 0)  # the last is at -1
         net, reader, row = Network(flat.value, width, side), Reader(head, token_of, common), TaskContext.get().partitionId() << 40
         for batch in parted(batches, 1):
             sizes, tokens, place, outside, which, distinct = reader.read(batch.column(1))
             n = len(sizes)
             text = np.repeat(np.arange(n), sizes)
-            share = np.empty(len(tokens))
-            share[place >= 0] = log_of[place[place >= 0]]
+            share = log_of.take(place)
             share[outside] = -log_total[tokens[outside]]
             line, spots = padded(np.split(tokens, np.cumsum(sizes)[:-1]), side * side)
             logs = np.concatenate([net.predict(line, spots[i : i + SCORED]) for i in range(0, len(spots), SCORED)] or [np.empty(0)])

@@ -139,3 +139,37 @@ def test_parts_hold_a_bounded_size_of_texts(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["a" * 4, None, "b" * 5, "c" * 30, "", "d" * 9, "e" * 2])], ["text"])
     parts = [p.column(0).to_pylist() for p in scoring.parted(iter([batch]), 0)]
     assert parts == [["aaaa", None, "bbbbb"], ["c" * 30], ["", "d" * 9], ["ee"]]
+
+
+def test_parts_hold_rows_of_several_batches(monkeypatch):
+    import pyarrow as pa
+
+    def parts(*batches):
+        rows = [pa.RecordBatch.from_arrays([pa.array(b, pa.string())], ["text"]) for b in batches]
+        return [p.column(0).to_pylist() for p in scoring.parted(iter(rows), 0)]
+
+    monkeypatch.setattr(scoring, "READ", 10)
+    assert parts(["aaaa"], [], ["bbb", None], ["ccc"], ["d", "e" * 12], [None, "f"]) == [["aaaa", "bbb", None, "ccc"], ["d"], ["e" * 12], [None, "f"]]
+    monkeypatch.setattr(scoring, "PIECES", 2)
+    assert parts([None], [None], [None], ["a"], [""]) == [[None, None], [None, "a"], [""]]
+    assert parts() == []
+
+
+def test_biases_stand_behind_their_weights():
+    """Outputs are one product: h ends with a one, and no gradient comes back through it."""
+    net, draw = net_of(), np.random.default_rng(4)
+    flat, at = padded([draw.integers(0, TOKENS, 50)])
+    assert (net.hidden(flat, at)[:, -1] == 1).all()
+    top, members = net.stored()[2:]
+    assert top.shape == (SIDE, 5) and members.shape == (SIDE, SIDE, 5) and sum(x.size for x in net.parts()) == len(net.flat)
+    held = []
+    net.predict(flat, at, held.append)
+    gradient = net.parts(held[0])
+    for weights, bias in ((gradient[2], gradient[3]), (gradient[4], gradient[5])):
+        assert np.abs(bias.sum(-1)).max() < 1e-5 and np.abs(weights.sum(-2)).max() < 1e-5  # of a softmax, they sum to nothing
+
+
+def test_rare_words_have_the_numbers_of_single_lookups():
+    numbering = Numbering({b"the": 0})
+    words = [b"rare%d" % i for i in range(500)] + ["\u6f22".encode(), b"\xff"]
+    assert numbering.rare(words).tolist() == [numbering[w] for w in words] and numbering.rare([]).tolist() == []
