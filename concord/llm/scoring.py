@@ -24,13 +24,13 @@ FIXED = 1 << 30  # logarithms are summed as whole numbers of this part of one, s
 REACH = (-2, -1, 1, 2)
 BATCH, SCORED = 8_192, 8_192
 BLOCK, FAN = 4_096, 64  # parameters of a row, rows averaged at once
-READ = 4 << 20  # bytes of texts whose words are looked up at once, or one text
+READ = 8 << 20  # bytes of texts whose words are looked up at once, or one text
 PIECES = 16  # batches, of 1,000 rows at most, whose words are looked up at once
 
 
 @dataclass
 class Network:
-    """Parameters: context vectors for each offset and token, and the outputs for the class and for the member of a class.
+    """Parameters: context vectors for each token and offset, and the outputs for the class and for the member of a class.
 
     h = tanh(b + sum of the context tokens' vectors); P(token) = softmax(classes h)[class] * softmax(members_of_class h)[member].
     Both softmaxes are over ``side`` values, so every probability is normalised at the cost of two short rows. An output's
@@ -43,7 +43,7 @@ class Network:
 
     @classmethod
     def shapes(cls, width: int, side: int = SIDE) -> list[tuple[int, ...]]:
-        return [(len(REACH), side * side + 1, width), (width,), (side, width + 1), (side, side, width + 1)]
+        return [(side * side + 1, len(REACH), width), (width,), (side, width + 1), (side, side, width + 1)]
 
     @classmethod
     def start(cls, width: int, counts: np.ndarray, seed: int = 11) -> Network:
@@ -60,7 +60,7 @@ class Network:
         return net
 
     def stored(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
-        """Context vectors, their bias, and the outputs with their biases behind them."""
+        """Context vectors by token, their bias, and the outputs with their biases behind them."""
         flat, out, at = self.flat if flat is None else flat, [], 0
         for shape in self.shapes(self.width, self.side):
             n = int(np.prod(shape))
@@ -70,14 +70,14 @@ class Network:
 
     def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
         context, bias, top, members = self.stored(flat)
-        return [context, bias, top[:, :-1], top[:, -1], members[..., :-1], members[..., -1]]
+        return [context.swapaxes(0, 1), bias, top[:, :-1], top[:, -1], members[..., :-1], members[..., -1]]
 
     def hidden(self, tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
         """h of each place, and a one."""
         context, bias, *_ = self.stored()
-        total = np.broadcast_to(bias, (len(at), self.width)).copy()
-        for table, offset in zip(context, REACH):
-            total += table.take(tokens.take(at + offset), axis=0)
+        total, lines = np.broadcast_to(bias, (len(at), self.width)).copy(), context.reshape(-1, self.width)
+        for i, offset in enumerate(REACH):
+            total += lines.take(tokens.take(at + offset) * len(REACH) + i, axis=0)
         h = np.ones((len(at), self.width + 1), self.flat.dtype)
         np.tanh(total, out=h[:, :-1])
         return h
@@ -98,12 +98,24 @@ class Network:
 
     def predict(self, tokens: np.ndarray, at: np.ndarray, step: object = None) -> np.ndarray:
         """The log-probability of each token ``tokens[at]`` given those around it; with ``step``, also the gradients to it."""
-        _, _, top, members = self.stored()
+        logs, found = self.passed(tokens, at, step is not None)
+        if found:
+            used, g_context, others = found
+            gradient = np.zeros_like(self.flat)
+            self.stored(gradient)[0][used] = g_context
+            gradient[-len(others) :] = others
+            step(gradient)  # type: ignore[operator]
+        return logs
+
+    def passed(self, tokens: np.ndarray, at: np.ndarray, back_too: bool) -> tuple[np.ndarray, tuple[np.ndarray, ...] | None]:
+        """The log-probabilities; with ``back_too`` also the tokens around, the gradients of their context vectors and of
+        all other parameters. Those of other tokens' vectors are nothing, so a step costs the same in a large vocabulary."""
+        context, bias, top, members = self.stored()
         side, target = self.side, tokens.take(at)
         group = (target // side).astype(np.uint16)
         order = np.argsort(group, kind="stable")
         at, group, target = at.take(order), group.take(order).astype(np.int64), target.take(order)
-        scale = None if step is None else np.float32(1 / len(at))
+        scale = np.float32(1 / len(at)) if back_too else None
         h = self.hidden(tokens, at)
         share = h @ top.T
         log_top = self.shares(share, group, scale)
@@ -115,40 +127,53 @@ class Network:
         log_member = self.shares(inner, target - group * side, scale)
         logs = np.empty(len(at), np.float64)
         logs[order] = log_top.astype(np.float64) + log_member
-        if step is not None:
-            gradient = np.zeros_like(self.flat)
-            g_context, g_bias, g_top, g_members = self.stored(gradient)
-            before, ones = h[:, :-1], np.ones(len(at), h.dtype)  # products are quicker with whole lanes, so the biases come apart
-            back, more = share @ top[:, :-1], np.empty((len(at), self.width), h.dtype)
-            g_top[:, :-1], g_top[:, -1] = share.T @ before, ones @ share
-            for g, a, b in full:
-                np.matmul(inner[a:b], members[g, :, :-1], out=more[a:b])
-                g_members[g, :, :-1], g_members[g, :, -1] = inner[a:b].T @ before[a:b], ones[a:b] @ inner[a:b]
-            back += more
-            back *= 1 - before * before
-            back = back.astype(np.float64)
-            g_bias[:] = back.sum(0)
-            cells = np.arange(g_context[0].size).reshape(g_context[0].shape)
-            for table, offset in zip(g_context, REACH):
-                where = cells.take(tokens.take(at + offset), axis=0)
-                table[:] = np.bincount(where.reshape(-1), back.reshape(-1), table.size).reshape(table.shape)
-            step(gradient)  # type: ignore[operator]
-        return logs
+        if not back_too:
+            return logs, None
+        others = np.zeros(len(self.flat) - context.size, h.dtype)
+        g_bias, g_top, g_members = others[: bias.size], others[bias.size :][: top.size].reshape(top.shape), others[bias.size + top.size :].reshape(members.shape)
+        before, ones = h[:, :-1], np.ones(len(at), h.dtype)  # products are quicker with whole lanes, so the biases come apart
+        back, more = share @ top[:, :-1], np.empty((len(at), self.width), h.dtype)
+        g_top[:, :-1], g_top[:, -1] = share.T @ before, ones @ share
+        for g, a, b in full:
+            np.matmul(inner[a:b], members[g, :, :-1], out=more[a:b])
+            g_members[g, :, :-1], g_members[g, :, -1] = inner[a:b].T @ before[a:b], ones[a:b] @ inner[a:b]
+        back += more
+        back *= 1 - before * before
+        back = back.astype(np.float64)
+        g_bias[:] = back.sum(0)
+        around, seen, line_of = [tokens.take(at + offset) for offset in REACH], np.zeros(len(context), bool), np.empty(len(context), np.int64)
+        for token in around:
+            seen[token] = True
+        used = np.flatnonzero(seen)
+        line_of[used] = np.arange(len(used))
+        cells, g_context = np.arange(len(used) * self.width).reshape(-1, self.width), np.empty((len(used), *context.shape[1:]), h.dtype)
+        for i, token in enumerate(around):
+            where = cells.take(line_of.take(token), axis=0)
+            g_context[:, i] = np.bincount(where.reshape(-1), back.reshape(-1), cells.size).reshape(cells.shape)
+        return logs, (used, g_context, others)
 
     def descent(self, rate: float) -> object:
-        """AdaGrad on the network's own parameters."""
-        power, root = np.full_like(self.flat, 1e-8), np.empty_like(self.flat)
-
-        def step(gradient: np.ndarray) -> None:
-            """Uses ``gradient`` up."""
-            np.multiply(gradient, gradient, out=root)
-            np.add(power, root, out=power)
-            np.sqrt(power, out=root)
+        """AdaGrad on the network's own parameters: a function that learns from a batch."""
+        power = np.full_like(self.flat, 1e-8)
+        context, context_power = self.stored()[0], self.stored(power)[0]
+        rest, rest_power = self.flat[context.size :], power[context.size :]
+
+        def change(gradient: np.ndarray, power: np.ndarray) -> np.ndarray:
+            """What to take off; uses ``gradient`` up."""
+            root = np.sqrt(power)
             np.multiply(gradient, np.float32(rate), out=gradient)
-            np.divide(gradient, root, out=gradient)
-            np.subtract(self.flat, gradient, out=self.flat)
+            return np.divide(gradient, root, out=gradient)
+
+        def learn(tokens: np.ndarray, at: np.ndarray) -> None:
+            used, g_context, others = self.passed(tokens, at, True)[1]
+            held = context_power.take(used, axis=0)
+            held += g_context * g_context
+            context_power[used] = held
+            context[used] -= change(g_context, held)
+            np.add(rest_power, others * others, out=rest_power)
+            np.subtract(rest, change(others, rest_power), out=rest)
 
-        return step
+        return learn
 
 
 def room(common: dict[bytes, int]) -> tuple[int, int]:
@@ -304,8 +329,11 @@ def common_words(docs: DataFrame, most: int = COMMON, words: DataFrame | None =
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, numbering = np.zeros(side * side, np.int64), Numbering(shared.value)
         for batch in sliced(batches):
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[numbering[word]] += n
+            said = batch.column(0).to_pylist()
+            tokens = np.fromiter((shared.value.get(w, -1) for w in said), np.int64, len(said))
+            rare = np.flatnonzero(tokens < 0)
+            tokens[rare] = numbering.rare([said[i] for i in rare])
+            np.add.at(total, tokens, batch.column(1).to_numpy())
         used = np.flatnonzero(total)
         yield batch_of(token=used, n=total[used])
 
@@ -355,14 +383,14 @@ def trained(
 
         def run(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
             net, reader, seen = Network(begin.value.copy(), width, side), Reader(*known.value[:2], words.value), 0
-            step = net.descent(rate)
+            learn_batch = net.descent(rate)
             held: list[np.ndarray] = []
             size = 0
 
             def learn() -> int:
                 flat, at = padded(held, side * side)
                 for i in range(0, len(at), BATCH):
-                    net.predict(flat, at[i : i + BATCH], step)
+                    learn_batch(flat, at[i : i + BATCH])
                 return len(at)
 
             for batch in parted(batches, 0):

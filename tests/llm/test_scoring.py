@@ -173,3 +173,19 @@ def test_rare_words_have_the_numbers_of_single_lookups():
     numbering = Numbering({b"the": 0})
     words = [b"rare%d" % i for i in range(500)] + ["\u6f22".encode(), b"\xff"]
     assert numbering.rare(words).tolist() == [numbering[w] for w in words] and numbering.rare([]).tolist() == []
+
+
+def test_a_batch_learns_only_the_vectors_around_it():
+    """The same as AdaGrad on all parameters, with gradients of the tokens that the batch reads."""
+    net, plainly = net_of(), net_of()
+    flat, at = padded([np.array([3, 900, 17, 3, 3, 2000, 65]), np.array([5])])
+    learn, power = net.descent(0.1), np.full_like(plainly.flat, 1e-8)
+    for part in (at[:5], at[5:], at):
+        used, near, others = net.passed(flat, part, True)[1]
+        assert set(used) == {t for i in part for o in scoring.REACH for t in [flat[i + o]]} and len(near) == len(used) < 10
+        held = []
+        plainly.predict(flat, part, held.append)
+        power += held[0] ** 2
+        plainly.flat -= np.float32(0.1) * held[0] / np.sqrt(power)
+        learn(flat, part)
+        assert np.allclose(net.flat, plainly.flat, rtol=1e-4, atol=1e-6)
