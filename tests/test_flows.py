@@ -83,6 +83,23 @@ def test_a_run_reads_every_document_once(spark):
         assert frame._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
 
 
+def test_a_matrix_broadcasts_no_table_for_the_size_of_its_file(spark, tmp_path):
+    # One text many times over: a file of some KB, of which a broadcast holds every row.
+    many = spark.range(5_000).selectExpr("id AS case_id", "'{\"a\":[1,2]}' AS j")
+    many.coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    df = table(spark, str(tmp_path), "t")
+    key = [F.lit("x").alias("library"), F.lit("json").alias("assertion")]
+    left, right = (json_nodes(df.select("case_id", "j"), ["case_id"], "j") for _ in range(2))
+    checks = df.select("case_id", *key, F.lit("success").alias("declared"))
+    accepted = df.where("case_id % 7 = 0").select("case_id", *key)
+    read = df.select("case_id", key[0], (F.col("case_id") > 9).alias("ok"))
+    run = conformance_matrix(checks, read, left.select("*", *key), right.select("*", key[1]), accepted)
+    for frame in (run.outcomes, run.blocking, run.exceptions, run.summary, run.differences):
+        assert not re.search(r"BroadcastExchange HashedRelation|BroadcastHashJoin", frame._jdf.queryExecution().executedPlan().toString())
+    assert {(r.status, r["count"]) for r in run.outcomes.groupBy("status").count().collect()} == {("pass", 4_990), ("fail", 10)}
+    assert sorted(r.case_id for r in run.blocking.collect()) == [1, 2, 3, 4, 5, 6, 8, 9]
+
+
 def test_a_compact_table_is_dealt_out_by_its_rows(spark, tmp_path):
     spark.range(1_650_000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
     dealt = table(spark, str(tmp_path), "t", spread=True).groupBy(F.spark_partition_id().alias("p")).count().collect()
