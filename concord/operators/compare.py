@@ -86,7 +86,30 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str], selected: DataFrame | None = None, roots: bool = False) -> DataFrame:
+def _side_by_side(left: DataFrame, right: DataFrame, ids: Sequence[str], selected: DataFrame, value: Sequence[str]) -> DataFrame:
+    """What a full outer join by ids and pointer gives of the documents in ``selected``, where ``right`` lacks some of ``ids``.
+
+    All nodes move once, by the ids that both sides have, and meet ``selected`` there: it lends the right ones the ids they lack.
+    What follows by all ids stays in place. A side that has a document twice tells by ``_unlike`` where the two are not the same.
+    """
+    shared = [c for c in ids if c in right.columns]
+    # Rows are told apart at their end, by number and first id: so they take a fifth less when they move.
+    cells = [*ids[1:], "ptr", "_left", *[c for c in value if c != "num"], "num", ids[0]]
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)), allowMissingColumns=True).select(*cells)
+    named = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in shared]
+    own = [~F.col("_left") | (F.col(f"x.{c}") == F.col(f"y.{c}")) for c in ids if c not in shared]
+    # A table's size tells little of its rows: none is to be broadcast.
+    met = both.repartition(*shared).alias("x").join(selected.select(*ids).hint("merge").alias("y"), functools.reduce(Column.__and__, named + own))
+    l, r = (F.when(side, F.struct(*value)) for side in (F.col("_left"), ~F.col("_left")))
+    code = F.xxhash64("jtype", "size", "num", "str", "bool")
+    codes = [F.when(side, code) for side in (F.col("_left"), ~F.col("_left"))]
+    unlike = [F.coalesce(F.min(c) != F.max(c), F.lit(False)) for c in codes]
+    return met.select(*[f"y.{c}" for c in ids], "ptr", "_left", *value).groupBy(*ids, "ptr").agg(F.max(l).alias("l"), F.max(r).alias("r"), (unlike[0] | unlike[1]).alias("_unlike"))
+
+
+def diff_nodes(
+    left: DataFrame, right: DataFrame, ids: Sequence[str], selected: DataFrame | None = None, roots: bool = False, placed: bool = True
+) -> DataFrame:
     """Differences of two node tables, the topmost of each branch only.
 
     A missing subtree or a clash of types is one row with nothing beneath it. Arrays of unlike
@@ -95,14 +118,20 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str], selected:
 
     ``place`` and then the pointer give the order of differences within a document: the left document's; members the left
     lacks follow their parent's own, by code point. Objects of unlike names tell their children where they close, so the
-    order takes no second look at the documents.
+    order takes no second look at the documents. ``placed=False`` leaves it out, and what only it takes is not moved.
 
     ``selected`` (some of ids) restricts the differences to documents it names; it meets what differs, not every node.
+    Where ``right`` lacks some of ids, a document of it is expected of all that ``selected`` (all of ids, distinct) names.
     ``roots`` adds ``read``, true in one row for every document of which both sides have a root; that row has no kind where
     the roots do not differ.
     """
-    on = [*ids, "ptr"]
-    aligned = left.select(*on, F.struct(*VALUE).alias("l")).join(right.select(*on, F.struct(*VALUE).alias("r")), on, "full_outer")
+    on, value = [*ids, "ptr"], [c for c in VALUE if placed or c not in ("ord", "stop", "names")]
+    spread = selected is not None and not set(ids) <= set(right.columns)
+    if spread:
+        aligned = _side_by_side(left, right, ids, selected, value)
+    else:
+        aligned = left.select(*on, F.struct(*value).alias("l")).join(right.select(*on, F.struct(*value).alias("r")), on, "full_outer")
+        aligned = aligned.withColumn("_unlike", F.lit(False))
     l, r = F.col("l"), F.col("r")
     # Beneath a clash of types the two trails differ; beneath an absence the parent is absent too.
     apart = F.coalesce(l["trail"] != r["trail"], F.lit(False))
@@ -114,16 +143,13 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str], selected:
         .when((l["jtype"] == "string") & (l["str"] != r["str"]), "value")
         .when((l["jtype"] == "boolean") & (l["bool"] != r["bool"]), "value")
         .when((l["jtype"] == "array") & (l["size"] != r["size"]), "length")
+        .when(F.col("_unlike"), "value")
     )
     tail = F.col("kind").isin("missing", "extra") & F.coalesce(l["trail"], r["trail"]).endswith("a")
-    unlike_names = F.coalesce(l["names"] != r["names"], F.lit(False))
+    unlike_names = F.coalesce(l["names"] != r["names"], F.lit(False)) if placed else F.lit(False)
     read = (F.col("ptr") == "") & l.isNotNull() & r.isNotNull() if roots else F.lit(False)
     found = aligned.withColumns({"kind": kind, "_apart": apart, "_names": unlike_names, "read": read})
     found = found.where(F.col("kind").isNotNull() | apart | unlike_names | F.col("read"))
-    if selected is not None:
-        found = found.join(selected, selected.columns, "left_semi")
-    stop = F.col("_apart") | F.coalesce(F.col("kind").isin("missing", "extra", "type"), F.lit(False))
-    kept = topmost(found, ids, stop, (F.col("_names"), l["stop"])).where((F.col("kind").isNotNull() & ~F.col("_apart") & ~tail) | F.col("read"))
 
     def text(side: Column) -> Column:
         return (
@@ -134,17 +160,17 @@ def diff_nodes(left: DataFrame, right: DataFrame, ids: Sequence[str], selected:
             .when(side["jtype"] == "object", F.concat(F.lit("object of "), side["size"].cast("string")))
         )
 
-    return kept.select(
-        *ids,
-        "ptr",
-        "kind",
-        l["jtype"].alias("left_type"),
-        r["jtype"].alias("right_type"),
-        text(l).alias("left_value"),
-        text(r).alias("right_value"),
-        F.coalesce(l["ord"], F.col("_told"), F.lit(AFTER_ALL)).alias("place"),
-        *(["read"] if roots else []),
-    )
+    # What is told of a place is worked out before rows move, so that what is not asked for does not.
+    told = {"left_type": l["jtype"], "right_type": r["jtype"], "left_value": text(l), "right_value": text(r)}
+    own, stops = (l["ord"], l["stop"]) if placed else [F.lit(None).cast("long")] * 2
+    found = found.withColumns({**told, "_tail": tail, "_ord": own, "_stops": stops}).drop("l", "r", "_unlike")
+    if selected is not None and not spread:
+        found = found.join(selected, selected.columns, "left_semi")
+    stop = F.col("_apart") | F.coalesce(F.col("kind").isin("missing", "extra", "type"), F.lit(False))
+    parent = (F.col("_names"), F.col("_stops")) if placed else None
+    kept = topmost(found, ids, stop, parent).where((F.col("kind").isNotNull() & ~F.col("_apart") & ~F.col("_tail")) | F.col("read"))
+    place = [F.coalesce("_ord", F.col("_told"), F.lit(AFTER_ALL)).alias("place")] if placed else []
+    return kept.select(*on, "kind", *told, *place, *(["read"] if roots else []))
 
 
 def order_diffs(diffs: DataFrame, ids: Sequence[str]) -> DataFrame:

@@ -60,16 +60,19 @@ def conformance_matrix(checks: DataFrame, read: DataFrame, left: DataFrame, righ
     PARSE_OUTCOME passes where the reading went as declared. Every other assertion needs a document: without one it is
     skipped where failure is declared and fails elsewhere. Where one was read but a side's nodes lack, it is an error.
     """
-    has = F.coalesce("ok", F.lit(False))
+    has, at = F.coalesce("ok", F.lit(False)), ["case_id", "library"]
     # The size of a small file, or of what is read from it, tells little of its rows: nothing is to be broadcast for it.
-    known = read.groupBy("case_id", "library").agg(F.bool_and("ok").alias("ok")).hint("merge")
-    selected = checks.select(*OUTCOME_KEY, "declared").distinct().join(known, ["case_id", "library"], "left").withColumn("_has", has).drop("ok")
-    compared = selected.where((F.col("assertion") != PARSE_OUTCOME) & F.col("_has")).select(*OUTCOME_KEY).hint("merge")
-    found = diff_nodes(left, right.join(compared, ["case_id", "assertion"]), OUTCOME_KEY, compared, roots=True)
+    known = read.groupBy(*at).agg(F.bool_and("ok").alias("ok")).hint("merge")
+    selected = checks.select(*OUTCOME_KEY, "declared").repartition(*at).distinct().join(known, at, "left").withColumn("_has", has).drop("ok")
+    needed = F.coalesce((F.col("assertion") != PARSE_OUTCOME) & F.col("_has"), F.lit(False))
+    compared = selected.where(needed)
+    found, unplaced = (diff_nodes(left, right, OUTCOME_KEY, compared.select(*OUTCOME_KEY), roots=True, placed=placed) for placed in (True, False))
+    # Of the other checks no document is compared: they stay where they are.
+    counted = compared.join(_counted(unplaced, OUTCOME_KEY).hint("merge"), OUTCOME_KEY, "left")
+    joined = counted.unionByName(selected.where(~needed), allowMissingColumns=True)
     compare = F.when(~F.coalesce("_read", F.lit(False)), "error").when(F.col("differences") > 0, "fail").otherwise("pass")
     as_declared = F.when(F.col("_has") == (F.col("declared") == "success"), "pass").otherwise("fail")
     status = F.when(F.col("assertion") == PARSE_OUTCOME, as_declared).otherwise(dependent_status(compare, F.col("_has"), F.col("declared")))
-    joined = selected.join(_counted(found, OUTCOME_KEY).hint("merge"), OUTCOME_KEY, "left")
     outcomes = joined.select(*OUTCOME_KEY, status.alias("status"), F.coalesce("differences", F.lit(0)).alias("differences"))
     cases, register = checks.select("case_id").distinct().hint("merge"), exceptions.hint("merge")
     reconciled = reconcile(outcomes.hint("merge"), exceptions, cases)

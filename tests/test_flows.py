@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from concord.functions.arrays import running_max, running_sum
 from concord.functions.versions import normalize_version, version_key
 from concord.operators import fleet, scan, validate
+from concord.operators.compare import diff_nodes
 from concord.operators.nodes import json_nodes
 from concord.plans.conformance import conformance_matrix, conformance_run
 from concord.plans.sweep import run_sweep
@@ -100,6 +101,40 @@ def test_a_matrix_broadcasts_no_table_for_the_size_of_its_file(spark, tmp_path):
     assert sorted(r.case_id for r in run.blocking.collect()) == [1, 2, 3, 4, 5, 6, 8, 9]
 
 
+def test_a_matrix_moves_its_nodes_once(spark):
+    key = "case_id int, library string, assertion string"
+    rng = random.Random(3)
+    texts = ['{"a":1,"b":{"c":[1,2]}}', '{"a":2,"b":{"c":[1]}}', '{"a":1.0,"b":[]}', '[{"a":null}]', '{"b":{"c":{"0":1}},"d":"x"}', "{no", None]
+    made = spark.createDataFrame([(i, x, a, rng.choice(texts)) for i in range(60) for x in "pqr" for a in "st" if rng.random() < 0.9], key + ", j string")
+    wanted = spark.createDataFrame([(i, a, rng.choice(texts)) for i in range(60) for a in "st"], "case_id int, assertion string, j string")
+    left, right = json_nodes(made, ["case_id", "library", "assertion"], "j"), json_nodes(wanted, ["case_id", "assertion"], "j")
+    checks = spark.createDataFrame([(i, x, a, "success") for i in range(50) for x in "pqr" for a in ("s", "t", "parse-outcome")], key + ", declared string")
+    read = spark.createDataFrame([(i, x, i % 7 != 0) for i in range(60) for x in "pqr"], "case_id int, library string, ok boolean")
+    run = conformance_matrix(checks, read, left, right, spark.createDataFrame([], key))
+    # What is expected, spelled out for every library, meets by a full outer join.
+    compared = checks.where("assertion <> 'parse-outcome' AND case_id % 7 <> 0").drop("declared")
+    spelled = diff_nodes(left, right.join(compared, ["case_id", "assertion"]), ["case_id", "library", "assertion"], compared)
+    assert sorted(map(str, run.differences.select(spelled.columns).collect())) == sorted(map(str, spelled.collect())) != []
+    counts = {tuple(r[:3]): r["count"] for r in spelled.groupBy("case_id", "library", "assertion").count().collect()}
+    assert {tuple(r[:3]): r.differences for r in run.outcomes.where("differences > 0").collect()} == counts
+    for frame in (run.outcomes, run.differences):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+        assert "MapInArrow" in plan and not any(re.search(r"ptr|_w\d|_g\b", keys) for keys in dealt)
+
+
+def test_a_document_met_twice_in_a_matrix(spark):
+    key = "case_id int, library string, assertion string"
+    made = [(1, "p", "s", '{"a":1}'), (1, "p", "s", '{"a":1}'), (2, "p", "s", '{"a":1}'), (2, "p", "s", '{"a":0}'), (3, "p", "s", '{"a":1}')]
+    left = json_nodes(spark.createDataFrame(made, key + ", j string"), ["case_id", "library", "assertion"], "j")
+    wanted = [(1, "s", '{"a":1}'), (2, "s", '{"a":1}'), (3, "s", '{"a":1}'), (3, "s", '{"a":0}')]
+    right = json_nodes(spark.createDataFrame(wanted, "case_id int, assertion string, j string"), ["case_id", "assertion"], "j")
+    checks = spark.createDataFrame([(i, "p", "s", "success") for i in (1, 2, 3)], key + ", declared string")
+    read = spark.createDataFrame([(i, "p", True) for i in (1, 2, 3)], "case_id int, library string, ok boolean")
+    run = conformance_matrix(checks, read, left, right, spark.createDataFrame([], key))
+    assert {r.case_id: r.status for r in run.outcomes.collect()} == {1: "pass", 2: "fail", 3: "fail"}
+
+
 def test_a_compact_table_is_dealt_out_by_its_rows(spark, tmp_path):
     spark.range(1_650_000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
     dealt = table(spark, str(tmp_path), "t", spread=True).groupBy(F.spark_partition_id().alias("p")).count().collect()
